@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import packing, simhash, topk, toxicity
+from vigil.llm import embdup, packing, simhash, topk, toxicity
 from vigil.llm.common import table
 
 
@@ -29,7 +29,12 @@ def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.linked(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op3_top_k_search": op3_top_k_search,
     "op10_toxicity": op10_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -37,6 +42,22 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op8_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), r(a, b) AS (
+            SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+        ), n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(m.b, e.vec_id)) AS component_id,
+               e.vec_id = least(e.vec_id, coalesce(m.b, e.vec_id)) AS kept
+        FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN m ON e.vec_id = m.a""",
     "op3_top_k_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
