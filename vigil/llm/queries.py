@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import embdup, packing, simhash, topk, toxicity
+from vigil.llm import embdup, html_mincut, packing, simhash, topk, toxicity
 from vigil.llm.common import table
 
 
@@ -33,7 +33,13 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_mincut.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op1_html_main_text": op1_html_main_text,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op3_top_k_search": op3_top_k_search,
     "op10_toxicity": op10_toxicity,
