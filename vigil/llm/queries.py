@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import embdup, html_mincut, packing, simhash, topk, toxicity
+from vigil.llm import embdup, html_mincut, mixing, packing, simhash, topk, toxicity, url_markov
 from vigil.llm.common import table
 
 
@@ -38,7 +38,23 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+#: Rules on domains and paths of op2.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_markov.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op4_mix_sources": op4_mix_sources,
+    "op2_url_filter": op2_url_filter,
     "op1_html_main_text": op1_html_main_text,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op3_top_k_search": op3_top_k_search,
