@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import embdup, html_mincut, mixing, packing, simhash, topk, toxicity, url_markov
+from vigil.llm import embdup, html_mincut, mixing, packing, pii, simhash, topk, toxicity, url_markov
 from vigil.llm.common import table
 
 
@@ -52,7 +52,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.number_of(k, F.col("base")).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op7_pii": op7_pii,
     "op4_mix_sources": op4_mix_sources,
     "op2_url_filter": op2_url_filter,
     "op1_html_main_text": op1_html_main_text,
