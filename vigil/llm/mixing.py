@@ -126,9 +126,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Documents without words are kept once. Rows with equal id, source and text share what they got. Columns are those of ``docs``.
     """
     _, found = mix(docs)
-    keys = ("_id", "_source", "_mark")
+    keys = ["_id", "_source", "_mark"]
     times = F.when(F.max("size") == 0, 1).otherwise(F.round(F.sum("taken") / F.sum(F.greatest("size", F.lit(1)))))
-    copies = found.groupBy(*(F.struct(c).alias(k) for k, c in zip(keys, ("id", "source", "mark"), strict=True))).agg(times.cast("int").alias("_times"))
-    keyed = docs.withColumns({k: F.struct(v) for k, v in zip(keys, (F.col("doc_id").alias("id"), F.col("source"), F.xxhash64("text").alias("mark")), strict=True)})
-    kept = keyed.join(copies.filter("_times > 0"), list(keys))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    copies = found.groupBy(F.struct("id").alias("_id"), F.struct("source").alias("_source"), F.struct("mark").alias("_mark")).agg(times.cast("int").alias("_times"))
+    own = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
+    keyed = own.withColumns({"_id": F.struct(F.col("in_doc_id").alias("id")), "_source": F.struct(F.col("in_source").alias("source")), "_mark": F.struct(F.xxhash64("in_text").alias("mark"))})
+    kept = keyed.join(copies.filter("_times > 0"), keys).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return kept.select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))

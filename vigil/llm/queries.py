@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import embdup, html_mincut, mixing, packing, pii, simhash, topk, toxicity, url_markov
+from vigil.llm import embdup, html_mincut, langid, mixing, packing, pii, simhash, topk, toxicity, url_markov
 from vigil.llm.common import table
 
 
@@ -58,7 +58,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return langid.identify(pages, table(spark, sf_dir, "documents").select("text", "lang")).select("page_id", "url", "host", "declared", "lang", "probability")
+
+
 QUERIES = {
+    "op5_language_id": op5_language_id,
     "op7_pii": op7_pii,
     "op4_mix_sources": op4_mix_sources,
     "op2_url_filter": op2_url_filter,
