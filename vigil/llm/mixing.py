@@ -20,7 +20,7 @@ WEIGHTS = (3, 1, 2)
 #: Words of all targets together, and of one target at most, by the words there are.
 TOTAL, MOST = 1.5, 2
 #: Words of a block, slots of a shard, cells for the draw, rows ranked in one task (about).
-BLOCK, SHARD, CELLS, RANKED = 256, 1024, 4096, 50_000
+BLOCK, SHARD, CELLS, RANKED = 256, 1024, 4096, 2_000
 SEED = 20_240_101
 
 
@@ -92,9 +92,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     each = each.filter("epoch < full or rest > 0")
     numbered = each.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RANKED))))
     numbered = numbered.withColumn("block", F.explode(F.sequence(F.col("part") * RANKED, F.least(F.col("n"), (F.col("part") + 1) * RANKED) - 1)))
-    order = saved(position_in_group(numbered.select("s", "epoch", "block"), ["s", "epoch"], [F.lit(seed), F.col("s"), F.col("epoch"), F.col("block")], max(1, blocks // RANKED), "pos"), "order")
-    last = order.join(each.select("s", "epoch", (F.col("n") - 1).alias("block")), ["s", "epoch", "block"]).select("s", "epoch", F.col("pos").alias("short_pos"))
-    paced = order.join(each.select("s", "epoch", "n", "full", "rest", "short").join(last, ["s", "epoch"]), ["s", "epoch"])
+    order = saved(position_in_group(numbered.select("s", "epoch", "block", "n", "full", "rest", "short"), ["s", "epoch"], [F.lit(seed), F.col("s"), F.col("epoch"), F.col("block")], max(1, blocks // RANKED), "pos"), "order")
+    last = order.filter("block = n - 1").select("s", "epoch", F.col("pos").alias("short_pos"))  # two rows for a source at most
+    paced = order.join(last, ["s", "epoch"])
     before = F.col("pos") * block - F.when(F.col("pos") > F.col("short_pos"), block - F.col("short")).otherwise(0)
     length = F.when(F.col("block") == F.col("n") - 1, F.col("short")).otherwise(block)
     paced = paced.withColumn("words", F.when(F.col("epoch") < F.col("full"), length).otherwise(F.least(length, F.col("rest") - before))).filter("words > 0")
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     ranked = position_in_group(counts, ["s"], [F.lit(seed), F.col("shard")], max(1, shards // RANKED), "first", F.col("n"))
     drawn = ranked.withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).select("shard", "s", "k")
     have = counts.groupBy("s").agg(F.sum("n").alias("have"))
-    slots = wanted.join(drawn, ["s", "k"], "left").join(have, "s", "left")
+    slots = wanted.join(drawn.hint("merge"), ["s", "k"], "left")  # both grow with the words: never broadcast.join(have, "s", "left")
     more = F.lit(shards) + F.floor((F.col("k") - F.coalesce("have", F.lit(0))) / SHARD)
     slots = saved(slots.select(F.coalesce("shard", more).alias("shard"), "s", "k", "epoch", "block", "words"), "slots")
 
@@ -114,9 +114,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     begin, end = F.col("at"), F.col("at") + F.col("size")
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(begin / block), F.floor((end - 1) / block))))
     pieces = pieces.withColumn("b", F.greatest(begin - F.col("block") * block, F.lit(0))).withColumn("e", F.least(end - F.col("block") * block, F.lit(block)))
-    met = pieces.select("s", "at", "block", "b", "e").join(slots.select("s", "block", "words"), ["s", "block"])
+    met = pieces.select("s", "at", "block", "b", "e").join(slots.select("s", "block", "words").hint("merge"), ["s", "block"])
     taken = met.groupBy("s", "at").agg(F.sum(F.greatest(F.least("e", "words") - F.col("b"), F.lit(0))).alias("taken"))
-    found = placed.withColumn("key", F.when(F.col("size") > 0, F.col("at"))).join(taken.withColumnRenamed("at", "key"), ["s", "key"], "left")
+    found = placed.withColumn("key", F.when(F.col("size") > 0, F.col("at"))).join(taken.withColumnRenamed("at", "key").hint("merge"), ["s", "key"], "left")
     return slots, found.select("id", "source", "mark", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
