@@ -106,7 +106,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     ranked = position_in_group(counts, ["s"], [F.lit(seed), F.col("shard")], max(1, shards // RANKED), "first", F.col("n"))
     drawn = ranked.withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).select("shard", "s", "k")
     have = counts.groupBy("s").agg(F.sum("n").alias("have"))
-    slots = wanted.join(drawn.hint("merge"), ["s", "k"], "left")  # both grow with the words: never broadcast.join(have, "s", "left")
+    # drawn and wanted grow with the words, so neither is broadcast
+    slots = wanted.join(drawn.hint("merge"), ["s", "k"], "left").join(have, "s", "left")
     more = F.lit(shards) + F.floor((F.col("k") - F.coalesce("have", F.lit(0))) / SHARD)
     slots = saved(slots.select(F.coalesce("shard", more).alias("shard"), "s", "k", "epoch", "block", "words"), "slots")
 
