@@ -1,6 +1,315 @@
-"""The registered queries of the risk-oversight jobs."""
+"""The registered queries of the risk-oversight jobs, with the same work as SQL text where SQL expresses it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigil import config as C
+from vigil.operators import evaluation as E
+from vigil.operators import governance as G
+from vigil.operators import incidents as I
+from vigil.operators import monitoring as M
+from vigil.plans import decide as D
+from vigil.sources.tables import staged
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions table, which reports share."""
+    return staged(D.decisions(table(spark, sf_dir, "events")), "decisions", sf_dir)
+
+
+def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        SQL[name] = sql
+
+
+def on_decisions(name: str, report: Callable[[DataFrame], DataFrame], sql: str, more: str = "") -> None:
+    """A report over the decisions table; ``more`` are further CTEs of its SQL."""
+    add(name, lambda spark, sf_dir: report(decided(spark, sf_dir)), f"WITH {D.decisions_sql()}{', ' + more if more else ''} {sql}")
+
+
+def r4(x: str, places: int = 4) -> str:
+    return f"round(({x}) + 1e-9, {places})"
+
+
+def rate(condition: str) -> str:
+    return r4(f"avg(CASE WHEN {condition} THEN 1e0 ELSE 0e0 END)")
+
+
+def many(condition: str) -> str:
+    return f"count(*) FILTER (WHERE {condition})"
+
+
+def nearest(x: str, at: float) -> str:
+    return f"list_sort(list({x}))[CAST(round_even({at} * (count({x}) - 1), 0) AS INT) + 1]"
+
+
+def exploded(column: str, alias: str, source: str = "decisions") -> str:
+    return f"(SELECT *, unnest(list_filter(string_split({column}, ','), lambda x: x <> '')) AS {alias} FROM {source})"
+
+
+# --- decisions ------------------------------------------------------------------------------------------------------
+
+add("d14_decisions", lambda s, d: D.decisions(table(s, d, "events")), f"WITH {D.decisions_sql()} SELECT * FROM decisions")
+add("c02_cost_baselines", lambda s, d: D.baselines(D.add(D.interactions(table(s, d, "events")), D.PRICE)).select("application", "model", *(F.round(F.col(f"fit_{x}") + 1e-9, 4).alias(x) for x in D.FITTED)),
+    f"WITH {D.signals_sql()} SELECT application, model, {', '.join(r4('fit_' + x) + ' AS ' + x for x in D.FITTED)} FROM fitted")
+_COST = ["interaction_id", "estimated_cost", *(f"hit_{x}" for x in (*D.RATIOS, "tools", "retries")), "cost_risk", "cost_anomalies", "efficiency"]
+add("c04_cost_anomalies", lambda s, d: D.signals(D.interactions(table(s, d, "events"))).select(*_COST), f"WITH {D.signals_sql()} SELECT {', '.join(_COST)} FROM scored")
+_STAKES = ["interaction_id", "consequence_score", "consequence_band", "action_criticality", "criticality_band", "criticality_codes"]
+add("f01_consequence_criticality", lambda s, d: D.signals(D.interactions(table(s, d, "events"))).select(*_STAKES), f"WITH {D.signals_sql()} SELECT {', '.join(_STAKES)} FROM scored")
+_FUSED = ["interaction_id", "performance_risk", "responsibility_risk", "cost_risk", "overall_risk", "confidence", "dominant_dimension", "multi_risk", "severity_floor"]
+add("f06_risk_fusion", lambda s, d: D.signals(D.interactions(table(s, d, "events"))).select(*_FUSED), f"WITH {D.signals_sql()} SELECT {', '.join(_FUSED)} FROM scored")
+_ROUTED = ["interaction_id", "disagreement", "deep_trigger_reasons", "verification_path"]
+add("v02_routing_gates", lambda s, d: D.signals(D.interactions(table(s, d, "events"))).select(*_ROUTED), f"WITH {D.signals_sql()} SELECT {', '.join(_ROUTED)} FROM scored")
+
+# --- monitoring -----------------------------------------------------------------------------------------------------
+
+_RATES = ", ".join(f"{rate(f'''decision = '{t}' ''')} AS rate_{t.lower()}" for t in C.TIERS)
+_COUNTS = ", ".join(f"{many(f'''decision = '{t}' ''')} AS n_{t.lower()}" for t in C.TIERS)
+DEEP, FAST = "verification_path = 'DEEP'", "verification_path = 'FAST'"
+on_decisions("a01_snapshot", M.snapshot, f"""SELECT count(*) AS total, {_COUNTS}, {_RATES}, {r4('avg(overall_risk)')} AS mean_risk, {r4('avg(latency_ms)')} AS mean_latency,
+    {r4('avg(decision_confidence)')} AS mean_confidence, {r4('avg(cost_risk)')} AS mean_cost_risk, {rate(f'decision_confidence < {C.LOW_CONFIDENCE}')} AS low_confidence_rate, {rate(FAST)} AS fast_rate,
+    {rate(DEEP)} AS deep_rate, {rate("consequence_band = 'high'")} AS high_consequence_rate, {rate("criticality_band = 'high'")} AS high_criticality_rate, {rate('multi_risk')} AS multi_risk_rate,
+    {nearest('overall_risk', .95)} AS p95_risk, {r4(nearest('latency_ms', .95))} AS p95_latency FROM decisions""")
+on_decisions("a02_nearest_rank_percentiles", M.percentiles, f"SELECT application, {nearest('overall_risk', .5)} AS p50, {nearest('overall_risk', .95)} AS p95 FROM decisions GROUP BY application")
+_BUCKETS = ", ".join(f"('{n}', {lo}e0, {hi}e0)" for n, lo, hi in C.BUCKETS)
+on_decisions("a04_risk_distribution", M.risk_distribution, f"""SELECT b.bucket, b.low, b.high, count(d.overall_risk) AS n, {r4('count(d.overall_risk) / (SELECT count(*) FROM decisions)')} AS share
+    FROM (VALUES {_BUCKETS}) b(bucket, low, high) LEFT JOIN decisions d ON d.overall_risk >= b.low AND d.overall_risk < b.high GROUP BY ALL""")
+_LONG = " UNION ALL ".join(f"SELECT '{x}' AS dimension, {x} AS risk, interaction_id FROM decisions" for x in ("performance_risk", "responsibility_risk", "cost_risk", "overall_risk"))
+on_decisions("a05_histograms", M.histograms, f"SELECT dimension, CAST(least(floor(risk * 5), 4) AS INT) AS band, count(*) AS n FROM ({_LONG}) WHERE risk >= 0 AND risk < 1.0001 GROUP BY ALL")
+on_decisions("a06_application_summary", M.application_summary, f"""SELECT application, count(*) AS total, {_RATES}, {r4('avg(overall_risk)')} AS mean_risk, {r4('avg(decision_confidence)')} AS mean_confidence,
+    {r4('avg(performance_risk)')} AS mean_performance, {r4('avg(responsibility_risk)')} AS mean_responsibility, {r4('avg(cost_risk)')} AS mean_cost, {rate(DEEP)} AS deep_rate,
+    {nearest('overall_risk', .95)} AS p95_risk, any_value(m.dominant_dimension) AS dominant_dimension FROM (SELECT * EXCLUDE (dominant_dimension) FROM decisions) d JOIN m USING (application) GROUP BY application""",
+    "c AS (SELECT application, dominant_dimension, count(*) AS n FROM decisions GROUP BY ALL), m AS (SELECT application, dominant_dimension FROM c QUALIFY row_number() OVER (PARTITION BY application ORDER BY n DESC, dominant_dimension) = 1)")
+
+
+def _segment_sql(key: str) -> str:
+    return f"""SELECT coalesce({key}, 'unknown') AS {key}, count(*) AS total, {r4('avg(overall_risk)')} AS mean_risk, {rate(DEEP)} AS deep_rate, {rate("decision = 'HUMAN_REVIEW'")} AS review_rate,
+        {rate("decision = 'BLOCK'")} AS block_rate, {r4('avg(latency_ms)')} AS mean_latency, {many(f'decision_confidence < {C.LOW_CONFIDENCE}')} AS low_confidence, {nearest('overall_risk', .95)} AS p95_risk FROM decisions GROUP BY 1"""
+
+
+on_decisions("a07_application_metrics", lambda d: M.segment_metrics(d, "application"), _segment_sql("application"))
+on_decisions("a08_model_metrics", lambda d: M.segment_metrics(d, "model"), _segment_sql("model"))
+on_decisions("a09_verification_by_application", M.verification_by_application, f"""SELECT application, {many(FAST)} AS fast, {many(DEEP)} AS deep, {r4(f'avg(latency_ms) FILTER (WHERE {FAST})')} AS fast_latency,
+    {r4(f'avg(latency_ms) FILTER (WHERE {DEEP})')} AS deep_latency FROM decisions GROUP BY application""")
+_DETECTORS = " UNION ALL ".join(f"SELECT '{n}' AS detector, {n}_risk AS risk, {w}e0 AS weight, dominant_dimension FROM decisions" for n, w in C.FUSION.items())
+on_decisions("a10_detectors", M.detectors, f"""SELECT detector, count(risk) AS coverage, {r4('avg(risk)')} AS mean_risk, {rate('risk >= 0.5')} AS high_rate, {r4('avg(risk * weight)')} AS mean_contribution,
+    {many('dominant_dimension = detector')} AS dominant FROM ({_DETECTORS}) GROUP BY detector""")
+on_decisions("a12_reason_codes", M.reason_codes, f"""SELECT code, count(*) AS n, {r4("least(1e0, count(*) / (SELECT count(*) FROM decisions WHERE decision <> 'ALLOW'))")} AS share
+    FROM {exploded('reason_codes', 'code')} GROUP BY code""")
+on_decisions("a14_rule_behaviour", M.rule_behaviour, f"""SELECT rule, coalesce(fired, 0) AS fired, {r4('coalesce(fired, 0) / (SELECT count(*) FROM decisions)')} AS fire_rate, coalesce(moved, 0) AS moved,
+    coalesce(to_review, 0) AS to_review, coalesce(to_block, 0) AS to_block FROM f FULL JOIN m USING (rule)""",
+    f"f AS (SELECT rule, count(*) AS fired FROM {exploded('triggered_rules', 'rule')} GROUP BY 1), m AS (SELECT rule, count(*) AS moved, {many('''decision = 'HUMAN_REVIEW' ''')} AS to_review, {many('''decision = 'BLOCK' ''')} AS to_block FROM {exploded('tier_changing_rules', 'rule')} GROUP BY 1)")
+on_decisions("a15_verification_summary", M.verification_summary, f"SELECT reason, count(*) AS n, {r4('count(*) / (SELECT count(*) FROM decisions)')} AS share FROM {exploded('deep_trigger_reasons', 'reason')} GROUP BY reason")
+on_decisions("a16_multi_turn", M.multi_turn, f"""SELECT count(*) AS sessions, {many('turns >= 2')} AS multi_turn, {rate('critical')} AS critical_share, max(turns) AS longest
+    FROM (SELECT session_id, count(*) AS turns, bool_or(decision = 'BLOCK') AS critical FROM decisions GROUP BY 1)""")
+_TREND = f"count(*) AS total, {r4('avg(overall_risk)')} AS mean_risk, {rate('''decision = 'BLOCK' ''')} AS block_rate, {rate('''decision = 'HUMAN_REVIEW' ''')} AS review_rate, {rate(DEEP)} AS deep_rate"
+for _unit in ("hour", "day"):
+    on_decisions(f"w07_trend_by_{_unit}", lambda d, u=_unit: M.trend(d, u), f"SELECT date_trunc('{_unit}', timestamp) AS bucket, {_TREND} FROM decisions GROUP BY 1")
+_FROM, _TO = "2024-01-02 00:00:00", "2024-01-05 12:00:00"
+on_decisions("p03_time_window", lambda d: M.windowed(d, _FROM, _TO), f"""SELECT {many('inside')} AS inside, {many('NOT inside')} AS outside, {r4('avg(overall_risk) FILTER (WHERE inside)')} AS mean_risk
+    FROM (SELECT *, timestamp BETWEEN TIMESTAMP '{_FROM}' AND TIMESTAMP '{_TO}' AS inside FROM decisions)""")
+_POSTURE = _LONG.replace("'overall_risk'", "'consequence_score'").replace("overall_risk AS risk", "consequence_score AS risk")
+on_decisions("a27_risk_posture", M.risk_posture, f"SELECT dimension, {r4('avg(risk)')} AS mean_risk, {many('risk >= 0.5')} AS high, max({r4('risk')}) AS max_risk FROM ({_POSTURE}) GROUP BY dimension")
+on_decisions("a28_application_posture", M.application_posture, f"""SELECT *, CASE WHEN mean_risk >= 0.5 THEN 'HIGH' WHEN mean_risk >= 0.25 THEN 'MODERATE' ELSE 'LOW' END AS posture FROM (
+    SELECT application, count(*) AS total, {r4('avg(overall_risk)')} AS mean_risk, {rate("decision IN ('HUMAN_REVIEW', 'BLOCK')")} AS oversight_rate FROM decisions GROUP BY 1)""")
+on_decisions("a29_heatmap", M.heatmap, f"SELECT application, dimension, {r4('avg(risk)')} AS mean_risk FROM (SELECT l.*, d.application FROM ({_LONG}) l JOIN decisions d USING (interaction_id)) GROUP BY ALL")
+on_decisions("a31_statistics", M.statistics, f"""SELECT count(*) AS total, {rate("decision IN ('HUMAN_REVIEW', 'BLOCK')")} AS oversight_rate, {r4('avg(overall_risk)')} AS mean_risk, max(overall_risk) AS max_risk,
+    {r4('avg(latency_ms)')} AS mean_latency, {r4('max(latency_ms)')} AS max_latency, {many(f'decision_confidence < {C.LOW_CONFIDENCE}')} AS low_confidence, {r4(nearest('overall_risk', .5))} AS p50_risk,
+    {r4(nearest('overall_risk', .95))} AS p95_risk, {r4(nearest('latency_ms', .5))} AS p50_latency, {r4(nearest('latency_ms', .95))} AS p95_latency FROM decisions""")
+on_decisions("a26_dashboard", M.dashboard, f"""SELECT count(*) AS total, {r4('sum(estimated_cost)', 2)} AS total_cost, {r4('avg(estimated_cost)')} AS mean_cost, {r4('avg(efficiency)')} AS mean_efficiency,
+    {many("perf_status = 'SUPPORTED'")} AS n_supported, {many("perf_status = 'UNVERIFIED'")} AS n_unverified, {many("perf_status = 'CONTRADICTED'")} AS n_contradicted FROM decisions""")
+_A = C.ATTENTION
+on_decisions("g04_attention_signals", M.attention_signals, f"""SELECT signal, {r4('value')} AS value, threshold, CASE WHEN NOT low AND value >= threshold * {_A['times']}e0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity
+    FROM s WHERE CASE WHEN low THEN value < threshold ELSE value > threshold END""",
+    f"""s AS (SELECT 'high_block_rate' AS signal, avg((decision = 'BLOCK')::INT) AS value, {_A['block']}e0 AS threshold, false AS low FROM decisions
+    UNION ALL SELECT 'high_human_review_rate', avg((decision = 'HUMAN_REVIEW')::INT), {_A['review']}e0, false FROM decisions UNION ALL SELECT 'high_deep_verification_rate', avg(({DEEP})::INT), {_A['deep']}e0, false FROM decisions
+    UNION ALL SELECT 'high_risk_concentration', avg((overall_risk >= 0.5)::INT), {_A['concentration']}e0, false FROM decisions UNION ALL SELECT 'low_mean_confidence', avg(decision_confidence), {_A['confidence']}e0, true FROM decisions)""")
+_METRICS = {"average_risk": "overall_risk", "intervention_rate": "(decision <> 'ALLOW')::INT", "review_rate": "(decision = 'HUMAN_REVIEW')::INT", "block_rate": "(decision = 'BLOCK')::INT",
+            "deep_rate": f"({DEEP})::INT", "mean_confidence": "decision_confidence", "cost_risk": "cost_risk"}
+
+
+def _compare_sql(first: str, flat: float) -> tuple[str, str]:
+    ctes = f"o AS (SELECT *, row_number() OVER (ORDER BY timestamp, interaction_id) - 1 AS i, count(*) OVER () AS n FROM decisions), p AS MATERIALIZED (SELECT *, {first} AS first FROM o), v AS (" + " UNION ALL ".join(
+        f"SELECT '{k}' AS metric, avg({v}) FILTER (WHERE first) AS b, avg({v}) FILTER (WHERE NOT first) AS r, {many('first')} AS n_first, {many('NOT first')} AS n_second FROM p" for k, v in _METRICS.items()) + ")"
+    sql = f"SELECT metric, {r4('b')} AS baseline, {r4('r')} AS recent, {r4('r - b')} AS delta, CASE WHEN abs(r - b) <= {flat} THEN 'flat' WHEN r > b THEN 'up' ELSE 'down' END AS direction, n_first, n_second FROM v"
+    return sql, ctes
+
+
+on_decisions("g01_half_trend", M.half_trend, *_compare_sql("i < n // 2", 0.05))
+on_decisions("g03_recent_shift", M.recent_shift, *_compare_sql("i < n - greatest(1, CAST(round_even(0.25 * n, 0) AS BIGINT))", 0.03))
+
+# --- incidents ------------------------------------------------------------------------------------------------------
+
+_LISTED = "coalesce(nullif(list_aggregate(list_sort(list_filter(string_split({0}, ','), lambda x: x <> '')), 'string_agg', ','), ''), '-')"
+_INCIDENTS = f"""incidents AS MATERIALIZED (SELECT *, 'INC-' || upper(substr(sha1(CAST(interaction_id AS VARCHAR)), 1, 10)) AS incident_id,
+    CASE WHEN decision = 'BLOCK' OR overall_risk >= {C.CRITICAL_RISK} OR list_contains(string_split(reason_codes, ','), 'CRITICAL_PII') THEN 'CRITICAL'
+         WHEN decision = 'HUMAN_REVIEW' OR (consequence_score >= {C.HIGH_CONSEQUENCE} AND overall_risk >= {C.ELEVATED_RISK}) OR (multi_risk AND overall_risk >= {C.ELEVATED_RISK}) THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+    concat_ws('|', 'app:' || application, 'dim:' || dominant_dimension, 'tier:' || decision, 'verify:' || verification_path, 'reasons:' || {_LISTED.format('reason_codes')}, 'rules:' || {_LISTED.format('tier_changing_rules')},
+        'cons:' || consequence_band, 'crit:' || criticality_band) AS signature
+    FROM (SELECT *, concat_ws(',', CASE WHEN decision = 'BLOCK' THEN 'BLOCK' END, CASE WHEN decision = 'HUMAN_REVIEW' THEN 'HUMAN_REVIEW' END, CASE WHEN multi_risk THEN 'MULTI_RISK' END,
+        CASE WHEN list_contains(string_split(reason_codes, ','), 'HIGH_CONSEQUENCE') AND overall_risk >= {C.ELEVATED_RISK} THEN 'HIGH_CONSEQUENCE_WITH_ELEVATED_RISK' END) AS triggers FROM decisions) WHERE triggers <> '')"""
+
+
+def on_incidents(name: str, report: Callable[[DataFrame], DataFrame], sql: str, more: str = "") -> None:
+    on_decisions(name, lambda d: report(I.incidents(d)), sql, _INCIDENTS + (", " + more if more else ""))
+
+
+_CLUSTERS = f"""clusters AS (SELECT signature, count(*) AS n, {r4('avg(overall_risk)')} AS mean_risk, max(overall_risk) AS max_risk, min(timestamp) AS first_seen, max(timestamp) AS last_seen, any_value(application) AS application,
+    any_value(decision) AS decision, {r4('avg(decision_confidence)')} AS mean_confidence, count(*) >= {I.REPEATED} AS recurring FROM incidents GROUP BY signature)"""
+_ID = ["incident_id", "interaction_id", "triggers", "severity", "signature"]
+on_incidents("i03_incidents", lambda f: f.select(*_ID), f"SELECT {', '.join(_ID)} FROM incidents")
+on_incidents("i05_clusters", I.clusters, "SELECT * FROM clusters", _CLUSTERS)
+on_incidents("w10_riskiest_of_cluster", I.riskiest, f"SELECT signature, rank, interaction_id, overall_risk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY signature ORDER BY overall_risk DESC, interaction_id) AS INT) AS rank FROM incidents) WHERE rank <= 3")
+on_incidents("w11_top_codes_of_cluster", I.top_codes, f"""SELECT signature, code, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY signature ORDER BY n DESC, code) AS INT) AS rank
+    FROM (SELECT signature, code, count(*) AS n FROM {exploded('reason_codes', 'code', 'incidents')} GROUP BY ALL)) WHERE rank <= 3""")
+on_incidents("a17_incident_digest", I.digest, f"""SELECT kind, name, count(*) AS n FROM (SELECT 'severity' AS kind, severity AS name FROM incidents UNION ALL SELECT 'application', application FROM incidents
+    UNION ALL SELECT 'trigger', t FROM {exploded('triggers', 't', 'incidents')}) GROUP BY ALL""")
+_GRADE = f"CASE WHEN n / {I.REPEATED} >= 1.6 THEN 'HIGH' WHEN n / {I.REPEATED} >= 1.25 THEN 'MEDIUM' ELSE 'LOW' END AS severity, {r4('least(1e0, 35e-2 + 4e-1 * least(1e0, n / 12) + 35e-2 * least(1e0, effect))', 3)} AS confidence"
+on_incidents("i07_cluster_patterns", I.cluster_patterns, f"""SELECT pattern, application, subject, n, {r4('effect')} AS effect, {_GRADE} FROM (
+    SELECT 'REPEATED_' || decision AS pattern, application, signature AS subject, n, 1e0 AS effect FROM clusters WHERE recurring AND decision IN ('BLOCK', 'VERIFY')
+    UNION ALL SELECT 'LOW_CONFIDENCE_CLUSTER', application, signature, n, 1 - mean_confidence FROM clusters WHERE recurring AND mean_confidence < {C.LOW_CONFIDENCE})""", _CLUSTERS)
+on_incidents("i11_dominance_patterns", I.dominance_patterns, f"""SELECT pattern, subject, n, {r4('n / total')} AS share FROM (SELECT *, sum(n) OVER (PARTITION BY pattern) AS total FROM (
+    SELECT 'RULE_DOMINANCE' AS pattern, rule AS subject, count(*) AS n FROM {exploded('tier_changing_rules', 'rule', 'incidents')} GROUP BY ALL
+    UNION ALL SELECT 'DETECTOR_DOMINANCE', dominant_dimension, count(*) FROM incidents GROUP BY ALL UNION ALL SELECT 'RISK_CONCENTRATION', application, count(*) FROM incidents GROUP BY ALL)) WHERE n / total >= {I.SHARE} AND total >= 5""")
+on_decisions("i10_deep_concentration", I.deep_concentration, f"SELECT application, count(*) AS n, {rate(DEEP)} AS share FROM decisions GROUP BY 1 HAVING avg(({DEEP})::INT) >= {I.DEEP_SHARE}")
+on_incidents("i14_cross_application", I.cross_application, r"SELECT regexp_replace(signature, '^app:[^|]*\|', '') AS subject, count(*) AS n, count(DISTINCT application) AS applications FROM incidents GROUP BY 1 HAVING count(DISTINCT application) >= 2")
+on_incidents("i17_attribution", I.attribution, f"""SELECT application, kind, name, n, {r4('n / total')} AS share FROM (SELECT application, kind, name, count(*) AS n FROM (
+    SELECT application, 'dimension' AS kind, dominant_dimension AS name FROM incidents UNION ALL SELECT application, 'decision', decision FROM incidents
+    UNION ALL SELECT application, 'code', x FROM {exploded('reason_codes', 'x', 'incidents')} UNION ALL SELECT application, 'rule', x FROM {exploded('tier_changing_rules', 'x', 'incidents')}) GROUP BY ALL)
+    JOIN (SELECT application, count(*) AS total FROM incidents GROUP BY 1) USING (application)""")
+_RULES5 = f"top AS (SELECT rule, count(*) AS n FROM {exploded('tier_changing_rules', 'rule')} WHERE rule <> 'RISK_BAND' GROUP BY 1 ORDER BY n DESC, rule LIMIT 5)"
+_DRIFT = [("'global'", "average_risk", "overall_risk"), ("'global'", "intervention_rate", "(decision <> 'ALLOW')::INT"), ("'global'", "deep_rate", f"({DEEP})::INT"), *((f"'detector:{x}'", "mean_risk", f"{x}_risk") for x in I.DIMENSIONS), ("'application:' || application", "average_risk", "overall_risk")]
+on_decisions("i19_drift", I.drift, f"""SELECT scope, metric, {r4('b')} AS baseline, {r4('r')} AS recent, {r4('r - b')} AS delta, CASE WHEN abs(r - b) <= {I.DRIFT_BAND} THEN 'STABLE' WHEN r > b THEN 'INCREASING' ELSE 'DECREASING' END AS direction,
+    CASE WHEN abs(r - b) <= {I.DRIFT_BAND} THEN 'STABLE' WHEN abs(r - b) >= {I.DRIFT_AT} AND sufficient THEN 'POTENTIAL_DRIFT' ELSE 'TREND' END AS signal, sufficient FROM w WHERE b IS NOT NULL AND r IS NOT NULL""",
+    f"""{_RULES5}, o AS (SELECT *, row_number() OVER (ORDER BY timestamp, interaction_id) - 1 < count(*) OVER () // 2 AS first FROM decisions),
+    v AS ({' UNION ALL '.join(f"SELECT {s} AS scope, '{m}' AS metric, {x} AS value, first FROM o" for s, m, x in _DRIFT)}
+    UNION ALL SELECT 'policy_rule:' || rule, 'fire_rate', list_contains(string_split(tier_changing_rules, ','), rule)::INT, first FROM o, top),
+    w AS (SELECT scope, metric, avg(value) FILTER (WHERE first) AS b, avg(value) FILTER (WHERE NOT first) AS r, {many('first')} >= {I.DRIFT_SAMPLES} AND {many('NOT first')} >= {I.DRIFT_SAMPLES} AS sufficient FROM v GROUP BY ALL)""")
+
+# --- governance -----------------------------------------------------------------------------------------------------
+
+_ACTIONS = f"""actions AS (SELECT o_orderkey AS action_id, o_orderkey % (SELECT count(*) FROM events) AS interaction_id, o_orderdate AS timestamp,
+    CASE o_orderstatus WHEN 'F' THEN 'APPROVE_DECISION' WHEN 'O' THEN 'MODIFY_DECISION' ELSE 'REJECT_DECISION' END AS action,
+    CASE WHEN o_orderstatus = 'O' THEN CASE substr(o_orderpriority, 1, 1) {' '.join(f"WHEN '{i + 1}' THEN '{t}'" for i, t in enumerate(C.TIERS))} END END AS reviewer_decision FROM orders)"""
+_FEEDBACK = """feedback AS (SELECT l_orderkey * 8 + l_linenumber AS feedback_id, l_orderkey % (SELECT count(*) FROM events) AS interaction_id,
+    CASE l_returnflag WHEN 'A' THEN 'approved' WHEN 'N' THEN 'modified' ELSE 'rejected' END AS outcome FROM lineitem)"""
+
+
+def on_reviews(name: str, report: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], sql: str, more: str = "") -> None:
+    """A report over decisions, reviewer actions and feedback."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        n = table(spark, sf_dir, "events").count()
+        return report(decided(spark, sf_dir), G.actions(table(spark, sf_dir, "orders"), n), G.feedback(table(spark, sf_dir, "lineitem"), n))
+
+    add(name, run, f"WITH {D.decisions_sql()}, {_ACTIONS}, {_FEEDBACK}{', ' + more if more else ''} {sql}")
+
+
+_STATUS = "CASE action " + " ".join(f"WHEN '{a}' THEN '{s}'" for a, s in G.STATUS.items()) + " END"
+_LEGAL = " OR ".join(f"(previous = '{s}' AND action IN ({', '.join(repr(v) for v in verbs)}))" for s, verbs in G.ALLOWED.items() if verbs)
+on_reviews("w04_effective_decision", lambda d, a, f: G.effective(d, a), "SELECT interaction_id, application, decision, coalesce(m, decision) AS effective, coalesce(m <> decision, false) AS overridden FROM decisions LEFT JOIN x USING (interaction_id)",
+    "x AS (SELECT interaction_id, arg_max(reviewer_decision, action_id) AS m FROM actions WHERE action = 'MODIFY_DECISION' AND reviewer_decision IS NOT NULL GROUP BY 1)")
+on_reviews("a22_human_governance", lambda d, a, f: G.human_governance(d, a), "SELECT coalesce(status, 'OPEN') AS status, count(*) AS n FROM decisions LEFT JOIN x USING (interaction_id) GROUP BY 1",
+    f"x AS (SELECT interaction_id, arg_max({_STATUS}, action_id) AS status FROM actions GROUP BY 1)")
+on_reviews("w06_transition_check", lambda d, a, f: G.transition_check(a), f"""SELECT previous, action, count(*) AS n, {many(f"NOT (({_LEGAL}) AND NOT (action = 'MODIFY_DECISION' AND reviewer_decision IS NULL))")} AS violations FROM x GROUP BY ALL""",
+    f"x AS (SELECT *, coalesce(lag({_STATUS}) OVER (PARTITION BY interaction_id ORDER BY action_id), 'OPEN') AS previous FROM actions)")
+on_reviews("a23_reviewer_disagreement", lambda d, a, f: G.reviewer_disagreement(d, a), """SELECT concat_ws(' -> ', decision, reviewer_decision) AS transition, count(*) AS n FROM actions JOIN decisions USING (interaction_id)
+    WHERE action = 'MODIFY_DECISION' AND reviewer_decision <> decision GROUP BY 1""")
+on_reviews("a24_application_comparison", lambda d, a, f: G.application_comparison(d, a), f"""SELECT b.*, coalesce(actions, 0) AS actions, override_rate FROM (SELECT application, count(*) AS total, {r4('avg(overall_risk)')} AS mean_risk,
+    {r4('avg(decision_confidence)')} AS mean_confidence, {rate("decision <> 'ALLOW'")} AS intervention_rate, {rate("decision = 'HUMAN_REVIEW'")} AS review_rate, {rate("decision = 'BLOCK'")} AS block_rate, {rate(DEEP)} AS deep_rate,
+    {rate('multi_risk')} AS multi_risk_rate FROM decisions GROUP BY 1) b LEFT JOIN (SELECT application, count(*) AS actions, {rate("action = 'MODIFY_DECISION' AND reviewer_decision <> decision")} AS override_rate
+    FROM actions JOIN decisions USING (interaction_id) GROUP BY 1) o USING (application)""")
+_SIGNALS = """signals AS (SELECT s.*, coalesce(d.application, 'unknown') AS application, d.decision FROM (SELECT interaction_id, CASE action WHEN 'APPROVE_DECISION' THEN 'approval' WHEN 'MODIFY_DECISION' THEN 'modification' ELSE 'rejection' END AS kind FROM actions
+    UNION ALL SELECT interaction_id, CASE outcome WHEN 'approved' THEN 'approval' WHEN 'modified' THEN 'modification' ELSE 'rejection' END FROM feedback) s LEFT JOIN decisions d USING (interaction_id))"""
+on_reviews("a25_signal_summary", lambda d, a, f: G.signal_summary(G.signals(d, a, f)), " UNION ALL ".join(
+    f"SELECT '{k}' AS scope, {n} AS name, count(*) AS n, {rate('''kind = 'modification' ''')} AS modification_rate, {rate('''kind = 'rejection' ''')} AS rejection_rate FROM signals GROUP BY ALL"
+    for k, n in (("application", "application"), ("decision", "coalesce(decision, '-')"), ("kind", "kind"), ("all", "'-'"))), _SIGNALS)
+on_reviews("a19_feedback_summary", lambda d, a, f: G.feedback_aggregate(f, d), f"""SELECT count(*) AS n, {many("outcome = 'approved'")} AS n_approved, {many("outcome = 'modified'")} AS n_modified, {many("outcome = 'rejected'")} AS n_rejected,
+    {rate("outcome = 'approved'")} AS approval_rate, {rate("outcome <> 'approved'")} AS override_rate, count(DISTINCT interaction_id) AS interactions FROM feedback WHERE interaction_id IN (SELECT interaction_id FROM decisions)""")
+_RANK = "list_position([" + ", ".join(f"'{t}'" for t in C.TIERS) + "], {0})"
+on_reviews("a18_reviewer_confusion", lambda d, a, f: G.reviewer_confusion(d, a), f"""SELECT decision, reviewer_decision, CASE WHEN {_RANK.format('reviewer_decision')} > {_RANK.format('decision')} THEN 'escalation'
+    WHEN {_RANK.format('reviewer_decision')} < {_RANK.format('decision')} THEN 'de-escalation' ELSE 'same' END AS move, count(*) AS n FROM actions JOIN decisions USING (interaction_id) WHERE reviewer_decision IS NOT NULL GROUP BY ALL""")
+on_reviews("i18_override_patterns", lambda d, a, f: I.override_patterns(I.incidents(d), a.filter("reviewer_decision is not null")), f"""SELECT application, decision AS original, reviewer_decision, count(*) AS n,
+    {r4('count(*) / any_value(total)')} AS rate FROM incidents JOIN actions USING (interaction_id) JOIN (SELECT application, count(*) AS total FROM incidents GROUP BY 1) USING (application)
+    WHERE reviewer_decision <> decision GROUP BY ALL HAVING count(*) >= 3""", _INCIDENTS)
+on_reviews("j01_incident_reviews", lambda d, a, f: I.with_reviews(I.incidents(d), a, f).select("interaction_id", "incident_id", "reviewer_signal", "feedback_outcome"), """SELECT interaction_id, incident_id, reviewer_signal, feedback_outcome
+    FROM incidents LEFT JOIN (SELECT interaction_id, arg_max(s, action_id) AS reviewer_signal FROM (SELECT *, CASE action WHEN 'MODIFY_DECISION' THEN reviewer_decision ELSE action END AS s FROM actions) WHERE s IS NOT NULL GROUP BY 1) USING (interaction_id)
+    LEFT JOIN (SELECT interaction_id, outcome AS feedback_outcome FROM feedback QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY feedback_id, outcome) = 1) USING (interaction_id)""", _INCIDENTS)
+_LIMITS = {"override_rate": 0.20, "review_rate": 0.25, "deep_rate": 0.80, "block_rate": 0.20}
+_INSIGHTS = f"""rates AS (SELECT application, count(*) AS total, {rate("decision = 'HUMAN_REVIEW'")} AS review_rate, {rate("decision = 'BLOCK'")} AS block_rate, {rate(DEEP)} AS deep_rate FROM decisions GROUP BY 1),
+    over AS (SELECT application, {rate("action = 'MODIFY_DECISION' AND reviewer_decision <> decision")} AS override_rate FROM actions JOIN decisions USING (interaction_id) GROUP BY 1),
+    insights AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT application, '{k}' AS insight, {k} AS value, {v} AS threshold, total FROM rates LEFT JOIN over USING (application)" for k, v in _LIMITS.items())}) WHERE value > threshold AND total >= 10),
+    three AS (SELECT application, string_agg(interaction_id, ',' ORDER BY r) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY application ORDER BY overall_risk DESC, interaction_id) AS r FROM decisions) WHERE r <= 3 GROUP BY 1)"""
+on_reviews("g05_insights", lambda d, a, f: G.insights(d, a), "SELECT application, insight, value, CAST(threshold AS DOUBLE) AS threshold, examples FROM insights JOIN three USING (application)", _INSIGHTS)
+on_reviews("g06_recommendations", lambda d, a, f: G.recommendations(G.insights(d, a)), f"""SELECT CASE insight WHEN 'override_rate' THEN 'REVIEW_POLICY_THRESHOLDS' WHEN 'review_rate' THEN 'ADD_REVIEW_CAPACITY' WHEN 'deep_rate' THEN 'TUNE_ROUTING'
+    ELSE 'AUDIT_BLOCKING_RULES' END AS recommendation, count(*) AS applications, {r4('max(value)')} AS worst FROM insights GROUP BY 1
+    UNION ALL SELECT 'NO_ACTION', 0, NULL WHERE (SELECT count(*) FROM insights) = 0""", _INSIGHTS)
+
+# --- evaluation and calibration -------------------------------------------------------------------------------------
+
+_WORST = "greatest(performance_risk, responsibility_risk, cost_risk)"
+_LABEL = f"(6e-1 * {_WORST} + 4e-1 * consequence_score)"
+_LABELLED = f"""SELECT *, {r4(_LABEL)} AS label_risk, {_WORST} >= {C.EVALUATION['risk']} AS truly_risky,
+    CASE WHEN {_LABEL} < 3e-1 THEN 'ALLOW' WHEN {_LABEL} < 45e-2 THEN 'ANNOTATE' WHEN {_LABEL} < 6e-1 THEN 'VERIFY' WHEN {_LABEL} < 75e-2 THEN 'HUMAN_REVIEW' ELSE 'BLOCK' END AS expected FROM """
+
+
+def _binary_sql(source: str, truth: str, said: str, *keys: str) -> str:
+    head = "".join(f"{k}, " for k in keys)
+    safe = lambda a, b: r4(f"coalesce(({a}) / nullif({b}, 0), 0)")
+    return f"""SELECT {head}tp, fp, fn, tn, {safe('tp', 'tp + fp')} AS precision, {safe('tp', 'tp + fn')} AS recall, {safe('2 * tp', '2 * tp + fp + fn')} AS f1, {safe('fp', 'fp + tn')} AS fpr, {safe('fn', 'fn + tp')} AS fnr,
+        {safe('tp + tn', 'tp + tn + fp + fn')} AS accuracy FROM (SELECT {head}{many(f'{truth} AND {said}')} AS tp, {many(f'NOT {truth} AND {said}')} AS fp, {many(f'{truth} AND NOT {said}')} AS fn, {many(f'NOT {truth} AND NOT {said}')} AS tn FROM {source} {'GROUP BY ALL' if keys else ''})"""
+
+
+on_decisions("e08_label_derivation", lambda d: E.with_labels(d).select("interaction_id", "label_risk", "truly_risky", "expected"), "SELECT interaction_id, label_risk, truly_risky, expected FROM l", f"l AS ({_LABELLED} decisions)")
+on_decisions("e01_binary_metrics", lambda d: E.binary(E.with_labels(d), F.col("truly_risky"), F.col("decision") != "ALLOW", "application"), _binary_sql("l", "truly_risky", "(decision <> 'ALLOW')", "application"), f"l AS ({_LABELLED} decisions)")
+_CELLS = ", ".join(f"('{a}', '{b}')" for a in C.TIERS for b in C.TIERS)
+on_decisions("e02_confusion", lambda d: E.confusion(E.with_labels(d), "expected", "decision", C.TIERS), f"SELECT g.truth, g.said, count(l.decision) AS n FROM (VALUES {_CELLS}) g(truth, said) LEFT JOIN l ON l.expected = g.truth AND l.decision = g.said GROUP BY ALL", f"l AS ({_LABELLED} decisions)")
+_GRID = ", ".join(f"({t}e0)" for t in E.THRESHOLDS)
+_SWEEP = f"l AS ({_LABELLED} decisions), s AS (SELECT l.*, t.threshold FROM l, (VALUES {_GRID}) t(threshold)), e AS ({_binary_sql('s', 'truly_risky', '(overall_risk >= threshold)', 'threshold')})"
+on_decisions("e03_threshold_sweep", lambda d: E.threshold_sweep(E.with_labels(d), F.col("truly_risky"), "overall_risk"), "SELECT * FROM e", _SWEEP)
+on_decisions("e04_best_threshold", lambda d: E.best_threshold(E.threshold_sweep(E.with_labels(d), F.col("truly_risky"), "overall_risk")), "SELECT * FROM e ORDER BY f1 DESC, threshold LIMIT 1", _SWEEP)
+on_decisions("e05_evaluation_report", lambda d: E.report(E.with_labels(d)), f"""SELECT * FROM ({_binary_sql('l', 'truly_risky', "(decision <> 'ALLOW')")}), (SELECT {rate("decision IN ('VERIFY', 'HUMAN_REVIEW')")} AS abstention_rate,
+    {rate("decision NOT IN ('VERIFY', 'HUMAN_REVIEW')")} AS coverage_rate, {rate('decision = expected')} AS exact_match FROM l)""", f"l AS ({_LABELLED} decisions)")
+on_decisions("e06_quadrants", lambda d: E.quadrants(E.with_labels(d)), f"""SELECT CASE WHEN overall_risk >= {C.EVALUATION['risk']} THEN 'high' ELSE 'low' END AS risk, CASE WHEN decision_confidence >= {C.EVALUATION['confidence']} THEN 'high' ELSE 'low' END AS confidence,
+    count(*) AS n, {many('truly_risky')} AS truly_risky FROM l GROUP BY 1, 2""", f"l AS ({_LABELLED} decisions)")
+
+
+def on_signals(name: str, report: Callable[[DataFrame], DataFrame], sql: str, more: str) -> None:
+    """A report that applies policies to the signals table itself."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(staged(D.signals(D.interactions(table(spark, sf_dir, "events"))), "signals", sf_dir))
+
+    add(name, run, f"WITH {D.signals_sql()}, {more} {sql}")
+
+
+_MODES = {"performance_only": "performance_risk >= 0.5", "responsibility_only": "responsibility_risk >= 0.5", "cost_only": "cost_risk >= 0.5", "fused": "overall_risk >= 0.5",
+          "fused_consequence": "overall_risk >= 0.5 AND consequence_score >= 0.4", "no_confidence": "no_confidence", "full": "decision <> 'ALLOW'"}
+on_signals("e07_ablation", E.ablation, _binary_sql("m", "truly_risky", "said", "mode"), f"""f AS ({_LABELLED} ({D.decide_sql()})), u AS (SELECT interaction_id, decision <> 'ALLOW' AS no_confidence FROM ({D.decide_sql(confidence_aware=False)})),
+    j AS (SELECT * FROM f JOIN u USING (interaction_id)), m AS ({' UNION ALL '.join(f"SELECT '{k}' AS mode, {v} AS said, truly_risky FROM j" for k, v in _MODES.items())})""")
+_CAND = ", ".join(f"({i}, {r}e0, {c}e0)" for i, (r, c) in enumerate((r, c) for r in (0.35, 0.60, 0.85) for c in (0.30, 0.60, 0.90)))
+_TOUCH = "deep AND decision <> 'ALLOW'"
+_K3 = f"""f AS ({_LABELLED} ({D.decide_sql()})), x AS (SELECT f.*, c.*, overall_risk >= risk_at OR (confidence < confidence_at AND overall_risk >= {C.DEEP['floor']}) OR consequence_score >= {C.DEEP['consequence']} OR action_criticality >= {C.DEEP['criticality']} AS deep
+    FROM f, (VALUES {_CAND}) c(candidate, risk_at, confidence_at)), k AS (SELECT candidate, risk_at, confidence_at, {rate('deep')} AS deep_rate, {r4(f"{many(_TOUCH + ' AND truly_risky')} / {many('truly_risky')}")} AS recall,
+    {r4(f"{many(_TOUCH + ' AND truly_risky')} / {many(_TOUCH)}")} AS precision, {r4(f"{many(_TOUCH + ' AND NOT truly_risky')} / {many('NOT truly_risky')}")} AS fpr, {rate("deep AND decision IN ('HUMAN_REVIEW', 'BLOCK')")} AS review_rate FROM x GROUP BY ALL),
+    kv AS (SELECT *, concat_ws(',', CASE WHEN recall < 0.9 THEN 'recall' END, CASE WHEN fpr > 0.6 THEN 'fpr' END, CASE WHEN review_rate > 0.7 THEN 'review_rate' END) AS violations FROM k)"""
+on_signals("k03_candidate_sweep", E.sweep, "SELECT * FROM k", _K3)
+on_signals("k05_violations", lambda s: E.violations(E.sweep(s)), "SELECT * FROM kv", _K3)
+on_signals("k06_selection", lambda s: E.select_candidate(E.sweep(s)), "SELECT * FROM kv ORDER BY violations <> '', CASE WHEN violations <> '' THEN -recall END, deep_rate, recall DESC, precision DESC, candidate LIMIT 1", _K3)
+on_signals("k08_comparison", lambda s: E.comparison(E.sweep(s)), "SELECT k.candidate, " + ", ".join(f"{r4(f'k.{c} - b.{c}')} AS delta_{c}" for c in ("deep_rate", "recall", "precision")) + " FROM k, k b WHERE b.candidate = 0", _K3)
+_P = {p: f'"{p}"' for p in C.PROFILES}
+on_signals("k10_policy_simulation", E.simulate_policies, f"SELECT interaction_id, {', '.join(f'CAST({q} AS INT) AS {q}' for q in _P.values())}, greatest({', '.join(_P.values())}) <> least({', '.join(_P.values())}) AS differs FROM w",
+    f"""t AS ({' UNION ALL '.join(f"SELECT interaction_id, '{p}' AS as_profile, t10 FROM ({D.decide_sql(profile=repr(p))})" for p in C.PROFILES)}),
+    w AS (SELECT interaction_id, {', '.join(f"max(t10) FILTER (WHERE as_profile = '{p}') AS {q}" for p, q in _P.items())} FROM t GROUP BY 1)""")
