@@ -63,7 +63,7 @@ def draws(sources: DataFrame, shards: int, slots: int = SHARD, seed: int = SEED)
     cells = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") * CELLS), F.least(F.lit(CELLS - 1).cast("long"), F.floor(F.col("below") * CELLS)))))
     slot = sources.sparkSession.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     drawn = slot.withColumn("u", _uniform(F.lit(seed), "shard", "slot")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    hit = drawn.join(cells.select("s", "from", "below", "cell"), "cell").filter((F.col("u") >= F.col("from")) & (F.col("u") < F.col("below")))
+    hit = drawn.join(cells.select("s", "from", "below", "cell").hint("merge"), "cell").filter((F.col("u") >= F.col("from")) & (F.col("u") < F.col("below")))
     return hit.groupBy("shard", "s").agg(F.count(F.lit(1)).alias("n"))
 
 
