@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import config as C
+from vigil.functions import lexicons as L
 from vigil.operators import evaluation as E
 from vigil.operators import governance as G
+from vigil.operators import grounding as G2
 from vigil.operators import incidents as I
 from vigil.operators import monitoring as M
+from vigil.operators import replay as P
+from vigil.operators import responsibility as R
+from vigil.operators import routing as V
 from vigil.plans import decide as D
-from vigil.sources.tables import staged
+from vigil.sources import tables as W
+from vigil.sources.tables import shared_dir, staged
+from vigil.streaming import session as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -309,7 +317,174 @@ on_signals("k03_candidate_sweep", E.sweep, "SELECT * FROM k", _K3)
 on_signals("k05_violations", lambda s: E.violations(E.sweep(s)), "SELECT * FROM kv", _K3)
 on_signals("k06_selection", lambda s: E.select_candidate(E.sweep(s)), "SELECT * FROM kv ORDER BY violations <> '', CASE WHEN violations <> '' THEN -recall END, deep_rate, recall DESC, precision DESC, candidate LIMIT 1", _K3)
 on_signals("k08_comparison", lambda s: E.comparison(E.sweep(s)), "SELECT k.candidate, " + ", ".join(f"{r4(f'k.{c} - b.{c}')} AS delta_{c}" for c in ("deep_rate", "recall", "precision")) + " FROM k, k b WHERE b.candidate = 0", _K3)
-_P = {p: f'"{p}"' for p in C.PROFILES}
-on_signals("k10_policy_simulation", E.simulate_policies, f"SELECT interaction_id, {', '.join(f'CAST({q} AS INT) AS {q}' for q in _P.values())}, greatest({', '.join(_P.values())}) <> least({', '.join(_P.values())}) AS differs FROM w",
+_QUOTED = {p: f'"{p}"' for p in C.PROFILES}
+on_signals("k10_policy_simulation", E.simulate_policies, f"SELECT interaction_id, {', '.join(f'CAST({q} AS INT) AS {q}' for q in _QUOTED.values())}, greatest({', '.join(_QUOTED.values())}) <> least({', '.join(_QUOTED.values())}) AS differs FROM w",
     f"""t AS ({' UNION ALL '.join(f"SELECT interaction_id, '{p}' AS as_profile, t10 FROM ({D.decide_sql(profile=repr(p))})" for p in C.PROFILES)}),
-    w AS (SELECT interaction_id, {', '.join(f"max(t10) FILTER (WHERE as_profile = '{p}') AS {q}" for p, q in _P.items())} FROM t GROUP BY 1)""")
+    w AS (SELECT interaction_id, {', '.join(f"max(t10) FILTER (WHERE as_profile = '{p}') AS {q}" for p, q in _QUOTED.items())} FROM t GROUP BY 1)""")
+
+# --- text detectors -------------------------------------------------------------------------------------------------
+
+
+def _pattern(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+def _hits(text: str, pattern: str) -> str:
+    return f"coalesce(len(regexp_extract_all({text}, {_pattern(pattern)})), 0)"
+
+
+_TOX = {f"n_{k}": " + ".join(_hits("text", R.phrase(p)) for p in ps) for k, ps in L.TOXIC.items()}
+_TOX_SQL = ", ".join(f"CAST({v} AS INT) AS {k}" for k, v in _TOX.items())
+_TOX_TOP = "greatest(" + ", ".join(f"CASE WHEN n_{k} > 0 THEN {w}e0 ELSE 0e0 END" for k, w in L.TOXIC_WEIGHT.items()) + ")"
+_TOX_N = "(" + " + ".join(f"n_{k}" for k in L.TOXIC) + ")"
+
+
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumns(R.toxicity(F.col("text")))
+    risk, confidence = R.toxicity_risk({k: F.col(f"n_{k}") for k in L.TOXIC})
+    return rows.select("doc_id", *(f"n_{k}" for k in L.TOXIC), risk.alias("toxicity_risk"), confidence.alias("toxicity_confidence"))
+
+
+add("r07_toxicity_phrases", _toxicity, f"""SELECT doc_id, {', '.join(_TOX)}, {r4(f"CASE WHEN {_TOX_N} > 0 THEN least(1e0, {_TOX_TOP} + least(15e-2, 5e-2 * ({_TOX_N} - 1))) ELSE 0e0 END")} AS toxicity_risk,
+    {r4(f"CASE WHEN {_TOX_N} > 0 THEN least(8e-1, 55e-2 + 8e-2 * {_TOX_N}) ELSE 6e-1 END")} AS toxicity_confidence FROM (SELECT doc_id, {_TOX_SQL} FROM documents)""")
+_BIAS_N: dict[str, str] = {}
+for _p, _k in L.BIAS:
+    _n = f"CASE WHEN grouped THEN {_hits('text', '(?i)' + _p)} ELSE 0 END" if _k in L.NEED_GROUP else _hits("text", "(?i)" + _p)
+    _BIAS_N[_k] = f"{_BIAS_N[_k]} + {_n}" if _k in _BIAS_N else _n
+_GROUP = "(?i)\\b(?:" + "|".join(L.GROUPS) + ")\\b"
+
+
+def _bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumns(R.bias(F.col("text")))
+    risk, confidence = R.bias_risk({k: F.col(f"b_{k}") for k in L.BIAS_WEIGHT})
+    return rows.select("doc_id", *(f"b_{k}" for k in L.BIAS_WEIGHT), risk.alias("bias_risk"), confidence.alias("bias_confidence"))
+
+
+_BK = "(" + " + ".join(f"b_{k}" for k in L.BIAS_WEIGHT) + ")"
+_BKINDS = "(" + " + ".join(f"CASE WHEN b_{k} > 0 THEN 1 ELSE 0 END" for k in L.BIAS_WEIGHT) + ")"
+_BTOP = "greatest(" + ", ".join(f"CASE WHEN b_{k} > 0 THEN {w}e0 ELSE 0e0 END" for k, w in L.BIAS_WEIGHT.items()) + ")"
+add("r09_bias_signals", _bias, f"""SELECT doc_id, {', '.join(f'b_{k}' for k in L.BIAS_WEIGHT)}, {r4(f"CASE WHEN {_BK} > 0 THEN least(8e-1, {_BTOP} + 5e-2 * ({_BKINDS} - 1)) ELSE 0e0 END")} AS bias_risk,
+    {r4(f"CASE WHEN {_BK} > 0 THEN least(65e-2, 45e-2 + 6e-2 * {_BK}) ELSE 6e-1 END")} AS bias_confidence
+    FROM (SELECT doc_id, {', '.join(f'CAST({v} AS INT) AS b_{k}' for k, v in _BIAS_N.items())} FROM (SELECT *, coalesce(regexp_matches(text, {_pattern(_GROUP)}), false) AS grouped FROM documents))""")
+add("r01_pii_findings", lambda s, d: table(s, d, "documents").select("doc_id", F.inline(R.findings(F.coalesce("text", F.lit(""))))).drop("matched"))
+add("r11_responsibility", lambda s, d: R.assess(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "pii_risk", "critical_pii", "toxicity_risk", "bias_risk", "responsibility_risk", "responsibility_codes"))
+add("r04_redacted_text", lambda s, d: table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("f", R.findings(F.col("t"))).select("doc_id", F.size("f").alias("findings"), F.sha2(R.redact(F.col("t"), F.col("f")), 256).alias("redacted_sha256")))
+
+_SENT = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '[\n\r]+'), lambda x: trim(x)), lambda x: x <> '')"
+add("t01_sentences", lambda s, d: table(s, d, "documents").select("doc_id", F.size(G2.sentences(F.col("text"))).alias("sentences"), F.sha2(F.array_join(G2.sentences(F.col("text")), "\n"), 256).alias("digest")),
+    f"SELECT doc_id, CAST(len({_SENT}) AS INT) AS sentences, sha256(array_to_string({_SENT}, chr(10))) AS digest FROM documents")
+add("t02_claims", lambda s, d: table(s, d, "documents").select("doc_id", F.size(G2.claims(F.col("text"))).alias("claims")),
+    rf"SELECT doc_id, CAST(len(list_filter({_SENT}, lambda x: len(regexp_split_to_array(x, '\s+')) >= 2)) AS INT) AS claims FROM documents")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G2.turns(table(spark, sf_dir, "conversations"))
+
+
+_TURNS = """turns AS MATERIALIZED (SELECT conv_id, turn, coalesce(prompt, '') AS prompt, context, text AS response FROM (SELECT *, lag(text) OVER w AS prompt,
+    array_to_string(list(text) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), chr(10)) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant')"""
+add("p07_turn_pairs", lambda s, d: _turns(s, d).select("conv_id", "turn", F.length("prompt").cast("long").alias("prompt_chars"), F.length("response").cast("long").alias("response_chars")),
+    f"WITH {_TURNS} SELECT conv_id, turn, length(prompt) AS prompt_chars, length(response) AS response_chars FROM turns")
+_SET = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+_TOK = "regexp_extract_all(lower({0}), '([a-z0-9]+(?:''[a-z]+)?)', 1)"
+_CONTENT = f"list_distinct(list_filter({{0}}, lambda x: NOT list_contains({_SET([*L.STOPWORDS, *L.MODALS, *L.NEGATIONS])}, x) AND NOT regexp_full_match(x, '[0-9]+')))"
+_NLI = f"""n AS (SELECT *, {_TOK.format('prompt')} AS p, {_TOK.format('response')} AS h FROM turns), c AS (SELECT *, {_CONTENT.format('h')} AS asked, {_CONTENT.format('p')} AS had, list_has_any(p, {_SET(L.NEGATIONS)}) <> list_has_any(h, {_SET(L.NEGATIONS)}) AS negation,
+    list_filter(p, lambda x: regexp_full_match(x, '[0-9]{{1,3}}')) AS pn, list_filter(h, lambda x: regexp_full_match(x, '[0-9]{{1,3}}')) AS hn FROM n),
+    v AS (SELECT *, CASE WHEN len(asked) = 0 THEN 0e0 ELSE len(list_intersect(had, asked)) / len(asked) END AS cover, len(pn) > 0 AND len(hn) > 0 AND NOT list_has_any(pn, hn) AS numeric FROM c)"""
+
+
+def _nli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", G2.tokens(F.col("prompt")).alias("p"), G2.tokens(F.col("response")).alias("h"))
+    label, confidence = G2.coverage_nli("p", "h")
+    return rows.select("conv_id", "turn", label.alias("label"), confidence.alias("confidence"))
+
+
+add("t07_coverage_nli", _nli, f"""WITH {_TURNS}, {_NLI} SELECT conv_id, turn, CASE WHEN len(asked) = 0 THEN 'NEUTRAL' WHEN cover >= 3e-1 AND (negation OR numeric) THEN 'CONTRADICTION' WHEN cover >= 48e-2 THEN 'ENTAILMENT' ELSE 'NEUTRAL' END AS label,
+    {r4("CASE WHEN len(asked) = 0 THEN 5e-1 WHEN cover >= 3e-1 AND negation THEN least(97e-2, 72e-2 + 25e-2 * cover) WHEN cover >= 3e-1 AND numeric THEN least(95e-2, 72e-2 + 2e-1 * cover) WHEN cover >= 48e-2 THEN least(95e-2, 55e-2 + 4e-1 * cover) ELSE least(6e-1, 4e-1 + 35e-2 * cover) END")} AS confidence FROM v""")
+
+
+def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", G2.tokens(F.col("prompt")).alias("p"), G2.tokens(F.col("response")).alias("h"))
+    label, confidence = G2.jaccard_nli("p", "h")
+    return rows.select("conv_id", "turn", label.alias("label"), confidence.alias("confidence"))
+
+
+add("t08_jaccard_nli", _jaccard)
+add("t13_text_criticality", lambda s, d: table(s, d, "documents").select("doc_id", F.round(G2.text_criticality(F.coalesce("text", F.lit(""))), 4).alias("criticality")))
+_KEY = ["conv_id", "turn"]
+add("t18_claims_deep", lambda s, d: G2.claim_results(_turns(s, d), _KEY, "response", "context").drop("claim"))
+add("t18_grounding_deep", lambda s, d: G2.responses(_turns(s, d), _KEY, "response", "context"))
+add("t18_grounding_shallow", lambda s, d: G2.responses(_turns(s, d), _KEY, "response", "context", G2.SHALLOW))
+
+# --- routing --------------------------------------------------------------------------------------------------------
+
+add("v05_cascade", lambda s, d: V.cascade(_turns(s, d)).drop("prompt", "response", "context"))
+add("v07_complexity", lambda s, d: V.cascade(_turns(s, d), "customer_support").select(*_KEY, *V.WEIGHTS, "complexity"))
+add("v12_verdicts", lambda s, d: V.summary(V.cascade(_turns(s, d), "internal_knowledge_assistant")))
+add("v09_hash_embedding", lambda s, d: _turns(s, d).select(*_KEY, F.array_join(F.transform(V.embed(F.col("response")), lambda x: F.round(x, 6).cast("string")), ",").alias("embedding")))
+add("x07_routing_state", lambda s, d: X.routing_state(V.cascade(_turns(s, d))))
+
+
+def _router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = V.cascade(_turns(spark, sf_dir)).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    _, scored = V.train_router(routed, F.col("response"), F.col("complexity") >= 0.5, key="id")
+    return V.evaluate_router(scored)
+
+
+add("v14_trained_router", _router)
+_FLIPS = "decision IN ('HUMAN_REVIEW', 'BLOCK')"
+on_decisions("v17_cost_optimal_threshold", lambda d: V.cost_optimal_threshold(d, "overall_risk", F.col("decision").isin("HUMAN_REVIEW", "BLOCK")), f"""SELECT threshold, {r4('cost')} AS cost, {r4('e')} AS escalation_rate, {r4('m')} AS missed_rate, m <= 0.02 AS satisfied FROM t
+    ORDER BY NOT m <= 0.02, CASE WHEN m <= 0.02 THEN cost ELSE m END, threshold LIMIT 1""", f"""g AS (SELECT round(range / 100e0, 2) AS threshold FROM range(0, 101, 2)), t AS (SELECT threshold, avg(CASE WHEN overall_risk >= threshold THEN 1e0 WHEN {_FLIPS} THEN 20e0 ELSE 0e0 END) AS cost,
+    avg((overall_risk >= threshold)::INT) AS e, avg((overall_risk < threshold AND {_FLIPS})::INT) AS m FROM decisions, g GROUP BY 1)""")
+
+# --- sessions and streams -------------------------------------------------------------------------------------------
+
+
+def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.with_tiers(D.signals(D.interactions(table(spark, sf_dir, "events"))))
+
+
+add("x01_session_risk", lambda s, d: X.batch(_tiers(s, d)))
+add("s06_session_states", lambda s, d: X.final_states(X.batch(_tiers(s, d))))
+
+
+def _streamed(spark: SparkSession, source: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Feed a table to a streaming job as files in the shared folder and read what it has written."""
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source.write.parquet(f"{place}/in")
+    X.run_to_table(run(spark.readStream.schema(source.schema).parquet(f"{place}/in")), f"{place}/out")
+    return spark.read.parquet(f"{place}/out")
+
+
+add("x08_session_stream", lambda s, d: _streamed(s, _tiers(s, d), X.stream))
+
+
+def _stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed counts as a stream appends them: windows that the watermark has passed."""
+    d = decided(spark, sf_dir).select(F.col("timestamp").cast("timestamp"), "application", "decision", "interaction_id")
+    out = _streamed(spark, d, X.monitor)
+    return out.select(F.col("window.start").alias("start"), "application", "n", "blocked", "reviewed")
+
+
+add("x10_stream_monitor", _stream_monitor)
+on_decisions("x10_window_monitor", lambda d: X.monitor(d).select(F.col("window.start").alias("start"), "application", "n", "blocked", "reviewed"),
+    f"SELECT date_trunc('hour', timestamp) AS start, application, count(*) AS n, {many('''decision = 'BLOCK' ''')} AS blocked, {many('''decision = 'HUMAN_REVIEW' ''')} AS reviewed FROM decisions GROUP BY ALL")
+
+# --- replay and storage ---------------------------------------------------------------------------------------------
+
+_ARRAY = "[" + ", ".join(f"'{t}'" for t in C.TIERS) + "]"
+_STEPS = "steps AS (" + " UNION ALL ".join(f"SELECT interaction_id, CAST({i} AS INT) AS step, '{n}' AS rule, {_ARRAY}[{a or 0} + 1] AS from_tier, {_ARRAY}[{b} + 1] AS to_tier FROM f WHERE {'true' if not a else f'{a} <> {b}'}" for i, (n, a, b) in enumerate(P.STEPS)) + ")"
+on_signals("l02_decision_steps", lambda s: P.steps(D.decide(s)), "SELECT * FROM steps", f"f AS ({D.decide_sql()}), {_STEPS}")
+on_signals("l05_oversight_rules", lambda s: P.oversight_rules(P.steps(D.decide(s))), "SELECT rule, to_tier, count(*) AS n FROM (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY step DESC) = 1) WHERE to_tier IN ('HUMAN_REVIEW', 'BLOCK') GROUP BY ALL", f"f AS ({D.decide_sql()}), {_STEPS}")
+on_decisions("l04_risk_dimensions", P.dimensions, " UNION ALL ".join(f"SELECT interaction_id, '{n}' AS dimension, {r4(n + '_risk')} AS risk, {w}e0 AS weight, {r4(f'{n}_risk * {w}e0')} AS contribution, dominant_dimension = '{n}' AS dominant FROM decisions" for n, w in C.FUSION.items()))
+on_decisions("s08_audit_lines", P.audit, f"""SELECT interaction_id, application, decision, {r4('overall_risk')} AS risk, CASE WHEN decision_confidence >= 0.65 THEN 'high' WHEN decision_confidence < 0.45 THEN 'low' ELSE 'medium' END AS confidence_band,
+    concat_ws(' > ', base_tier, decision) AS path, CAST(len(list_filter(string_split(triggered_rules, ','), lambda x: x <> '')) AS INT) AS rules, reason_codes FROM decisions""")
+on_reviews("l07_investigation", lambda d, a, f: P.investigation(I.incidents(d), a.groupBy("interaction_id").agg(F.max_by(G.status_of(F.col("action")), "action_id").alias("status")), G.effective(d, a)),
+    """SELECT i.interaction_id, i.incident_id, i.severity, coalesce(s.status, 'OPEN') AS status, coalesce(x.m, i.decision) AS effective, coalesce(x.m <> i.decision, false) AS overridden FROM incidents i LEFT JOIN s USING (interaction_id) LEFT JOIN x USING (interaction_id)""",
+    f"""{_INCIDENTS}, s AS (SELECT interaction_id, arg_max({_STATUS}, action_id) AS status FROM actions GROUP BY 1),
+    x AS (SELECT interaction_id, arg_max(reviewer_decision, action_id) AS m FROM actions WHERE action = 'MODIFY_DECISION' AND reviewer_decision IS NOT NULL GROUP BY 1)""")
+add("k11_counterfactual_amount", lambda s, d: E.counterfactual(D.interactions(table(s, d, "events")), {"amount": "amount / 100", "retry_count": "0"}))
+on_decisions("s04_first_write_wins", lambda d: W.first_write_wins(d.filter("interaction_id % 3 = 0").select("interaction_id"), d.select("interaction_id", "decision", F.col("timestamp").alias("ingest_seq"))).select("interaction_id", "decision"),
+    "SELECT interaction_id, decision FROM decisions WHERE interaction_id % 3 <> 0")
+add("p02_data_quality", lambda s, d: W.data_quality(D.interactions(table(s, d, "events")), ["props", "value"]).select("seen", "n_valid", "skipped", "null_props", "null_value"), """SELECT count(*) AS seen, count(*) FILTER (WHERE ok) AS n_valid, count(*) FILTER (WHERE NOT ok) AS skipped,
+    count(*) FILTER (WHERE props IS NULL) AS null_props, count(*) FILTER (WHERE value IS NULL) AS null_value FROM (SELECT *, coalesce(value >= 0 AND props IS NOT NULL AND user_id IS NOT NULL, false) AS ok FROM events)""")

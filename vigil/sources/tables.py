@@ -7,15 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vigil import config as C
+from vigil.functions.schema import struct
 
-INTERACTION = T.StructType.fromDDL(
+INTERACTION = struct(
     "interaction_id string, timestamp timestamp, application string, user_type string, model string, session_id string, prompt string, context string, response string, tokens_in int, tokens_out int,"
     " latency_ms double, tool_calls int, retry_count int, action_type string, action_amount_inr double, affected_entities int"
 )
-FEEDBACK = T.StructType.fromDDL(
+FEEDBACK = struct(
     "feedback_id string, interaction_id string, system_decision string, reviewer_decision string, human_override boolean, outcome string, actual_outcome string, reason string, reviewer string, timestamp timestamp"
 )
 
