@@ -27,9 +27,9 @@ CAPACITY = 2048
 #: Words whose ids a Python worker remembers at most.
 REMEMBERED = 200_000
 #: Fillings tried at one node, and nodes of the whole search.
-WIDTH, NODES = 6, 6000
+WIDTH, NODES = 6, 4000
 #: Pieces of one size that are ranked in one task, about.
-RANKED = 50_000
+RANKED = 10_000
 
 
 #: How byte-level BPE splits a text before merging (fixed value).
@@ -193,11 +193,32 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [x for group in rooms.values() for x in group]
 
 
+def fullest(room: int, sizes: list[int], counts: dict[int, int]) -> tuple[int, ...]:
+    """The filling of the largest sum, of large sizes where it can: reachable sums are bits of a number, size by size."""
+    sizes, mask = sizes[: bisect_right(sizes, room)], (1 << room + 1) - 1
+    reach = [1]
+    for s in sizes:
+        bits, left, k = reach[-1], min(counts[s], room // s), 1
+        while left > 0:
+            bits |= bits << min(k, left) * s & mask
+            left, k = left - k, 2 * k
+        reach.append(bits)
+    rest, out = reach[-1].bit_length() - 1, []
+    for i in range(len(sizes) - 1, -1, -1):
+        s = sizes[i]
+        n = next(n for n in range(min(counts[s], rest // s), -1, -1) if reach[i] >> rest - n * s & 1)
+        out += [s] * n
+        rest -= n * s
+        if not rest:
+            break
+    return tuple(out)
+
+
 def fillings(room: int, sizes: list[int], counts: dict[int, int], most: int = WIDTH) -> list[tuple[int, ...]]:
     """Undominated ways to fill ``room`` from ``sizes`` (ascending, all with a count), least waste first.
 
-    For one further item only the largest that fits is undominated; for two, each first item takes the largest second
-    one. A filling goes on until nothing fits. One that another beats item by item is dropped.
+    The fullest comes first. For one further item only the largest that fits is undominated; for two, each first item
+    takes the largest second one. A filling goes on until nothing fits. One that another beats item by item is dropped.
     """
 
     def largest(limit: int, used: tuple[int, ...]) -> int:
@@ -217,7 +238,7 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], most: int = WI
         return [()]
     if sizes[top - 1] == room:
         return [(room,)]
-    found = {finished((sizes[top - 1],))}
+    found = {finished((sizes[top - 1],)), fullest(room, sizes, counts)}
     second = 0
     for a in reversed(sizes[:top]):
         if a < second or len(found) > 60:
