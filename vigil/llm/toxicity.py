@@ -1,6 +1,6 @@
 """Toxicity classifier with a counterfactual penalty.
 
-A logistic model over the presence of words is fitted to labelled documents. Labelled texts that mention an identity
+A logistic model over counts of words is fitted to labelled documents. Labelled texts that mention an identity
 term get copies with another term of its group in its place; a difference in score between a text and its copy is
 penalised, so that a group's name weighs nothing by itself. The fit happens on a bounded, documented sample of labelled
 rows; words are counted and texts are scored on Spark.
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,13 @@ SAMPLE = 16_000
 #: Words of the model, at most, and the documents a word must be in.
 WORDS, LEAST = 512, 5
 #: Penalty on weights, and on score differences between a text and its counterfactual copies.
-RIDGE, SWAP = 0.05, 10.0
+RIDGE, SWAP = 0.01, 10.0
+#: Where the classes stand apart, the threshold lies midway between them, this part of either left aside.
+TAIL = 0.01
+#: Occurrences of a word that count, at most.
+TIMES = 3
+#: A word in fewer documents than this part of the toxic ones is held back more: copies of one text share rare words.
+SUPPORT = 0.2
 #: Identity terms by group; terms of a group are swapped with each other.
 IDENTITY = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -38,14 +44,18 @@ IDENTITY = (
 )
 
 
+def counted(text: str | None, words: Container[str]) -> list[tuple[str, int]]:
+    """Those of ``words`` that the text holds, with how often, up to ``TIMES``, in order of the words."""
+    return sorted((w, min(n, TIMES)) for w, n in Counter(WORD.findall((text or "").lower())).items() if w in words)
+
+
 @dataclass(frozen=True)
 class Model:
     bias: float
     weights: dict[str, float]
 
     def score(self, text: str | None) -> float:
-        found = self.weights.keys() & set(WORD.findall((text or "").lower()))
-        z = self.bias + math.fsum(self.weights[w] for w in found)
+        z = self.bias + math.fsum(self.weights[w] * n for w, n in counted(text, self.weights))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -68,24 +78,28 @@ def count_words(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def _fit(rows: list[list[int]], labels: np.ndarray, swaps: np.ndarray, n_words: int, ridge: float, swap: float) -> np.ndarray:
-    """Weights and bias (last) by Newton steps on the penalised log-likelihood."""
+def _fit(rows: list[list[tuple[int, int]]], labels: np.ndarray, swaps: np.ndarray, n_words: int, ridge: float, swap: float) -> np.ndarray:
+    """Weights and bias (last) by Newton steps on the penalised log-likelihood; both classes weigh alike, up to tenfold."""
     x = np.zeros((len(rows), n_words + 1))
     for i, r in enumerate(rows):
-        x[i, r] = 1
+        for j, times in r:
+            x[i, j] = times
+    seen = np.maximum((x[:, :-1] > 0).sum(axis=0), 1)
+    weigh = np.where(labels > 0, min(10.0, max(1.0, (labels == 0).sum() / max(1, labels.sum()))), 1.0)
+    held = np.maximum(1, SUPPORT * labels.sum() / seen) ** 2
     x[:, -1] = 1
-    penalty = np.diag([ridge * 2] * n_words + [1e-6]) + swap * 2 * swaps.T @ swaps / max(1, len(swaps))
+    penalty = np.diag([*(ridge * 2 * held), 1e-6]) + swap * 2 * swaps.T @ swaps / max(1, len(swaps))
     w = np.zeros(n_words + 1)
 
     def loss(v: np.ndarray) -> float:
         z = x @ v
-        return float(np.sum(np.logaddexp(0, z) - labels * z) + v @ penalty @ v / 2)
+        return float(np.sum(weigh * (np.logaddexp(0, z) - labels * z)) + v @ penalty @ v / 2)
 
     now = loss(w)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - labels) + penalty @ w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), grad)
+        grad = x.T @ (weigh * (p - labels)) + penalty @ w
+        step = np.linalg.solve((x * (weigh * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), grad)
         rate = 1.0
         while loss(w - rate * step) > now and rate > 1e-4:
             rate /= 2
@@ -93,6 +107,9 @@ def _fit(rows: list[list[int]], labels: np.ndarray, swaps: np.ndarray, n_words:
         now = loss(w)
         if before - now < 1e-7 * max(1.0, before):
             break
+    clean, toxic = np.quantile((x @ w)[labels == 0], 1 - TAIL), np.quantile((x @ w)[labels > 0], TAIL)
+    if toxic > clean:
+        w[-1] += math.log(THRESHOLD / (1 - THRESHOLD)) - (clean + toxic) / 2
     return w
 
 
@@ -122,10 +139,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [sorted(place[w] for w in place.keys() & set(WORD.findall((t or "").lower()))) for t in batch["text"]]
-            yield pd.DataFrame({"words": found, "toxic": batch["toxic"]})
+            found = [counted(t, place) for t in batch["text"]]
+            yield pd.DataFrame({"words": [[place[w] for w, _ in f] for f in found], "times": [[n for _, n in f] for f in found], "toxic": batch["toxic"]})
 
-    rows = labelled.select("text", "toxic").mapInPandas(index, "words array<int>, toxic int").collect()
+    rows = labelled.select("text", "toxic").mapInPandas(index, "words array<int>, times array<int>, toxic int").collect()
     if not rows:
         return Model(math.log(share / (1 - share)), {})
     difference: Counter = Counter()
@@ -138,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     swaps = np.zeros((max(1, len(difference)), len(vocabulary) + 1))
     for k, ((i, j), times) in enumerate(difference.items()):
         swaps[k, i], swaps[k, j] = math.sqrt(times), -math.sqrt(times)
-    w = _fit([r["words"] for r in rows], np.array([r["toxic"] for r in rows], dtype=float), swaps, len(vocabulary), ridge, swap)
+    w = _fit([list(zip(r["words"], r["times"], strict=True)) for r in rows], np.array([r["toxic"] for r in rows], dtype=float), swaps, len(vocabulary), ridge, swap)
     return Model(float(w[-1]), {t: float(w[i]) for t, i in place.items() if abs(w[i]) > 1e-6})
 
 
