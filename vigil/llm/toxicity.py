@@ -78,18 +78,9 @@ def count_words(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def _fit(rows: list[list[tuple[int, int]]], labels: np.ndarray, swaps: np.ndarray, n_words: int, ridge: float, swap: float) -> np.ndarray:
-    """Weights and bias (last) by Newton steps on the penalised log-likelihood; both classes weigh alike, up to tenfold."""
-    x = np.zeros((len(rows), n_words + 1))
-    for i, r in enumerate(rows):
-        for j, times in r:
-            x[i, j] = times
-    seen = np.maximum((x[:, :-1] > 0).sum(axis=0), 1)
-    weigh = np.where(labels > 0, min(10.0, max(1.0, (labels == 0).sum() / max(1, labels.sum()))), 1.0)
-    held = np.maximum(1, SUPPORT * labels.sum() / seen) ** 2
-    x[:, -1] = 1
-    penalty = np.diag([*(ridge * 2 * held), 1e-6]) + swap * 2 * swaps.T @ swaps / max(1, len(swaps))
-    w = np.zeros(n_words + 1)
+def _newton(x: np.ndarray, labels: np.ndarray, weigh: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """Minimum of the penalised, weighted log-loss."""
+    w = np.zeros(x.shape[1])
 
     def loss(v: np.ndarray) -> float:
         z = x @ v
@@ -107,6 +98,33 @@ def _fit(rows: list[list[tuple[int, int]]], labels: np.ndarray, swaps: np.ndarra
         now = loss(w)
         if before - now < 1e-7 * max(1.0, before):
             break
+    return w
+
+
+def _fit(rows: list[list[tuple[int, int]]], labels: np.ndarray, swaps: np.ndarray, n_words: int, ridge: float, swap: float) -> np.ndarray:
+    """Weights and bias (last). Words may only speak for toxicity, so short and empty texts score low.
+
+    Both classes weigh alike, up to tenfold. Words with a negative weight leave and the rest is fitted again.
+    """
+    x = np.zeros((len(rows), n_words + 1))
+    for i, r in enumerate(rows):
+        for j, times in r:
+            x[i, j] = times
+    seen = np.maximum((x[:, :-1] > 0).sum(axis=0), 1)
+    weigh = np.where(labels > 0, min(10.0, max(1.0, (labels == 0).sum() / max(1, labels.sum()))), 1.0)
+    held = np.maximum(1, SUPPORT * labels.sum() / seen) ** 2
+    x[:, -1] = 1
+    penalty = np.diag([*(ridge * 2 * held), 1e-6]) + swap * 2 * swaps.T @ swaps / max(1, len(swaps))
+    open_, w = np.arange(n_words + 1), np.zeros(n_words + 1)
+    for _ in range(20):
+        part = _newton(x[:, open_], labels, weigh, penalty[np.ix_(open_, open_)])
+        w[:] = 0
+        w[open_] = part
+        good = (part >= 0) | (open_ == n_words)
+        if good.all():
+            break
+        open_ = open_[good]
+    w[:-1] = np.maximum(w[:-1], 0)
     clean, toxic = np.quantile((x @ w)[labels == 0], 1 - TAIL), np.quantile((x @ w)[labels > 0], TAIL)
     if toxic > clean:
         w[-1] += math.log(THRESHOLD / (1 - THRESHOLD)) - (clean + toxic) / 2
