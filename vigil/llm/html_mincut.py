@@ -35,7 +35,7 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 #: What elements and their names say about the text inside, in the log-odds of content.
-BY_TAG = {"article": 4.0, "main": 2.5, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "header": -4.0, "dialog": -6.0, "menu": -6.0, "address": -3.0}
+BY_TAG = {"article": 4.0, "main": 2.5, "nav": -12.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "header": -6.0, "dialog": -12.0, "menu": -12.0, "address": -4.0}
 #: ``header`` inside an article is that of the article.
 BAD_NAME = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|adsense|banner|breadcrumb\w*|byline|comments?|commentlist|consent|cookies?|copyright|disqus|disclaimer|dropdown|footer|gdpr|masthead"
@@ -45,7 +45,7 @@ BAD_NAME = re.compile(
 )
 GOOD_NAME = re.compile(r"(?<![a-z])(?:article\w*|body-?text|content|entry|hentry|main|post|story|text)(?![a-z])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-NAMED_BAD, NAMED_GOOD, IS_HIDDEN = -6.0, 2.0, -8.0
+NAMED_BAD, NAMED_GOOD, IS_HIDDEN = -12.0, 2.0, -16.0
 #: Phrases of boilerplate at the start of a block.
 PHRASE = re.compile(r"^\W*(?:©|\(c\)|copyright\b|all rights reserved|we use cookies|accept (?:all )?cookies|advertisement\b|sponsored\b|share (?:this|on)\b|follow us\b|sign up\b|subscribe\b|log ?in\b|read more\b|related (?:posts|articles)\b|leave a (?:reply|comment)\b|skip to\b|home ?[|»>])", re.I)
 
