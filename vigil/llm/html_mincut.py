@@ -45,6 +45,8 @@ BAD_NAME = re.compile(
 )
 GOOD_NAME = re.compile(r"(?<![a-z])(?:article\w*|body-?text|content|entry|hentry|main|post|story|text)(?![a-z])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Elements around the content, whose names tell of the layout (``no-sidebar``) and not of what is inside.
+WHOLE = ("html", "body", "main", "article")
 NAMED_BAD, NAMED_GOOD, IS_HIDDEN = -12.0, 2.0, -16.0
 #: Phrases of boilerplate at the start of a block.
 PHRASE = re.compile(r"^\W*(?:©|\(c\)|copyright\b|all rights reserved|we use cookies|accept (?:all )?cookies|advertisement\b|sponsored\b|share (?:this|on)\b|follow us\b|sign up\b|subscribe\b|log ?in\b|read more\b|related (?:posts|articles)\b|leave a (?:reply|comment)\b|skip to\b|home ?[|»>])", re.I)
@@ -77,7 +79,7 @@ def _node_prior(tag: str, attributes: str, in_article: bool) -> float:
             prior += IS_HIDDEN
         elif not key.startswith("style"):
             name = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
-            if BAD_NAME.search(name):
+            if BAD_NAME.search(name) and tag not in WHOLE:
                 prior += NAMED_BAD
             elif GOOD_NAME.search(name):
                 prior += NAMED_GOOD
