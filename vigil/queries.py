@@ -18,6 +18,7 @@ from vigil.operators import monitoring as M
 from vigil.operators import replay as P
 from vigil.operators import responsibility as R
 from vigil.operators import routing as V
+from vigil.operators import views as Y
 from vigil.plans import decide as D
 from vigil.sources import tables as W
 from vigil.sources.tables import shared_dir, staged
@@ -488,3 +489,39 @@ on_decisions("s04_first_write_wins", lambda d: W.first_write_wins(d.filter("inte
     "SELECT interaction_id, decision FROM decisions WHERE interaction_id % 3 <> 0")
 add("p02_data_quality", lambda s, d: W.data_quality(D.interactions(table(s, d, "events")), ["props", "value"]).select("seen", "n_valid", "skipped", "null_props", "null_value"), """SELECT count(*) AS seen, count(*) FILTER (WHERE ok) AS n_valid, count(*) FILTER (WHERE NOT ok) AS skipped,
     count(*) FILTER (WHERE props IS NULL) AS null_props, count(*) FILTER (WHERE value IS NULL) AS null_value FROM (SELECT *, coalesce(value >= 0 AND props IS NOT NULL AND user_id IS NOT NULL, false) AS ok FROM events)""")
+
+# --- views and calibration grids ------------------------------------------------------------------------------------
+
+on_decisions("a20_overview", Y.overview, f"""SELECT count(*) AS total, count(DISTINCT application) AS applications, count(DISTINCT model) AS models, count(DISTINCT session_id) AS sessions, {r4('avg(overall_risk)')} AS mean_risk, max(overall_risk) AS max_risk,
+    {r4('avg(decision_confidence)')} AS mean_confidence, {rate("decision <> 'ALLOW'")} AS intervention_rate, {rate(f'overall_risk >= {C.ELEVATED_RISK}')} AS high_risk_share FROM decisions""")
+on_incidents("a21_detector_contribution", Y.detector_contribution, " UNION ALL ".join(
+    f"SELECT '{n}' AS detector, {many(f'{n}_risk >= 0.5')} AS high, {many(f'''dominant_dimension = '{n}' ''')} AS dominant, {r4(f'avg({n}_risk)')} AS mean_risk FROM incidents" for n in C.FUSION))
+on_decisions("w09_recent_decisions", Y.recent, "SELECT interaction_id, application, decision, overall_risk FROM decisions ORDER BY timestamp DESC, interaction_id DESC LIMIT 25")
+on_decisions("w13_focus", Y.focus, "SELECT interaction_id, application, decision, overall_risk FROM decisions ORDER BY overall_risk DESC, timestamp, interaction_id LIMIT 1")
+on_incidents("w08_incident_order", Y.incident_order, "SELECT incident_id, severity, overall_risk FROM incidents ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, overall_risk DESC, timestamp, interaction_id LIMIT 50")
+on_reviews("w15_timeline", Y.timeline, """SELECT '1 decided' AS stage, count(*) AS n FROM decisions UNION ALL SELECT '2 intervened', count(*) FROM decisions WHERE decision <> 'ALLOW' UNION ALL SELECT '3 incident', count(*) FROM incidents
+    UNION ALL SELECT '4 reviewed', count(*) FROM actions WHERE interaction_id IN (SELECT interaction_id FROM decisions) UNION ALL SELECT '5 feedback', count(*) FROM feedback WHERE interaction_id IN (SELECT interaction_id FROM decisions)""", _INCIDENTS)
+on_decisions("i15_incident_surge", Y.surge, f"""SELECT hour, n, {r4('share')} AS share FROM (SELECT date_trunc('hour', d.timestamp) AS hour, count(*) AS n, avg((i.incident_id IS NOT NULL)::INT) AS share FROM decisions d LEFT JOIN incidents i USING (interaction_id) GROUP BY 1)
+    WHERE n >= 10 AND share >= {I.SURGE} * (SELECT avg((i.incident_id IS NOT NULL)::INT) FROM decisions d LEFT JOIN incidents i USING (interaction_id))""", _INCIDENTS)
+on_decisions("a26_risk_categories", Y.categories, f"""SELECT category, n, rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY n DESC, category) AS INT) AS rank FROM (SELECT category, count(*) AS n FROM (
+    SELECT unnest(list_distinct(list_filter(string_split(reason_codes, ','), lambda x: x <> '') || ['DOMINANT_' || upper(dominant_dimension)])) AS category FROM decisions WHERE decision <> 'ALLOW') GROUP BY 1)) WHERE rank <= 10""")
+_GATES = {"risk": "overall_risk >= {t}", "confidence": f"(confidence < {{t}} AND overall_risk >= {C.DEEP['floor']})", "consequence": f"(consequence_score >= {{t}} OR greatest(financial_impact, reversibility) >= {C.DEEP['extreme']})",
+          "criticality": "action_criticality >= {t}", "disagreement": "disagreement >= {t}"}
+
+
+def _axis_sql(axis: str) -> str:
+    low, high = Y.AXES[axis]
+    values = ", ".join(f"({round(low + Y.STEP * i, 2)}e0)" for i in range(round((high - low) / Y.STEP) + 1))
+    deep = " OR ".join(g.format(t="gate" if n == axis else C.DEEP[n]) for n, g in _GATES.items())
+    return f"""l AS ({_LABELLED} scored), g AS (SELECT l.*, v.gate, {deep} OR perf_status = 'UNVERIFIED' AS deep FROM l, (VALUES {values}) v(gate)),
+        sw AS (SELECT gate, {rate('deep')} AS deep_rate, {r4(f"coalesce({many('deep AND truly_risky')} / nullif({many('truly_risky')}, 0), 0)")} AS recall FROM g GROUP BY 1)"""
+
+
+for _axis in Y.AXES:
+    on_signals(f"k04_sweep_{_axis}", lambda s, a=_axis: Y.axis_sweep(s, a), "SELECT * FROM sw", _axis_sql(_axis))
+on_signals("k07_recommended_threshold", lambda s: Y.recommend(Y.axis_sweep(s, "risk")), "SELECT *, recall >= 0.9 AS safe FROM sw ORDER BY NOT recall >= 0.9, CASE WHEN recall >= 0.9 THEN deep_rate ELSE -recall END, gate DESC LIMIT 1", _axis_sql("risk"))
+on_signals("k09_safe_cells", lambda s: Y.safe_cells(E.sweep(s)), "SELECT * FROM kv WHERE violations = '' ORDER BY deep_rate, recall DESC, candidate LIMIT 3", _K3)
+_WHATIF = ("deep_rate", "recall", "precision", "fpr", "review_rate")
+on_signals("k12_whatif", lambda s: Y.whatif(E.sweep(s)), "SELECT *, CASE WHEN selected > current THEN 'up' WHEN selected < current THEN 'down' ELSE 'same' END AS direction FROM wi",
+    _K3 + ", best AS (SELECT * FROM kv ORDER BY violations <> '', CASE WHEN violations <> '' THEN -recall END, deep_rate, recall DESC, precision DESC, candidate LIMIT 1), wi AS ("
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, k.{m} AS current, best.{m} AS selected FROM k, best WHERE k.candidate = 0" for m in _WHATIF) + ")")
