@@ -93,7 +93,7 @@ def _shares(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
 
 
 def identify(pages: DataFrame, labelled: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Add host, declared, lang and probability to every row.
+    """Add host, declared, lang and probability to every row; columns of these names are replaced, the markup is dropped.
 
     Null or textless pages have no text evidence and follow the other three; null URLs share one host. Without any
     labelled document lang is null and probability 0. Repeated rows stay and count as often in the aggregations.

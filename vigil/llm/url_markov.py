@@ -89,7 +89,7 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: Rules, url_col: str = "url", order: int = ORDER) -> DataFrame:
-    """Add host, path, rule, score and verdict ("allow" or "block") to every row.
+    """Add host, path, rule, score and verdict ("allow" or "block") to every row; columns of these names are replaced.
 
     URLs that a rule fits are the labelled ones: allowed for the accepted model, blocked for the rejected one; each
     different URL counts once. The score is the mean over characters; null and empty URLs score 0. The threshold lies
