@@ -49,5 +49,6 @@ def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy(*groups, "_b").agg(F.sum("_w").alias("_s")).withColumn("_first", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
     inside = Window.partitionBy(*groups, "_b").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(firsts, [*groups, "_b"]).withColumn(name, F.col("_first") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    # sort-merge: the rows are dealt by group and range for the window in any case, and may be broadcast by a low estimate else
+    out = rows.join(firsts.hint("merge"), [*groups, "_b"]).withColumn(name, F.col("_first") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
     return out.drop("_h", "_b", "_w", "_first", *groups)
