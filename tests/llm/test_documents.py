@@ -127,6 +127,27 @@ def test_keep_one_keeps_columns_and_first(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 0), (False, 2), (False, 3), (True, 0)]
 
 
+def test_keep_one_drops_texts_of_similarity_080_and_no_others(spark, monkeypatch):
+    r = random.Random(12)
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    texts, near = [], []
+    for i in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randint(150, 400))]
+        copy = list(words)
+        for at in range(20, len(words) - 20, 60 if i % 2 else 20):  # every change breaks five shingles
+            copy[at] = f"new{at}"
+        near.append(jaccard(simhash.shingle_set(" ".join(words)), simhash.shingle_set(" ".join(copy))) >= 0.8)
+        texts += [" ".join(words), " ".join(copy)]
+    assert 20 < sum(near) < 40
+    want = [i for i in range(len(texts)) if not (i % 2 and near[i // 2])]
+    docs = documents(spark, texts)
+    assert sorted(x["doc_id"] for x in simhash.keep_one(docs).collect()) == want
+    # buckets that are dealt to parts give the same pairs
+    kinds = docs.select(simhash.wide_udf("text").alias("w")).select("w.*")
+    pairs = [{(x["a"], x["b"]) for x in simhash.similar_pairs(kinds, bucket).collect()} for bucket in (2, 128)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) >= sum(near)
+
+
 def test_components_of_a_long_chain(spark):
     from vigil.llm.components import connected_components
 

@@ -6,16 +6,20 @@ with zeros to 23 bits, is decoded by the perfect binary Golay code: its keys are
 (one, or six where the nearest codeword is three bits away). Two words at distance 2 have a common neighbour, whose
 codeword is within 3 of it and so within 4 of both: they share a key. Rows of the same exact segment and codeword are
 candidates and are verified on all 64 bits.
+
+The pipeline's stage (``keep_one``) has parameters of its own: five-word shingles and a Jaccard similarity of 0.8. Its
+candidates agree in one of many segments of a wide SimHash and are verified on the shingles themselves.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -31,6 +35,12 @@ GENERATOR = 0b110001110101
 CHUNK = 1 << 16
 #: Most fingerprints of a bucket that are compared with each other; larger buckets go the way of ``_hot_links``.
 BUCKET = 32
+#: The pipeline's stage: words of a shingle, least similarity, bits of a fingerprint.
+STAGE_WORDS, SIMILAR, WIDE = 5, 0.8, 512
+#: Chance to miss a pair of the least similarity, about; nodes that share a bucket by chance; nodes compared in one row.
+MISSED, CHANCE, STAGE_BUCKET = 0.01, 16, 128
+#: Most of the first 128 bits in which candidates differ: 19 differ at the least similarity, with deviation 4.
+APART = 40
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -148,12 +158,122 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", out)
 
 
+def shingle_set(text: str | None, size: int = STAGE_WORDS) -> np.ndarray:
+    """Sorted different hashes of the word shingles of ``text``; one of all words where there are fewer."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    size = min(size, len(words))
+    grams = set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+    return np.sort(np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), dtype="<u8", count=len(grams)))
+
+
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of ``WIDE`` bits of a set of shingle hashes, packed in bytes."""
+    ones = np.zeros(WIDE, dtype=np.int64)
+    factors = np.random.default_rng(SEED).integers(1, 1 << 63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for at in range(0, len(hashes), 1024):
+        mixed = hashes[at : at + 1024, None] * factors
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little")
+
+
+@F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("wide", T.BinaryType())]))
+def wide_udf(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(t) for t in texts]
+    nodes = [int(np.uint64(xxh64_intdigest(h.tobytes(), SEED)).view(np.int64)) if len(h) else 0 for h in sets]
+    return pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "n": pd.Series([len(h) for h in sets], dtype="int64"), "wide": pd.Series([wide_bits(h).tobytes() for h in sets], dtype=object)})
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingle_set_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(t).view("<i8") for t in texts])
+
+
+def segments(n: int) -> np.ndarray:
+    """Bit positions (tables x bits) of the segments for ``n`` fingerprints: buckets of ``CHANCE`` by chance, about.
+
+    There are as many as leave out a pair of similarity ``SIMILAR`` with probability ``MISSED``: their bits differ with
+    probability acos(2J / (1 + J)) / pi, for sets of equal size.
+    """
+    bits = min(24, max(8, math.ceil(math.log2(max(1, n) / CHANCE))))
+    agree = 1 - math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
+    tables = math.ceil(math.log(MISSED) / math.log(1 - agree**bits))
+    r = np.random.default_rng(SEED)
+    return np.stack([r.choice(WIDE, bits, replace=False) for _ in range(tables)])
+
+
+def _segment_keys(at: np.ndarray):
+    """The keys of all segments and the first two words of a wide fingerprint."""
+    place = np.zeros((WIDE, len(at)), dtype=np.float32)  # sums stay below 2 ** 24, so they are exact
+    for t, row in enumerate(at):
+        place[row, t] = 2.0 ** np.arange(len(row))
+    table = np.arange(len(at), dtype=np.int64) << 32
+
+    @F.pandas_udf("keys array<long>, f0 long, f1 long")
+    def keys(wide: pd.Series) -> pd.DataFrame:
+        raw = np.frombuffer(b"".join(wide), dtype=np.uint8).reshape(len(wide), WIDE // 8)
+        values = (np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32) @ place).astype(np.int64) | table
+        first = np.ascontiguousarray(raw[:, :16]).view("<i8")
+        return pd.DataFrame({"keys": list(values), "f0": first[:, 0], "f1": first[:, 1]})
+
+    return keys
+
+
+def similar_pairs(kinds: DataFrame, bucket: int = STAGE_BUCKET) -> DataFrame:
+    """Candidate pairs (a, b) of ``kinds`` (node, n, wide), without repeats.
+
+    Nodes of one bucket whose sizes and first 128 bits allow ``SIMILAR`` are candidates. A bucket of over ``bucket``
+    nodes is dealt to parts which meet two by two, so no task holds more than two parts and every pair still meets.
+    """
+    keys = _segment_keys(segments(kinds.count()))
+    cut = kinds.filter("n > 0").withColumn("k", keys("wide"))
+    keyed = cut.select("node", "n", "k.f0", "k.f1", F.explode("k.keys").alias("key"))
+    sized = keyed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1")
+    entry = F.struct("node", "n", "f0", "f1", F.col("own"))
+    fits = f"x.n * {SIMILAR} <= y.n and y.n * {SIMILAR} <= x.n and bit_count(x.f0 ^ y.f0) + bit_count(x.f1 ^ y.f1) <= {APART}"
+    near = f"flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, size(all)), y -> {{}} {fits}), y -> struct(x.node as a, y.node as b))))"
+    cold = sized.filter(F.col("m") <= bucket).withColumn("own", F.lit(0)).groupBy("key").agg(F.collect_list(entry).alias("all"))
+    cold = cold.select(F.explode(F.expr(near.format(""))).alias("p"))
+    hot = sized.filter(F.col("m") > bucket).withColumn("parts", F.ceil(2 * F.col("m") / bucket).cast("int"))
+    hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = hot.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(entry).alias("all"))
+    met = met.select(F.explode(F.expr(near.format("(i = j or x.own <> y.own) and"))).alias("p"))
+    pairs = cold.union(met).select("p.a", "p.b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "component_id") -> DataFrame:
+    """(id, component): the smallest id that links reach; texts of shingle Jaccard ``SIMILAR`` or more are linked.
+
+    Candidates come from segments of a SimHash of ``WIDE`` bits and are verified on their shingle sets. Texts of equal
+    sets (all without a word, too) are one node. Null ids and repeated rows are as in ``near_duplicates``.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
+    prints = saved(rows.select("id", "mark", wide_udf("text").alias("w")).select("id", "mark", "w.*"), "prints")
+    kinds = saved(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("wide").alias("wide")), "kinds")
+    pairs = saved(similar_pairs(kinds), "candidates")
+    some = kinds.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", "mark")
+    texts = rows.select("mark", "text").join(some.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
+    sets = saved(texts.join(some, "mark").select("node", shingle_set_udf("text").alias("set")), "sets")
+    one, two = (sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in "ab")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    links = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter(both >= SIMILAR * (F.size("a_set") + F.size("b_set") - both) - 1e-9)
+    roots = connected_components(links.select("a", "b"), "a", "b")
+    rooted = kinds.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("least").alias(out))
+    return prints.join(rooted.join(least, "root").select("node", out), "node").select(F.col("id").alias(id_col), out)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id; of repeated ids one row.
+    """One document of each group of similar texts (``similar_documents``): the one with the smallest id; of repeated ids one row.
 
     Rows without an id cannot be told apart by it and are kept. Columns are those of ``docs``.
     """
-    found = near_duplicates(docs, id_col, text_col, "_component")
+    found = similar_documents(docs, id_col, text_col, "_component")
     kept = found.filter(F.col(id_col) == F.col("_component")).select(id_col).distinct()
     named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return named.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
