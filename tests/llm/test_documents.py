@@ -271,6 +271,19 @@ def test_mixed_documents_keep_columns(spark):
     assert out.columns == docs.columns and out.count() > 0
 
 
+def test_mixed_documents_meet_targets_with_long_documents(spark):
+    """Fractions of a half or less left out every long document."""
+    r = random.Random(13)
+    rows = [(i, " ".join([f"d{i}", *["w"] * r.randint(1200, 2400)]), "en", f"s{i % 6:02}" if i % 10 else "s06", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    words = lambda found: Counter({x["source"]: x["n"] for x in found.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()})
+    had, got = words(docs), words(mixing.mixed_documents(docs))
+    want = plain_targets(had)
+    assert any(want[s] % had[s] < 0.9 * had[s] for s in had)
+    for s in had:
+        assert abs(got[s] - want[s]) < 0.04 * want[s] + 2400, s
+
+
 # --- personal data
 
 PLAIN = {

@@ -22,6 +22,8 @@ TOTAL, MOST = 1.5, 2
 #: Words of a block, slots of a shard, cells for the draw, rows ranked in one task (about).
 BLOCK, SHARD, CELLS, RANKED = 256, 1024, 4096, 2_000
 SEED = 20_240_101
+#: Units of one copy of a document.
+FRACTION = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -122,14 +124,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Documents as often as the mix takes them: taken words by size, to the nearest whole number, none to twice.
+    """Documents as often as the mix takes them: taken words by size, rounded without bias, none to twice.
 
-    Documents without words are kept once. Rows with equal id, source and text share what they got. Columns are those of ``docs``.
+    The fractions are laid end to end within a source and power of two of the size, from a pseudorandom start; a
+    document that a whole number falls into is rounded up. So the words of a source stay near its target, whatever the
+    fraction. Documents without words are kept once. Rows with equal id, source and text share what they got. Columns
+    are those of ``docs``.
     """
     _, found = mix(docs)
     keys = ["_id", "_source", "_mark"]
-    times = F.when(F.max("size") == 0, 1).otherwise(F.round(F.sum("taken") / F.sum(F.greatest("size", F.lit(1)))))
-    copies = found.groupBy(F.struct("id").alias("_id"), F.struct("source").alias("_source"), F.struct("mark").alias("_mark")).agg(times.cast("int").alias("_times"))
+    units = F.when(F.max("size") == 0, FRACTION).otherwise(F.round(FRACTION * F.sum("taken") / F.sum(F.greatest("size", F.lit(1))))).cast("long")
+    by_key = found.groupBy(F.struct("id").alias("_id"), F.struct("source").alias("_source"), F.struct("mark").alias("_mark"))
+    # repeated rows get the same number of copies, so they are one document of all their words
+    shares = saved(by_key.agg(units.alias("_units"), F.floor(F.log2(F.greatest(F.sum("size"), F.lit(1)))).alias("_power")), "shares")
+    part = F.pmod("_units", F.lit(FRACTION))
+    ranked = position_in_group(shares, ["_source", "_power"], [F.lit(SEED), *(F.col(k) for k in keys)], max(1, shares.count() // RANKED), "_from", part)
+    start = F.col("_from") + F.pmod(F.xxhash64(F.lit(SEED), "_source", "_power"), F.lit(FRACTION))
+    times = F.floor(F.col("_units") / FRACTION) + F.floor((start + part) / FRACTION) - F.floor(start / FRACTION)
+    copies = ranked.select(*keys, times.cast("int").alias("_times"))
     own = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
     keyed = own.withColumns({"_id": F.struct(F.col("in_doc_id").alias("id")), "_source": F.struct(F.col("in_source").alias("source")), "_mark": F.struct(F.xxhash64("in_text").alias("mark"))})
     kept = keyed.join(copies.filter("_times > 0"), keys).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
