@@ -204,3 +204,16 @@ def test_vector_links_equal_brute_force(spark, monkeypatch, home):
                     todo.append(j)
         assert (g["n_links"], g["component_id"], g["kept"]) == (len(near.get(i, ())), min(seen), min(seen) == i)
     assert embdup.linked(vectors(spark, [])).count() == 0
+
+
+def test_groups_of_a_full_cell_hold_two_buckets(spark):
+    """Every home row meets every other row of its cell once, whatever the share of visitors."""
+    rows = spark.createDataFrame([(1, 0, 7, i, i % 4 == 0) for i in range(400)], "label int, b int, cell long, node long, home boolean")
+    full = spark.createDataFrame([(1, 0, 7, 10)], "label int, b int, cell long, parts int")
+    groups, met = {}, []
+    for r in embdup.dealt_to_buckets(rows, full).collect():
+        groups.setdefault((r["i"], r["j"]), []).append((r["node"], r["home"]))
+    for (i, j), held in groups.items():
+        assert len({n for n, _ in held}) == len(held) <= 120
+        met += [(x, y) for x, at_home in held if at_home for y, other in held if x != y and (i == j or not other)]
+    assert len(met) == len(set(met)) and set(met) == {(x, y) for x in range(0, 400, 4) for y in range(400) if x != y}

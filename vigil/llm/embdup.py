@@ -26,7 +26,7 @@ from vigil.llm.topk import usable
 
 #: Coordinates of a block, most of them that make the grid, and cell sides as multiples of a block's radius.
 BLOCK, GRID, SIDE = 8, 5, 3.0
-#: Vectors at home in one cell that are compared in one task, about, and rows compared at a time.
+#: Vectors of a bucket of a cell, about (a task compares two at most), and rows compared at a time.
 HOME, STEP = 4096, 512
 SLACK = 1e-9
 
@@ -72,8 +72,11 @@ def _cells(vectors: np.ndarray, budget: float, grid: int) -> tuple[np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def compare(vectors: np.ndarray, weights: np.ndarray, home: np.ndarray, b: int, cosine: float, budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of the rows at home in one cell: (first, second, weight of second), each pair in its first block only."""
+def compare(vectors: np.ndarray, weights: np.ndarray, home: np.ndarray, b: int, cosine: float, budget: float, inside: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of the rows at home in one cell: (first, second, weight of second), each pair in its first block only.
+
+    With ``inside`` home rows meet all rows, else only those not at home.
+    """
     width, unit = vectors.shape[1], vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     turned, parts = _turned(vectors), blocks(width)
     limits = np.array([budget * (p.stop - p.start) / width for p in parts]) * (1 + SLACK) + SLACK
@@ -82,10 +85,12 @@ def compare(vectors: np.ndarray, weights: np.ndarray, home: np.ndarray, b: int,
     right = np.concatenate([block, -half[:, None], -np.ones((len(block), 1), np.float32)], axis=1)
     left = np.concatenate([block, np.ones((len(block), 1), np.float32), half[:, None]], axis=1)
     own, first, second = np.flatnonzero(home), [], []
+    others = np.arange(len(home)) if inside else np.flatnonzero(~home)
+    right = right[others]
     for at in range(0, len(own), STEP):
         some = own[at : at + STEP]
         i, j = np.nonzero(left[some] @ right.T >= -limits[b] / 2 - 1e-5)
-        i = some[i]
+        i, j = some[i], others[j]
         for k in range(0, len(i), 1 << 16):
             x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
             near = (x != y) & (np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine)
@@ -111,6 +116,24 @@ def _stars(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return root
 
 
+def dealt_to_buckets(dealt: DataFrame, full: DataFrame) -> DataFrame:
+    """Rows of cells (label, b, cell, node, home, ...) with ``i`` and ``j``: groups by these hold two buckets at most.
+
+    ``full`` has the number of ``parts`` of cells that are split. A row is in the bucket of its node's hash. In group
+    (i, j) the home rows of bucket i meet all rows of bucket j, home or not; the latter are not at home there unless
+    i = j. So every home row meets every other row of its cell once.
+    """
+    split = dealt.join(full, ["label", "b", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    split = split.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    others = F.filter(every, lambda x: x != F.col("own"))
+    place = lambda i, j, home: F.struct(i.alias("i"), j.alias("j"), home.alias("home"))
+    as_home = F.transform(F.filter(others, lambda x: F.col("home")), lambda x: place(F.col("own"), x, F.lit(True)))
+    as_other = F.transform(others, lambda x: place(x, F.col("own"), F.lit(False)))
+    placed = split.withColumn("at", F.explode(F.concat(F.array(place(F.col("own"), F.col("own"), F.col("home"))), as_home, as_other)))
+    return placed.drop("home", "own", "parts").select("*", "at.*").drop("at")
+
+
 def linked(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``vectors``.
 
@@ -146,23 +169,21 @@ def linked(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec
     label = kinds.schema["label"].dataType.simpleString()
     dealt = kinds.mapInArrow(lambda it: deal(it, False), f"label {label}, v array<double>, node long, copies long, b int, cell long, home boolean")
     homes = kinds.select("label", "v").mapInArrow(lambda it: deal(it, True), f"label {label}, b int, cell long, home boolean")
-    full = homes.filter("home").groupBy("label", "b", "cell").count().filter(F.col("count") > HOME)
-    parts = full.select("label", "b", "cell", F.ceil(F.col("count") / HOME).cast("int").alias("parts"))
-    split = dealt.join(parts, ["label", "b", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    split = split.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    split = split.withColumn("home", F.col("home") & (F.col("own") == F.col("part"))).drop("own", "parts")
+    sizes = homes.groupBy("label", "b", "cell").agg(F.count(F.lit(1)).alias("count"), F.count_if("home").alias("at_home"))
+    full = sizes.filter((F.col("count") > HOME) & (F.col("at_home") > 0)).select("label", "b", "cell", F.ceil(F.col("count") / HOME).cast("int").alias("parts"))
+    split = dealt_to_buckets(dealt, full)
 
     def links(cell: pd.DataFrame) -> pd.DataFrame:
         if len(cell) < 2 or not cell["home"].any():
             return pd.DataFrame({"node": [], "root": [], "links": []}, dtype="int64")
         node = cell["node"].to_numpy(dtype=np.int64)
-        x, y, w = compare(np.stack(cell["v"]).astype(float), cell["copies"].to_numpy(dtype=np.int64), cell["home"].to_numpy(dtype=bool), int(cell["b"].iloc[0]), cosine, budget)
+        x, y, w = compare(np.stack(cell["v"]).astype(float), cell["copies"].to_numpy(dtype=np.int64), cell["home"].to_numpy(dtype=bool), int(cell["b"].iloc[0]), cosine, budget, bool(cell["i"].iloc[0] == cell["j"].iloc[0]))
         n = np.zeros(len(cell), dtype=np.int64)
         np.add.at(n, x, w)
         hit = np.unique(np.concatenate([x, y]))
         return pd.DataFrame({"node": node[hit], "root": node[_stars(len(cell), x, y)[hit]], "links": n[hit]})
 
-    found = saved(split.groupBy("label", "b", "cell", "part").applyInPandas(links, "node long, root long, links long"), "cells")
+    found = saved(split.groupBy("label", "b", "cell", "i", "j").applyInPandas(links, "node long, root long, links long"), "cells")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found, "node", "root").withColumnRenamed("node", "n")
     named = kinds.join(counts, "node", "left").join(roots, F.col("node") == F.col("n"), "left")
