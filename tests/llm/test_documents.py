@@ -142,10 +142,37 @@ def test_keep_one_drops_texts_of_similarity_080_and_no_others(spark, monkeypatch
     want = [i for i in range(len(texts)) if not (i % 2 and near[i // 2])]
     docs = documents(spark, texts)
     assert sorted(x["doc_id"] for x in simhash.keep_one(docs).collect()) == want
-    # buckets that are dealt to parts give the same pairs
-    kinds = docs.select(simhash.wide_udf("text").alias("w")).select("w.*")
-    pairs = [{(x["a"], x["b"]) for x in simhash.similar_pairs(kinds, bucket).collect()} for bucket in (2, 128)]
+    # buckets that are dealt to parts give the same pairs, and those that anchors leave are found by either way
+    at = simhash.segments(len(texts))
+    kinds = docs.select(simhash.wide_udf("text").alias("w")).select("w.*").withColumn("root", F.col("node"))
+    pairs = [{(x["a"], x["b"]) for x in simhash.similar_pairs(kinds, at, hot).collect()} for hot in (2, 4096)]
     assert pairs[0] == pairs[1] and len(pairs[0]) >= sum(near)
+    anchored = {(x["a"], x["b"]) for x in simhash.anchor_pairs(kinds, at, 1).collect()}
+    assert anchored <= pairs[0] and len(anchored) >= sum(near) / 4
+
+
+def test_keep_one_of_a_dense_group(spark):
+    """Near copies of one text: linked through fixed nodes, not in pairs; those apart from all stay."""
+    r = random.Random(21)
+    base = [f"b{r.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        for at in r.sample(range(300), 3):
+            words[at] = f"n{i}x{at}"
+        texts.append(" ".join(words))
+    docs = documents(spark, [*texts, *sentences(20, 5)])
+    assert sorted(x["doc_id"] for x in simhash.keep_one(docs).collect())[:1] == [0]
+    assert simhash.keep_one(documents(spark, texts)).count() == 1
+    kinds = docs.select(simhash.wide_udf("text").alias("w")).select("w.*").withColumn("root", F.col("node"))
+    at = simhash.segments(420)
+    assert simhash.anchor_pairs(kinds, at).count() <= 2 * simhash.ANCHORS * 420
+
+
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    rows = [(1, "a b c d e f g", "en", "s", 0), (1, "quite another text of words here", "en", "s", 0), (1, "a b c d e f g", "en", "s", 0), (None, "x y", "en", "s", 0), (None, "x y", "en", "s", 0), (None, "z", "en", "s", 0)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(str((r["doc_id"], r["text"][:2])) for r in kept) == ["(1, 'a ')", "(1, 'qu')", "(None, 'x ')", "(None, 'z')"]
 
 
 def test_components_of_a_long_chain(spark):

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 #: Regular expression of a word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys of over this part of all rows are split in joins.
+SPLIT = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one of this machine only where the session names none."""
+    """The folder all executors share; where a local session names none, a temporary one. A cluster must name one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         place = tempfile.mkdtemp(prefix="vigil-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -34,6 +38,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def skew_join(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int, split: int = SPLIT) -> DataFrame:
+    """Inner join of ``rows`` with the one row that ``keyed`` has for each ``key``; frequent keys are dealt to parts.
+
+    ``size`` of ``keyed`` is (about) how many of ``total`` rows have the key. Keys of over one ``split``-th of them, so
+    ``split`` at most, are broadcast with their number of parts; rows go round the parts and ``keyed`` is repeated for
+    each. ``keyed`` should be a written table, ``rows`` one that is read in a fixed order.
+    """
+    most = max(1, total // split)
+    hot = F.broadcast(keyed.filter(F.col(size) > most).select(key, F.ceil(F.col(size) / most).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_parts")
+    each = keyed.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(each.hint("merge"), [key, "_part"]).drop("_part")
+
+
 def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: int, name: str, weight: Column | None = None) -> DataFrame:
     """Add ``name``: the 0-based position of each row in its group, in a pseudorandom but fixed order.
 

@@ -8,23 +8,25 @@ codeword is within 3 of it and so within 4 of both: they share a key. Rows of th
 candidates and are verified on all 64 bits.
 
 The pipeline's stage (``keep_one``) has parameters of its own: five-word shingles and a Jaccard similarity of 0.8. Its
-candidates agree in one of many segments of a wide SimHash and are verified on the shingles themselves.
+candidates agree, after decoding, in one of many segments of a wide SimHash and are verified on the shingles themselves.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from vigil.llm.common import saved
+from vigil.llm.common import saved, skew_join
 from vigil.llm.components import connected_components
 
 SEED = 42
@@ -37,8 +39,10 @@ CHUNK = 1 << 16
 BUCKET = 32
 #: The pipeline's stage: words of a shingle, least similarity, bits of a fingerprint.
 STAGE_WORDS, SIMILAR, WIDE = 5, 0.8, 512
-#: Chance to miss a pair of the least similarity, about; nodes that share a bucket by chance; nodes compared in one row.
+#: Chance to miss a pair of the least similarity, about; nodes that share a bucket by chance; nodes of a large bucket.
 MISSED, CHANCE, STAGE_BUCKET = 0.01, 16, 128
+#: Segments whose large buckets are linked through fixed nodes first.
+ANCHORS = 6
 #: Most of the first 128 bits in which candidates differ: 19 differ at the least similarity, with deviation 4.
 APART = 40
 
@@ -98,6 +102,12 @@ def codewords(v: np.ndarray) -> np.ndarray:
     return np.where(errors >= 0, (v[:, None] ^ errors) >> 11, -1)
 
 
+def nearest(v: np.ndarray) -> np.ndarray:
+    """Index (12 bits) of the one Golay codeword within distance 3 of each 23-bit word."""
+    upper, lower, leader, _ = _golay()
+    return (v ^ leader[upper[v >> 12] ^ lower[v & 0xFFF]]) >> 11
+
+
 def fuzzy_keys(fp: np.ndarray) -> np.ndarray:
     """Bucket keys of fingerprints (18 columns, -1 for none): table, exact segment, codeword of the next segment."""
     bits = fp.astype(np.uint64)
@@ -193,87 +203,201 @@ def shingle_set_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_set(t).view("<i8") for t in texts])
 
 
+@lru_cache(maxsize=8)
+def golay_agreement(p: float) -> float:
+    """Part of random words of 23 bits whose nearest codeword stays when every bit flips with probability ``p``."""
+    r = np.random.default_rng(SEED)
+    words, flips = r.integers(0, 1 << 23, 200_000), (r.random((200_000, 23)) < p) @ (1 << np.arange(23))
+    return float((nearest(words) == nearest(words ^ flips)).mean())
+
+
 def segments(n: int) -> np.ndarray:
     """Bit positions (tables x bits) of the segments for ``n`` fingerprints: buckets of ``CHANCE`` by chance, about.
 
-    There are as many as leave out a pair of similarity ``SIMILAR`` with probability ``MISSED``: their bits differ with
+    The first 23 bits of a row are decoded to a Golay codeword of 12 bits, the rest are compared as they are. There are
+    as many rows as leave out a pair of similarity ``SIMILAR`` with probability ``MISSED``: their bits differ with
     probability acos(2J / (1 + J)) / pi, for sets of equal size.
     """
-    bits = min(24, max(8, math.ceil(math.log2(max(1, n) / CHANCE))))
-    agree = 1 - math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
-    tables = math.ceil(math.log(MISSED) / math.log(1 - agree**bits))
+    more = min(12, max(0, math.ceil(math.log2(max(1, n) / CHANCE)) - 12))
+    flips = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
+    agree = golay_agreement(flips) * (1 - flips) ** more
     r = np.random.default_rng(SEED)
-    return np.stack([r.choice(WIDE, bits, replace=False) for _ in range(tables)])
+    return np.stack([r.choice(WIDE, 23 + more, replace=False) for _ in range(math.ceil(math.log(MISSED) / math.log(1 - agree)))])
 
 
 def _segment_keys(at: np.ndarray):
     """The keys of all segments and the first two words of a wide fingerprint."""
-    place = np.zeros((WIDE, len(at)), dtype=np.float32)  # sums stay below 2 ** 24, so they are exact
-    for t, row in enumerate(at):
-        place[row, t] = 2.0 ** np.arange(len(row))
+    word, rest = np.zeros((WIDE, len(at)), dtype=np.float32), np.zeros((WIDE, len(at)), dtype=np.float32)
+    for t, row in enumerate(at):  # sums stay below 2 ** 24, so they are exact
+        word[row[:23], t] = 2.0 ** np.arange(23)
+        rest[row[23:], t] = 2.0 ** np.arange(len(row) - 23)
     table = np.arange(len(at), dtype=np.int64) << 32
 
     @F.pandas_udf("keys array<long>, f0 long, f1 long")
     def keys(wide: pd.Series) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(wide), dtype=np.uint8).reshape(len(wide), WIDE // 8)
-        values = (np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32) @ place).astype(np.int64) | table
+        bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32)
+        values = table | (bits @ rest).astype(np.int64) << 12 | nearest((bits @ word).astype(np.int64))
         first = np.ascontiguousarray(raw[:, :16]).view("<i8")
         return pd.DataFrame({"keys": list(values), "f0": first[:, 0], "f1": first[:, 1]})
 
     return keys
 
 
-def similar_pairs(kinds: DataFrame, bucket: int = STAGE_BUCKET) -> DataFrame:
-    """Candidate pairs (a, b) of ``kinds`` (node, n, wide), without repeats.
+def _keyed(kinds: DataFrame, at: np.ndarray) -> DataFrame:
+    """A row (node, n, f0, f1, other columns but wide, key) for every node with a shingle and every segment."""
+    cut = kinds.filter("n > 0").withColumn("_k", _segment_keys(at)("wide"))
+    return cut.select(*(c for c in kinds.columns if c != "wide"), "_k.f0", "_k.f1", F.explode("_k.keys").alias("key"))
 
-    Nodes of one bucket whose sizes and first 128 bits allow ``SIMILAR`` are candidates. A bucket of over ``bucket``
-    nodes is dealt to parts which meet two by two, so no task holds more than two parts and every pair still meets.
-    """
-    keys = _segment_keys(segments(kinds.count()))
-    cut = kinds.filter("n > 0").withColumn("k", keys("wide"))
-    keyed = cut.select("node", "n", "k.f0", "k.f1", F.explode("k.keys").alias("key"))
-    sized = keyed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1")
-    entry = F.struct("node", "n", "f0", "f1", F.col("own"))
-    fits = f"x.n * {SIMILAR} <= y.n and y.n * {SIMILAR} <= x.n and bit_count(x.f0 ^ y.f0) + bit_count(x.f1 ^ y.f1) <= {APART}"
-    near = f"flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, size(all)), y -> {{}} {fits}), y -> struct(x.node as a, y.node as b))))"
-    cold = sized.filter(F.col("m") <= bucket).withColumn("own", F.lit(0)).groupBy("key").agg(F.collect_list(entry).alias("all"))
-    cold = cold.select(F.explode(F.expr(near.format(""))).alias("p"))
-    hot = sized.filter(F.col("m") > bucket).withColumn("parts", F.ceil(2 * F.col("m") / bucket).cast("int"))
-    hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = hot.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(entry).alias("all"))
-    met = met.select(F.explode(F.expr(near.format("(i = j or x.own <> y.own) and"))).alias("p"))
-    pairs = cold.union(met).select("p.a", "p.b")
+
+def _fits(a: str, b: str) -> Column:
+    """Whether sizes and first 128 bits of two rows allow ``SIMILAR``."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    apart = F.bit_count(x("f0").bitwiseXOR(y("f0"))) + F.bit_count(x("f1").bitwiseXOR(y("f1")))
+    return (x("n") * SIMILAR <= y("n")) & (y("n") * SIMILAR <= x("n")) & (apart <= APART)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "component_id") -> DataFrame:
-    """(id, component): the smallest id that links reach; texts of shingle Jaccard ``SIMILAR`` or more are linked.
+def anchor_pairs(kinds: DataFrame, at: np.ndarray, bucket: int = STAGE_BUCKET) -> DataFrame:
+    """Candidates (a, b) in buckets of over ``bucket`` nodes: each node with two fixed ones of its bucket.
 
-    Candidates come from segments of a SimHash of ``WIDE`` bits and are verified on their shingle sets. Texts of equal
-    sets (all without a word, too) are one node. Null ids and repeated rows are as in ``near_duplicates``.
+    A dense group so gets a number of pairs in proportion to its size, which join nearly all of it.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
-    prints = saved(rows.select("id", "mark", wide_udf("text").alias("w")).select("id", "mark", "w.*"), "prints")
-    kinds = saved(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("wide").alias("wide")), "kinds")
-    pairs = saved(similar_pairs(kinds), "candidates")
-    some = kinds.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", "mark")
-    texts = rows.select("mark", "text").join(some.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
-    sets = saved(texts.join(some, "mark").select("node", shingle_set_udf("text").alias("set")), "sets")
-    one, two = (sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in "ab")
+    keyed = _keyed(kinds.select("node", "n", "wide"), at[:ANCHORS])
+    entry = F.struct(F.xxhash64("node").alias("h"), "node", "n", "f0", "f1")
+    heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.array(F.min(entry), F.max(entry)).alias("heads")).filter(F.col("m") > bucket)
+    heads = saved(heads, "heads")
+    met = skew_join(keyed, heads, "key", "m", kinds.count() * ANCHORS)
+    met = met.select(F.struct("node", "n", "f0", "f1").alias("x"), F.explode("heads").alias("y")).filter(F.col("x.node") != F.col("y.node"))
+    return _ordered(met.filter(_fits("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+
+
+def _met_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of different roots among rows (key, node, root, n, f0, f1) in order of the key."""
+
+    def fit(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = sum(np.bitwise_count((x[f][i] ^ y[f][j]).view(np.uint64)).astype(np.int64) for f in (4, 5))
+        return (x[2][i] != y[2][j]) & (apart <= APART) & (x[3][i] * SIMILAR <= y[3][j]) & (y[3][j] * SIMILAR <= x[3][i])
+
+    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate(held, axis=1)
+        starts = np.flatnonzero(np.concatenate([[True], x[0][1:] != x[0][:-1]]))
+        sizes = np.diff(np.append(starts, x.shape[1]))
+        for at, size in zip(starts[sizes > STAGE_BUCKET], sizes[sizes > STAGE_BUCKET], strict=True):
+            group = x[:, at : at + size]
+            roots, of, count = np.unique(group[2], return_inverse=True, return_counts=True)
+            few = group[:, of != count.argmax()]  # two rows of the most frequent root need no comparison
+            for k in range(few.shape[1]):
+                one, every = np.full(size, k), np.arange(size)
+                yield few[1][one], group[1][every], fit(few, group, one, every)
+        alive = np.flatnonzero(np.repeat(sizes <= STAGE_BUCKET, sizes))
+        end, d = np.repeat(starts + sizes, sizes), 1
+        while len(alive := alive[alive + d < end[alive]]):
+            yield x[1][alive], x[1][alive + d], fit(x, x, alive, alive + d)
+            d += 1
+
+    def found(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a, b, good in pairs(held):
+            if good.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[good]), pa.array(np.maximum(a, b)[good])], names=["a", "b"])
+
+    held: list[np.ndarray] = []  # rows of the last key so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        last = int(np.searchsorted(x[0], x[0][-1]))
+        if last or (held and held[0][0][0] != x[0][0]):
+            yield from found([*held, x[:, :last]])
+            held = []
+        held.append(x[:, last:])
+    if held:
+        yield from found(held)
+
+
+def similar_pairs(kinds: DataFrame, at: np.ndarray, hot: int | None = None) -> DataFrame:
+    """Candidate pairs (a, b) of ``kinds`` (node, root, n, wide) of different roots, without repeats.
+
+    Nodes of one bucket whose sizes and first 128 bits allow ``SIMILAR`` are candidates. Buckets of over ``hot`` nodes
+    (by default 4096 and a thousandth of all; so there are at most 1000 of each segment) are dealt to parts: there the
+    nodes that are not of the most frequent root meet all nodes. Smaller ones are met in order of the key.
+    """
+    hot = hot or max(4096, kinds.count() // 1000)
+    keyed = _keyed(kinds, at).select("key", "node", "root", "n", "f0", "f1")
+    large = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot), "large")
+    cold = keyed.join(F.broadcast(large), "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    pairs = cold.mapInArrow(_met_in_order, "a long, b long")
+    if large.head(1):
+        rows = saved(keyed.join(F.broadcast(large), "key"), "hot")
+        most = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+        few = rows.join(F.broadcast(saved(most, "most")), "key").filter("root <> most")
+        parts = F.ceil(F.col("m") / hot).cast("int")
+        every = rows.select("key", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.struct("node", "root", "n", "f0", "f1").alias("x"))
+        few = few.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.struct("node", "root", "n", "f0", "f1").alias("y"))
+        met = every.join(few.hint("merge"), ["key", "part"]).filter((F.col("x.root") != F.col("y.root")) & _fits("x", "y"))
+        pairs = pairs.union(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    return _ordered(pairs)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more."""
+    uses = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("uses")), "uses")
+    some = kinds.select("node", "row").join(uses, "node")
+    texts = rows.select("row", "text").join(some.select("node", "row", "uses"), "row").dropDuplicates(["node"])
+    sets = saved(texts.select("node", "uses", shingle_set_udf("text").alias("set")), "sets")
+    total = 2 * pairs.count()
+    out = pairs
+    for x in "ab":
+        out = skew_join(out, sets.select(F.col("node").alias(x), "uses", F.col("set").alias(f"{x}_set")), x, "uses", total).drop("uses")
     both = F.size(F.array_intersect("a_set", "b_set"))
-    links = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter(both >= SIMILAR * (F.size("a_set") + F.size("b_set") - both) - 1e-9)
-    roots = connected_components(links.select("a", "b"), "a", "b")
-    rooted = kinds.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias(out))
-    return prints.join(rooted.join(least, "root").select("node", out), "node").select(F.col("id").alias(id_col), out)
+    return saved(out.filter(both >= SIMILAR * (F.size("a_set") + F.size("b_set") - both) - 1e-9).select("a", "b"), "verified")
+
+
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, root) for every row of ``docs``: row is (no_id, id, mark), the id and hash of its text.
+
+    Texts of shingle Jaccard ``SIMILAR`` or more have the same root. Candidates come from Golay-coded segments of a
+    SimHash of ``WIDE`` bits and are verified on their shingle sets: first those with fixed nodes of large buckets, then
+    those that the first links leave apart. Texts of equal sets (all without a word, too) are one node.
+    """
+    rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    prints = saved(rows.select("row", wide_udf("text").alias("w")).select("row", "w.*"), "prints")
+    kinds = saved(prints.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("wide").alias("wide")), "kinds")
+    at = segments(kinds.count())
+    first = _verified(saved(anchor_pairs(kinds, at), "anchored"), rows, kinds)
+    roots = connected_components(first, "a", "b")
+    rooted = saved(kinds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "n", "wide"), "rooted")
+    second = _verified(saved(similar_pairs(rooted, at), "candidates"), rows, kinds)
+    roots = connected_components(first.union(second), "a", "b")
+    named = kinds.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = prints.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    named = saved(named.join(sizes, "node"), "named")
+    return skew_join(prints.select("row", "node"), named, "node", "copies", prints.count()).select("row", "root")
+
+
+def row_key(id_: Column, text: Column) -> Column:
+    """A row's id and the hash of its text; rows without an id come last in order."""
+    return F.struct(id_.isNull().alias("no_id"), id_.alias("id"), F.xxhash64(text).alias("mark"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "component_id") -> DataFrame:
+    """(id, component): the smallest id that links reach (``similar_rows``). Null ids and repeated rows are as in ``near_duplicates``."""
+    found = saved(similar_rows(docs, id_col, text_col), "similar")
+    least = saved(found.groupBy("root").agg(F.min("row.id").alias(out), F.count(F.lit(1)).alias("n")), "least")
+    return skew_join(found, least, "root", "n", found.count()).select(F.col("row.id").alias(id_col), out)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of similar texts (``similar_documents``): the one with the smallest id; of repeated ids one row.
+    """One document of each group of similar texts (``similar_rows``): the one with the smallest id, one without an id if all are.
 
-    Rows without an id cannot be told apart by it and are kept. Columns are those of ``docs``.
+    Documents are told apart by id and text: different texts under one id are different documents, of rows with equal
+    id and text any one stays. Columns are those of ``docs``.
     """
-    found = similar_documents(docs, id_col, text_col, "_component")
-    kept = found.filter(F.col(id_col) == F.col("_component")).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    best = similar_rows(docs, id_col, text_col).groupBy("root").agg(F.min("row").alias("_row")).select("_row")
+    own = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
+    keyed = own.withColumn("_row", row_key(F.col(f"in_{id_col}"), F.col(f"in_{text_col}")))
+    kept = keyed.join(saved(best, "kept"), "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
