@@ -2,7 +2,7 @@
 
 A logistic model over counts of words is fitted to labelled documents. Labelled texts that mention an identity
 term get copies with another term of its group in its place; a difference in score between a text and its copy is
-penalised, so that a group's name weighs nothing by itself. The fit happens on a bounded, documented sample of labelled
+penalised, and so is that to a copy without the term, so that a group's name weighs nothing by itself. The fit happens on a bounded, documented sample of labelled
 rows; words are counted and texts are scored on Spark.
 """
 
@@ -125,25 +125,31 @@ def _fit(rows: list[list[tuple[int, int]]], labels: np.ndarray, swaps: np.ndarra
             break
         open_ = open_[good]
     w[:-1] = np.maximum(w[:-1], 0)
+    if labels.min() == labels.max():
+        return w
     clean, toxic = np.quantile((x @ w)[labels == 0], 1 - TAIL), np.quantile((x @ w)[labels > 0], TAIL)
     if toxic > clean:
         w[-1] += math.log(THRESHOLD / (1 - THRESHOLD)) - (clean + toxic) / 2
     return w
 
 
+def _without_words(toxic: int, n: int) -> Model:
+    share = min(max(toxic / n if n else 0.0, 1e-4), 0.5)
+    return Model(math.log(share / (1 - share)), {})
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS, identity: tuple[tuple[str, ...], ...] = IDENTITY, ridge: float = RIDGE, swap: float = SWAP) -> Model:
     """Fit the model to labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
     At most about ``sample`` labelled documents are used, those with the least hash of their id. A document with several
-    labels counts as toxic if one says so; labels that are null do not count. Without labels of both kinds the model
-    has no words and gives the share of toxic labels to every text.
+    labels counts as toxic if one says so; labels that are null do not count. Without labelled documents of both kinds
+    nothing tells them apart: the model has no words and gives every text the share of toxic labels, a half at most.
     """
     usable = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     usable = usable.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     n, n_toxic = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
-        share = min(max(n_toxic / n if n else 0.0, 1e-4), 1 - 1e-4)
-        return Model(math.log(share / (1 - share)), {})
+        return _without_words(n_toxic, n)
     part = min(1.0, sample / n)
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).limit(sample + sample // 5)
     labelled = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
@@ -161,8 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
             yield pd.DataFrame({"words": [[place[w] for w, _ in f] for f in found], "times": [[n for _, n in f] for f in found], "toxic": batch["toxic"]})
 
     rows = labelled.select("text", "toxic").mapInPandas(index, "words array<int>, times array<int>, toxic int").collect()
-    if not rows:
-        return Model(math.log(share / (1 - share)), {})
+    if len({r["toxic"] for r in rows}) < 2:  # labels of documents that are not there, or without text
+        return _without_words(sum(r["toxic"] for r in rows), len(rows))
     difference: Counter = Counter()
     for r in rows:
         held = set(r["words"])
@@ -170,9 +176,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
             for other in partner.get(vocabulary[i], ()):
                 if (j := place[other]) not in held:
                     difference[min(i, j), max(i, j)] += 1
+            if vocabulary[i] in partner:
+                difference[i, i] += 1  # the copy without the term
     swaps = np.zeros((max(1, len(difference)), len(vocabulary) + 1))
     for k, ((i, j), times) in enumerate(difference.items()):
-        swaps[k, i], swaps[k, j] = math.sqrt(times), -math.sqrt(times)
+        swaps[k, j] = -math.sqrt(times)
+        swaps[k, i] = math.sqrt(times)
     w = _fit([list(zip(r["words"], r["times"], strict=True)) for r in rows], np.array([r["toxic"] for r in rows], dtype=float), swaps, len(vocabulary), ridge, swap)
     return Model(float(w[-1]), {t: float(w[i]) for t, i in place.items() if abs(w[i]) > 1e-6})
 
