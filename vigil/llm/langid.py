@@ -9,7 +9,6 @@ posteriors over all pages; host priors are smoothed by those of the domain, and
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import saved
+from vigil.llm.common import saved, skew_join
 
-#: Hash buckets of character trigrams; documents of a language the text model is fitted to, about; languages at most.
-BUCKETS, SAMPLE, LANGUAGES = 8192, 3000, 24
+#: Hash buckets of character trigrams; documents of a language the text model is fitted to, about.
+BUCKETS, SAMPLE = 8192, 3000
 #: Trigrams that a text counts as at most: neighbouring ones are not independent.
 EVIDENCE = 40.0
 #: Weight of the level above, in pages, in smoothed shares.
@@ -43,15 +42,15 @@ def trigrams(text: str) -> np.ndarray:
 def text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log-probabilities of trigram buckets (BUCKETS x languages) from labelled documents.
 
-    The most frequent ``LANGUAGES`` languages are modelled, each on about ``sample`` documents, those with the least
-    hash of their text. Counts are summed per batch before they move; the model's size is fixed.
+    Every language that labels name is modelled on about ``sample`` documents, those with the least hash of their text.
+    Counts are summed per task before they move; the model has ``BUCKETS`` numbers for each language.
     """
     known = labelled.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((BUCKETS, 0))
-    part = reduce(lambda out, x: F.when(F.col("lang") == x, min(1.0, sample / sizes[x])).otherwise(out), languages, F.lit(0.0))
+    part = F.create_map(*(F.lit(y) for x in languages for y in (x, min(1.0, sample / sizes[x]))))[F.col("lang")]
     chosen = known.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +81,10 @@ def _likelihoods(model: np.ndarray, evidence: float = EVIDENCE):
     return score
 
 
-def _normal(parts: list[Column]) -> list[Column]:
-    total = reduce(lambda a, b: a + b, parts)
-    return [p / total for p in parts]
-
-
 def _shares(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    """Sums of the text posteriors by ``key``."""
-    return rows.groupBy(key).agg(*(F.sum(f"t{i}").alias(f"{name}{i}") for i in range(n)), F.count(F.lit(1)).alias(f"{name}_n"))
+    """Sums of the text posteriors, and the number of rows, by ``key``."""
+    sums = [F.sum(F.col("t")[i]) for i in range(n)]
+    return rows.groupBy(key).agg(F.array(*sums).alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
 
 
 def identify(pages: DataFrame, labelled: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -100,36 +95,41 @@ def identify(pages: DataFrame, labelled: DataFrame, url_col: str = "url", html_c
     """
     languages, model = text_model(labelled)
     own = [c for c in pages.columns if c not in ("host", "declared", "lang", "probability")]
-    rows = pages.select(*own)
-    url = F.coalesce(F.col(url_col), F.lit(""))
+    url, page = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#:]*)", 1))
     path = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*/([a-zA-Z]{2})(?:[/?#].*)?$", 1)
-    declared = F.lower(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    declared = F.lower(F.regexp_extract(page, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
     n = len(languages)
     if not n:
-        return rows.withColumn("host", host).withColumn("declared", declared).withColumn("lang", F.lit(None).cast("string")).withColumn("probability", F.lit(0.0))
-    text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), MARKUP, " ")
+        none = pages.select(*own, host.alias("host"), declared.alias("declared"))
+        return none.withColumn("lang", F.lit(None).cast("string")).withColumn("probability", F.lit(0.0))
     address = F.concat(F.regexp_extract(host, r"([^.]*)$", 1), F.lit("/"), F.lower(path))
-    seen = rows.drop(html_col).columns
-    scored = rows.withColumn("_like", _likelihoods(model)(text))
-    scored = scored.select(*seen, host.alias("host"), declared.alias("declared"), F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1).alias("_domain"), address.alias("_address"), *(F.col("_like")[i].alias(f"l{i}") for i in range(n)))
-    soft = _normal([F.exp(F.col(f"l{i}")) for i in range(n)])
-    scored = saved(scored.select("*", *(p.alias(f"t{i}") for i, p in enumerate(soft))), "evidence")
-
-    whole = scored.agg(*(F.coalesce(F.sum(f"t{i}"), F.lit(0.0)).alias(f"g{i}") for i in range(n)), F.count(F.lit(1)).alias("n")).first()
-    share = [(whole[f"g{i}"] + 1) / (whole["n"] + n) for i in range(n)]
+    domain = F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1)
+    # other columns go along in one struct, so none of theirs can clash with those below
+    kept = F.struct(*(F.col(c) for c in own if c != html_col))
+    like = _likelihoods(model)(F.regexp_replace(page, MARKUP, " "))
+    scored = pages.select(kept.alias("row"), host.alias("host"), declared.alias("declared"), domain.alias("domain"), address.alias("address"), like.alias("l"))
+    likely = F.transform("l", F.exp)
+    soft = F.transform(likely, lambda x: x / F.aggregate(likely, F.lit(0.0), lambda a, b: a + b))
+    scored = saved(scored.withColumn("t", soft), "evidence")
+
+    total, sums = scored.agg(F.count(F.lit(1)), F.array(*(F.coalesce(F.sum(F.col("t")[i]), F.lit(0.0)) for i in range(n)))).first()
+    share = F.array(*(F.lit((x + 1) / (total + n)) for x in sums))
     out = scored
-    for key, name in (("declared", "d"), ("_address", "a"), ("_domain", "m"), ("host", "h")):
-        out = out.join(_shares(scored, key, n, name), key)
-    # shares of a domain are smoothed by those of all pages, shares of a host by those of its domain; a page does not vouch for itself
-    at_domain = [(F.col(f"m{i}") - F.col(f"t{i}") + SMOOTH * share[i]) / (F.col("m_n") - 1 + SMOOTH) for i in range(n)]
-    at_host = [(F.col(f"h{i}") - F.col(f"t{i}") + SMOOTH * at_domain[i]) / (F.col("h_n") - 1 + SMOOTH) for i in range(n)]
-
-    def speaks(name: str, i: int) -> Column:
-        """Likelihood of the declared language or address, up to a factor: its share of a language over that language's own."""
-        return (F.col(f"{name}{i}") - F.col(f"t{i}") + SMOOTH * share[i]) / (F.col(f"{name}_n") - 1 + SMOOTH) / share[i]
-
-    posterior = _normal([F.exp(F.col(f"l{i}")) * speaks("d", i) * speaks("a", i) * at_host[i] for i in range(n)])
-    best = F.array_max(F.array(*(F.struct(F.col(f"p{i}").alias("p"), F.lit(-i).alias("i"), F.lit(x).alias("lang")) for i, x in enumerate(languages))))
-    out = out.select(*seen, "host", "declared", *(p.alias(f"p{i}") for i, p in enumerate(posterior))).withColumn("_best", best)
-    return out.select(*seen, "host", "declared", F.col("_best.lang").alias("lang"), F.col("_best.p").alias("probability"))
+    for key, name in (("declared", "d"), ("address", "a"), ("domain", "m"), ("host", "h")):
+        out = skew_join(out, saved(_shares(scored, key, n, name), name), key, f"{name}_n", total)
+
+    def smoothed(name: str, i: Column, above: Column) -> Column:
+        """The share of language i among the other rows of the key, smoothed by that of the level above."""
+        return (F.greatest(F.col(name)[i] - F.col("t")[i], F.lit(0.0)) + SMOOTH * above) / (F.col(f"{name}_n") - 1 + SMOOTH)
+
+    def weight(i: Column) -> Column:
+        """Text likelihood x what declared language and address say of language i over its own share x host prior."""
+        speaks = [smoothed(name, i, share[i]) / share[i] for name in ("d", "a")]
+        return F.exp(F.col("l")[i]) * speaks[0] * speaks[1] * smoothed("h", i, smoothed("m", i, share[i]))
+
+    out = out.withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), weight))
+    best = F.array_max(F.transform("w", lambda w, i: F.struct(w.alias("w"), (-i).alias("i"))))
+    out = out.withColumn("best", best).withColumn("sum", F.aggregate("w", F.lit(0.0), lambda a, b: a + b))
+    named = F.array(*(F.lit(x) for x in languages))[-F.col("best.i")]
+    return out.select("row.*", "host", "declared", named.alias("lang"), (F.col("best.w") / F.col("sum")).alias("probability"))
