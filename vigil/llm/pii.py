@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.llm.common import saved
+
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. Possessive loops and anchors keep matching linear; they match what the plain patterns match.
 BASE = {
@@ -24,9 +26,10 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser patterns of further candidates: spelt-out addresses, numbers in local form. None for the other kinds.
+#: Looser patterns of further candidates: spelt-out and defanged addresses, numbers in local form. None for cards.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,63}){1,5}",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\x20?[\[(](?:\.|dot|DOT)[\])]\x20?[0-9]{1,3}){3}(?![0-9])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
 }
 #: What a text must contain for a kind to be looked for at all.
@@ -92,18 +95,23 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
+def _undone(text: Column) -> Column:
+    """A defanged address with plain dots."""
+    return F.regexp_replace(text, r"\x20?[\[(](?:\.|dot|DOT)[\])]\x20?", ".")
+
+
 def votes(kind: str, span: Column, base: bool) -> Column:
     """A struct with a vote of -1, 0 or 1 by every labeler, and whether the span is from a base pattern."""
     text, before, never = span["text"], span["before"], F.lit(False)
     gazetteer = {
         "email": _vote(F.regexp_replace(text, r"(?i)\x20?[\[(]dot[\])]\x20?", ".").rlike(ENDINGS), never),
-        "ip": _vote(never, text.rlike(NOT_PUBLIC)),
+        "ip": _vote(never, _undone(text).rlike(NOT_PUBLIC)),
         "card": _vote(digits(text).rlike(ISSUERS), ~digits(text).rlike(ISSUERS)),
         "phone": _vote(text.rlike(COUNTRIES), text.startswith("+") & ~text.rlike(COUNTRIES)),
     }[kind]
     grouped = {
         "email": text.rlike(r"^[A-Za-z0-9]+[._][A-Za-z0-9]+"),
-        "ip": text.rlike(r"^[1-9][0-9]{0,2}(?:\.[0-9]{1,3}){3}$"),
+        "ip": _undone(text).rlike(rf"^(?=[1-9]){OCTET}(?:\.{OCTET}){{3}}$"),
         "card": text.rlike(r"^[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$|^3[47][0-9]{2}[\x20-][0-9]{6}[\x20-][0-9]{5}$|^[0-9]{15,16}$"),
         "phone": text.rlike(r"\([0-9]{2,4}\)|[0-9]{3}[\x20.-][0-9]{3,4}"),
     }[kind]
@@ -224,13 +232,12 @@ def _classifier(patterns: np.ndarray, base: np.ndarray, counts: np.ndarray, like
     return dict(zip(names, map(float, w), strict=True))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Votes on every candidate of all documents, counted by pattern (162 of a kind at most), then fitted.
+def train(candidates: DataFrame) -> Model:
+    """Votes on every candidate of all documents (``with_candidates``), counted by pattern (162 of a kind at most), then fitted.
 
     Base spans vote too: they show the labelers' reliabilities.
     """
-    with_all = with_candidates(docs.select(text_col), text_col)
-    counted = with_all.select(F.explode(F.concat(*map(_all_votes, KINDS))).alias("c")).groupBy("c.kind", "c.v").count().collect()
+    counted = candidates.select(F.explode(F.concat(*map(_all_votes, KINDS))).alias("c")).groupBy("c.kind", "c.v").count().collect()
     weights, reliability = {}, {}
     for kind in KINDS:
         rows = sorted(((tuple(r["v"]), r["count"]) for r in counted if r["kind"] == kind))
@@ -243,14 +250,16 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     return Model(weights, reliability)
 
 
-def detect(docs: DataFrame, text_col: str = "text", take: float = TAKE) -> DataFrame:
+def detect(docs: DataFrame, text_col: str = "text", take: float = TAKE, keep_text: bool = True) -> DataFrame:
     """Add ``base`` and ``spans``: arrays of (kind, start, end), by kind as listed and then by start.
 
     ``spans`` holds all base spans and the candidates that the classifier takes. Null and empty texts have none. Rows,
-    ids and other columns stay as they are; there is no shuffle but for the counts of votes.
+    ids and other columns stay as they are; there is no shuffle but for the counts of votes. Texts are read once: the
+    candidates, with the other columns, are a table in the shared folder. Without ``keep_text`` the text stays behind.
     """
-    model = train(docs, text_col)
     rows = with_candidates(docs, text_col)
+    rows = saved(rows if keep_text else rows.drop(text_col), "candidates")
+    model = train(rows)
     base, spans = [], []
     for kind in KINDS:
         own = _named(kind, F.col(f"_{kind}"))
