@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 
 import pandas as pd
@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A comment, declaration, or tag, with its name and attributes.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: The start of a comment, a declaration (or what browsers read as one), or a tag.
+START = re.compile(r"<(?:(!--)|([!?]|/(?![a-zA-Z]))|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+#: The rest of a tag; quotes count after an equals sign only. Possessive, so a failure costs one pass.
+REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>")
+UNQUOTED = re.compile(r"([^>]*)>")
 ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop|hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?<![\w-])hidden(?![\w-])", re.I)
 SPACE = re.compile(r"\s+")
 #: Elements whose text is never shown as running text.
@@ -64,8 +67,23 @@ class Block:
     words: int
     linked: float
     prior: float
-    path: tuple[int, ...]
     tag: str
+    depth: int  # block elements around it
+    parent: int  # the one around the innermost
+    shared: int  # block elements around this and the block before
+
+
+@dataclass(frozen=True)
+class Open:
+    """An open element, with what it and those around it say."""
+
+    tag: str
+    prior: float
+    silent: bool
+    depth: int
+    block: int
+    parent: int
+    block_tag: str
 
 
 def _node_prior(tag: str, attributes: str, in_article: bool) -> float:
@@ -86,69 +104,98 @@ def _node_prior(tag: str, attributes: str, in_article: bool) -> float:
     return prior
 
 
+def _closes_itself(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is not part of an unquoted value."""
+    if not attributes.endswith("/"):
+        return False
+    last = max(attributes.rfind(c) for c in " \t\n\r\f\"'")
+    return "=" not in attributes[last + 1 :]
+
+
 def read_blocks(page: str) -> list[Block]:
-    """The text blocks of a page, in page order, with what their ancestors say about them."""
+    """The text blocks of a page, in page order, with what their ancestors say about them, in time linear in the page.
+
+    After a tag that no > ends but one in quotes, quotes no longer count on the page.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = []  # tag, number, prior with ancestors, silent
+    outside = Open("", 0.0, False, 0, 0, 0, "")
+    stack: list[Open] = [outside]
+    opened: Counter = Counter()
     text: list[str] = []
-    linked, number, at, end = 0, 0, 0, len(page)
+    linked, number, low, at, end, rest = 0, 0, 0, 0, len(page), REST
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if text:
             whole = SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if whole:
-                path = tuple(n for t, n, _, _ in stack if t not in INLINE)
-                tag = next((t for t, _, _, _ in reversed(stack) if t not in INLINE), "")
-                blocks.append(Block(whole, whole.count(" ") + 1, min(1.0, linked / len(whole)), stack[-1][2] if stack else 0.0, path, tag))
+                top = stack[-1]
+                blocks.append(Block(whole, whole.count(" ") + 1, min(1.0, linked / len(whole)), top.prior, top.block_tag, top.depth, top.parent, low))
+                low = top.depth
             linked = 0
 
     def say(part: str) -> None:
         nonlocal linked
-        if part and not (stack and stack[-1][3]):
+        if part and not stack[-1].silent:
             text.append(part)
-            if any(t == "a" for t, _, _, _ in stack):
+            if opened["a"]:
                 linked += len(SPACE.sub(" ", part).strip())
 
+    def close(n: int) -> None:
+        nonlocal low
+        for x in stack[n:]:
+            opened[x.tag] -= 1
+        del stack[n:]
+        low = min(low, stack[-1].depth)
+
     while at < end:
-        m = TOKEN.search(page, at)
+        m = START.search(page, at)
+        say(page[at : m.start() if m else end])
         if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!]", rest)  # a tag that the page's end cuts off
-            say(rest[: cut.start()] if cut else rest)
             break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if m[1] or m[2]:
+            mark = "-->" if m[1] else ">"
+            found = page.find(mark, m.end())
+            at = found + len(mark) if found >= 0 else end
             continue
-        tag = m[2].lower()
+        r = rest.match(page, m.end())
+        if r is None:
+            rest = UNQUOTED
+            r = rest.match(page, m.end())
+        if r is None:
+            break  # a tag that the page's end cuts off
+        at, tag, attributes = r.end(), m[4].lower(), r[1]
         if tag not in INLINE:
             flush()
-        if m[1]:
-            if any(t == tag for t, _, _, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+        if m[3]:
+            if opened[tag]:
+                n = len(stack) - 1
+                while stack[n].tag != tag:
+                    n -= 1
+                close(n)
             continue
-        if tag in BREAKS_P and stack and any(t == "p" for t, _, _, _ in stack[-8:]):
-            i = max(k for k, s in enumerate(stack) if s[0] == "p")
-            if all(t in INLINE for t, _, _, _ in stack[i + 1 :]):
-                del stack[i:]
-        elif tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
-            stack.pop()
-        if tag in VOID or m[3].endswith("/"):
+        if tag in BREAKS_P and any(x.tag == "p" for x in stack[-8:]):
+            i = max(k for k in range(max(0, len(stack) - 8), len(stack)) if stack[k].tag == "p")
+            if all(x.tag in INLINE for x in stack[i + 1 :]):
+                close(i)
+        elif stack[-1].tag in CLOSES.get(tag, ()):
+            close(len(stack) - 1)
+        if tag in VOID or _closes_itself(attributes):
             continue
-        number += 1
-        above = stack[-1] if stack else ("", 0, 0.0, False)
-        prior = above[2] + _node_prior(tag, m[3], any(t == "article" for t, _, _, _ in stack))
-        silent = above[3] or tag in SILENT
+        above = stack[-1]
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            shut = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if tag not in SILENT:
-                say(page[at : close.start() if close else end])
-            at = close.end() if close else end
+                say(page[at : shut.start() if shut else end])
+            at = shut.end() if shut else end
             continue
-        stack.append((tag, number, prior, silent))
+        number += 1
+        inline = tag in INLINE
+        prior = above.prior + _node_prior(tag, attributes, bool(opened["article"]))
+        where = (above.depth, above.block, above.parent, above.block_tag) if inline else (above.depth + 1, number, above.block, tag)
+        stack.append(Open(tag, prior, above.silent or tag in SILENT, *where))
+        opened[tag] += 1
     flush()
     return blocks
 
@@ -206,7 +253,9 @@ class Network:
                     a = self.to[path[full] ^ 1]
                     del path[full:]
                     continue
-                for e in self.edges[a][tried[a] :]:
+                out = self.edges[a]
+                while tried[a] < len(out):
+                    e = out[tried[a]]
                     if self.room[e] > 1e-9 and level[self.to[e]] == level[a] + 1:
                         break
                     tried[a] += 1
@@ -236,14 +285,11 @@ def label(blocks: list[Block]) -> list[bool]:
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            shared = sum(1 for x in b.path[2:] if x in a)
-            weight = NEXT_TO / (1 + abs(len(a) - len(b.path))) + SHARED * shared
+            weight = NEXT_TO / (1 + abs(blocks[i - 1].depth - b.depth)) + SHARED * max(0, b.shared - 2)
             net.add(i - 1, i, weight, weight)
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        if (j := last.get(parent)) is not None and j < i - 1:
+        if (j := last.get(b.parent)) is not None and j < i - 1:
             net.add(j, i, SHARED, SHARED)  # siblings that others part
-        last[parent] = i
+        last[b.parent] = i
     return net.source_side(source, sink)[:n]
 
 
