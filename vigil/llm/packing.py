@@ -12,6 +12,7 @@ import math
 import struct
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +27,10 @@ from vigil.llm.common import position_in_group, saved
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers at most.
 REMEMBERED = 200_000
-#: Fillings tried at one node, and nodes of the whole search.
-WIDTH, NODES = 6, 4000
+#: Fillings kept at one node of those found, pairs looked at for them, and nodes of the whole search.
+WIDTH, LOOKED, NODES = 6, 60, 4000
+#: First solutions that fill bins of large sizes with large sizes: how many dividing sizes are tried, in two rounds.
+DIVES = 12
 #: Pieces of one size that are ranked in one task, about.
 RANKED = 10_000
 
@@ -154,9 +157,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, i
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
-    """A lower bound on the bins: for every k, items over capacity - k stand alone, those over half never pair up."""
+    """A lower bound on the bins: for every k, items over capacity - k stand alone, those over half never pair up.
+
+    Or else, for every k, the sum of sizes rounded to parts of k: a dual feasible function.
+    """
     total = sum(s * n for s, n in counts.items())
-    best = math.ceil(total / capacity)
+    best = -(-total // capacity)
+    for k in range(1, 32):
+        rounded = sum(n * (s * k if (k + 1) * s % capacity == 0 else (k + 1) * s // capacity * capacity) for s, n in counts.items())
+        best = max(best, -(-rounded // (k * capacity)))
     for k in sorted({s for s in counts if s <= capacity // 2} | {0}):
         large = [(s, n) for s, n in counts.items() if s > capacity - k]
         middle = [(s, n) for s, n in counts.items() if capacity // 2 < s <= capacity - k]
@@ -241,7 +250,7 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], most: int = WI
     found = {finished((sizes[top - 1],)), fullest(room, sizes, counts)}
     second = 0
     for a in reversed(sizes[:top]):
-        if a < second or len(found) > 60:
+        if a < second or len(found) > LOOKED:
             break
         b = largest(min(a, room - a), (a,))
         if b > second:  # else an earlier pair has both larger
@@ -257,8 +266,52 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], most: int = WI
     return kept[:most]
 
 
+def dive(counts: dict[int, int], capacity: int, above: int) -> list[tuple[tuple[int, ...], int]]:
+    """Fill every bin around the largest remaining size: over ``above`` with the largest that fit, else as full as can be.
+
+    Large sizes that would need the smallest ones for company are so packed among themselves.
+    """
+    left, sizes, out = dict(counts), sorted(counts), []
+    while sizes:
+        held, room = [sizes[-1]], capacity - sizes[-1]
+        left[sizes[-1]] -= 1
+        open_ = [s for s in sizes if left[s]]
+        if held[0] > above:
+            i = bisect_right(open_, room) - 1
+            while i >= 0:
+                n = min(left[open_[i]], room // open_[i])
+                held += [open_[i]] * n
+                room -= n * open_[i]
+                i = min(i - 1, bisect_right(open_, room) - 1)
+        else:
+            held += fullest(room, open_, left)
+        left[held[0]] += 1
+        used = Counter(held)
+        times = min(left[s] // n for s, n in used.items())
+        for s, n in used.items():
+            left[s] -= times * n
+        sizes = [s for s in sizes if left[s]]
+        out.append((tuple(held), times))
+    return out
+
+
+def _dived(counts: dict[int, int], capacity: int, bound: int) -> list[tuple[tuple[int, ...], int]]:
+    """The best of ``DIVES`` dives over sizes as dividing ones, and as many between the neighbours of the best."""
+    sizes, found = sorted(counts), {}
+    lo, hi = 0, len(sizes) - 1
+    for _ in range(2):
+        for i in sorted({lo + (hi - lo) * j // (DIVES - 1) for j in range(DIVES)} - found.keys(), reverse=True):
+            found[i] = dive(counts, capacity, sizes[i])
+            if sum(n for _, n in found[i]) <= bound:
+                return found[i]
+        tried = sorted(found)
+        at = tried.index(min(tried, key=lambda i: sum(n for _, n in found[i])))
+        lo, hi = tried[max(0, at - 1)], tried[min(len(tried) - 1, at + 1)]
+    return min(found.values(), key=lambda b: sum(n for _, n in b))
+
+
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Fill bins around the largest remaining size, depth first; the best-fit solution is the first incumbent.
+    """Fill bins around the largest remaining size, depth first; the best-fit solution and dives are first incumbents.
 
     A filling is used as often as the counts allow, so a path has as many steps as sizes run out, not as documents.
     A branch ends once its waste exceeds what one bin fewer than the incumbent leaves. The search ends at the lower
@@ -268,6 +321,9 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     total = sum(s * n for s, n in counts.items())
     best = best_fit(counts, capacity)
     bins, bound = sum(n for _, n in best), least_bins(counts, capacity)
+    if bins > bound:
+        best = min(best, _dived(counts, capacity, bound), key=lambda b: sum(n for _, n in b))
+        bins = sum(n for _, n in best)
     left, sizes, path, waste = dict(counts), sorted(counts), [], 0
     open_nodes: list[list[tuple[int, ...]]] = []
     seen = 0
