@@ -238,6 +238,20 @@ def test_bin_completion_is_sound():
     assert sum(t for _, t in packing.bin_completion({4: 1, 3: 2, 6: 1, 2: 2}, 10)) == 2
 
 
+@pytest.mark.parametrize(("low", "high", "most"), [(650, 720, 710), (500, 900, 725), (1, 2048, 1036)])
+def test_bin_completion_of_sizes_that_do_not_fit_well(low, high, most):
+    r = random.Random(31)
+    counts = Counter(r.randint(low, high) for _ in range(2000))
+    bins = packing.bin_completion(counts)
+    used = Counter()
+    for held, times in bins:
+        assert sum(held) <= 2048
+        for s in held:
+            used[s] += times
+    assert used == counts
+    assert packing.least_bins(counts, 2048) <= sum(t for _, t in bins) <= most
+
+
 def test_packing_of_nothing_and_of_repeats(spark):
     assert packing.packed(documents(spark, []), PATH).count() == 0
     rows = packing.packed(documents(spark, ["same", "same"], extra=True), PATH).collect()
@@ -336,7 +350,7 @@ def plain_spans(text):
 def test_base_spans_equal_the_plain_ones(spark):
     tricky = [
         "a@b.com.c_d@e.fg x@y@z.com .@-.- a.b@c", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3", "4111 1111 1111 1111 4111111111111112 4111-1111-1111-1111", "+1 (252) 555-8630 +12 +1234567890123456 ++1 22 33 44 55",
-        "\u0001a@b.co\u0002 \u00e9\U0001f600 10.0.0.1", "1 " * 4000, "a" * 3000 + "@", "9" * 3000, "call 555-123-4567 or user [at] example [dot] com", "card 4111 1111 1111 1112 here",
+        "\u0001a@b.co\u0002 \u00e9\U0001f600 10.0.0.1", "1 " * 4000, "a" * 3000 + "@", "9" * 3000, "call 555-123-4567 or user [at] example [dot] com", "card 4111 1111 1111 1112 here", "from host 10[.]20[.]30[.]40 and 300[.]1[.]1[.]1",
     ]
     texts = [*ODD, *tricky]
     for r in pii.detect(documents(spark, texts)).select("doc_id", pii.joined(F.col("base")).alias("base"), pii.joined(F.col("spans")).alias("spans")).collect():
@@ -399,11 +413,24 @@ def test_toxicity_held_out_and_neutral_mentions(spark):
     assert gap(model) < gap(free) / 3 and model.score("a muslim river") < 0.5
 
 
+def test_neutral_mentions_of_every_term_pass(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.train(docs, labels)
+    terms = [t for g in toxicity.IDENTITY for t in g]
+    neutral = [f"{a} {t} {b}" for t in terms for a, b in (("red river", "under stone"), ("one", "two three"), ("", ""))]
+    assert sum(model.score(x) >= toxicity.THRESHOLD for x in neutral) == 0
+    assert all(abs(model.score(f"one {t}") - model.score("one")) < 0.05 for t in terms)
+
+
 def test_toxicity_on_odd_input(spark):
     docs, labels = labelled(spark, 60)
     for tables in ((documents(spark, ODD, extra=True), labels), (documents(spark, []), labels), (docs, labels.limit(0)), (docs, labels.withColumn("toxic", F.lit(None).cast("int"))), (docs, labels.withColumn("toxic", F.lit(0)))):
         rows = toxicity.score(*tables).collect()
         assert len(rows) == tables[0].count() and all(0 <= r["score"] <= 1 for r in rows)
+    # documents of one kind only are left of the labelled ones
+    absent = spark.createDataFrame([*((i, 1, 0) for i in range(60)), *((i, 1, 1) for i in range(500, 540))], "doc_id long, quality int, toxic int")
+    for some in (absent, absent.withColumn("toxic", 1 - F.col("toxic"))):
+        assert {r["predicted"] for r in toxicity.score(docs, some).collect()} == {0}
     wide = documents(spark, ["red", "blue"], extra=True)
     assert toxicity.drop_toxic(wide, labels).columns == wide.columns
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +27,19 @@ def test_main_text_never_fails(page):
     assert isinstance(html_mincut.main_text(page), str)
 
 
+@pytest.mark.parametrize("shape", ["<div>x", "<a ", "<a \"", "<a ='>", "<a =\"x>\"", "<p>word</p><nav>a</nav>", "</b>", "<li>x", "<b>x"])
+def test_long_pages_take_linear_time(shape):
+    began = time.perf_counter()
+    html_mincut.main_text(shape * 100_000)
+    assert time.perf_counter() - began < 30
+
+
+def test_tags_with_odd_quotes():
+    blocks = html_mincut.read_blocks("<p title=it's>one</p><p>it's two <a href=/x/>link</a> three</p><img alt=\"a > b\"><p class=\"x>four</p>")
+    assert [b.text for b in blocks] == ["one", "it's two link three", "four"]
+    assert [round(b.linked, 2) for b in blocks] == [0, 0.21, 0]
+
+
 def test_minimum_cut_equals_brute_force():
     r = np.random.default_rng(4)
     for _ in range(40):
@@ -83,35 +98,51 @@ def test_hosts_paths_and_rules(spark):
 
 
 def test_url_scores_equal_a_plain_model(spark):
-    urls = [f"http://good{i}.example.net/en/{i}" for i in range(20)] + [f"http://casino{i}.net/win" for i in range(20)] + ["http://casino.example.com/win", "http://good.example.com/en/3"]
-    got = {r["url"]: r["score"] for r in url_markov.judge(spark.createDataFrame([(u,) for u in urls], "url string"), URL_RULES).collect()}
-    fold = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | dict.fromkeys("0123456789", 27) | {".": 28, "/": 29, "_": 30, "-": 30}
-    code = lambda u: [fold.get(c, 31) for c in u.lower()]
-    models = {}
+    urls = [f"http://good{i}.example.net/en/{i}" for i in range(20)] + [f"http://casino{i}.net/win" for i in range(20)]
+    urls += ["http://casino.example.com/win", "http://good.example.com/en/3", "http://ünï.example.com/\U0001f600", "x"]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r["url"]: r["score"] for r in url_markov.judge(frame, URL_RULES).collect()}
+    held = {r["url"] for r in frame.filter(url_markov.is_held(F.col("url"))).collect()}
+    order, models = url_markov.ORDER, {}
+    uniform = 1 / (len(set("".join(urls))) + 1)
+    padded = lambda u: [url_markov.PAD] * order + list(u)
     for label in ("allow", "block"):
         counts = {}
         for u in urls:
             rule = plain_rule(u)[2]
-            if rule and dict(URL_RULES)[rule] == label:
-                s = [0, 0, *code(u)]
-                for i in range(2, len(s)):
-                    for k in range(3):
+            if rule and dict(URL_RULES)[rule] == label and u not in held:
+                s = padded(u)
+                for i in range(order, len(s)):
+                    for k in range(order + 1):
                         c = counts.setdefault(tuple(s[i - k : i]), {})
                         c[s[i]] = c.get(s[i], 0) + 1
         models[label] = counts
 
     def p(counts, context, x):
-        low = p(counts, context[1:], x) if context else 1 / 32
+        low = p(counts, context[1:], x) if context else uniform
         c = counts.get(context, {})
         return (c.get(x, 0) + len(c) * low) / (sum(c.values()) + len(c)) if c else low
 
     for u in urls:
-        s = [0, 0, *code(u)]
-        want = np.mean([np.log(p(models["allow"], tuple(s[i - 2 : i]), s[i]) / p(models["block"], tuple(s[i - 2 : i]), s[i])) for i in range(2, len(s))])
-        assert got[u] == pytest.approx(want)
+        s = padded(u)
+        ratio = lambda i: np.log(p(models["allow"], tuple(s[i - order : i]), s[i]) / p(models["block"], tuple(s[i - order : i]), s[i]))
+        assert got[u] == pytest.approx(np.mean([ratio(i) for i in range(order, len(s))]), abs=1e-5)
     assert got["http://good.example.com/en/3"] > got["http://casino.example.com/win"]
 
 
+def test_url_verdicts_on_unseen_hosts(spark):
+    """Numbers, non-ASCII labels and longer pieces tell URLs apart that no rule fits."""
+    good = [f"http://site{i}.example.net/en/story-2{i % 10}1{i % 7}" for i in range(400)]
+    bad = [f"http://site{i}.casino{i % 9}.net/en/story-9{i % 10}8{i % 7}" for i in range(400)]
+    new_good = [f"http://other{i}.example.com/en/story-2{i % 10}1{i % 7}" for i in range(50)]
+    new_bad = [f"http://other{i}.casino{i % 9}.com/en/story-9{i % 10}8{i % 7}" for i in range(50)]
+    frame = spark.createDataFrame([(u,) for u in [*good, *bad, *new_good, *new_bad, None, "", "x" * 20000]], "url string")
+    got = {r["url"]: r for r in url_markov.judge(frame, URL_RULES).collect()}
+    assert len(got) == len({*good, *bad, *new_good, *new_bad}) + 3
+    assert sum(got[u]["verdict"] == "allow" for u in new_good) >= 48 and sum(got[u]["verdict"] == "block" for u in new_bad) >= 48
+    assert got[None]["score"] == 0 == got[""]["score"]
+
+
 # --- language
 
 
@@ -130,6 +161,36 @@ def test_language(spark):
     assert {x["lang"] for x in langid.identify(frame, labelled.limit(0)).collect()} == {None}
 
 
+def test_language_equals_a_plain_version(spark):
+    """Thirty languages, all of them modelled; posteriors from hand-made shares."""
+    r = np.random.default_rng(15)
+    names = [f"l{i:02}" for i in range(30)]
+    words = {x: ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for x in names}
+    say = lambda x, n: " ".join(r.choice(words[x], n))
+    labelled = spark.createDataFrame([(say(x, 30), x) for x in names for _ in range(4 if x < "l20" else 2)], "text string, lang string")
+    # texts of two languages leave the rest of the evidence something to say
+    pages = [(i, f"http://{names[i % 30] if i % 3 else 'www'}.s{i % 4}.com/a/{'de' if i % 5 else 'fr'}/", f"<html lang={'de' if i % 7 else 'fr'}>{say(names[i % 30], 3)} {say(names[i * 7 % 30], 2)}</html>") for i in range(120)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {x["page_id"]: x for x in langid.identify(frame, labelled).collect()}
+    languages, model = langid.text_model(labelled)
+    assert languages == names
+    score = lambda t: (lambda g: model[g].sum(axis=0) * min(1.0, langid.EVIDENCE / len(g)))(langid.trigrams(t))
+    like = np.array([score(" " + h.split(">", 1)[1].rsplit("<", 1)[0] + " ") for _, _, h in pages])
+    like = np.exp(like - like.max(axis=1, keepdims=True))
+    t = like / like.sum(axis=1, keepdims=True)
+    share = (t.sum(axis=0) + 1) / (len(pages) + 30)
+    host = [u.split("/")[2] for _, u, _ in pages]
+    keys = {"declared": [h[11:13] for _, _, h in pages], "address": [u[-3:-1] for _, u, _ in pages], "domain": [x.split(".", 1)[1] for x in host], "host": host}
+
+    def smoothed(name, i, above):
+        same = [j for j in range(len(pages)) if keys[name][j] == keys[name][i] and j != i]
+        return (t[same].sum(axis=0) + langid.SMOOTH * above) / (len(same) + langid.SMOOTH)
+
+    for i in range(len(pages)):
+        w = like[i] * smoothed("declared", i, share) / share * smoothed("address", i, share) / share * smoothed("host", i, smoothed("domain", i, share))
+        assert got[i]["lang"] == names[int(w.argmax())] and got[i]["probability"] == pytest.approx(w.max() / w.sum(), abs=1e-6)
+
+
 # --- vectors
 
 
@@ -175,6 +236,25 @@ def test_large_scores_and_small_blocks():
         assert [(-int(v), int(i)) for i, v in zip(ids[at == k], s[at == k], strict=True)] == want
 
 
+def test_scores_beyond_doubles_and_longs(spark):
+    """Whole numbers over 2^53 rank exactly; scores outside a long are its ends; one beyond the doubles takes no part."""
+    a = float(2**45 + 1)
+    rows = [(0, [a, 3.0]), (1, [a, 1.0]), (2, [a, 2.0]), (3, [-a, 0.0]), (50, [1e40, 0.0]), (51, [1e308, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(topk.whole_numbers(frame), F.col("vec_id") % 50 == 0, 4).collect()
+    whole = {i: [int(c * 256) if abs(c * 256) < 2**53 else int(c * 256) for c in v] for i, v in rows if i < 51}
+    limit = lambda x: max(-(2**63), min(2**63 - 1, x))
+    for q in (0, 50):
+        want = sorted((-limit(sum(x * y for x, y in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)[:4]
+        assert [(g["vec_id"], -g["score"]) for g in sorted(got, key=lambda g: (g["query_id"], g["rank"])) if g["query_id"] == q] == [(i, s) for s, i in want]
+
+
+def test_integers_beyond_doubles():
+    x = np.array([[2.0**30, 1.0], [2.0**30, 2.0], [2.0**30, 3.0], [-(2.0**30), 0.0]])
+    at, ids, s = topk.search_block(np.array([9]), x[:1], np.arange(4), x, 3)
+    assert list(ids) == [2, 1, 0] and [int(v) for v in s] == [2**60 + 3, 2**60 + 2, 2**60 + 1]
+
+
 @pytest.mark.parametrize("home", [4096, 16])
 def test_vector_links_equal_brute_force(spark, monkeypatch, home):
     """Clusters, copies, other labels and odd vectors; small cells are split over several tasks."""
