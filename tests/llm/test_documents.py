@@ -145,9 +145,11 @@ def test_keep_one_drops_texts_of_similarity_080_and_no_others(spark, monkeypatch
     # buckets that are dealt to parts give the same pairs, and those that anchors leave are found by either way
     at = simhash.segments(len(texts))
     kinds = docs.select(simhash.wide_udf("text").alias("w")).select("w.*").withColumn("root", F.col("node"))
+    none = {"ref": "long", "rest": "long", "more": "long", "held": "array<long>"}
+    kinds = kinds.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
     pairs = [{(x["a"], x["b"]) for x in simhash.similar_pairs(kinds, at, hot).collect()} for hot in (2, 4096)]
     assert pairs[0] == pairs[1] and len(pairs[0]) >= sum(near)
-    anchored = {(x["a"], x["b"]) for x in simhash.anchor_pairs(kinds, at, 1).collect()}
+    anchored = {(min(x), max(x)) for x in simhash.anchor_pairs(kinds, at, 1).collect() if x["node"] != x["head"]}
     assert anchored <= pairs[0] and len(anchored) >= sum(near) / 4
 
 
@@ -162,11 +164,39 @@ def test_keep_one_of_a_dense_group(spark):
             words[at] = f"n{i}x{at}"
         texts.append(" ".join(words))
     docs = documents(spark, [*texts, *sentences(20, 5)])
-    assert sorted(x["doc_id"] for x in simhash.keep_one(docs).collect())[:1] == [0]
     assert simhash.keep_one(documents(spark, texts)).count() == 1
     kinds = docs.select(simhash.wide_udf("text").alias("w")).select("w.*").withColumn("root", F.col("node"))
     at = simhash.segments(420)
-    assert simhash.anchor_pairs(kinds, at).count() <= 2 * simhash.ANCHORS * 420
+    assert 300 <= simhash.anchor_pairs(kinds, at, 8).count() <= simhash.ANCHORS * 420
+
+
+@pytest.mark.parametrize("hot", [None, 100])
+def test_a_common_head_excludes_pairs_but_no_links(spark, monkeypatch, hot):
+    """Copies with many changes, about half of them similar to the text they come from: few candidates, every link."""
+    r = random.Random(22)
+    base, texts = [f"b{r.randrange(10**6)}" for _ in range(200)], []
+    for i in range(300):
+        words = list(base)
+        for at in r.sample(range(200), r.randint(0, 9)):
+            words[at] = f"n{i}x{at}"
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    near = {i: {j for j in range(300) if jaccard(sets[i], sets[j]) >= 0.8} for i in range(300)}
+    want = {}
+    for i in range(300):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += [j for j in near[todo.pop()] if j not in seen and not seen.add(j)]
+        want[i] = min(seen)
+    asked = []
+    monkeypatch.setattr(simhash, "DENSE", 8)
+    plain = simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda k, at: asked.append((k, plain(k, at, hot))) or asked[-1][1])
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(documents(spark, texts)).collect()}
+    assert 10 < len(set(want.values())) and got == want
+    free = asked[0][0].withColumns({"ref": F.lit(None).cast("long")})
+    assert asked[0][1].count() < plain(free, simhash.segments(300), hot).count() / 3
 
 
 def test_keep_one_keeps_different_texts_of_one_id(spark):

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -41,8 +41,11 @@ BUCKET = 32
 STAGE_WORDS, SIMILAR, WIDE = 5, 0.8, 512
 #: Chance to miss a pair of the least similarity, about; nodes that share a bucket by chance; nodes of a large bucket.
 MISSED, CHANCE, STAGE_BUCKET = 0.01, 16, 128
-#: Segments whose large buckets are linked through fixed nodes first.
-ANCHORS = 6
+#: Segments whose large buckets are linked through a head first, and how many nodes make a bucket large for that.
+ANCHORS, DENSE = 6, 64
+#: Shingles of a head that nodes of a dense group keep as bits, a multiple of 64; most bits of the whole fingerprint in
+#: which dense candidates differ (78 differ at the least similarity, with deviation 8); rows that may be broadcast.
+HELD, WIDE_APART, SMALL = 1024, 106, 10_000
 #: Most of the first 128 bits in which candidates differ: 19 differ at the least similarity, with deviation 4.
 APART = 40
 
@@ -257,77 +260,136 @@ def _fits(a: str, b: str) -> Column:
     return (x("n") * SIMILAR <= y("n")) & (y("n") * SIMILAR <= x("n")) & (apart <= APART)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def anchor_pairs(kinds: DataFrame, at: np.ndarray, bucket: int = STAGE_BUCKET) -> DataFrame:
-    """Candidates (a, b) in buckets of over ``bucket`` nodes: each node with two fixed ones of its bucket.
+def anchor_pairs(kinds: DataFrame, at: np.ndarray, bucket: int | None = None) -> DataFrame:
+    """(node, head): in buckets of over ``bucket`` (``DENSE``) nodes, each node with the one nearest to most of them in every bit.
 
-    A dense group so gets a number of pairs in proportion to its size, which join nearly all of it.
+    A dense group so gets a number of pairs in proportion to its size, which join most of what can be joined.
     """
+    total = kinds.count() * ANCHORS
     keyed = _keyed(kinds.select("node", "n", "wide"), at[:ANCHORS])
-    entry = F.struct(F.xxhash64("node").alias("h"), "node", "n", "f0", "f1")
-    heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.array(F.min(entry), F.max(entry)).alias("heads")).filter(F.col("m") > bucket)
-    heads = saved(heads, "heads")
-    met = skew_join(keyed, heads, "key", "m", kinds.count() * ANCHORS)
-    met = met.select(F.struct("node", "n", "f0", "f1").alias("x"), F.explode("heads").alias("y")).filter(F.col("x.node") != F.col("y.node"))
-    return _ordered(met.filter(_fits("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    large = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > (bucket or DENSE)), "large")
+    rows = saved(skew_join(keyed, large, "key", "m", total), "members")
+    most = [reduce(Column.bitwiseOR, (F.shiftleft((2 * F.sum(F.shiftright(f, i).bitwiseAND(F.lit(1))) > F.count(F.lit(1))).cast("long"), i) for i in range(64))) for f in ("f0", "f1")]
+    usual = saved(rows.groupBy("key").agg(F.first("m").alias("size"), most[0].alias("u0"), most[1].alias("u1")), "usual")
+    apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("u0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("u1")))
+    entry = F.struct(apart.alias("apart"), "node", "n", "f0", "f1")
+    heads = skew_join(rows, usual, "key", "size", total).groupBy("key").agg(F.first("size").alias("size"), F.min(entry).alias("y"))
+    met = skew_join(rows, saved(heads, "heads"), "key", "size", total).select(F.struct("node", "n", "f0", "f1").alias("x"), "y")
+    return met.filter(_fits("x", "y")).select(F.col("x.node").alias("node"), F.col("y.node").alias("head")).distinct()
 
 
-def _met_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of different roots among rows (key, node, root, n, f0, f1) in order of the key."""
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _held_udf(head: pd.Series, own: pd.Series) -> pd.Series:
+    """Which of the first ``HELD`` shingles of a head's set a node has, as bits of ``HELD`` / 64 numbers."""
+
+    def bits(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(HELD, dtype=bool)
+        at[: len(h)] = np.isin(h[:HELD], x)[:HELD]
+        return np.packbits(at, bitorder="little").view("<i8")
 
-    def fit(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        apart = sum(np.bitwise_count((x[f][i] ^ y[f][j]).view(np.uint64)).astype(np.int64) for f in (4, 5))
-        return (x[2][i] != y[2][j]) & (apart <= APART) & (x[3][i] * SIMILAR <= y[3][j]) & (y[3][j] * SIMILAR <= x[3][i])
+    return pd.Series([bits(h, x) for h, x in zip(head, own, strict=True)])
 
-    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x = np.concatenate(held, axis=1)
-        starts = np.flatnonzero(np.concatenate([[True], x[0][1:] != x[0][:-1]]))
-        sizes = np.diff(np.append(starts, x.shape[1]))
+
+def _references(tried: DataFrame, heads: DataFrame) -> DataFrame:
+    """(node, ref, held, rest, more) for every node of ``tried`` (node, head, both): its best linked head, for a bound.
+
+    ``held`` are bits of the first shingles of the head that the node has, ``rest`` is how many of the others it has, and
+    ``more`` how many shingles it has besides. ``tried`` also holds both sets.
+    """
+    links = heads.select("head", F.col("links"))
+    best = tried.join(F.broadcast(links) if links.count() <= SMALL else links, "head")
+    best = best.groupBy("node").agg(F.max_by("head", F.struct("links", "head")).alias("head"))
+    chosen = tried.join(best.hint("merge"), ["node", "head"]).dropDuplicates(["node"])
+    held = chosen.select("node", F.col("head").alias("ref"), "both", F.size("node_set").alias("n"), _held_udf("head_set", "node_set").alias("held"))
+    counted = F.aggregate("held", F.lit(0), lambda total, x: total + F.bit_count(x))
+    return held.select("node", "ref", "held", (F.col("both") - counted).alias("rest"), (F.col("n") - F.col("both")).alias("more"))
+
+
+def _met_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of different roots among rows (key, node, root, n, f0, f1, ref, rest, more, held) in order of the key."""
+    key, node, root, n, f0, f1, ref, rest, more = range(9)
+
+    def fit(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the positions i and j of x and y that may be links."""
+        (a, wide_a), (b, wide_b) = x, y
+        count = lambda u, v: np.bitwise_count(u.view(np.uint64)[i] ^ v.view(np.uint64)[j]).astype(np.int64)
+        good = (a[root][i] != b[root][j]) & (count(a[f0], b[f0]) + count(a[f1], b[f1]) <= APART)
+        good &= (a[n][i] * SIMILAR <= b[n][j]) & (b[n][j] * SIMILAR <= a[n][i])
+        i, j = i[good], j[good]
+        shared = (a[ref][i] != 0) & (b[ref][j] != 0)
+        far = np.zeros(len(i), dtype=bool)
+        k, m = i[shared], j[shared]
+        bits = lambda op, part: np.bitwise_count(op(wide_a[k, part].view(np.uint64), wide_b[m, part].view(np.uint64))).sum(axis=1, dtype=np.int64)
+        far[shared] = bits(np.bitwise_xor, slice(HELD // 64, None)) > WIDE_APART
+        both = bits(np.bitwise_and, slice(HELD // 64)) + np.minimum(a[rest][k], b[rest][m]) + np.minimum(a[more][k], b[more][m])
+        far[shared] |= (a[ref][k] == b[ref][m]) & (both < SIMILAR * (a[n][k] + b[n][m] - both) - 1e-9)
+        return a[node][i[~far]], b[node][j[~far]]
+
+    def pairs(x: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keys = x[0][key]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
         for at, size in zip(starts[sizes > STAGE_BUCKET], sizes[sizes > STAGE_BUCKET], strict=True):
-            group = x[:, at : at + size]
-            roots, of, count = np.unique(group[2], return_inverse=True, return_counts=True)
-            few = group[:, of != count.argmax()]  # two rows of the most frequent root need no comparison
-            for k in range(few.shape[1]):
-                one, every = np.full(size, k), np.arange(size)
-                yield few[1][one], group[1][every], fit(few, group, one, every)
+            group = x[0][:, at : at + size], x[1][at : at + size]
+            _, of, count = np.unique(group[0][root], return_inverse=True, return_counts=True)
+            every = np.arange(size)
+            for k in np.flatnonzero(of != count.argmax()):  # two rows of the most frequent root need no comparison
+                yield fit(group, group, np.full(size, k), every)
         alive = np.flatnonzero(np.repeat(sizes <= STAGE_BUCKET, sizes))
         end, d = np.repeat(starts + sizes, sizes), 1
         while len(alive := alive[alive + d < end[alive]]):
-            yield x[1][alive], x[1][alive + d], fit(x, x, alive, alive + d)
+            yield fit(x, x, alive, alive + d)
             d += 1
 
-    def found(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for a, b, good in pairs(held):
-            if good.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[good]), pa.array(np.maximum(a, b)[good])], names=["a", "b"])
+    def found(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for a, b in pairs((np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held]))):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    held: list[np.ndarray] = []  # rows of the last key so far
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last key so far
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        last = int(np.searchsorted(x[0], x[0][-1]))
-        if last or (held and held[0][0][0] != x[0][0]):
-            yield from found([*held, x[:, :last]])
+        *columns, lists = batch.columns
+        x = np.stack([c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
+        wide = np.zeros((batch.num_rows, (HELD + WIDE) // 64), dtype=np.int64)
+        wide[lists.is_valid().to_numpy(zero_copy_only=False)] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, wide.shape[1])
+        last = int(np.searchsorted(x[key], x[key][-1]))
+        if last or (held and held[0][0][key][0] != x[key][0]):
+            yield from found([*held, (x[:, :last], wide[:last])])
             held = []
-        held.append(x[:, last:])
+        held.append((x[:, last:], wide[last:]))
     if held:
         yield from found(held)
 
 
+def _may_link(a: str, b: str) -> Column:
+    """``_fits``, and for dense nodes the whole fingerprint and what the shared head says, as in ``_met_in_order``."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    words = HELD // 64
+
+    def bits(op: str, start: int, size: int) -> Column:
+        each = F.zip_with(F.slice(x("held"), start + 1, size), F.slice(y("held"), start + 1, size), lambda p, q: F.bit_count(getattr(p, op)(q)))
+        return F.aggregate(each, F.lit(0), lambda total, v: total + v)
+
+    both = bits("bitwiseAND", 0, words) + F.least(x("rest"), y("rest")) + F.least(x("more"), y("more"))
+    far = (bits("bitwiseXOR", words, WIDE // 64) > WIDE_APART) | ((x("ref") == y("ref")) & (both < SIMILAR * (x("n") + y("n") - both) - 1e-9))
+    return (x("root") != y("root")) & _fits(a, b) & ~F.coalesce(far, F.lit(False))
+
+
 def similar_pairs(kinds: DataFrame, at: np.ndarray, hot: int | None = None) -> DataFrame:
-    """Candidate pairs (a, b) of ``kinds`` (node, root, n, wide) of different roots, without repeats.
+    """Candidate pairs (a, b) of ``kinds`` (node, root, n, wide, ref, rest, more, held) of different roots, without repeats.
 
-    Nodes of one bucket whose sizes and first 128 bits allow ``SIMILAR`` are candidates. Buckets of over ``hot`` nodes
-    (by default 4096 and a thousandth of all; so there are at most 1000 of each segment) are dealt to parts: there the
-    nodes that are not of the most frequent root meet all nodes. Smaller ones are met in order of the key.
+    Nodes of one bucket are candidates unless sizes or first 128 bits speak against ``SIMILAR`` (``_fits``), or, where both
+    have a head, all bits of the fingerprint do, or shingles shared with the same head exclude it. Buckets of over
+    ``hot`` nodes (by default 4096 and a thousandth of all; so there are at most 1000 of each segment) are dealt to parts:
+    there the nodes that are not of the most frequent root meet all nodes. Smaller ones are met in order of the key.
     """
     hot = hot or max(4096, kinds.count() // 1000)
-    keyed = _keyed(kinds, at).select("key", "node", "root", "n", "f0", "f1")
-    large = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot), "large")
+    columns = ["node", "root", "n", "f0", "f1", "ref", "rest", "more", "held"]
+    whole = F.when(F.col("ref").isNotNull(), F.concat("held", _words_udf("wide")))
+    keyed = _keyed(kinds.withColumn("held", whole), at).select("key", *columns)
+    large = saved(_keyed(kinds.select("node", "n", "wide"), at).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot), "large")
     cold = keyed.join(F.broadcast(large), "key", "left_anti").repartition("key").sortWithinPartitions("key")
     pairs = cold.mapInArrow(_met_in_order, "a long, b long")
     if large.head(1):
@@ -335,42 +397,53 @@ def similar_pairs(kinds: DataFrame, at: np.ndarray, hot: int | None = None) -> D
         most = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
         few = rows.join(F.broadcast(saved(most, "most")), "key").filter("root <> most")
         parts = F.ceil(F.col("m") / hot).cast("int")
-        every = rows.select("key", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.struct("node", "root", "n", "f0", "f1").alias("x"))
-        few = few.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.struct("node", "root", "n", "f0", "f1").alias("y"))
-        met = every.join(few.hint("merge"), ["key", "part"]).filter((F.col("x.root") != F.col("y.root")) & _fits("x", "y"))
+        every = rows.select("key", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.struct(*columns).alias("x"))
+        few = few.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.struct(*columns).alias("y"))
+        met = every.join(few.hint("merge"), (every["key"] == few["key"]) & (every["part"] == few["part"]) & _may_link("x", "y"))
         pairs = pairs.union(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    return _ordered(pairs)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more."""
-    uses = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("uses")), "uses")
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _words_udf(wide: pd.Series) -> pd.Series:
+    return pd.Series([np.frombuffer(w, dtype="<i8") for w in wide])
+
+
+def _with_sets(pairs: DataFrame, one: str, two: str, rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``pairs`` with the shingle sets of both nodes, and ``both``, how many they share."""
+    uses = saved(pairs.select(F.explode(F.array(one, two)).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("uses")), "uses")
     some = kinds.select("node", "row").join(uses, "node")
     texts = rows.select("row", "text").join(some.select("node", "row", "uses"), "row").dropDuplicates(["node"])
     sets = saved(texts.select("node", "uses", shingle_set_udf("text").alias("set")), "sets")
-    total = 2 * pairs.count()
-    out = pairs
-    for x in "ab":
+    total, out = 2 * pairs.count(), pairs
+    for x in (one, two):
         out = skew_join(out, sets.select(F.col("node").alias(x), "uses", F.col("set").alias(f"{x}_set")), x, "uses", total).drop("uses")
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    return saved(out.filter(both >= SIMILAR * (F.size("a_set") + F.size("b_set") - both) - 1e-9).select("a", "b"), "verified")
+    return out.withColumn("both", F.size(F.array_intersect(f"{one}_set", f"{two}_set")))
+
+
+def _similar(one: str, two: str) -> Column:
+    return F.col("both") >= SIMILAR * (F.size(f"{one}_set") + F.size(f"{two}_set") - F.col("both")) - 1e-9
 
 
 def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, root) for every row of ``docs``: row is (no_id, id, mark), the id and hash of its text.
 
     Texts of shingle Jaccard ``SIMILAR`` or more have the same root. Candidates come from Golay-coded segments of a
-    SimHash of ``WIDE`` bits and are verified on their shingle sets: first those with fixed nodes of large buckets, then
-    those that the first links leave apart. Texts of equal sets (all without a word, too) are one node.
+    SimHash of ``WIDE`` bits and are verified on their shingle sets: first those with the heads of large buckets, then
+    those that the first links leave apart and a common head does not exclude. Texts of equal sets (all without a word, too) are one node.
     """
     rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     prints = saved(rows.select("row", wide_udf("text").alias("w")).select("row", "w.*"), "prints")
     kinds = saved(prints.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("wide").alias("wide")), "kinds")
     at = segments(kinds.count())
-    first = _verified(saved(anchor_pairs(kinds, at), "anchored"), rows, kinds)
+    tried = saved(_with_sets(saved(anchor_pairs(kinds, at), "anchored"), "node", "head", rows, kinds).withColumn("linked", _similar("node", "head")), "tried")
+    first = tried.filter("linked and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    heads = saved(tried.groupBy("head").agg(F.count_if("linked").alias("links")), "linked")
     roots = connected_components(first, "a", "b")
-    rooted = saved(kinds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "n", "wide"), "rooted")
-    second = _verified(saved(similar_pairs(rooted, at), "candidates"), rows, kinds)
+    rooted = kinds.select("node", "n", "wide").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = saved(rooted.join(_references(tried, heads), "node", "left"), "rooted")
+    second = _with_sets(saved(similar_pairs(rooted, at), "candidates"), "a", "b", rows, kinds).filter(_similar("a", "b")).select("a", "b")
+    second = saved(second, "verified")
     roots = connected_components(first.union(second), "a", "b")
     named = kinds.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = prints.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
