@@ -147,9 +147,9 @@ def test_keep_one_drops_texts_of_similarity_080_and_no_others(spark, monkeypatch
     kinds = docs.select(simhash.wide_udf("text").alias("w")).select("w.*").withColumn("root", F.col("node"))
     none = {"ref": "long", "rest": "long", "more": "long", "held": "array<long>"}
     kinds = kinds.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
-    pairs = [{(x["a"], x["b"]) for x in simhash.similar_pairs(kinds, at, hot).collect()} for hot in (2, 4096)]
+    pairs = [{(x["a"], x["b"]) for x in simhash.similar_pairs(kinds, at, simhash.large_buckets(kinds, at, 2), hot).collect()} for hot in (2, 4096)]
     assert pairs[0] == pairs[1] and len(pairs[0]) >= sum(near)
-    anchored = {(min(x), max(x)) for x in simhash.anchor_pairs(kinds, at, 1).collect() if x["node"] != x["head"]}
+    anchored = {(min(x), max(x)) for x in simhash.anchor_pairs(kinds, at, simhash.large_buckets(kinds, at, 1)).collect() if x["node"] != x["head"]}
     assert anchored <= pairs[0] and len(anchored) >= sum(near) / 4
 
 
@@ -167,7 +167,7 @@ def test_keep_one_of_a_dense_group(spark):
     assert simhash.keep_one(documents(spark, texts)).count() == 1
     kinds = docs.select(simhash.wide_udf("text").alias("w")).select("w.*").withColumn("root", F.col("node"))
     at = simhash.segments(420)
-    assert 300 <= simhash.anchor_pairs(kinds, at, 8).count() <= simhash.ANCHORS * 420
+    assert 300 <= simhash.anchor_pairs(kinds, at, simhash.large_buckets(kinds, at, 8)).count() <= 2 * 420
 
 
 @pytest.mark.parametrize("hot", [None, 100])
@@ -192,11 +192,11 @@ def test_a_common_head_excludes_pairs_but_no_links(spark, monkeypatch, hot):
     asked = []
     monkeypatch.setattr(simhash, "DENSE", 8)
     plain = simhash.similar_pairs
-    monkeypatch.setattr(simhash, "similar_pairs", lambda k, at: asked.append((k, plain(k, at, hot))) or asked[-1][1])
+    monkeypatch.setattr(simhash, "similar_pairs", lambda k, at, large: asked.append((k, plain(k, at, large, hot), large)) or asked[-1][1])
     got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(documents(spark, texts)).collect()}
     assert 10 < len(set(want.values())) and got == want
     free = asked[0][0].withColumns({"ref": F.lit(None).cast("long")})
-    assert asked[0][1].count() < plain(free, simhash.segments(300), hot).count() / 3
+    assert asked[0][1].count() < plain(free, simhash.segments(300), asked[0][2], hot).count() / 10
 
 
 def test_keep_one_keeps_different_texts_of_one_id(spark):

@@ -41,11 +41,11 @@ BUCKET = 32
 STAGE_WORDS, SIMILAR, WIDE = 5, 0.8, 512
 #: Chance to miss a pair of the least similarity, about; nodes that share a bucket by chance; nodes of a large bucket.
 MISSED, CHANCE, STAGE_BUCKET = 0.01, 16, 128
-#: Segments whose large buckets are linked through a head first, and how many nodes make a bucket large for that.
-ANCHORS, DENSE = 6, 64
+#: Nodes of a bucket that is linked through a head first.
+DENSE = 64
 #: Shingles of a head that nodes of a dense group keep as bits, a multiple of 64; most bits of the whole fingerprint in
-#: which dense candidates differ (78 differ at the least similarity, with deviation 8); rows that may be broadcast.
-HELD, WIDE_APART, SMALL = 1024, 106, 10_000
+#: which dense candidates differ (78 differ at the least similarity, with deviation 8).
+HELD, WIDE_APART = 1024, 106
 #: Most of the first 128 bits in which candidates differ: 19 differ at the least similarity, with deviation 4.
 APART = 40
 
@@ -260,22 +260,31 @@ def _fits(a: str, b: str) -> Column:
     return (x("n") * SIMILAR <= y("n")) & (y("n") * SIMILAR <= x("n")) & (apart <= APART)
 
 
-def anchor_pairs(kinds: DataFrame, at: np.ndarray, bucket: int | None = None) -> DataFrame:
-    """(node, head): in buckets of over ``bucket`` (``DENSE``) nodes, each node with the one nearest to most of them in every bit.
+def large_buckets(kinds: DataFrame, at: np.ndarray, least: int | None = None) -> DataFrame:
+    """(key, m): buckets of over ``least`` (``DENSE``) nodes."""
+    counts = _keyed(kinds.select("node", "n", "wide"), at).groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    return saved(counts.filter(F.col("m") > (least or DENSE)), "large")
 
-    A dense group so gets a number of pairs in proportion to its size, which join most of what can be joined.
+
+def anchor_pairs(kinds: DataFrame, at: np.ndarray, large: DataFrame) -> DataFrame:
+    """(node, head): each node of the ``large`` buckets with two heads, those of most nodes.
+
+    A bucket's head is the node nearest to what most of its nodes have in every bit. A dense group so gets a number of
+    pairs in proportion to its size, which join most of what can be joined.
     """
-    total = kinds.count() * ANCHORS
-    keyed = _keyed(kinds.select("node", "n", "wide"), at[:ANCHORS])
-    large = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > (bucket or DENSE)), "large")
-    rows = saved(skew_join(keyed, large, "key", "m", total), "members")
+    total = kinds.count() * len(at)
+    narrow = _keyed(kinds.select("node", "n", "wide"), at).select("key", "node", "n", "f0", "f1")
+    rows = saved(skew_join(narrow, large, "key", "m", total), "members")
     most = [reduce(Column.bitwiseOR, (F.shiftleft((2 * F.sum(F.shiftright(f, i).bitwiseAND(F.lit(1))) > F.count(F.lit(1))).cast("long"), i) for i in range(64))) for f in ("f0", "f1")]
     usual = saved(rows.groupBy("key").agg(F.first("m").alias("size"), most[0].alias("u0"), most[1].alias("u1")), "usual")
     apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("u0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("u1")))
     entry = F.struct(apart.alias("apart"), "node", "n", "f0", "f1")
     heads = skew_join(rows, usual, "key", "size", total).groupBy("key").agg(F.first("size").alias("size"), F.min(entry).alias("y"))
     met = skew_join(rows, saved(heads, "heads"), "key", "size", total).select(F.struct("node", "n", "f0", "f1").alias("x"), "y")
-    return met.filter(_fits("x", "y")).select(F.col("x.node").alias("node"), F.col("y.node").alias("head")).distinct()
+    met = saved(met.filter(_fits("x", "y")).select(F.col("x.node").alias("node"), F.col("y.node").alias("head")).distinct(), "headed")
+    uses = saved(met.groupBy("head").agg(F.count(F.lit(1)).alias("uses")), "uses")
+    ranked = skew_join(met, uses, "head", "uses", met.count()).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("uses", "head")), False).alias("heads"))
+    return ranked.select("node", F.explode(F.slice("heads", 1, 2)).alias("h")).select("node", "h.head")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -290,19 +299,30 @@ def _held_udf(head: pd.Series, own: pd.Series) -> pd.Series:
     return pd.Series([bits(h, x) for h, x in zip(head, own, strict=True)])
 
 
-def _references(tried: DataFrame, heads: DataFrame) -> DataFrame:
-    """(node, ref, held, rest, more) for every node of ``tried`` (node, head, both): its best linked head, for a bound.
+def _leaders(tried: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, head) for every node of ``tried`` (node, head, linked): of its heads the one with most links, and of the
+    heads that links join with that one again the one with most."""
+    links = tried.groupBy("head").agg(F.count_if("linked").alias("links")).join(roots.withColumnRenamed("node", "head"), "head", "left")
+    heads = saved(links.withColumn("root", F.coalesce("root", "head")), "links")
+    leaders = heads.groupBy("root").agg(F.max_by("head", F.struct("links", "head")).alias("leader"))
+    named = saved(heads.join(leaders, "root"), "leaders")
+    best = tried.select("node", "head").join(named, "head").groupBy("node").agg(F.max_by("leader", F.struct("links", "head")).alias("head"))
+    return saved(best, "chosen")
+
+
+def _references(chosen: DataFrame) -> DataFrame:
+    """(node, ref, held, rest, more) for every row of ``chosen`` (node, head, both sets, both): what bounds shared shingles.
 
     ``held`` are bits of the first shingles of the head that the node has, ``rest`` is how many of the others it has, and
-    ``more`` how many shingles it has besides. ``tried`` also holds both sets.
+    ``more`` how many shingles it has besides, as far as another node of the head has them too.
     """
-    links = heads.select("head", F.col("links"))
-    best = tried.join(F.broadcast(links) if links.count() <= SMALL else links, "head")
-    best = best.groupBy("node").agg(F.max_by("head", F.struct("links", "head")).alias("head"))
-    chosen = tried.join(best.hint("merge"), ["node", "head"]).dropDuplicates(["node"])
-    held = chosen.select("node", F.col("head").alias("ref"), "both", F.size("node_set").alias("n"), _held_udf("head_set", "node_set").alias("held"))
+    chosen = saved(chosen.withColumn("beside", F.array_except("node_set", "head_set")).withColumn("held", _held_udf("head_set", "node_set")).drop("node_set", "head_set"), "references")
+    single = chosen.select("node", "head", F.explode("beside").alias("shingle")).groupBy("head", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    single = single.filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("single"))
     counted = F.aggregate("held", F.lit(0), lambda total, x: total + F.bit_count(x))
-    return held.select("node", "ref", "held", (F.col("both") - counted).alias("rest"), (F.col("n") - F.col("both")).alias("more"))
+    more = F.size("beside") - F.coalesce("single", F.lit(0))
+    out = chosen.join(single, "node", "left")
+    return out.select("node", F.col("head").alias("ref"), "held", (F.col("both") - counted).cast("long").alias("rest"), more.cast("long").alias("more"))
 
 
 def _met_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,19 +397,20 @@ def _may_link(a: str, b: str) -> Column:
     return (x("root") != y("root")) & _fits(a, b) & ~F.coalesce(far, F.lit(False))
 
 
-def similar_pairs(kinds: DataFrame, at: np.ndarray, hot: int | None = None) -> DataFrame:
+def similar_pairs(kinds: DataFrame, at: np.ndarray, large: DataFrame, hot: int | None = None) -> DataFrame:
     """Candidate pairs (a, b) of ``kinds`` (node, root, n, wide, ref, rest, more, held) of different roots, without repeats.
 
     Nodes of one bucket are candidates unless sizes or first 128 bits speak against ``SIMILAR`` (``_fits``), or, where both
     have a head, all bits of the fingerprint do, or shingles shared with the same head exclude it. Buckets of over
     ``hot`` nodes (by default 4096 and a thousandth of all; so there are at most 1000 of each segment) are dealt to parts:
     there the nodes that are not of the most frequent root meet all nodes. Smaller ones are met in order of the key.
+    ``large`` are buckets with their sizes, no larger one left out.
     """
     hot = hot or max(4096, kinds.count() // 1000)
     columns = ["node", "root", "n", "f0", "f1", "ref", "rest", "more", "held"]
     whole = F.when(F.col("ref").isNotNull(), F.concat("held", _words_udf("wide")))
     keyed = _keyed(kinds.withColumn("held", whole), at).select("key", *columns)
-    large = saved(_keyed(kinds.select("node", "n", "wide"), at).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot), "large")
+    large = large.filter(F.col("m") > hot)
     cold = keyed.join(F.broadcast(large), "key", "left_anti").repartition("key").sortWithinPartitions("key")
     pairs = cold.mapInArrow(_met_in_order, "a long, b long")
     if large.head(1):
@@ -436,13 +457,14 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prints = saved(rows.select("row", wide_udf("text").alias("w")).select("row", "w.*"), "prints")
     kinds = saved(prints.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("wide").alias("wide")), "kinds")
     at = segments(kinds.count())
-    tried = saved(_with_sets(saved(anchor_pairs(kinds, at), "anchored"), "node", "head", rows, kinds).withColumn("linked", _similar("node", "head")), "tried")
+    large = large_buckets(kinds, at)
+    tried = saved(_with_sets(saved(anchor_pairs(kinds, at, large), "anchored"), "node", "head", rows, kinds).select("node", "head", _similar("node", "head").alias("linked")), "tried")
     first = tried.filter("linked and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    heads = saved(tried.groupBy("head").agg(F.count_if("linked").alias("links")), "linked")
     roots = connected_components(first, "a", "b")
+    references = _references(_with_sets(_leaders(tried, roots), "node", "head", rows, kinds))
     rooted = kinds.select("node", "n", "wide").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = saved(rooted.join(_references(tried, heads), "node", "left"), "rooted")
-    second = _with_sets(saved(similar_pairs(rooted, at), "candidates"), "a", "b", rows, kinds).filter(_similar("a", "b")).select("a", "b")
+    rooted = saved(rooted.join(references, "node", "left"), "rooted")
+    second = _with_sets(saved(similar_pairs(rooted, at, large), "candidates"), "a", "b", rows, kinds).filter(_similar("a", "b")).select("a", "b")
     second = saved(second, "verified")
     roots = connected_components(first.union(second), "a", "b")
     named = kinds.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
