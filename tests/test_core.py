@@ -71,9 +71,12 @@ def test_policy_scenarios(spark):
 
 
 def test_fusion_fixture(spark):
-    row = {"perf_raw": 0.95, "resp_raw": 0.05, "cost_raw": 0.05, "action_criticality": 0.1, "perf_conf": 0.8, "resp_conf": 0.8, "cost_confidence": 0.7, "perf_status": "SUPPORTED", "consequence_score": 0.1, "financial_impact": 0.0, "reversibility": 0.1}
+    row = {"perf_raw": 0.95, "resp_raw": 0.05, "cost_raw": 0.05, "action_criticality": 0.1, "perf_conf": 0.8, "resp_conf": 0.8, "cost_confidence": 0.7, "evidence_quality": 0.4, "neutral_rate": 0.5, "perf_status": "SUPPORTED", "consequence_score": 0.1, "financial_impact": 0.0, "reversibility": 0.1}
     got = D.add(spark.createDataFrame(pd.DataFrame([row, row | {"perf_raw": 0.97, "resp_raw": 0.0, "cost_raw": 0.0}, row | {"perf_raw": 0.0, "resp_raw": 0.0, "cost_raw": 0.0}])), D.FUSE).collect()
     assert got[0]["overall_risk"] > 0.6 and got[1]["overall_risk"] >= 0.8 and got[1]["severity_floor"] and got[2]["overall_risk"] == 0.0
+    # spread 0.4243 counts in full, evidence 0.6, half of the claims neutral, trust of the third row above the anchor
+    assert got[0]["disagreement"] == pytest.approx(0.35 + 0.25 * 0.6 + 0.15 * 0.5 + 0.15 * max(0, (0.6 - got[0]["confidence"]) / 0.6), abs=1e-4)
+    assert got[2]["disagreement"] == pytest.approx(0.25 * 0.6 + 0.15 * 0.5, abs=1e-4)
 
 
 def test_cost_parts_and_baseline(spark):
@@ -115,7 +118,7 @@ def test_cut_key_equals_a_global_sort(decided):
 def test_reports_on_next_to_nothing(spark, n, tmp_path):
     d = stored(D.decisions(events(spark, n)), tmp_path / "decisions")
     found, log = I.incidents(d), spark.createDataFrame([], "action_id long, interaction_id long, timestamp timestamp, action string, reviewer_decision string")
-    for df in (M.snapshot(d), M.risk_distribution(d), M.application_summary(d), M.half_trend(d), M.attention_signals(d), I.clusters(found), I.drift(d), I.dominance_patterns(found), G.application_comparison(d, log), E.report(E.with_labels(d)), E.threshold_sweep(E.with_labels(d), F.col("truly_risky"), "overall_risk"), G.recommendations(G.insights(d, log))):
+    for df in (M.snapshot(d), M.risk_distribution(d), M.application_summary(d), M.half_trend(d), M.attention_signals(d), I.clusters(found), I.drift(d), I.dominance_patterns(found), G.application_comparison(d, log), E.report(E.with_labels(d)), E.threshold_sweep(E.with_labels(d), F.col("truly_risky"), "overall_risk"), G.insights(d, log), G.recommendations(d, log)):
         df.collect()
     assert M.risk_distribution(d).count() == 4 and I.drift(d).count() == 0
 
@@ -156,6 +159,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want
 
 
+def test_sessions_in_order_with_repeated_rows_and_one_long_session(spark):
+    """Repeated rows are turns of their own; state goes from batch to batch of a long session; equal to one fold."""
+    tiers = X.with_tiers(D.signals(D.interactions(events(spark, 200)))).withColumn("session_id", F.when(F.col("interaction_id") % 3 > 0, 7).otherwise(F.col("session_id")).cast("long"))
+    tiers = tiers.unionByName(tiers.filter("interaction_id = 10"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = X.batch(tiers).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = [r for _, rows in tiers.toPandas().groupby("session_id") for r in X.fold(X.START, rows)[1]]
+    assert len(got) == 201 and sorted(map(tuple, got.to_numpy().tolist())) == sorted(want)
+
+
 def test_session_tier_equals_policy_without_history(spark):
     """The first turn of a session has no history: its tier is the policy's own."""
     s = D.signals(D.interactions(events(spark)))

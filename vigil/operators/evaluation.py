@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil import config as C
-from vigil.functions.columns import many, r4, rate
+from vigil.functions.columns import codes, many, r4, rate
 from vigil.plans import decide as D
 
 THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(1, 20))
@@ -53,11 +54,25 @@ def best_threshold(sweep: DataFrame, objective: str = "f1") -> DataFrame:
 
 
 def with_labels(d: DataFrame) -> DataFrame:
-    """Stand-in labels of the numeric adapter: what is truly risky, derived from the raw signals and the stakes."""
-    risk = F.greatest(F.col("performance_risk"), F.col("responsibility_risk"), F.col("cost_risk"))
+    """Stand-in labels of the numeric adapter, and the tier expected for them.
+
+    What is truly wrong with a row gives each dimension a fixed risk; the largest, with the stakes, falls into a band
+    (limits belong to the lower one), and personal data always block.
+    """
+    if "triggered_rules" in d.columns:
+        pii, toxic = (F.array_contains(codes("triggered_rules"), r) for r in ("CRITICAL_PII", "SEVERE_TOXICITY"))
+    else:  # signals before any policy
+        pii, toxic = F.col("critical_pii"), F.col("toxicity_risk") >= 0.85
+    wrong = {
+        "hallucination": F.col("perf_status") == "CONTRADICTED", "pii": pii, "toxicity": toxic,
+        "bias": F.col("responsibility_risk") >= 0.7, "cost": F.col("cost_anomalies") != "",
+    }
+    given = {"hallucination": 0.80, "pii": 0.85, "toxicity": 0.75, "bias": 0.70, "cost": 0.75}
+    risk = F.greatest(F.lit(0.05), *(F.when(c, given[k]).otherwise(0.05) for k, c in wrong.items()))
     label = 0.6 * risk + 0.4 * F.col("consequence_score")
-    expected = F.when(label < 0.3, "ALLOW").when(label < 0.45, "ANNOTATE").when(label < 0.6, "VERIFY").when(label < 0.75, "HUMAN_REVIEW").otherwise("BLOCK")
-    return d.withColumn("label_risk", r4(label)).withColumn("truly_risky", risk >= C.EVALUATION["risk"]).withColumn("expected", expected)
+    band = F.when(label <= 0.20, "ALLOW").when(label <= 0.40, "ANNOTATE").when(label <= 0.60, "VERIFY").when(label <= 0.85, "HUMAN_REVIEW").otherwise("BLOCK")
+    any_wrong = reduce(Column.__or__, wrong.values())
+    return d.withColumn("label_risk", r4(label)).withColumn("truly_risky", any_wrong).withColumn("expected", F.when(wrong["pii"], "BLOCK").otherwise(band))
 
 
 def report(d: DataFrame) -> DataFrame:
@@ -73,18 +88,32 @@ def quadrants(d: DataFrame) -> DataFrame:
 
 
 def ablation(scored: DataFrame) -> DataFrame:
-    """Which interventions single detectors, fusion, and the whole policy with and without confidence would make."""
+    """What single detectors, fusion, and the whole policy with and without confidence would catch, disturb and escalate.
+
+    A flat score asks a person whenever it intervenes; the policies do so in their two highest tiers.
+    """
     at = C.EVALUATION["binary"]
-    full = with_labels(D.decide(scored)).withColumn("full", F.col("decision") != "ALLOW")
-    own = {"interaction_id", "full", "truly_risky", "performance_risk", "responsibility_risk", "cost_risk", "overall_risk", "consequence_score"}
-    unaware = D.decide(scored, confidence_aware=False).select("interaction_id", (F.col("decision") != "ALLOW").alias("no_confidence"))
-    joined = full.select(*own).join(unaware, "interaction_id")
-    modes = {
-        "performance_only": F.col("performance_risk") >= at, "responsibility_only": F.col("responsibility_risk") >= at, "cost_only": F.col("cost_risk") >= at, "fused": F.col("overall_risk") >= at,
-        "fused_consequence": (F.col("overall_risk") >= at) & (F.col("consequence_score") >= 0.4), "no_confidence": F.col("no_confidence"), "full": F.col("full"),
+    full = with_labels(D.decide(scored))
+    unaware = D.decide(scored, confidence_aware=False).select("interaction_id", F.col("decision").alias("unaware"))
+    joined = full.select("interaction_id", "truly_risky", "decision", *(f"{x}_risk" for x in ("performance", "responsibility", "cost", "overall")), "consequence_score").join(unaware, "interaction_id")
+    flat = {
+        "performance_only": F.col("performance_risk"), "responsibility_only": F.col("responsibility_risk"), "cost_only": F.col("cost_risk"), "fused_only": F.col("overall_risk"),
+        "fused_plus_consequence": 0.6 * F.col("overall_risk") + 0.4 * F.col("consequence_score"),
+    }
+    modes = [F.struct(F.lit(n).alias("mode"), (c >= at).alias("said"), (c >= at).alias("escalated")) for n, c in flat.items()]
+    for name, tier in (("risk_only_no_confidence", F.col("unaware")), ("full_pipeline", F.col("decision"))):
+        modes.append(F.struct(F.lit(name).alias("mode"), (tier != "ALLOW").alias("said"), tier.isin("HUMAN_REVIEW", "BLOCK").alias("escalated")))
+    rows = joined.select("truly_risky", F.inline(F.array(*modes)))
+    truth, said, up = F.col("truly_risky"), F.col("said"), F.col("escalated")
+    kinds = {"tp": truth & said, "fp": ~truth & said, "fn": truth & ~said, "tn": ~truth & ~said, "escalated_n": up, "clean_escalated": ~truth & up, "risky_missed_by_escalation": truth & ~up}
+    n = rows.groupBy("mode").agg(*(many(c).alias(k) for k, c in kinds.items()))
+    c = {k: F.col(k) for k in kinds}
+    total, clean = c["tp"] + c["fp"] + c["fn"] + c["tn"], c["fp"] + c["tn"]
+    rates = {
+        "intervention_rate": _safe(c["tp"] + c["fp"], total), "clean_disturbed_rate": _safe(c["fp"], clean), "human_escalation_rate": _safe(c["escalated_n"], total),
+        "clean_human_escalation_rate": _safe(c["clean_escalated"], clean),
     }
-    rows = joined.select("truly_risky", F.inline(F.array(*(F.struct(F.lit(n).alias("mode"), c.alias("said")) for n, c in modes.items()))))
-    return binary(rows, F.col("truly_risky"), F.col("said"), "mode")
+    return n.select("mode", "tp", "fp", "fn", "tn", *metrics(*(c[k] for k in ("tp", "fp", "fn", "tn"))), *(v.alias(k) for k, v in rates.items()), "risky_missed_by_escalation")
 
 
 def sweep(scored: DataFrame, risks: Sequence[float] = (0.35, 0.60, 0.85), confidences: Sequence[float] = (0.30, 0.60, 0.90)) -> DataFrame:

@@ -111,21 +111,36 @@ def reviewer_confusion(d: DataFrame, log: DataFrame) -> DataFrame:
     return joined.groupBy("decision", "reviewer_decision", move.alias("move")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rates of an application that stand out: code, rate, limit (fixed values).
+STANDING_OUT = (("HIGH_OVERRIDE_RATE", "override_rate", 0.30), ("HIGH_HUMAN_REVIEW_RATE", "oversight_rate", 0.35), ("LOW_CONFIDENCE_TREND", "low_confidence_rate", 0.25), ("DEEP_ROUTING_CONCENTRATION", "deep_rate", 0.85))
+
+
+def _overridden() -> Column:
+    return F.coalesce((F.col("action") == "MODIFY_DECISION") & (F.col("reviewer_decision") != F.col("decision")), F.lit(False))
+
+
 def insights(d: DataFrame, log: DataFrame, volume: int = 10) -> DataFrame:
-    """Applications of some volume whose rates stand out, with the three riskiest interactions as examples."""
-    rates = application_comparison(d, log).filter(F.col("total") >= volume)
-    limits = {"override_rate": 0.20, "review_rate": 0.25, "deep_rate": 0.80, "block_rate": 0.20}
-    rows = rates.select("application", F.inline(F.array(*(F.struct(F.lit(k).alias("insight"), F.col(k).alias("value"), F.lit(v).alias("threshold")) for k, v in limits.items())))).filter("value > threshold")
+    """Applications of some volume whose rates stand out, how far, and the three riskiest interactions as examples."""
+    more = d.groupBy("application").agg(rate(F.col("decision").isin("HUMAN_REVIEW", "BLOCK")).alias("oversight_rate"), rate(F.col("decision_confidence") < C.LOW_CONFIDENCE).alias("low_confidence_rate"))
+    rates = application_comparison(d, log).filter(F.col("total") >= volume).join(more, "application")
+    found = F.inline(F.array(*(F.struct(F.lit(k).alias("insight"), F.col(c).alias("value"), F.lit(v).alias("threshold")) for k, c, v in STANDING_OUT)))
+    rows = rates.select("application", found).filter("value > threshold")
+    times = F.col("value") / F.col("threshold")
+    rows = rows.withColumn("severity", F.when(times >= 1.6, "HIGH").when(times >= 1.25, "MEDIUM").otherwise("LOW"))
     best = Window.partitionBy("application").orderBy(F.desc("overall_risk"), "interaction_id")
     three = d.select("application", "interaction_id", F.row_number().over(best).alias("r")).filter("r <= 3")
     examples = three.groupBy("application").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "interaction_id"))), lambda x: x["interaction_id"].cast("string")), ",").alias("examples"))
     return rows.join(examples, "application")
 
 
-def recommendations(found: DataFrame) -> DataFrame:
-    """One recommendation for each insight kind; NO_ACTION where there is none."""
-    kinds = {"override_rate": "REVIEW_POLICY_THRESHOLDS", "review_rate": "ADD_REVIEW_CAPACITY", "deep_rate": "TUNE_ROUTING", "block_rate": "AUDIT_BLOCKING_RULES"}
-    advice = F.coalesce(*(F.when(F.col("insight") == k, v) for k, v in kinds.items()))
-    named = found.groupBy(advice.alias("recommendation")).agg(F.count(F.lit(1)).alias("applications"), r4(F.max("value")).alias("worst"))
-    none = found.agg(F.count(F.lit(1)).alias("applications")).filter("applications = 0").select(F.lit("NO_ACTION").alias("recommendation"), "applications", F.lit(None).cast("double").alias("worst"))
+def recommendations(d: DataFrame, log: DataFrame, volume: int = 10) -> DataFrame:
+    """(recommendation, application, value): thresholds of all where people are asked often and seldom disagree, the policy
+    of applications that reviewers overrule, the detectors of those that are unsure; NO_ACTION where there is none."""
+    oversight = d.agg(rate(F.col("decision").isin("HUMAN_REVIEW", "BLOCK")).alias("value"))
+    override = log.join(d.select("interaction_id", "decision"), "interaction_id").agg(rate(_overridden()).alias("override"))
+    whole = oversight.crossJoin(F.broadcast(override)).filter("value > 0.35 and (override is null or override < 0.20)")  # one row each
+    kinds = F.when(F.col("insight") == "HIGH_OVERRIDE_RATE", "REVIEW_POLICY").when(F.col("insight") == "LOW_CONFIDENCE_TREND", "REVIEW_DETECTOR")
+    named = insights(d, log, volume).select(kinds.alias("recommendation"), "application", "value").filter("recommendation is not null")
+    named = named.unionByName(whole.select(F.lit("REVIEW_THRESHOLD").alias("recommendation"), F.lit(None).cast("string").alias("application"), "value"))
+    none = named.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit("NO_ACTION").alias("recommendation"), F.lit(None).cast("string").alias("application"), F.lit(None).cast("double").alias("value"))
     return named.unionByName(none)

@@ -152,6 +152,7 @@ def drift(d: DataFrame, top_rules: int = 5) -> DataFrame:
     first = before(cut_key(d, n // 2)) if n >= 4 else F.lit(False)
     pair = lambda scope, metric, value: F.struct(scope.alias("scope"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
     fixed = [pair(F.lit("global"), "average_risk", F.col("overall_risk")), pair(F.lit("global"), "intervention_rate", F.col("decision") != "ALLOW"), pair(F.lit("global"), "deep_rate", F.col("verification_path") == "DEEP"),
+             pair(F.lit("global"), "incident_rate", triggers() != ""),
              *(pair(F.lit(f"detector:{x}"), "mean_risk", F.col(f"{x}_risk")) for x in DIMENSIONS), pair(F.concat(F.lit("application:"), "application"), "average_risk", F.col("overall_risk"))]
     common = [r["rule"] for r in d.select(F.explode(codes("tier_changing_rules")).alias("rule")).filter("rule <> 'RISK_BAND'").groupBy("rule").count().orderBy(F.desc("count"), "rule").limit(top_rules).collect()]
     fires = [pair(F.lit(f"policy_rule:{r}"), "fire_rate", F.array_contains(codes("tier_changing_rules"), r)) for r in common]

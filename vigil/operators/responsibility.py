@@ -57,7 +57,7 @@ def bias_risk(n: dict[str, Column]) -> tuple[Column, Column]:
     kinds = sum([F.when(c > 0, 1).otherwise(0) for c in list(n.values())[1:]], F.when(next(iter(n.values())) > 0, 1).otherwise(0))
     top = F.greatest(*(F.when(c > 0, L.BIAS_WEIGHT[k]).otherwise(0.0) for k, c in n.items()))
     risk = F.when(total > 0, F.least(F.lit(0.8), top + 0.05 * (kinds - 1))).otherwise(0.0)
-    return r4(risk), r4(F.when(total > 0, F.least(F.lit(0.65), 0.45 + 0.06 * total)).otherwise(0.6))
+    return r4(risk), r4(F.when(total > 0, F.least(F.lit(0.65), 0.45 + 0.06 * total)).otherwise(0.55))
 
 
 def _luhn(text: str) -> bool:

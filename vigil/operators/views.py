@@ -56,12 +56,10 @@ def timeline(d: DataFrame, log: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def surge(d: DataFrame) -> DataFrame:
-    """Hours whose incident rate is one and a half times the overall rate or more, with ten decisions at least."""
-    hit = F.col("incident_id").isNotNull()
-    rows = d.select("interaction_id", "timestamp").join(I.incidents(d).select("interaction_id", "incident_id"), "interaction_id", "left")
-    overall = rows.agg(F.avg(hit.cast("double")).alias("base"))
-    hours = rows.groupBy(F.date_trunc("hour", "timestamp").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("share"))
-    return hours.crossJoin(F.broadcast(overall)).filter((F.col("n") >= 10) & (F.col("share") >= I.SURGE * F.col("base"))).select("hour", "n", r4(F.col("share")).alias("share"))
+    """The incident rates of both halves, and whether the second is a surge: increasing, and one and a half times the first."""
+    found = I.drift(d).filter("scope = 'global' and metric = 'incident_rate'")
+    up = (F.col("direction") == "INCREASING") & (F.col("baseline") > 0) & (F.col("recent") >= I.SURGE * F.col("baseline"))
+    return found.select("baseline", "recent", up.alias("surge"))
 
 
 def axis_sweep(scored: DataFrame, axis: str) -> DataFrame:

@@ -27,6 +27,7 @@ EVENTS: list[Layer] = [
         ("tool_calls", "k % 7"), ("retry_count", "k % 5"), ("amount", "5000e0 * value"), ("affected_entities", "1 + k"),
         ("perf_raw", "((37 * event_id) % 100) / 100e0"), ("resp_raw", "((53 * event_id) % 100) / 100e0"), ("perf_conf", "3e-1 + ((17 * event_id) % 60) / 100e0"),
         ("resp_conf", "3e-1 + ((17 * event_id) % 60) / 100e0"), ("toxicity_risk", "0e0"), ("critical_pii", "false"),
+        ("evidence_quality", "((41 * event_id) % 100) / 100e0"), ("neutral_rate", "((19 * event_id) % 10) / 10e0"),
     ],
     [("perf_status", "CASE WHEN perf_raw >= 74e-2 THEN 'CONTRADICTED' WHEN perf_raw >= 35e-2 THEN 'UNVERIFIED' ELSE 'SUPPORTED' END")],
 ]
@@ -100,7 +101,11 @@ FUSE: list[Layer] = [
     [
         ("overall_risk", rounded(clamp(f"CASE WHEN severity_floor THEN greatest(blended, {num(C.FLOOR)}) ELSE blended END"))),
         ("confidence", rounded(clamp("trust - 25e-2 * spread"))),
-        ("disagreement", clamp("35e-2 * least(1e0, spread / 35e-2) + 25e-2 * (1e0 - perf_conf) + 15e-2 * greatest(0e0, (6e-1 - confidence_before) / 6e-1) + CASE WHEN perf_status = 'UNVERIFIED' THEN 1e-1 ELSE 0e0 END").replace("confidence_before", "least(perf_conf, resp_conf)")),
+    ],
+    [
+        ("disagreement", rounded(clamp(
+            f"35e-2 * least(1e0, spread / 35e-2) + 25e-2 * (1e0 - evidence_quality) + 15e-2 * neutral_rate + 15e-2 * {clamp('(6e-1 - confidence) / 6e-1')}"
+            " + CASE WHEN perf_status = 'UNVERIFIED' THEN 1e-1 ELSE 0e0 END"))),
     ],
     [
         ("deep_trigger_reasons", listed(

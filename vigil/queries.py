@@ -80,6 +80,9 @@ add("f01_consequence_criticality", lambda s, d: D.signals(D.interactions(table(s
 _FUSED = ["interaction_id", "performance_risk", "responsibility_risk", "cost_risk", "overall_risk", "confidence", "dominant_dimension", "multi_risk", "severity_floor"]
 add("f06_risk_fusion", lambda s, d: D.signals(D.interactions(table(s, d, "events"))).select(*_FUSED), f"WITH {D.signals_sql()} SELECT {', '.join(_FUSED)} FROM scored")
 _ROUTED = ["interaction_id", "disagreement", "deep_trigger_reasons", "verification_path"]
+add("v01_disagreement", lambda s, d: D.signals(D.interactions(table(s, d, "events"))).select("interaction_id", "disagreement"), f"""WITH {D.signals_sql()} SELECT interaction_id, round(least(1e0, greatest(0e0,
+    0.35e0 * least(1e0, list_aggregate([performance_risk, responsibility_risk, cost_risk], 'stddev_pop') / 0.35e0) + 0.25e0 * (1e0 - ((41 * interaction_id) % 100) / 100e0) + 0.15e0 * (((19 * interaction_id) % 10) / 10e0)
+    + 0.15e0 * greatest(0e0, (0.6e0 - confidence) / 0.6e0) + 0.1e0 * (perf_raw >= 35e-2 AND perf_raw < 74e-2)::INT)) + 1e-9, 4) AS disagreement FROM scored""")
 add("v02_routing_gates", lambda s, d: D.signals(D.interactions(table(s, d, "events"))).select(*_ROUTED), f"WITH {D.signals_sql()} SELECT {', '.join(_ROUTED)} FROM scored")
 
 # --- monitoring -----------------------------------------------------------------------------------------------------
@@ -199,7 +202,7 @@ on_incidents("i17_attribution", I.attribution, f"""SELECT application, kind, nam
     UNION ALL SELECT application, 'code', x FROM {exploded('reason_codes', 'x', 'incidents')} UNION ALL SELECT application, 'rule', x FROM {exploded('tier_changing_rules', 'x', 'incidents')}) GROUP BY ALL)
     JOIN (SELECT application, count(*) AS total FROM incidents GROUP BY 1) USING (application)""")
 _RULES5 = f"top AS (SELECT rule, count(*) AS n FROM {exploded('tier_changing_rules', 'rule')} WHERE rule <> 'RISK_BAND' GROUP BY 1 ORDER BY n DESC, rule LIMIT 5)"
-_DRIFT = [("'global'", "average_risk", "overall_risk"), ("'global'", "intervention_rate", "(decision <> 'ALLOW')::INT"), ("'global'", "deep_rate", f"({DEEP})::INT"), *((f"'detector:{x}'", "mean_risk", f"{x}_risk") for x in I.DIMENSIONS), ("'application:' || application", "average_risk", "overall_risk")]
+_DRIFT = [("'global'", "average_risk", "overall_risk"), ("'global'", "intervention_rate", "(decision <> 'ALLOW')::INT"), ("'global'", "deep_rate", f"({DEEP})::INT"), ("'global'", "incident_rate", "(decision IN ('BLOCK', 'HUMAN_REVIEW') OR multi_risk OR (',' || reason_codes || ',' LIKE '%,HIGH_CONSEQUENCE,%' AND overall_risk >= 5e-1))::INT"), *((f"'detector:{x}'", "mean_risk", f"{x}_risk") for x in I.DIMENSIONS), ("'application:' || application", "average_risk", "overall_risk")]
 on_decisions("i19_drift", I.drift, f"""SELECT scope, metric, {r4('b')} AS baseline, {r4('r')} AS recent, {r4('r - b')} AS delta, CASE WHEN abs(r - b) <= {I.DRIFT_BAND} THEN 'STABLE' WHEN r > b THEN 'INCREASING' ELSE 'DECREASING' END AS direction,
     CASE WHEN abs(r - b) <= {I.DRIFT_BAND} THEN 'STABLE' WHEN abs(r - b) >= {I.DRIFT_AT} AND sufficient THEN 'POTENTIAL_DRIFT' ELSE 'TREND' END AS signal, sufficient FROM w WHERE b IS NOT NULL AND r IS NOT NULL""",
     f"""{_RULES5}, o AS (SELECT *, row_number() OVER (ORDER BY timestamp, interaction_id) - 1 < count(*) OVER () // 2 AS first FROM decisions),
@@ -256,22 +259,29 @@ on_reviews("i18_override_patterns", lambda d, a, f: I.override_patterns(I.incide
 on_reviews("j01_incident_reviews", lambda d, a, f: I.with_reviews(I.incidents(d), a, f).select("interaction_id", "incident_id", "reviewer_signal", "feedback_outcome"), """SELECT interaction_id, incident_id, reviewer_signal, feedback_outcome
     FROM incidents LEFT JOIN (SELECT interaction_id, arg_max(s, action_id) AS reviewer_signal FROM (SELECT *, CASE action WHEN 'MODIFY_DECISION' THEN reviewer_decision ELSE action END AS s FROM actions) WHERE s IS NOT NULL GROUP BY 1) USING (interaction_id)
     LEFT JOIN (SELECT interaction_id, outcome AS feedback_outcome FROM feedback QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY feedback_id, outcome) = 1) USING (interaction_id)""", _INCIDENTS)
-_LIMITS = {"override_rate": 0.20, "review_rate": 0.25, "deep_rate": 0.80, "block_rate": 0.20}
-_INSIGHTS = f"""rates AS (SELECT application, count(*) AS total, {rate("decision = 'HUMAN_REVIEW'")} AS review_rate, {rate("decision = 'BLOCK'")} AS block_rate, {rate(DEEP)} AS deep_rate FROM decisions GROUP BY 1),
+_KINDS = [("HIGH_OVERRIDE_RATE", "override_rate", 0.30), ("HIGH_HUMAN_REVIEW_RATE", "oversight_rate", 0.35), ("LOW_CONFIDENCE_TREND", "low_confidence_rate", 0.25), ("DEEP_ROUTING_CONCENTRATION", "deep_rate", 0.85)]
+_INSIGHTS = f"""rates AS (SELECT application, count(*) AS total, {rate("decision IN ('HUMAN_REVIEW', 'BLOCK')")} AS oversight_rate, {rate("decision_confidence < 0.45")} AS low_confidence_rate, {rate(DEEP)} AS deep_rate FROM decisions GROUP BY 1),
     over AS (SELECT application, {rate("action = 'MODIFY_DECISION' AND reviewer_decision <> decision")} AS override_rate FROM actions JOIN decisions USING (interaction_id) GROUP BY 1),
-    insights AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT application, '{k}' AS insight, {k} AS value, {v} AS threshold, total FROM rates LEFT JOIN over USING (application)" for k, v in _LIMITS.items())}) WHERE value > threshold AND total >= 10),
+    insights AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT application, '{k}' AS insight, {c} AS value, {v} AS threshold, total FROM rates LEFT JOIN over USING (application)" for k, c, v in _KINDS)}) WHERE value > threshold AND total >= 10),
     three AS (SELECT application, string_agg(interaction_id, ',' ORDER BY r) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY application ORDER BY overall_risk DESC, interaction_id) AS r FROM decisions) WHERE r <= 3 GROUP BY 1)"""
-on_reviews("g05_insights", lambda d, a, f: G.insights(d, a), "SELECT application, insight, value, CAST(threshold AS DOUBLE) AS threshold, examples FROM insights JOIN three USING (application)", _INSIGHTS)
-on_reviews("g06_recommendations", lambda d, a, f: G.recommendations(G.insights(d, a)), f"""SELECT CASE insight WHEN 'override_rate' THEN 'REVIEW_POLICY_THRESHOLDS' WHEN 'review_rate' THEN 'ADD_REVIEW_CAPACITY' WHEN 'deep_rate' THEN 'TUNE_ROUTING'
-    ELSE 'AUDIT_BLOCKING_RULES' END AS recommendation, count(*) AS applications, {r4('max(value)')} AS worst FROM insights GROUP BY 1
-    UNION ALL SELECT 'NO_ACTION', 0, NULL WHERE (SELECT count(*) FROM insights) = 0""", _INSIGHTS)
+on_reviews("g05_insights", lambda d, a, f: G.insights(d, a), """SELECT application, insight, value, CAST(threshold AS DOUBLE) AS threshold, CASE WHEN value / threshold >= 1.6 THEN 'HIGH' WHEN value / threshold >= 1.25 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+    examples FROM insights JOIN three USING (application)""", _INSIGHTS)
+on_reviews("g06_recommendations", lambda d, a, f: G.recommendations(d, a), f"""SELECT recommendation, application, value FROM r UNION ALL SELECT 'NO_ACTION', NULL, NULL WHERE (SELECT count(*) FROM r) = 0""", _INSIGHTS + f""",
+    whole AS (SELECT (SELECT {rate("decision IN ('HUMAN_REVIEW', 'BLOCK')")} FROM decisions) AS oversight, (SELECT {rate("action = 'MODIFY_DECISION' AND reviewer_decision <> decision")} FROM actions JOIN decisions USING (interaction_id)) AS override),
+    r AS (SELECT 'REVIEW_THRESHOLD' AS recommendation, NULL AS application, oversight AS value FROM whole WHERE oversight > 0.35 AND (override IS NULL OR override < 0.20)
+    UNION ALL SELECT CASE insight WHEN 'HIGH_OVERRIDE_RATE' THEN 'REVIEW_POLICY' ELSE 'REVIEW_DETECTOR' END, application, value FROM insights WHERE insight IN ('HIGH_OVERRIDE_RATE', 'LOW_CONFIDENCE_TREND'))""")
 
 # --- evaluation and calibration -------------------------------------------------------------------------------------
 
-_WORST = "greatest(performance_risk, responsibility_risk, cost_risk)"
-_LABEL = f"(6e-1 * {_WORST} + 4e-1 * consequence_score)"
-_LABELLED = f"""SELECT *, {r4(_LABEL)} AS label_risk, {_WORST} >= {C.EVALUATION['risk']} AS truly_risky,
-    CASE WHEN {_LABEL} < 3e-1 THEN 'ALLOW' WHEN {_LABEL} < 45e-2 THEN 'ANNOTATE' WHEN {_LABEL} < 6e-1 THEN 'VERIFY' WHEN {_LABEL} < 75e-2 THEN 'HUMAN_REVIEW' ELSE 'BLOCK' END AS expected FROM """
+_LABELLED = """SELECT *, round(label + 1e-9, 4) AS label_risk, contradicted OR pii OR toxic_text OR biased OR costly AS truly_risky,
+    CASE WHEN pii THEN 'BLOCK' WHEN label <= 0.20 THEN 'ALLOW' WHEN label <= 0.40 THEN 'ANNOTATE' WHEN label <= 0.60 THEN 'VERIFY' WHEN label <= 0.85 THEN 'HUMAN_REVIEW' ELSE 'BLOCK' END AS expected
+    FROM (SELECT *, 6e-1 * greatest(CASE WHEN contradicted THEN 8e-1 ELSE 5e-2 END, CASE WHEN pii THEN 85e-2 WHEN toxic_text THEN 75e-2 WHEN biased THEN 7e-1 ELSE 5e-2 END,
+        CASE WHEN costly THEN 75e-2 ELSE 5e-2 END) + 4e-1 * consequence_score AS label
+    FROM (SELECT *, perf_status = 'CONTRADICTED' AS contradicted, triggered_rules LIKE '%CRITICAL_PII%' AS pii, triggered_rules LIKE '%SEVERE_TOXICITY%' AS toxic_text, responsibility_risk >= 7e-1 AS biased,
+        cost_anomalies <> '' AS costly FROM {}))"""
+
+
+_LABELLED_SIGNALS = _LABELLED.format("scored").replace("triggered_rules LIKE '%CRITICAL_PII%'", "critical_pii").replace("triggered_rules LIKE '%SEVERE_TOXICITY%'", "toxicity_risk >= 85e-2")
 
 
 def _binary_sql(source: str, truth: str, said: str, *keys: str) -> str:
@@ -281,18 +291,18 @@ def _binary_sql(source: str, truth: str, said: str, *keys: str) -> str:
         {safe('tp + tn', 'tp + tn + fp + fn')} AS accuracy FROM (SELECT {head}{many(f'{truth} AND {said}')} AS tp, {many(f'NOT {truth} AND {said}')} AS fp, {many(f'{truth} AND NOT {said}')} AS fn, {many(f'NOT {truth} AND NOT {said}')} AS tn FROM {source} {'GROUP BY ALL' if keys else ''})"""
 
 
-on_decisions("e08_label_derivation", lambda d: E.with_labels(d).select("interaction_id", "label_risk", "truly_risky", "expected"), "SELECT interaction_id, label_risk, truly_risky, expected FROM l", f"l AS ({_LABELLED} decisions)")
-on_decisions("e01_binary_metrics", lambda d: E.binary(E.with_labels(d), F.col("truly_risky"), F.col("decision") != "ALLOW", "application"), _binary_sql("l", "truly_risky", "(decision <> 'ALLOW')", "application"), f"l AS ({_LABELLED} decisions)")
+on_decisions("e08_label_derivation", lambda d: E.with_labels(d).select("interaction_id", "label_risk", "truly_risky", "expected"), "SELECT interaction_id, label_risk, truly_risky, expected FROM l", f"l AS ({_LABELLED.format("decisions")})")
+on_decisions("e01_binary_metrics", lambda d: E.binary(E.with_labels(d), F.col("truly_risky"), F.col("decision") != "ALLOW", "application"), _binary_sql("l", "truly_risky", "(decision <> 'ALLOW')", "application"), f"l AS ({_LABELLED.format("decisions")})")
 _CELLS = ", ".join(f"('{a}', '{b}')" for a in C.TIERS for b in C.TIERS)
-on_decisions("e02_confusion", lambda d: E.confusion(E.with_labels(d), "expected", "decision", C.TIERS), f"SELECT g.truth, g.said, count(l.decision) AS n FROM (VALUES {_CELLS}) g(truth, said) LEFT JOIN l ON l.expected = g.truth AND l.decision = g.said GROUP BY ALL", f"l AS ({_LABELLED} decisions)")
+on_decisions("e02_confusion", lambda d: E.confusion(E.with_labels(d), "expected", "decision", C.TIERS), f"SELECT g.truth, g.said, count(l.decision) AS n FROM (VALUES {_CELLS}) g(truth, said) LEFT JOIN l ON l.expected = g.truth AND l.decision = g.said GROUP BY ALL", f"l AS ({_LABELLED.format("decisions")})")
 _GRID = ", ".join(f"({t}e0)" for t in E.THRESHOLDS)
-_SWEEP = f"l AS ({_LABELLED} decisions), s AS (SELECT l.*, t.threshold FROM l, (VALUES {_GRID}) t(threshold)), e AS ({_binary_sql('s', 'truly_risky', '(overall_risk >= threshold)', 'threshold')})"
+_SWEEP = f"l AS ({_LABELLED.format("decisions")}), s AS (SELECT l.*, t.threshold FROM l, (VALUES {_GRID}) t(threshold)), e AS ({_binary_sql('s', 'truly_risky', '(overall_risk >= threshold)', 'threshold')})"
 on_decisions("e03_threshold_sweep", lambda d: E.threshold_sweep(E.with_labels(d), F.col("truly_risky"), "overall_risk"), "SELECT * FROM e", _SWEEP)
 on_decisions("e04_best_threshold", lambda d: E.best_threshold(E.threshold_sweep(E.with_labels(d), F.col("truly_risky"), "overall_risk")), "SELECT * FROM e ORDER BY f1 DESC, threshold LIMIT 1", _SWEEP)
 on_decisions("e05_evaluation_report", lambda d: E.report(E.with_labels(d)), f"""SELECT * FROM ({_binary_sql('l', 'truly_risky', "(decision <> 'ALLOW')")}), (SELECT {rate("decision IN ('VERIFY', 'HUMAN_REVIEW')")} AS abstention_rate,
-    {rate("decision NOT IN ('VERIFY', 'HUMAN_REVIEW')")} AS coverage_rate, {rate('decision = expected')} AS exact_match FROM l)""", f"l AS ({_LABELLED} decisions)")
+    {rate("decision NOT IN ('VERIFY', 'HUMAN_REVIEW')")} AS coverage_rate, {rate('decision = expected')} AS exact_match FROM l)""", f"l AS ({_LABELLED.format("decisions")})")
 on_decisions("e06_quadrants", lambda d: E.quadrants(E.with_labels(d)), f"""SELECT CASE WHEN overall_risk >= {C.EVALUATION['risk']} THEN 'high' ELSE 'low' END AS risk, CASE WHEN decision_confidence >= {C.EVALUATION['confidence']} THEN 'high' ELSE 'low' END AS confidence,
-    count(*) AS n, {many('truly_risky')} AS truly_risky FROM l GROUP BY 1, 2""", f"l AS ({_LABELLED} decisions)")
+    count(*) AS n, {many('truly_risky')} AS truly_risky FROM l GROUP BY 1, 2""", f"l AS ({_LABELLED.format("decisions")})")
 
 
 def on_signals(name: str, report: Callable[[DataFrame], DataFrame], sql: str, more: str) -> None:
@@ -304,13 +314,18 @@ def on_signals(name: str, report: Callable[[DataFrame], DataFrame], sql: str, mo
     add(name, run, f"WITH {D.signals_sql()}, {more} {sql}")
 
 
-_MODES = {"performance_only": "performance_risk >= 0.5", "responsibility_only": "responsibility_risk >= 0.5", "cost_only": "cost_risk >= 0.5", "fused": "overall_risk >= 0.5",
-          "fused_consequence": "overall_risk >= 0.5 AND consequence_score >= 0.4", "no_confidence": "no_confidence", "full": "decision <> 'ALLOW'"}
-on_signals("e07_ablation", E.ablation, _binary_sql("m", "truly_risky", "said", "mode"), f"""f AS ({_LABELLED} ({D.decide_sql()})), u AS (SELECT interaction_id, decision <> 'ALLOW' AS no_confidence FROM ({D.decide_sql(confidence_aware=False)})),
-    j AS (SELECT * FROM f JOIN u USING (interaction_id)), m AS ({' UNION ALL '.join(f"SELECT '{k}' AS mode, {v} AS said, truly_risky FROM j" for k, v in _MODES.items())})""")
+_FLAT = {"performance_only": "performance_risk", "responsibility_only": "responsibility_risk", "cost_only": "cost_risk", "fused_only": "overall_risk",
+         "fused_plus_consequence": "(6e-1 * overall_risk + 4e-1 * consequence_score)"}
+_TIERED = {"risk_only_no_confidence": "unaware", "full_pipeline": "decision"}
+_SAYS = [f"SELECT '{k}' AS mode, {v} >= 0.5 AS said, {v} >= 0.5 AS up, truly_risky FROM j" for k, v in _FLAT.items()]
+_SAYS += [f"SELECT '{k}' AS mode, {v} <> 'ALLOW' AS said, {v} IN ('HUMAN_REVIEW', 'BLOCK') AS up, truly_risky FROM j" for k, v in _TIERED.items()]
+on_signals("e07_ablation", E.ablation, f"""SELECT b.*, intervention_rate, clean_disturbed_rate, human_escalation_rate, clean_human_escalation_rate, risky_missed_by_escalation
+    FROM ({_binary_sql("m", "truly_risky", "said", "mode")}) b JOIN (SELECT mode, {rate("said")} AS intervention_rate, {r4("coalesce(avg(said::INT) FILTER (WHERE NOT truly_risky), 0)")} AS clean_disturbed_rate,
+    {rate("up")} AS human_escalation_rate, {r4("coalesce(avg(up::INT) FILTER (WHERE NOT truly_risky), 0)")} AS clean_human_escalation_rate, {many("truly_risky AND NOT up")} AS risky_missed_by_escalation FROM m GROUP BY 1) USING (mode)""",
+    f"""f AS ({_LABELLED.format(f"({D.decide_sql()})")}), u AS (SELECT interaction_id, decision AS unaware FROM ({D.decide_sql(confidence_aware=False)})), j AS (SELECT * FROM f JOIN u USING (interaction_id)), m AS ({' UNION ALL '.join(_SAYS)})""")
 _CAND = ", ".join(f"({i}, {r}e0, {c}e0)" for i, (r, c) in enumerate((r, c) for r in (0.35, 0.60, 0.85) for c in (0.30, 0.60, 0.90)))
 _TOUCH = "deep AND decision <> 'ALLOW'"
-_K3 = f"""f AS ({_LABELLED} ({D.decide_sql()})), x AS (SELECT f.*, c.*, overall_risk >= risk_at OR (confidence < confidence_at AND overall_risk >= {C.DEEP['floor']}) OR consequence_score >= {C.DEEP['consequence']} OR action_criticality >= {C.DEEP['criticality']} AS deep
+_K3 = f"""f AS ({_LABELLED.format(f'({D.decide_sql()})')}), x AS (SELECT f.*, c.*, overall_risk >= risk_at OR (confidence < confidence_at AND overall_risk >= {C.DEEP['floor']}) OR consequence_score >= {C.DEEP['consequence']} OR action_criticality >= {C.DEEP['criticality']} AS deep
     FROM f, (VALUES {_CAND}) c(candidate, risk_at, confidence_at)), k AS (SELECT candidate, risk_at, confidence_at, {rate('deep')} AS deep_rate, {r4(f"{many(_TOUCH + ' AND truly_risky')} / {many('truly_risky')}")} AS recall,
     {r4(f"{many(_TOUCH + ' AND truly_risky')} / {many(_TOUCH)}")} AS precision, {r4(f"{many(_TOUCH + ' AND NOT truly_risky')} / {many('NOT truly_risky')}")} AS fpr, {rate("deep AND decision IN ('HUMAN_REVIEW', 'BLOCK')")} AS review_rate FROM x GROUP BY ALL),
     kv AS (SELECT *, concat_ws(',', CASE WHEN recall < 0.9 THEN 'recall' END, CASE WHEN fpr > 0.6 THEN 'fpr' END, CASE WHEN review_rate > 0.7 THEN 'review_rate' END) AS violations FROM k)"""
@@ -365,7 +380,7 @@ _BK = "(" + " + ".join(f"b_{k}" for k in L.BIAS_WEIGHT) + ")"
 _BKINDS = "(" + " + ".join(f"CASE WHEN b_{k} > 0 THEN 1 ELSE 0 END" for k in L.BIAS_WEIGHT) + ")"
 _BTOP = "greatest(" + ", ".join(f"CASE WHEN b_{k} > 0 THEN {w}e0 ELSE 0e0 END" for k, w in L.BIAS_WEIGHT.items()) + ")"
 add("r09_bias_signals", _bias, f"""SELECT doc_id, {', '.join(f'b_{k}' for k in L.BIAS_WEIGHT)}, {r4(f"CASE WHEN {_BK} > 0 THEN least(8e-1, {_BTOP} + 5e-2 * ({_BKINDS} - 1)) ELSE 0e0 END")} AS bias_risk,
-    {r4(f"CASE WHEN {_BK} > 0 THEN least(65e-2, 45e-2 + 6e-2 * {_BK}) ELSE 6e-1 END")} AS bias_confidence
+    {r4(f"CASE WHEN {_BK} > 0 THEN least(65e-2, 45e-2 + 6e-2 * {_BK}) ELSE 55e-2 END")} AS bias_confidence
     FROM (SELECT doc_id, {', '.join(f'CAST({v} AS INT) AS b_{k}' for k, v in _BIAS_N.items())} FROM (SELECT *, coalesce(regexp_matches(text, {_pattern(_GROUP)}), false) AS grouped FROM documents))""")
 add("r01_pii_findings", lambda s, d: table(s, d, "documents").select("doc_id", F.inline(R.findings(F.coalesce("text", F.lit(""))))).drop("matched"))
 add("r11_responsibility", lambda s, d: R.assess(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "pii_risk", "critical_pii", "toxicity_risk", "bias_risk", "responsibility_risk", "responsibility_codes"))
@@ -501,8 +516,9 @@ on_decisions("w13_focus", Y.focus, "SELECT interaction_id, application, decision
 on_incidents("w08_incident_order", Y.incident_order, "SELECT incident_id, severity, overall_risk FROM incidents ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, overall_risk DESC, timestamp, interaction_id LIMIT 50")
 on_reviews("w15_timeline", Y.timeline, """SELECT '1 decided' AS stage, count(*) AS n FROM decisions UNION ALL SELECT '2 intervened', count(*) FROM decisions WHERE decision <> 'ALLOW' UNION ALL SELECT '3 incident', count(*) FROM incidents
     UNION ALL SELECT '4 reviewed', count(*) FROM actions WHERE interaction_id IN (SELECT interaction_id FROM decisions) UNION ALL SELECT '5 feedback', count(*) FROM feedback WHERE interaction_id IN (SELECT interaction_id FROM decisions)""", _INCIDENTS)
-on_decisions("i15_incident_surge", Y.surge, f"""SELECT hour, n, {r4('share')} AS share FROM (SELECT date_trunc('hour', d.timestamp) AS hour, count(*) AS n, avg((i.incident_id IS NOT NULL)::INT) AS share FROM decisions d LEFT JOIN incidents i USING (interaction_id) GROUP BY 1)
-    WHERE n >= 10 AND share >= {I.SURGE} * (SELECT avg((i.incident_id IS NOT NULL)::INT) FROM decisions d LEFT JOIN incidents i USING (interaction_id))""", _INCIDENTS)
+on_decisions("i15_incident_surge", Y.surge, """SELECT round(b + 1e-9, 4) AS baseline, round(r + 1e-9, 4) AS recent, r - b > 0.05 AND b > 0 AND r >= 1.5 * b AS surge FROM (
+    SELECT avg(hit) FILTER (WHERE first) AS b, avg(hit) FILTER (WHERE NOT first) AS r FROM (SELECT (i.interaction_id IS NOT NULL)::INT AS hit, row_number() OVER (ORDER BY d.timestamp, d.interaction_id) - 1 < count(*) OVER () // 2 AS first
+    FROM decisions d LEFT JOIN incidents i USING (interaction_id)))""", _INCIDENTS)
 on_decisions("a26_risk_categories", Y.categories, f"""SELECT category, n, rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY n DESC, category) AS INT) AS rank FROM (SELECT category, count(*) AS n FROM (
     SELECT unnest(list_distinct(list_filter(string_split(reason_codes, ','), lambda x: x <> '') || ['DOMINANT_' || upper(dominant_dimension)])) AS category FROM decisions WHERE decision <> 'ALLOW') GROUP BY 1)) WHERE rank <= 10""")
 _GATES = {"risk": "overall_risk >= {t}", "confidence": f"(confidence < {{t}} AND overall_risk >= {C.DEEP['floor']})", "consequence": f"(consequence_score >= {{t}} OR greatest(financial_impact, reversibility) >= {C.DEEP['extreme']})",
@@ -513,7 +529,7 @@ def _axis_sql(axis: str) -> str:
     low, high = Y.AXES[axis]
     values = ", ".join(f"({round(low + Y.STEP * i, 2)}e0)" for i in range(round((high - low) / Y.STEP) + 1))
     deep = " OR ".join(g.format(t="gate" if n == axis else C.DEEP[n]) for n, g in _GATES.items())
-    return f"""l AS ({_LABELLED} scored), g AS (SELECT l.*, v.gate, {deep} OR perf_status = 'UNVERIFIED' AS deep FROM l, (VALUES {values}) v(gate)),
+    return f"""l AS ({_LABELLED_SIGNALS}), g AS (SELECT l.*, v.gate, {deep} OR perf_status = 'UNVERIFIED' AS deep FROM l, (VALUES {values}) v(gate)),
         sw AS (SELECT gate, {rate('deep')} AS deep_rate, {r4(f"coalesce({many('deep AND truly_risky')} / nullif({many('truly_risky')}, 0), 0)")} AS recall FROM g GROUP BY 1)"""
 
 

@@ -8,6 +8,7 @@ is worked out with columns, and the recurrence looks its tier up.
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,44 +31,78 @@ def with_tiers(scored: DataFrame) -> DataFrame:
     layers = [[(n, e.replace("overall_risk >= at_unsure_risk", "unsure")) for n, e in layer] for layer in layers if layer]
     profiles = scored.sparkSession.createDataFrame(D.profile_rows(), ", ".join(f"{n} {t}" for n, t in D.PROFILE))
     base = scored.withColumn("profile", F.expr(D.PROFILE_OF.format("application"))).join(F.broadcast(profiles), "profile")
-    cases = base.withColumn("unsure", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("t0", F.explode(F.array(*map(F.lit, range(5)))))
-    keys = ["session_id", "timestamp", "interaction_id", "overall_risk", *(f"at_{b}" for b in BOUNDS), "at_unsure_risk", "critical_pii"]
-    tiers = D.add(cases, layers).select(*keys, F.struct("unsure", "t0", "t10").alias("case"))
-    grouped = tiers.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("case")), lambda x: x["t10"].cast("int")).alias("tiers"))
-    return grouped.withColumn("bounds", F.array(*(F.col(f"at_{b}") for b in BOUNDS))).drop(*(f"at_{b}" for b in BOUNDS))
+    # every layer once for each case: the ten tiers stand side by side in the row
+    cases = [(str(unsure).lower(), band) for unsure in (False, True) for band in range(5)]
+    named = lambda e, k: re.sub(r"\bt(\d+)\b", rf"t\1_{k}", re.sub(r"\bunsure\b", cases[k][0], e))
+    every = [[(f"t0_{k}", str(band)) for k, (_, band) in enumerate(cases)]]
+    for layer in layers:
+        own = [(n, e) for n, e in layer if not re.fullmatch(r"t\d+", n)]
+        every.append(own + [(f"{n}_{k}", named(e, k)) for n, e in layer if re.fullmatch(r"t\d+", n) for k in range(len(cases))])
+    out = D.add(base, every).withColumn("tiers", F.array(*(F.col(f"t10_{k}").cast("int") for k in range(len(cases)))))
+    return out.select("session_id", "timestamp", "interaction_id", "overall_risk", "at_unsure_risk", "critical_pii", "tiers", F.array(*(F.col(f"at_{b}") for b in BOUNDS)).alias("bounds"))
+
+
+def advance(state: tuple, r) -> tuple[tuple, tuple]:
+    """The state after one turn ``r``, and that turn's row."""
+    cumulative, recent, floor, turns = state
+    risk = min(1.0, max(0.0, r.overall_risk))
+    high = sum(x >= S["high"] for x in recent) + (risk >= S["high"])
+    escalated = high >= S["events"]
+    session = min(S["history"] * cumulative + S["current"] * risk + (S["bump"] if escalated else 0.0), S["most"])
+    adjusted = max(risk, session)
+    if escalated:
+        adjusted = min(adjusted + S["bump"], S["most"])
+    adjusted = round(min(max(adjusted, floor), S["most"]), 4)
+    band = bisect.bisect_left(list(r.bounds), adjusted)  # limits belong to the lower band
+    tier = int(r.tiers[5 * (adjusted >= r.at_unsure_risk) + band])
+    cumulative = S["decay"] * cumulative + (1 - S["decay"]) * adjusted
+    recent = [*recent, adjusted][-S["window"] :]
+    if tier == 4 or r.critical_pii:
+        floor = max(floor, S["floor"])
+    row = (r.session_id, r.interaction_id, turns + 1, risk, round(session, 4), adjusted, int(high), bool(escalated), tier, round(cumulative, 6), floor)
+    return (cumulative, recent, floor, turns + 1), row
 
 
 def fold(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
     """Advance a session by its next turns, in order of time and id. Returns the new state and a row for each turn."""
-    cumulative, recent, floor, turns = state
     out = []
     for r in rows.sort_values(["timestamp", "interaction_id"]).itertuples():
-        risk = min(1.0, max(0.0, r.overall_risk))
-        high = sum(x >= S["high"] for x in recent) + (risk >= S["high"])
-        escalated = high >= S["events"]
-        session = min(S["history"] * cumulative + S["current"] * risk + (S["bump"] if escalated else 0.0), S["most"])
-        adjusted = max(risk, session)
-        if escalated:
-            adjusted = min(adjusted + S["bump"], S["most"])
-        adjusted = round(min(max(adjusted, floor), S["most"]), 4)
-        band = bisect.bisect_left(list(r.bounds), adjusted)  # limits belong to the lower band
-        tier = int(r.tiers[5 * (adjusted >= r.at_unsure_risk) + band])
-        cumulative = S["decay"] * cumulative + (1 - S["decay"]) * adjusted
-        recent = [*recent, adjusted][-S["window"] :]
-        if tier == 4 or r.critical_pii:
-            floor = max(floor, S["floor"])
-        turns += 1
-        out.append((r.session_id, r.interaction_id, turns, risk, round(session, 4), adjusted, int(high), bool(escalated), tier, round(cumulative, 6), floor))
-    return (cumulative, recent, floor, turns), out
+        state, row = advance(state, r)
+        out.append(row)
+    return state, out
 
 
 START = (0.0, [], 0.0, 0)
 NAMES = [x.strip().split(" ")[0] for x in OUT.split(",")]
 
 
+def in_order(rows: DataFrame, key: str, order: list[str], start: tuple, step, schema: str) -> DataFrame:
+    """``step`` (state, row) -> (state, out) over the rows of each ``key`` in ``order``, from ``start``.
+
+    One shuffle on the key; a task reads its rows in order and carries one key's state from batch to batch, so a key of
+    any length takes no memory. Null keys are one key.
+    """
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), start
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                now = getattr(r, key)
+                now = None if pd.isna(now) else now
+                if now != last:
+                    last, state = now, start
+                state, row = step(state, r)
+                out.append(row)
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def batch(tiers: DataFrame) -> DataFrame:
-    """Every turn with its session's risk. One shuffle on the session; a group holds the scalars of one session."""
-    return tiers.groupBy("session_id").applyInPandas(lambda rows: pd.DataFrame(fold(START, rows)[1], columns=NAMES), OUT)
+    """Every turn with its session's risk; repeated rows are turns of their own."""
+    return in_order(tiers, "session_id", ["timestamp", "interaction_id"], START, advance, OUT)
 
 
 def stream(tiers: DataFrame) -> DataFrame:
@@ -76,14 +111,14 @@ def stream(tiers: DataFrame) -> DataFrame:
     State is bounded: a scalar, the last risks, a floor and a count for each session.
     """
 
-    def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else START
         rows = pd.concat(list(parts))
         after, out = fold((now[0], list(now[1]), now[2], now[3]), rows)
         state.update(after)
         yield pd.DataFrame(out, columns=NAMES)
 
-    return tiers.groupBy("session_id").applyInPandasWithState(advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return tiers.groupBy("session_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def final_states(turns: DataFrame) -> DataFrame:
@@ -94,18 +129,17 @@ def final_states(turns: DataFrame) -> DataFrame:
 def routing_state(turns: DataFrame) -> DataFrame:
     """Session complexity over the turns of a conversation: 0.55 of the past, 0.70 of the turn, more after repeated doubt."""
 
-    def advance(rows: pd.DataFrame) -> pd.DataFrame:
-        session, doubts, peak, out = 0.0, 0, 0.0, []
-        for r in rows.sort_values("turn").itertuples():
-            session = min(1.0, 0.55 * session + 0.70 * r.complexity)
-            doubts = doubts + 1 if r.outcome == "AMBIGUOUS" else 0
-            if doubts >= 2:
-                session = min(1.0, session + 0.08)
-            peak = max(peak, r.complexity)
-            out.append((r.conv_id, r.turn, round(session, 6), doubts, peak))
-        return pd.DataFrame(out, columns=["conv_id", "turn", "session_complexity", "consecutive_ambiguous", "peak_complexity"])
-
-    return turns.select("conv_id", "turn", "complexity", "outcome").groupBy("conv_id").applyInPandas(advance, "conv_id long, turn long, session_complexity double, consecutive_ambiguous int, peak_complexity double")
+    def step(state: tuple, r) -> tuple[tuple, tuple]:
+        session, doubts, peak = state
+        session = min(1.0, 0.55 * session + 0.70 * r.complexity)
+        doubts = doubts + 1 if r.outcome == "AMBIGUOUS" else 0
+        if doubts >= 2:
+            session = min(1.0, session + 0.08)
+        peak = max(peak, r.complexity)
+        return (session, doubts, peak), (r.conv_id, r.turn, round(session, 6), doubts, peak)
+
+    schema = "conv_id long, turn long, session_complexity double, consecutive_ambiguous int, peak_complexity double"
+    return in_order(turns.select("conv_id", "turn", "complexity", "outcome"), "conv_id", ["turn"], (0.0, 0, 0.0), step, schema)
 
 
 def monitor(decisions: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
