@@ -208,8 +208,8 @@ def test_grounding(spark):
 
 
 def test_tfidf_ranks_and_repacks():
-    scores = T.tfidf("red cat", ["the red cat sat", "a dog", "red cat"])
-    assert scores[2] == max(scores) and scores[1] == 0.0 and T.tfidf("a b", ["", "x"]) == [0.0, 0.0]
+    scores = T.weighed(["the red cat sat", "a dog", "red cat"])("red cat")
+    assert scores[2] == max(scores) and scores[1] == 0.0 and T.weighed(["", "x"])("a b") == [0.0, 0.0]
     parts = T.repack("word " * 300 + "y" * 1700, 800)
     assert all(len(p) <= 800 for p in parts) and "".join(parts).replace(" ", "") == "word" * 300 + "y" * 1700
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,18 +100,37 @@ def repack(sentence: str, most: int = MAX_CHARS) -> list[str]:
     return out + [now] if now else out
 
 
-def tfidf(query: str, documents: list[str]) -> list[float]:
-    """Cosine of the query with each document, smoothed idf over query and documents, words of two characters or more."""
-    counts = [Counter(WORD.findall(t.lower())) for t in (query, *documents)]
-    n, df = len(counts), Counter(w for c in counts for w in c)
-    idf = {w: math.log((1 + n) / (1 + k)) + 1 for w, k in df.items()}
-    vectors = [{w: k * idf[w] for w, k in c.items()} for c in counts]
-    norms = [math.sqrt(sum(v * v for v in x.values())) for x in vectors]
-    q, nq = vectors[0], norms[0]
-    return [sum(v * x.get(w, 0.0) for w, v in q.items()) / (nq * nx) if nq and nx else 0.0 for x, nx in zip(vectors[1:], norms[1:], strict=True)]
+def weighed(documents: list[str]) -> Callable[[str], list[float]]:
+    """Cosine of a query with each document, smoothed idf over query and documents, words of two characters or more.
 
+    Documents are counted once for all queries; a query touches only the documents that share a word with it.
+    """
+    counts = [Counter(WORD.findall(t.lower())) for t in documents]
+    df = Counter(w for c in counts for w in c)
+    n = 2 + len(documents)
+    idf = {w: math.log(n / (1 + k)) + 1 for w, k in df.items()}
+    squares = [sum((k * idf[w]) ** 2 for w, k in c.items()) for c in counts]
+    holders: dict[str, list[tuple[int, int]]] = {}
+    for j, c in enumerate(counts):
+        for w, k in c.items():
+            holders.setdefault(w, []).append((j, k))
 
-EVIDENCE = T.ArrayType(struct("claim_no int, claim string, rank int, evidence string, similarity double"))
+    def scores(query: str) -> list[float]:
+        asked = Counter(WORD.findall(query.lower()))
+        size, dots, norms, touched = 0.0, [0.0] * len(documents), list(squares), set()
+        for w, k in asked.items():
+            own = math.log(n / (2 + df[w])) + 1  # the query is a document too
+            size += (k * own) ** 2
+            for j, m in holders.get(w, ()):
+                dots[j] += k * m * own * own
+                norms[j] += m * m * (own * own - idf[w] * idf[w])
+                touched.add(j)
+        return [round(dots[j] / math.sqrt(size * norms[j]), 12) if j in touched else 0.0 for j in range(len(documents))]
+
+    return scores
+
+
+EVIDENCE = T.ArrayType(struct("claim_no int, claim string, evidence array<string>, similarity array<double>"))
 
 
 @F.pandas_udf(EVIDENCE)
@@ -117,14 +138,13 @@ def evidence_udf(claim_lists: pd.Series, chunk_lists: pd.Series) -> pd.Series:
     """The ``DEEP`` most similar chunks of every claim, ties to the earlier chunk; work stays inside a row."""
     out = []
     for claim_list, chunk_list in zip(claim_lists, chunk_lists, strict=True):
-        chunks = [c for s in (chunk_list if chunk_list is not None else ()) for c in repack(s)]
-        rows = []
-        for i, claim in enumerate(claim_list if claim_list is not None else ()):
-            scores = tfidf(claim, chunks)
-            for rank, j in enumerate(sorted(range(len(chunks)), key=lambda j: (-scores[j], j))[:DEEP], 1):
-                rows.append({"claim_no": i, "claim": claim, "rank": rank, "evidence": chunks[j], "similarity": round(min(1.0, max(0.0, scores[j])), 6)})
-            if not chunks:
-                rows.append({"claim_no": i, "claim": claim, "rank": None, "evidence": None, "similarity": None})
+        claim_list = claim_list if claim_list is not None else ()
+        chunks = [c for s in (chunk_list if chunk_list is not None and len(claim_list) else ()) for c in repack(s)]
+        scores, rows = weighed(chunks), []
+        for i, claim in enumerate(claim_list):
+            got = scores(claim)
+            best = heapq.nsmallest(DEEP, range(len(chunks)), key=lambda j: (-got[j], j))
+            rows.append({"claim_no": i, "claim": claim, "evidence": [chunks[j] for j in best], "similarity": [round(min(1.0, got[j]), 6) for j in best]})
         out.append(rows)
     return pd.Series(out)
 
@@ -135,50 +155,74 @@ def text_criticality(text: Column) -> Column:
     return F.least(F.lit(1.0), money + verb + F.when(text.rlike(L.ENTITY), 0.20).otherwise(0.0))
 
 
-def claim_results(rows: DataFrame, key: list[str], response: str, context: str, depth: int = DEEP) -> DataFrame:
-    """One row for each claim: best similarity, verdict, evidence strength, risk."""
-    found = rows.select(*key, F.inline(evidence_udf(claims(F.col(response)), sentences(F.col(context)))))
-    found = found.filter(F.coalesce("rank", F.lit(1)) <= depth).withColumn("pt", tokens(F.coalesce("evidence", F.lit("")))).withColumn("ht", tokens(F.col("claim")))
-    label, confidence = coverage_nli("pt", "ht")
-    judged = found.withColumn("label", label).withColumn("conf", confidence).drop("pt", "ht")
-    by = [*key, "claim_no"]
-    best = judged.groupBy(*by).agg(F.max("similarity").alias("best"))
+def _judged(rows: DataFrame, keep: list[str], response: str, context: str, depth: int) -> DataFrame:
+    """One row for each claim, and one with a null claim for a response without any. No shuffle: a claim carries its evidence."""
+    found = rows.select(*keep, F.inline_outer(evidence_udf(claims(F.col(response)), sentences(F.col(context)))))
+    piece = lambda i: F.get("evidence", F.lit(i))
+    found = found.withColumns({"ht": tokens(F.coalesce("claim", F.lit(""))), **{f"pt{i}": tokens(F.coalesce(piece(i), F.lit(""))) for i in range(depth)}})
+    verdicts = [coverage_nli(f"pt{i}", "ht") for i in range(depth)]
+    found = found.withColumns({f"{n}{i}": c for i, pair in enumerate(verdicts) for n, c in zip(("label", "conf"), pair, strict=True)})
+    best = F.get("similarity", F.lit(0))
     gate = F.greatest(F.lit(RETRIEVAL), 0.6 * F.col("best"))
-    joined = judged.join(best, by).withColumn("in", F.coalesce((F.col("best") >= RETRIEVAL) & (F.col("similarity") >= gate), F.lit(False)))
-    contra = (F.col("label") == "CONTRADICTION") & (F.col("conf") >= CONTRADICT)
-    entail = (F.col("label") == "ENTAILMENT") & (F.col("conf") >= ENTAIL)
-    pick = lambda c: F.max(F.when(F.col("in") & c, F.col("conf")))
-    out = joined.groupBy(*by).agg(F.first("claim").alias("claim"), F.max("best").alias("similarity"), pick(contra).alias("c"), pick(entail).alias("e"), pick(~contra & ~entail).alias("f"), F.count("evidence").alias("n_evidence"), F.bool_or("in").alias("retrieved"))
+    found = found.withColumn("best", best).withColumn("retrieved", F.coalesce(F.col("best") >= RETRIEVAL, F.lit(False)))
+    found = found.withColumns({f"in{i}": F.coalesce(F.col("retrieved") & (F.get("similarity", F.lit(i)) >= gate), F.lit(False)) for i in range(depth)})
+
+    def pick(label: str, least: float) -> Column:
+        """Highest confidence of the evidence in question with this label."""
+        each = [F.when(F.col(f"in{i}") & (F.col(f"label{i}") == label) & (F.col(f"conf{i}") >= least), F.col(f"conf{i}")) for i in range(depth)]
+        return F.array_max(F.array(*each))
+
+    any_ = F.array_max(F.array(*(F.when(F.col(f"in{i}"), F.col(f"conf{i}")) for i in range(depth))))
+    out = found.withColumns({"c": pick("CONTRADICTION", CONTRADICT), "e": pick("ENTAILMENT", ENTAIL), "f": any_})
     status = F.when(F.col("c").isNotNull(), "CONTRADICTED").when(F.col("e").isNotNull(), "SUPPORTED").when(F.col("retrieved"), "NEUTRAL").otherwise("NO_EVIDENCE")
-    out = out.withColumn("status", status).withColumn("nli_confidence", F.when(F.col("retrieved"), F.coalesce("c", "e", "f", F.lit(0.0)))).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    there = F.when(F.col("retrieved"), 1.0).when(F.size("evidence") > 0, 0.3).otherwise(0.0)
+    out = out.select(*keep, "claim_no", "claim", F.coalesce("best", F.lit(0.0)).alias("similarity"), status.alias("status"), F.when(F.col("retrieved"), F.coalesce("c", "e", "f", F.lit(0.0))).alias("nli_confidence"), there.alias("there"))
     nli = F.coalesce("nli_confidence", F.lit(0.0))
-    there = F.when(F.col("retrieved"), 1.0).when(F.col("n_evidence") > 0, 0.3).otherwise(0.0)
-    out = out.withColumn("evidence_strength", r4(F.least(F.lit(1.0), 0.4 * F.col("similarity") + 0.4 * nli + 0.2 * there)))
+    out = out.withColumn("evidence_strength", r4(F.least(F.lit(1.0), 0.4 * F.col("similarity") + 0.4 * nli + 0.2 * F.col("there")))).drop("there")
     risk = (
         F.when(F.col("status") == "CONTRADICTED", (0.55 + 0.30 * nli) * (0.75 + 0.25 * F.least(F.lit(1.0), F.col("similarity") / 0.6)))
         .when(F.col("status") == "SUPPORTED", 0.08 * (1 - 0.9 * F.least(F.lit(1.0), (F.col("similarity") + nli) / 1.6)))
         .when(F.col("status") == "NEUTRAL", 0.42 * (0.6 + 0.4 * (1 - F.col("evidence_strength")))).otherwise(0.50)
     )
-    return out.withColumn("claim_risk", r4(F.least(F.lit(1.0), risk))).withColumn("text_criticality", text_criticality(F.col("claim"))).drop("c", "e", "f", "n_evidence", "retrieved")
+    return out.withColumn("claim_risk", r4(F.least(F.lit(1.0), risk))).withColumn("text_criticality", text_criticality(F.col("claim")))
 
 
-def responses(rows: DataFrame, key: list[str], response: str, context: str, depth: int = DEEP) -> DataFrame:
-    """One row for each response: status, grounding score, risk and confidence. Responses without claims have risk 0.10."""
-    results = claim_results(rows, key, response, context, depth)
+def claim_results(rows: DataFrame, key: list[str], response: str, context: str, depth: int = DEEP) -> DataFrame:
+    """One row for each claim: best similarity, verdict, evidence strength, risk."""
+    return _judged(rows, key, response, context, depth).filter("claim IS NOT NULL")
+
+
+def graded(rows: DataFrame, key: list[str], response: str, context: str, depth: int = DEEP, keep: list[str] | None = None) -> DataFrame:
+    """One row for each response (``key`` names one): counts, status, grounding score, risk, confidence, quality of evidence,
+    share of neutral claims, highest text criticality (null without claims). ``keep`` are further columns to carry.
+
+    One shuffle; a response's claims are folded before it. Responses without claims have risk 0.10.
+    """
+    keep = keep or []
     is_ = lambda s: F.col("status") == s
     weight = 1 + 0.5 * F.col("text_criticality")
-    agg = results.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(is_("SUPPORTED")).alias("s"), F.count_if(is_("CONTRADICTED")).alias("c"), F.avg("evidence_strength").alias("quality"),
-        (F.sum(weight * F.col("claim_risk")) / F.sum(weight)).alias("mean"), F.avg(F.when(is_("SUPPORTED") | is_("CONTRADICTED"), F.col("nli_confidence"))).alias("nli"),
+    there = F.col("claim").isNotNull()
+    only = lambda c: F.when(there, c)
+    agg = _judged(rows, [*key, *keep], response, context, depth).groupBy(*key).agg(
+        F.count("claim").alias("n"), F.count_if(there & is_("SUPPORTED")).alias("s"), F.count_if(there & is_("CONTRADICTED")).alias("c"),
+        F.count_if(there & is_("NEUTRAL")).alias("u"), F.avg(only(F.col("evidence_strength"))).alias("quality"),
+        (F.sum(only(weight * F.col("claim_risk"))) / F.sum(only(weight))).alias("mean"),
+        F.avg(F.when(is_("SUPPORTED") | is_("CONTRADICTED"), F.col("nli_confidence"))).alias("nli"),
+        F.max(only(F.col("text_criticality"))).alias("max_text_criticality"), *(F.first(k).alias(k) for k in keep),
     )
-    joined = rows.select(*key).join(agg, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     n, s, c, seen = F.col("n"), F.col("s"), F.col("c"), F.col("s") + F.col("c")
     ceiling = F.when(c > 0, F.greatest(F.lit(0.30), 0.70 - 0.10 * (c - 1))).otherwise(1.0)
     status = F.when(n == 0, "UNVERIFIED").when((c > 0) & (s == 0), "CONTRADICTED").when(c > 0, "PARTIALLY_SUPPORTED").when(s == n, "SUPPORTED").when(s > 0, "PARTIALLY_SUPPORTED").otherwise("UNVERIFIED")
     risk = F.when(n == 0, 0.10).when(c > 0, F.greatest("mean", F.least(F.lit(0.97), 0.62 + 0.12 * c))).when(s == n, F.col("mean")).otherwise(F.greatest(F.col("mean"), F.lit(0.05)))
     sure = F.when(n == 0, 0.55).when(seen == 0, 0.40 + 0.20 * F.col("quality")).otherwise(F.least(F.lit(0.9), 0.35 + 0.25 * seen / n + 0.20 * F.col("nli") + 0.20 * F.col("quality")))
-    return joined.select(*key, n.alias("claims"), F.coalesce(s, F.lit(0)).alias("supported"), F.coalesce(c, F.lit(0)).alias("contradicted"), status.alias("status"),
-        r4(F.when(seen > 0, F.least(s / seen, ceiling))).alias("grounding_score"), r4(risk).alias("performance_risk"), r4(sure).alias("confidence"))
+    return agg.select(*key, n.alias("claims"), s.alias("supported"), c.alias("contradicted"), status.alias("status"),
+        r4(F.when(seen > 0, F.least(s / seen, ceiling))).alias("grounding_score"), r4(risk).alias("performance_risk"), r4(sure).alias("confidence"),
+        r4(F.coalesce("quality", F.lit(0.0))).alias("evidence_quality"), F.when(n > 0, F.col("u") / n).otherwise(0.0).alias("neutral_rate"), "max_text_criticality", *keep)
+
+
+def responses(rows: DataFrame, key: list[str], response: str, context: str, depth: int = DEEP) -> DataFrame:
+    """One row for each response: status, grounding score, risk and confidence."""
+    return graded(rows, key, response, context, depth).drop("evidence_quality", "neutral_rate", "max_text_criticality")
 
 
 def turns(conversations: DataFrame) -> DataFrame:
