@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil import config as C
-from vigil.functions.columns import before, cut_key, nearest_rank
+from vigil.functions.columns import before, cut_key, nearest_rank, percentiles
 from vigil.operators import evaluation as E
 from vigil.operators import governance as G
 from vigil.operators import grounding as T
@@ -244,3 +244,12 @@ def test_detectors_never_see_labels():
 
     names = {n for layer in decide.EVENTS + decide.PRICE + decide.COST + decide.STAKES + decide.FUSE + decide.policy_layers() for n, _ in layer}
     assert not names & {"truly_risky", "expected", "label_risk"}
+
+
+@pytest.mark.parametrize("at", [0.0, 0.8, 1.0])
+def test_bracketed_percentiles_are_exact(spark, at):
+    rows = spark.range(60_000).select((F.col("id") % 30_000 == 0).alias("g"), F.rand(5).alias("x"), (F.col("id") % 7).alias("y"), F.when(F.col("id") % 3 == 0, F.rand(9)).alias("z"))
+    got = {r["g"]: r for r in percentiles(rows, ["g"], ["x", "y", "z"], at).collect()}
+    want = {r["g"]: r for r in rows.groupBy("g").agg(*(F.percentile(c, at).alias(c) for c in "xyz")).collect()}
+    assert got.keys() == want.keys() and all(got[g][c] == pytest.approx(want[g][c], abs=1e-12) for g in want for c in "xyz")
+    assert nearest_rank(rows.limit(0), [], "x", at, "p").first()["p"] is None

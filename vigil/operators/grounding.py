@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions import lexicons as L
-from vigil.functions.columns import r4
+from vigil.functions.columns import r4, spread
 from vigil.functions.schema import struct
 
 RETRIEVAL, ENTAIL, CONTRADICT, SHALLOW, DEEP, MAX_CHARS = 0.10, 0.60, 0.60, 1, 3, 800
@@ -54,11 +54,21 @@ def coverage_nli(premise: str, hypothesis: str) -> tuple[Column, Column]:
     """(label, confidence) by how much of the hypothesis the premise covers; inputs are token columns."""
     p, h = F.col(premise), F.col(hypothesis)
     asked = content(h)
-    cover = F.coalesce(F.try_divide(F.size(F.array_intersect(content(p), asked)), F.size(asked)), F.lit(0.0))
-    negation = _negated(p) != _negated(h)
-    pn, hn = _numbers(p, 3), _numbers(h, 3)
-    numeric = (F.size(pn) > 0) & (F.size(hn) > 0) & ~F.arrays_overlap(pn, hn)
-    empty, topical = F.size(asked) == 0, cover >= 0.30
+    return _ruled(_cover(content(p), asked), F.size(asked) == 0, _negated(p) != _negated(h), _clash(_numbers(p, 3), _numbers(h, 3)))
+
+
+def _cover(had: Column, asked: Column) -> Column:
+    """Share of the words asked for."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(had, asked)), F.size(asked)), F.lit(0.0))
+
+
+def _clash(pn: Column, hn: Column) -> Column:
+    """Both have numbers, none in common."""
+    return (F.size(pn) > 0) & (F.size(hn) > 0) & ~F.arrays_overlap(pn, hn)
+
+
+def _ruled(cover: Column, empty: Column, negation: Column, numeric: Column) -> tuple[Column, Column]:
+    topical = cover >= 0.30
     label = F.when(empty, "NEUTRAL").when(topical & (negation | numeric), "CONTRADICTION").when(cover >= 0.48, "ENTAILMENT").otherwise("NEUTRAL")
     confidence = (
         F.when(empty, 0.5).when(topical & negation, F.least(F.lit(0.97), 0.72 + 0.25 * cover)).when(topical & numeric, F.least(F.lit(0.95), 0.72 + 0.20 * cover))
@@ -160,7 +170,13 @@ def _judged(rows: DataFrame, keep: list[str], response: str, context: str, depth
     found = rows.select(*keep, F.inline_outer(evidence_udf(claims(F.col(response)), sentences(F.col(context)))))
     piece = lambda i: F.get("evidence", F.lit(i))
     found = found.withColumns({"ht": tokens(F.coalesce("claim", F.lit(""))), **{f"pt{i}": tokens(F.coalesce(piece(i), F.lit(""))) for i in range(depth)}})
-    verdicts = [coverage_nli(f"pt{i}", "ht") for i in range(depth)]
+    # in steps, so that nothing is worked out twice: content words and numbers of each text, then how they meet, then the rules
+    texts = ["ht", *(f"pt{i}" for i in range(depth))]
+    found = found.withColumns({f"{n}_{t}": f(F.col(t)) for t in texts for n, f in (("w", content), ("neg", _negated), ("num", lambda x: _numbers(x, 3)))})
+    asked, hn = F.col("w_ht"), F.col("num_ht")
+    found = found.withColumns({k: c for i in range(depth) for k, c in {
+        f"cover{i}": _cover(F.col(f"w_pt{i}"), asked), f"negation{i}": F.col(f"neg_pt{i}") != F.col("neg_ht"), f"numeric{i}": _clash(F.col(f"num_pt{i}"), hn)}.items()})
+    verdicts = [_ruled(F.col(f"cover{i}"), F.size(asked) == 0, F.col(f"negation{i}"), F.col(f"numeric{i}")) for i in range(depth)]
     found = found.withColumns({f"{n}{i}": c for i, pair in enumerate(verdicts) for n, c in zip(("label", "conf"), pair, strict=True)})
     best = F.get("similarity", F.lit(0))
     gate = F.greatest(F.lit(RETRIEVAL), 0.6 * F.col("best"))
@@ -231,5 +247,5 @@ def turns(conversations: DataFrame) -> DataFrame:
 
     order = Window.partitionBy("conv_id").orderBy("turn")
     earlier = F.collect_list("text").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = conversations.withColumn("prompt", F.lag("text").over(order)).withColumn("context", F.array_join(earlier, "\n"))
+    rows = spread(conversations.select("conv_id", "turn", "role", "text"), "conv_id").withColumn("prompt", F.lag("text").over(order)).withColumn("context", F.array_join(earlier, "\n"))
     return rows.filter("role = 'assistant'").select("conv_id", "turn", F.coalesce("prompt", F.lit("")).alias("prompt"), "context", F.col("text").alias("response"))

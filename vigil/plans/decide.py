@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil import config as C
+from vigil.functions.columns import percentiles
 from vigil.functions.scalar import clamp, listed, lookup, num, rounded
 
 Layer = list[tuple[str, str]]
@@ -191,7 +192,8 @@ def interactions(events: DataFrame) -> DataFrame:
 
 def baselines(priced: DataFrame, at: float = C.BASELINE_AT) -> DataFrame:
     """Interpolated percentile of every usage figure by application and model."""
-    return priced.groupBy(*SEGMENT).agg(*(F.percentile(x, at).alias(f"fit_{x}") for x in FITTED))
+    fits = percentiles(priced, SEGMENT, FITTED, at)
+    return fits.select(*SEGMENT, *(F.col(x).alias(f"fit_{x}") for x in FITTED))
 
 
 def signals(rows: DataFrame) -> DataFrame:
