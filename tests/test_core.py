@@ -19,6 +19,7 @@ from vigil.operators import monitoring as M
 from vigil.operators import responsibility as R
 from vigil.operators import routing as V
 from vigil.plans import decide as D
+from vigil.plans import texts as TX
 from vigil.sources import tables as W
 from vigil.streaming import session as X
 
@@ -71,7 +72,7 @@ def test_policy_scenarios(spark):
 
 
 def test_fusion_fixture(spark):
-    row = {"perf_raw": 0.95, "resp_raw": 0.05, "cost_raw": 0.05, "action_criticality": 0.1, "perf_conf": 0.8, "resp_conf": 0.8, "cost_confidence": 0.7, "evidence_quality": 0.4, "neutral_rate": 0.5, "perf_status": "SUPPORTED", "consequence_score": 0.1, "financial_impact": 0.0, "reversibility": 0.1}
+    row = {"perf_raw": 0.95, "resp_raw": 0.05, "cost_raw": 0.05, "action_criticality": 0.1, "perf_conf": 0.8, "resp_conf": 0.8, "cost_confidence": 0.7, "evidence_quality": 0.4, "neutral_rate": 0.5, "perf_status": "SUPPORTED", "evidence_available": True, "max_text_criticality": 0.0, "consequence_score": 0.1, "financial_impact": 0.0, "reversibility": 0.1}
     got = D.add(spark.createDataFrame(pd.DataFrame([row, row | {"perf_raw": 0.97, "resp_raw": 0.0, "cost_raw": 0.0}, row | {"perf_raw": 0.0, "resp_raw": 0.0, "cost_raw": 0.0}])), D.FUSE).collect()
     assert got[0]["overall_risk"] > 0.6 and got[1]["overall_risk"] >= 0.8 and got[1]["severity_floor"] and got[2]["overall_risk"] == 0.0
     # spread 0.4243 counts in full, evidence 0.6, half of the claims neutral, trust of the third row above the anchor
@@ -253,3 +254,46 @@ def test_bracketed_percentiles_are_exact(spark, at):
     want = {r["g"]: r for r in rows.groupBy("g").agg(*(F.percentile(c, at).alias(c) for c in "xyz")).collect()}
     assert got.keys() == want.keys() and all(got[g][c] == pytest.approx(want[g][c], abs=1e-12) for g in want for c in "xyz")
     assert nearest_rank(rows.limit(0), [], "x", at, "p").first()["p"] is None
+
+
+def said(spark, tmp_path, *conversations):
+    """Decisions over conversations given as lists of texts, user and assistant by turns, by (conv_id, turn)."""
+    rows = [(c, t, "assistant" if t % 2 else "user", text) for c, texts in enumerate(conversations) for t, text in enumerate(texts)]
+    signals = stored(TX.detected(TX.from_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))), tmp_path / "signals")
+    scored_ = stored(TX.scored(signals), tmp_path / "scored")
+    decided_ = stored(TX.decisions(scored_), tmp_path / "decided")
+    tiers = {r["interaction_id"]: C.TIERS[r["tier"]] for r in X.batch(X.with_tiers(scored_)).collect()}
+    got = {divmod(r["interaction_id"], 100_000): r for r in decided_.collect()}
+    assert {c * 100_000 + t: r["decision"] for (c, t), r in got.items()} == tiers  # the recurrence and the policy agree
+    return got, decided_
+
+
+CARD, THREAT = "Your card is 4111 1111 1111 1111 and it is fine.", "You will regret this, I will kill you."
+FACTS = ["The warehouse in Pune opens at nine every morning. What are its hours?", "The warehouse in Pune opens at nine every morning."]
+
+
+def test_decisions_from_texts(spark, tmp_path):
+    got, decided_ = said(spark, tmp_path, ["Hello there", CARD, "Thanks", "You are welcome today."], ["Hello", THREAT, "Oh", "Fine then."], FACTS, ["", None])
+    card, after, threat, fact, empty = got[0, 1], got[0, 3], got[1, 1], got[2, 1], got[3, 1]
+    # a hard boundary: no claims looked for, fixed risk, deep path, and a floor under the session's later turns
+    assert card["critical_pii"] and card["claims"] == 0 and card["perf_status"] == "UNVERIFIED" and card["deep_trigger_reasons"] == "DETERMINISTIC_HARD_BOUNDARY"
+    assert card["verification_path"] == "DEEP" and "CRITICAL_PII" in card["triggered_rules"] and card["decision"] == "BLOCK" and card["critical_trigger"] == "CRITICAL_PII"
+    assert card["pii_severity"] == 4 and card["pii_keys"] == ["credit_card:[REDACTED_CARD]"]
+    assert after["overall_risk"] >= C.SESSION["floor"] > after["pre_session_risk"] and after["session_turn"] == 2
+    assert threat["toxic_critical"] and threat["decision"] == "BLOCK" and "SEVERE_TOXICITY" in threat["triggered_rules"] and threat["critical_trigger"] == "SEVERE_TOXICITY"
+    assert fact["perf_status"] == "SUPPORTED" and fact["performance_risk"] < 0.1 and fact["critical_trigger"] is None
+    assert empty["claims"] == 0 and empty["decision_confidence"] is not None
+    s = {r["session_id"]: r for r in TX.snapshots(decided_).collect()}
+    assert s[0]["critical_floor"] == C.SESSION["floor"] and s[0]["pii_entity_keys"] == "credit_card:[REDACTED_CARD]" and s[0]["turns_recorded"] == 2 and "CRITICAL_PII" in s[0]["tier_changing_rules"]
+    assert s[2]["critical_events"] == 0 and s[2]["critical_floor"] == 0.0
+    assert {r["session_id"] for r in TX.critical_turns(decided_).collect()} >= {0, 1}
+
+
+def test_text_decisions_of_an_empty_table(spark, tmp_path):
+    got, decided_ = said(spark, tmp_path, [])
+    assert got == {} and TX.snapshots(decided_).count() == 0
+
+
+def test_severity_by_action(spark):
+    rows = spark.createDataFrame([("email", "information"), ("email", "external_communication"), ("credit_card", None), ("person_name", None), ("postal_address", "refund")], "k string, a string")
+    assert [r[0] for r in rows.select(R.severity(F.col("k"), F.col("a"))).collect()] == ["MEDIUM", "CRITICAL", "CRITICAL", "LOW", "HIGH"]

@@ -48,6 +48,9 @@ TOKENS = {"credit_card": "[REDACTED_CARD]", "government_id": "[REDACTED_GOV_ID]"
 PII_WEIGHT = {
     "government_id": 0.95, "credit_card": 0.95, "financial_account": 0.80, "email": 0.65, "phone": 0.65, "account_id": 0.40, "employee_id": 0.40, "postal_address": 0.70, "person_name": 0.35,
 }
+PII_CONFIDENCE = {
+    "government_id": 0.9, "credit_card": 0.95, "financial_account": 0.85, "account_id": 0.9, "employee_id": 0.9, "email": 0.95, "phone": 0.8, "postal_address": 0.6, "person_name": 0.55,
+}
 CRITICAL = {"government_id", "credit_card", "financial_account"}
 CONTACT = ("email", "phone", "person_name", "postal_address")
 OUTWARD = ("external_communication", "account_cancellation")

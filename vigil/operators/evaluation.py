@@ -171,3 +171,13 @@ def counterfactual(rows: DataFrame, changes: dict[str, str]) -> DataFrame:
         "interaction_id", "decision", "new_decision", r4(F.col("new_overall_risk") - F.col("overall_risk")).alias("delta"), F.array_join(F.array_sort(F.array_except(listed("new_triggered_rules"), listed("triggered_rules"))), ",").alias("added"),
         F.array_join(F.array_sort(F.array_except(listed("triggered_rules"), listed("new_triggered_rules"))), ",").alias("removed"),
     )
+
+
+def against_labels(said: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """One row: what a detector ``said`` (boolean) of the rows that a label tells the ``truth`` of. Rows without a label, and
+    labels without a row, take no part; ratios without a base are null."""
+    said_, truth = F.col("said"), F.col("truth")
+    cells = {"tp": said_ & truth, "fp": said_ & ~truth, "fn": ~said_ & truth, "tn": ~said_ & ~truth}
+    counts = labels.filter(truth.isNotNull()).join(said, key).agg(*(many(c).alias(n) for n, c in cells.items()))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return counts.select("*", r4(F.try_divide(tp, tp + fp)).alias("precision"), r4(F.try_divide(tp, tp + fn)).alias("recall"), r4(F.try_divide(2 * tp, 2 * tp + fp + fn)).alias("f1"))

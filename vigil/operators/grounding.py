@@ -6,7 +6,7 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -165,80 +165,95 @@ def text_criticality(text: Column) -> Column:
     return F.least(F.lit(1.0), money + verb + F.when(text.rlike(L.ENTITY), 0.20).otherwise(0.0))
 
 
-def _judged(rows: DataFrame, keep: list[str], response: str, context: str, depth: int) -> DataFrame:
-    """One row for each claim, and one with a null claim for a response without any. No shuffle: a claim carries its evidence."""
+def _judged(rows: DataFrame, keep: list[str], response: str, context: str, depths: Sequence[int]) -> DataFrame:
+    """One row for each claim, and one with a null claim for a response without any; ``similarity1``, ``status1`` and so on
+    for each depth. No shuffle: a claim carries its evidence, and all depths share one pass."""
+    most = max(depths)
     found = rows.select(*keep, F.inline_outer(evidence_udf(claims(F.col(response)), sentences(F.col(context)))))
     piece = lambda i: F.get("evidence", F.lit(i))
-    found = found.withColumns({"ht": tokens(F.coalesce("claim", F.lit(""))), **{f"pt{i}": tokens(F.coalesce(piece(i), F.lit(""))) for i in range(depth)}})
+    found = found.withColumns({"ht": tokens(F.coalesce("claim", F.lit(""))), **{f"pt{i}": tokens(F.coalesce(piece(i), F.lit(""))) for i in range(most)}})
     # in steps, so that nothing is worked out twice: content words and numbers of each text, then how they meet, then the rules
-    texts = ["ht", *(f"pt{i}" for i in range(depth))]
+    texts = ["ht", *(f"pt{i}" for i in range(most))]
     found = found.withColumns({f"{n}_{t}": f(F.col(t)) for t in texts for n, f in (("w", content), ("neg", _negated), ("num", lambda x: _numbers(x, 3)))})
     asked, hn = F.col("w_ht"), F.col("num_ht")
-    found = found.withColumns({k: c for i in range(depth) for k, c in {
+    found = found.withColumns({k: c for i in range(most) for k, c in {
         f"cover{i}": _cover(F.col(f"w_pt{i}"), asked), f"negation{i}": F.col(f"neg_pt{i}") != F.col("neg_ht"), f"numeric{i}": _clash(F.col(f"num_pt{i}"), hn)}.items()})
-    verdicts = [_ruled(F.col(f"cover{i}"), F.size(asked) == 0, F.col(f"negation{i}"), F.col(f"numeric{i}")) for i in range(depth)]
+    verdicts = [_ruled(F.col(f"cover{i}"), F.size(asked) == 0, F.col(f"negation{i}"), F.col(f"numeric{i}")) for i in range(most)]
     found = found.withColumns({f"{n}{i}": c for i, pair in enumerate(verdicts) for n, c in zip(("label", "conf"), pair, strict=True)})
-    best = F.get("similarity", F.lit(0))
-    gate = F.greatest(F.lit(RETRIEVAL), 0.6 * F.col("best"))
+    best = F.get("similarity", F.lit(0))  # the first is the most similar, at any depth
     found = found.withColumn("best", best).withColumn("retrieved", F.coalesce(F.col("best") >= RETRIEVAL, F.lit(False)))
-    found = found.withColumns({f"in{i}": F.coalesce(F.col("retrieved") & (F.get("similarity", F.lit(i)) >= gate), F.lit(False)) for i in range(depth)})
+    gate = F.greatest(F.lit(RETRIEVAL), 0.6 * F.col("best"))
+    found = found.withColumns({f"in{i}": F.coalesce(F.col("retrieved") & (F.get("similarity", F.lit(i)) >= gate), F.lit(False)) for i in range(most)})
 
-    def pick(label: str, least: float) -> Column:
+    def pick(depth: int, label: str | None = None, least: float = 0.0) -> Column:
         """Highest confidence of the evidence in question with this label."""
-        each = [F.when(F.col(f"in{i}") & (F.col(f"label{i}") == label) & (F.col(f"conf{i}") >= least), F.col(f"conf{i}")) for i in range(depth)]
-        return F.array_max(F.array(*each))
+        is_ = lambda i: F.col(f"in{i}") if label is None else F.col(f"in{i}") & (F.col(f"label{i}") == label) & (F.col(f"conf{i}") >= least)
+        return F.array_max(F.array(*(F.when(is_(i), F.col(f"conf{i}")) for i in range(depth))))
 
-    any_ = F.array_max(F.array(*(F.when(F.col(f"in{i}"), F.col(f"conf{i}")) for i in range(depth))))
-    out = found.withColumns({"c": pick("CONTRADICTION", CONTRADICT), "e": pick("ENTAILMENT", ENTAIL), "f": any_})
-    status = F.when(F.col("c").isNotNull(), "CONTRADICTED").when(F.col("e").isNotNull(), "SUPPORTED").when(F.col("retrieved"), "NEUTRAL").otherwise("NO_EVIDENCE")
+    found = found.withColumns({f"{n}{d}": c for d in depths for n, c in (("c", pick(d, "CONTRADICTION", CONTRADICT)), ("e", pick(d, "ENTAILMENT", ENTAIL)), ("f", pick(d)))})
     there = F.when(F.col("retrieved"), 1.0).when(F.size("evidence") > 0, 0.3).otherwise(0.0)
-    out = out.select(*keep, "claim_no", "claim", F.coalesce("best", F.lit(0.0)).alias("similarity"), status.alias("status"), F.when(F.col("retrieved"), F.coalesce("c", "e", "f", F.lit(0.0))).alias("nli_confidence"), there.alias("there"))
-    nli = F.coalesce("nli_confidence", F.lit(0.0))
-    out = out.withColumn("evidence_strength", r4(F.least(F.lit(1.0), 0.4 * F.col("similarity") + 0.4 * nli + 0.2 * F.col("there")))).drop("there")
-    risk = (
-        F.when(F.col("status") == "CONTRADICTED", (0.55 + 0.30 * nli) * (0.75 + 0.25 * F.least(F.lit(1.0), F.col("similarity") / 0.6)))
-        .when(F.col("status") == "SUPPORTED", 0.08 * (1 - 0.9 * F.least(F.lit(1.0), (F.col("similarity") + nli) / 1.6)))
-        .when(F.col("status") == "NEUTRAL", 0.42 * (0.6 + 0.4 * (1 - F.col("evidence_strength")))).otherwise(0.50)
-    )
-    return out.withColumn("claim_risk", r4(F.least(F.lit(1.0), risk))).withColumn("text_criticality", text_criticality(F.col("claim")))
+    status = lambda d: F.when(F.col(f"c{d}").isNotNull(), "CONTRADICTED").when(F.col(f"e{d}").isNotNull(), "SUPPORTED").when(F.col("retrieved"), "NEUTRAL").otherwise("NO_EVIDENCE")
+    sure = lambda d: F.when(F.col("retrieved"), F.coalesce(f"c{d}", f"e{d}", f"f{d}", F.lit(0.0)))
+    out = found.select(*keep, "claim_no", "claim", F.coalesce("best", F.lit(0.0)).alias("similarity"), there.alias("there"), text_criticality(F.col("claim")).alias("text_criticality"),
+        *(c for d in depths for c in (status(d).alias(f"status{d}"), sure(d).alias(f"nli_confidence{d}"))))
+    nli = lambda d: F.coalesce(f"nli_confidence{d}", F.lit(0.0))
+    out = out.withColumns({f"evidence_strength{d}": r4(F.least(F.lit(1.0), 0.4 * F.col("similarity") + 0.4 * nli(d) + 0.2 * F.col("there"))) for d in depths})
+
+    def risk(d: int) -> Column:
+        at = F.col(f"status{d}")
+        return (
+            F.when(at == "CONTRADICTED", (0.55 + 0.30 * nli(d)) * (0.75 + 0.25 * F.least(F.lit(1.0), F.col("similarity") / 0.6)))
+            .when(at == "SUPPORTED", 0.08 * (1 - 0.9 * F.least(F.lit(1.0), (F.col("similarity") + nli(d)) / 1.6)))
+            .when(at == "NEUTRAL", 0.42 * (0.6 + 0.4 * (1 - F.col(f"evidence_strength{d}")))).otherwise(0.50)
+        )
+
+    return out.withColumns({f"claim_risk{d}": r4(F.least(F.lit(1.0), risk(d))) for d in depths})
 
 
 def claim_results(rows: DataFrame, key: list[str], response: str, context: str, depth: int = DEEP) -> DataFrame:
     """One row for each claim: best similarity, verdict, evidence strength, risk."""
-    return _judged(rows, key, response, context, depth).filter("claim IS NOT NULL")
+    own = [F.col(f"{n}{depth}").alias(n) for n in ("status", "nli_confidence", "evidence_strength", "claim_risk")]
+    return _judged(rows, key, response, context, [depth]).filter("claim IS NOT NULL").select(*key, "claim_no", "claim", "similarity", *own, "text_criticality")
 
 
-def graded(rows: DataFrame, key: list[str], response: str, context: str, depth: int = DEEP, keep: list[str] | None = None) -> DataFrame:
-    """One row for each response (``key`` names one): counts, status, grounding score, risk, confidence, quality of evidence,
-    share of neutral claims, highest text criticality (null without claims). ``keep`` are further columns to carry.
+def graded(rows: DataFrame, key: list[str], response: str, context: str, depths: Sequence[int] = (DEEP,), keep: Sequence[str] = ()) -> DataFrame:
+    """One row for each response (``key`` names one): number of claims, highest text criticality (null without claims), and for
+    every depth counts, status, grounding score, risk, confidence, quality of evidence and share of neutral claims.
+    ``keep`` are further columns to carry.
 
     One shuffle; a response's claims are folded before it. Responses without claims have risk 0.10.
     """
-    keep = keep or []
-    is_ = lambda s: F.col("status") == s
-    weight = 1 + 0.5 * F.col("text_criticality")
     there = F.col("claim").isNotNull()
-    only = lambda c: F.when(there, c)
-    agg = _judged(rows, [*key, *keep], response, context, depth).groupBy(*key).agg(
-        F.count("claim").alias("n"), F.count_if(there & is_("SUPPORTED")).alias("s"), F.count_if(there & is_("CONTRADICTED")).alias("c"),
-        F.count_if(there & is_("NEUTRAL")).alias("u"), F.avg(only(F.col("evidence_strength"))).alias("quality"),
-        (F.sum(only(weight * F.col("claim_risk"))) / F.sum(only(weight))).alias("mean"),
-        F.avg(F.when(is_("SUPPORTED") | is_("CONTRADICTED"), F.col("nli_confidence"))).alias("nli"),
-        F.max(only(F.col("text_criticality"))).alias("max_text_criticality"), *(F.first(k).alias(k) for k in keep),
-    )
-    n, s, c, seen = F.col("n"), F.col("s"), F.col("c"), F.col("s") + F.col("c")
+    weight = F.when(there, 1 + 0.5 * F.col("text_criticality"))
+    folds = [F.count("claim").alias("claims"), F.max(F.when(there, F.col("text_criticality"))).alias("max_text_criticality"), *(F.first(k).alias(k) for k in keep)]
+    for d in depths:
+        is_ = lambda s, d=d: there & (F.col(f"status{d}") == s)
+        folds += [
+            F.count_if(is_("SUPPORTED")).alias(f"supported{d}"), F.count_if(is_("CONTRADICTED")).alias(f"contradicted{d}"), F.count_if(is_("NEUTRAL")).alias(f"neutral{d}"),
+            F.avg(F.when(there, F.col(f"evidence_strength{d}"))).alias(f"quality{d}"), (F.sum(weight * F.col(f"claim_risk{d}")) / F.sum(weight)).alias(f"mean{d}"),
+            F.avg(F.when(is_("SUPPORTED") | is_("CONTRADICTED"), F.col(f"nli_confidence{d}"))).alias(f"nli{d}"),
+        ]
+    agg = _judged(rows, [*key, *keep], response, context, depths).groupBy(*key).agg(*folds)
+    return agg.select(*key, "claims", "max_text_criticality", *keep, *(c for d in depths for c in _grade(d)))
+
+
+def _grade(d: int) -> list[Column]:
+    n, s, c, quality, mean = F.col("claims"), F.col(f"supported{d}"), F.col(f"contradicted{d}"), F.col(f"quality{d}"), F.col(f"mean{d}")
+    seen = s + c
     ceiling = F.when(c > 0, F.greatest(F.lit(0.30), 0.70 - 0.10 * (c - 1))).otherwise(1.0)
     status = F.when(n == 0, "UNVERIFIED").when((c > 0) & (s == 0), "CONTRADICTED").when(c > 0, "PARTIALLY_SUPPORTED").when(s == n, "SUPPORTED").when(s > 0, "PARTIALLY_SUPPORTED").otherwise("UNVERIFIED")
-    risk = F.when(n == 0, 0.10).when(c > 0, F.greatest("mean", F.least(F.lit(0.97), 0.62 + 0.12 * c))).when(s == n, F.col("mean")).otherwise(F.greatest(F.col("mean"), F.lit(0.05)))
-    sure = F.when(n == 0, 0.55).when(seen == 0, 0.40 + 0.20 * F.col("quality")).otherwise(F.least(F.lit(0.9), 0.35 + 0.25 * seen / n + 0.20 * F.col("nli") + 0.20 * F.col("quality")))
-    return agg.select(*key, n.alias("claims"), s.alias("supported"), c.alias("contradicted"), status.alias("status"),
-        r4(F.when(seen > 0, F.least(s / seen, ceiling))).alias("grounding_score"), r4(risk).alias("performance_risk"), r4(sure).alias("confidence"),
-        r4(F.coalesce("quality", F.lit(0.0))).alias("evidence_quality"), F.when(n > 0, F.col("u") / n).otherwise(0.0).alias("neutral_rate"), "max_text_criticality", *keep)
+    risk = F.when(n == 0, 0.10).when(c > 0, F.greatest(mean, F.least(F.lit(0.97), 0.62 + 0.12 * c))).when(s == n, mean).otherwise(F.greatest(mean, F.lit(0.05)))
+    sure = F.when(n == 0, 0.55).when(seen == 0, 0.40 + 0.20 * quality).otherwise(F.least(F.lit(0.9), 0.35 + 0.25 * seen / n + 0.20 * F.col(f"nli{d}") + 0.20 * quality))
+    return [
+        s.alias(f"supported{d}"), c.alias(f"contradicted{d}"), status.alias(f"status{d}"), r4(F.when(seen > 0, F.least(s / seen, ceiling))).alias(f"grounding_score{d}"), r4(risk).alias(f"performance_risk{d}"),
+        r4(sure).alias(f"confidence{d}"), r4(F.coalesce(quality, F.lit(0.0))).alias(f"evidence_quality{d}"), F.when(n > 0, F.col(f"neutral{d}") / n).otherwise(0.0).alias(f"neutral_rate{d}"),
+    ]
 
 
 def responses(rows: DataFrame, key: list[str], response: str, context: str, depth: int = DEEP) -> DataFrame:
     """One row for each response: status, grounding score, risk and confidence."""
-    return graded(rows, key, response, context, depth).drop("evidence_quality", "neutral_rate", "max_text_criticality")
+    own = [F.col(f"{n}{depth}").alias(n) for n in ("supported", "contradicted", "status", "grounding_score", "performance_risk", "confidence")]
+    return graded(rows, key, response, context, [depth]).select(*key, "claims", *own)
 
 
 def turns(conversations: DataFrame) -> DataFrame:

@@ -122,6 +122,27 @@ def pii_risk(found: Column, action: Column) -> tuple[Column, Column]:
     return r4(F.when(F.size(kinds) > 0, risk).otherwise(0.0)), critical | contacts
 
 
+def _valued(kind: Column, table: dict[str, float], default: float) -> Column:
+    return F.coalesce(*(F.when(kind == n, w) for n, w in table.items()), F.lit(default))
+
+
+def severity(kind: Column, action: Column) -> Column:
+    """Severity of a finding by its kind; what identifies a person is critical in what goes outward."""
+    weight, outward = _valued(kind, L.PII_WEIGHT, 0.4), F.coalesce(action.isin(*L.OUTWARD), F.lit(False))
+    critical = kind.isin(*sorted(L.CRITICAL)) | (weight >= 0.9) | (outward & kind.isin(*sorted(L.IDENTIFYING)))
+    return F.when(critical, "CRITICAL").when(weight >= 0.7, "HIGH").when(weight >= 0.5, "MEDIUM").otherwise("LOW")
+
+
+def entity_keys(found: Column) -> Column:
+    """Different ``kind:redacted`` keys in order; they tell entities apart without their text."""
+    return F.array_sort(F.array_distinct(F.transform(found, lambda f: F.concat_ws(":", f["subtype"], f["redacted"]))))
+
+
+def pii_confidence(found: Column) -> Column:
+    """The surest finding; 0.6 without any."""
+    return F.coalesce(F.array_max(F.transform(found, lambda f: _valued(f["subtype"], L.PII_CONFIDENCE, 0.7))), F.lit(0.6))
+
+
 def redact(text: Column, found: Column) -> Column:
     """The text with every finding replaced; findings do not overlap."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -136,7 +157,11 @@ def assess(rows: DataFrame, text_col: str = "text", action_col: str | None = Non
     tox, bia = {k: F.col(f"n_{k}") for k in L.TOXIC}, {k: F.col(f"b_{k}") for k in L.BIAS_WEIGHT}
     action = F.col(action_col) if action_col else F.lit(None).cast("string")
     (pii, critical), (tr, tc), (br, bc) = pii_risk(F.col("findings"), action), toxicity_risk(tox), bias_risk(bia)
-    out = out.withColumns({"pii_risk": pii, "critical_pii": critical, "toxicity_risk": tr, "toxicity_confidence": tc, "bias_risk": br, "bias_confidence": bc})
+    out = out.withColumns({"pii_risk": pii, "critical_pii": critical, "toxicity_risk": tr, "toxicity_confidence": tc, "bias_risk": br, "bias_confidence": bc, "pii_confidence": pii_confidence(F.col("findings"))})
+    # the surest detector that fired
+    fired = F.array_max(F.array(*(F.when(F.col(f"{n}_risk") > 0, F.col(f"{n}_confidence")) for n in WEIGHTS)))
+    out = out.withColumn("responsibility_confidence", r4(F.coalesce(fired, F.lit(0.6))))
+    out = out.withColumn("toxic_critical", sum((F.col(f"n_{k}") for k, w in L.TOXIC_WEIGHT.items() if w >= 0.9), F.lit(0)) > 0)
     mixed = F.lit(WEIGHTS["pii"]) * F.col("pii_risk") + WEIGHTS["toxicity"] * F.col("toxicity_risk") + WEIGHTS["bias"] * F.col("bias_risk")
     out = out.withColumn("responsibility_risk", r4(F.greatest(mixed, 0.85 * F.greatest("pii_risk", "toxicity_risk", "bias_risk"))))
     rules = (("CRITICAL_PII", F.col("critical_pii")), ("PII_EXPOSURE", F.col("pii_risk") > 0), ("TOXICITY", F.col("toxicity_risk") >= 0.5), ("POTENTIAL_BIAS_SIGNAL", F.col("bias_risk") > 0), ("HIGH_RESPONSIBILITY_RISK", F.col("responsibility_risk") >= 0.6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -107,6 +107,23 @@ def cascade(turns: DataFrame, profile: str = "default") -> DataFrame:
     return out.withColumn("verdict", verdict).withColumn("reason", reason)
 
 
+def cascade_by(turns: DataFrame, application: str = "application") -> DataFrame:
+    """The cascade under the profile of each row's application (``default`` for others): verdict, reason, complexity."""
+    p, r, c = F.col("prompt"), F.col("response"), F.col("context")
+
+    def chosen(of: Callable[[str], Column]) -> Column:
+        own = [F.when(F.col(application) == name, of(name)) for name in PROFILES if name != "default"]
+        return F.when(F.col(application).isin(*(n for n in PROFILES if n != "default")), F.coalesce(*own)).otherwise(of("default"))
+
+    parts = features(p, r, c)
+    # in steps, so that the texts are searched once
+    out = turns.withColumns({"_signals": chosen(lambda n: cascade_check(p, r, c, n)), "_threshold": chosen(lambda n: effective_threshold(r, n)), **{f"_{k}": v for k, v in parts.items()}})
+    out = out.withColumn("cascade_outcome", outcome(F.col("_signals"))).withColumn("complexity", r4(complexity({k: F.col(f"_{k}") for k in parts}), 6))
+    above = F.col("complexity") >= F.col("_threshold")
+    clear = F.col("cascade_outcome") == "CLEARED"
+    return out.withColumn("cascade_deep", ~clear & ((F.col("cascade_outcome") == "VIOLATION") | above)).drop("_signals", "_threshold", *(f"_{k}" for k in parts))
+
+
 def _fnv(token: str) -> int:
     """The 64-bit FNV-1a hash."""
     h = 0xCBF29CE484222325

@@ -27,10 +27,12 @@ EVENTS: list[Layer] = [
         ("tokens_in", "CAST(4 * k AS BIGINT)"), ("tokens_out", "CAST(floor(10 * value) AS BIGINT)"), ("latency_ms", "100e0 + 20e0 * value"),
         ("tool_calls", "k % 7"), ("retry_count", "k % 5"), ("amount", "5000e0 * value"), ("affected_entities", "1 + k"),
         ("perf_raw", "((37 * event_id) % 100) / 100e0"), ("resp_raw", "((53 * event_id) % 100) / 100e0"), ("perf_conf", "3e-1 + ((17 * event_id) % 60) / 100e0"),
-        ("resp_conf", "3e-1 + ((17 * event_id) % 60) / 100e0"), ("toxicity_risk", "0e0"), ("critical_pii", "false"),
+        ("resp_conf", "3e-1 + ((17 * event_id) % 60) / 100e0"), ("toxicity_risk", "0e0"), ("critical_pii", "false"), ("toxic_critical", "false"),
         ("evidence_quality", "((41 * event_id) % 100) / 100e0"), ("neutral_rate", "((19 * event_id) % 10) / 10e0"),
+        ("max_text_criticality", "CAST(NULL AS DOUBLE)"),
     ],
     [("perf_status", "CASE WHEN perf_raw >= 74e-2 THEN 'CONTRADICTED' WHEN perf_raw >= 35e-2 THEN 'UNVERIFIED' ELSE 'SUPPORTED' END")],
+    [("evidence_available", "perf_status <> 'UNVERIFIED'")],
 ]
 
 PRICE: list[Layer] = [
@@ -82,8 +84,10 @@ STAKES: list[Layer] = [
 
 _P, _R, _X = "performance_risk", "responsibility_risk", "cost_risk"
 FUSE: list[Layer] = [
+    # how much the response matters: the action, or the claim that asserts most (null without claims)
+    [("matters", f"greatest(action_criticality, {rounded('6e-1 * action_criticality + 4e-1 * max_text_criticality')})")],
     [
-        (_P, clamp(f"CASE WHEN action_criticality <= {num(C.BAND_MODERATE)} THEN perf_raw ELSE perf_raw + (1e0 - perf_raw) * perf_raw * ((action_criticality - {num(C.BAND_MODERATE)}) / (1e0 - {num(C.BAND_MODERATE)})) * {num(C.AMPLIFICATION)} END")),
+        (_P, clamp(f"CASE WHEN matters <= {num(C.BAND_MODERATE)} THEN perf_raw ELSE perf_raw + (1e0 - perf_raw) * perf_raw * ((matters - {num(C.BAND_MODERATE)}) / (1e0 - {num(C.BAND_MODERATE)})) * {num(C.AMPLIFICATION)} END")),
         (_R, clamp("resp_raw")), (_X, rounded("cost_raw")),
     ],
     [
@@ -106,14 +110,14 @@ FUSE: list[Layer] = [
     [
         ("disagreement", rounded(clamp(
             f"35e-2 * least(1e0, spread / 35e-2) + 25e-2 * (1e0 - evidence_quality) + 15e-2 * neutral_rate + 15e-2 * {clamp('(6e-1 - confidence) / 6e-1')}"
-            " + CASE WHEN perf_status = 'UNVERIFIED' THEN 1e-1 ELSE 0e0 END"))),
+            " + CASE WHEN NOT evidence_available THEN 1e-1 ELSE 0e0 END"))),
     ],
     [
         ("deep_trigger_reasons", listed(
             ("HIGH_PRELIMINARY_RISK", f"overall_risk >= {num(C.DEEP['risk'])}"), ("LOW_CONFIDENCE", f"confidence < {num(C.DEEP['confidence'])} AND overall_risk >= {num(C.DEEP['floor'])}"),
             ("HIGH_CONSEQUENCE", f"consequence_score >= {num(C.DEEP['consequence'])} OR greatest(financial_impact, reversibility) >= {num(C.DEEP['extreme'])}"),
             ("HIGH_CRITICALITY", f"action_criticality >= {num(C.DEEP['criticality'])}"), ("DETECTOR_DISAGREEMENT", f"disagreement >= {num(C.DEEP['disagreement'])}"),
-            ("MISSING_EVIDENCE", "perf_status = 'UNVERIFIED'"))),
+            ("MISSING_EVIDENCE", "NOT evidence_available"))),
     ],
     [("verification_path", "CASE WHEN deep_trigger_reasons = '' THEN 'FAST' ELSE 'DEEP' END")],
 ]
@@ -208,6 +212,13 @@ def decide(scored: DataFrame, confidence_aware: bool = True, profile: str = "app
     return add(scored.withColumn("profile", F.expr(PROFILE_OF.format(profile))).join(F.broadcast(profiles), "profile"), policy_layers(confidence_aware))
 
 
+def top_contributors(scored: DataFrame, most: int = 2) -> DataFrame:
+    """The factors that add most to the consequence of each interaction, ties in the order of the factors."""
+    parts = [F.struct((-F.round(F.col(f) * w + F.lit(1e-9), 6)).alias("less"), F.lit(i).alias("i"), F.lit(f).alias("factor")) for i, (f, w) in enumerate(C.CONSEQUENCE.items())]
+    best = F.filter(F.slice(F.array_sort(F.array(*parts)), 1, most), lambda x: x["less"] < 0)
+    return scored.select("interaction_id", F.array_join(F.transform(best, lambda x: x["factor"]), ",").alias("top_contributors"))
+
+
 def decisions(events: DataFrame) -> DataFrame:
     return decide(signals(interactions(events))).select(*DECISION)
 

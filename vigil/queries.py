@@ -20,6 +20,7 @@ from vigil.operators import responsibility as R
 from vigil.operators import routing as V
 from vigil.operators import views as Y
 from vigil.plans import decide as D
+from vigil.plans import texts as TX
 from vigil.sources import tables as W
 from vigil.sources.tables import shared_dir, staged
 from vigil.streaming import session as X
@@ -486,6 +487,37 @@ add("x10_stream_monitor", _stream_monitor)
 on_decisions("x10_window_monitor", lambda d: X.monitor(d).select(F.col("window.start").alias("start"), "application", "n", "blocked", "reviewed"),
     f"SELECT date_trunc('hour', timestamp) AS start, application, count(*) AS n, {many('''decision = 'BLOCK' ''')} AS blocked, {many('''decision = 'HUMAN_REVIEW' ''')} AS reviewed FROM decisions GROUP BY ALL")
 
+# --- decisions from texts ------------------------------------------------------------------------------------------
+
+
+def text_decided(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The decisions over a table of texts (``conversations`` or ``documents``), which several queries share."""
+    rows = {"conversations": TX.from_conversations, "documents": TX.from_documents}[name](table(spark, sf_dir, name))
+    scored = staged(TX.scored(staged(TX.detected(rows), f"signals-of-{name}", sf_dir)), f"scored-{name}", sf_dir)
+    return staged(TX.decisions(scored), f"decided-{name}", sf_dir)
+
+
+for _name in ("conversations", "documents"):
+    add(f"d14_decisions_{_name}", lambda s, d, n=_name: text_decided(s, d, n).withColumn("pii_keys", F.array_join("pii_keys", ",")))
+    add(f"x03_session_snapshots_{_name}", lambda s, d, n=_name: TX.snapshots(text_decided(s, d, n)))
+add("x04_critical_turns", lambda s, d: TX.critical_turns(text_decided(s, d, "documents")))
+
+_TOX_RISK = f"CASE WHEN {_TOX_N} > 0 THEN least(1e0, {_TOX_TOP} + least(15e-2, 5e-2 * ({_TOX_N} - 1))) ELSE 0e0 END"
+add("d05_severe_toxicity", lambda s, d: text_decided(s, d, "documents").select("interaction_id", "application", "action_type", "tokens_out", "toxicity_risk", F.col("triggered_rules").contains("SEVERE_TOXICITY").alias("severe"),
+    F.when(F.col("triggered_rules").contains("SEVERE_TOXICITY"), F.col("decision")).alias("decision")), f"""SELECT *, CASE WHEN severe THEN 'BLOCK' END AS decision FROM (
+    SELECT *, toxicity_risk >= CASE application WHEN 'internal_knowledge_assistant' THEN 0.88 ELSE 0.80 END AS severe FROM (SELECT doc_id AS interaction_id,
+    ['customer_support', 'decision_support', 'internal_knowledge_assistant'][(doc_id // 10) % 3 + 1] AS application,
+    ['information', 'refund', 'account_update', 'account_cancellation', 'external_communication', 'recommendation'][doc_id % 6 + 1] AS action_type,
+    CAST(ceil(length(coalesce(text, '')) / 4e0) AS BIGINT) AS tokens_out, {r4(_TOX_RISK)} AS toxicity_risk FROM (SELECT doc_id, text, {_TOX_SQL} FROM documents)))""")
+add("e05_toxicity_against_labels", lambda s, d: E.against_labels(_toxicity(s, d).select("doc_id", (F.col("toxicity_risk") > 0).alias("said")), table(s, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("truth")), "doc_id"),
+    f"""SELECT *, {r4('tp / nullif(tp + fp, 0)')} AS precision, {r4('tp / nullif(tp + fn, 0)')} AS recall, {r4('2 * tp / nullif(2 * tp + fp + fn, 0)')} AS f1 FROM (SELECT count(*) FILTER (said AND truth) AS tp,
+    count(*) FILTER (said AND NOT truth) AS fp, count(*) FILTER (NOT said AND truth) AS fn, count(*) FILTER (NOT said AND NOT truth) AS tn
+    FROM (SELECT toxic = 1 AS truth, {_TOX_N} > 0 AS said FROM labels JOIN (SELECT doc_id, {_TOX_SQL} FROM documents) USING (doc_id) WHERE toxic IS NOT NULL))""")
+_FACTOR_SQL = " UNION ALL ".join(f"SELECT interaction_id, {i} AS i, '{f}' AS factor, {f} * {w}e0 AS part FROM scored" for i, (f, w) in enumerate(C.CONSEQUENCE.items()))
+add("f02_top_contributors", lambda s, d: D.top_contributors(D.signals(D.interactions(table(s, d, "events")))), f"""WITH {D.signals_sql()}, parts AS ({_FACTOR_SQL}),
+    best AS (SELECT *, row_number() OVER (PARTITION BY interaction_id ORDER BY round(part + 1e-9, 6) DESC, i) AS r FROM parts)
+    SELECT interaction_id, coalesce(string_agg(factor, ',' ORDER BY r) FILTER (r <= 2 AND part > 0), '') AS top_contributors FROM best GROUP BY 1""")
+
 # --- replay and storage ---------------------------------------------------------------------------------------------
 
 _ARRAY = "[" + ", ".join(f"'{t}'" for t in C.TIERS) + "]"

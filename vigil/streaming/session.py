@@ -39,7 +39,7 @@ def with_tiers(scored: DataFrame) -> DataFrame:
         own = [(n, e) for n, e in layer if not re.fullmatch(r"t\d+", n)]
         every.append(own + [(f"{n}_{k}", named(e, k)) for n, e in layer if re.fullmatch(r"t\d+", n) for k in range(len(cases))])
     out = D.add(base, every).withColumn("tiers", F.array(*(F.col(f"t10_{k}").cast("int") for k in range(len(cases)))))
-    return out.select("session_id", "timestamp", "interaction_id", "overall_risk", "at_unsure_risk", "critical_pii", "tiers", F.array(*(F.col(f"at_{b}") for b in BOUNDS)).alias("bounds"))
+    return out.select("session_id", "timestamp", "interaction_id", "overall_risk", "at_unsure_risk", F.expr("critical_pii OR toxic_critical").alias("critical"), "tiers", F.array(*(F.col(f"at_{b}") for b in BOUNDS)).alias("bounds"))
 
 
 def advance(state: tuple, r) -> tuple[tuple, tuple]:
@@ -57,7 +57,7 @@ def advance(state: tuple, r) -> tuple[tuple, tuple]:
     tier = int(r.tiers[5 * (adjusted >= r.at_unsure_risk) + band])
     cumulative = S["decay"] * cumulative + (1 - S["decay"]) * adjusted
     recent = [*recent, adjusted][-S["window"] :]
-    if tier == 4 or r.critical_pii:
+    if tier == 4 or r.critical:
         floor = max(floor, S["floor"])
     row = (r.session_id, r.interaction_id, turns + 1, risk, round(session, 4), adjusted, int(high), bool(escalated), tier, round(cumulative, 6), floor)
     return (cumulative, recent, floor, turns + 1), row
