@@ -143,7 +143,7 @@ def test_threshold_sweep_is_monotone(spark):
 def test_session_scenario():
     """A calm turn, then the same contradiction again and again: the fourth turn escalates."""
     tiers = [int(t) for t in (0, 1, 2, 3, 4)] * 2
-    rows = pd.DataFrame([{"session_id": 1, "timestamp": START + timedelta(minutes=i), "interaction_id": i, "overall_risk": r, "bounds": [0.22, 0.42, 0.60, 0.82], "at_unsure_risk": 0.6, "tiers": tiers, "critical_pii": False} for i, r in enumerate([0.01, 0.58, 0.58, 0.58, 0.58])])
+    rows = pd.DataFrame([{"session_id": 1, "timestamp": START + timedelta(minutes=i), "interaction_id": i, "overall_risk": r, "bounds": [0.22, 0.42, 0.60, 0.82], "at_unsure_risk": 0.6, "tiers": tiers, "critical": False} for i, r in enumerate([0.01, 0.58, 0.58, 0.58, 0.58])])
     state, out = X.fold(X.START, rows)
     got = pd.DataFrame(out, columns=X.NAMES)
     assert got["adjusted"].round(2).tolist() == [0.01, 0.58, 0.58, 0.73, 0.76]
@@ -297,3 +297,10 @@ def test_text_decisions_of_an_empty_table(spark, tmp_path):
 def test_severity_by_action(spark):
     rows = spark.createDataFrame([("email", "information"), ("email", "external_communication"), ("credit_card", None), ("person_name", None), ("postal_address", "refund")], "k string, a string")
     assert [r[0] for r in rows.select(R.severity(F.col("k"), F.col("a"))).collect()] == ["MEDIUM", "CRITICAL", "CRITICAL", "LOW", "HIGH"]
+
+
+def test_evidence_table_is_redacted(spark):
+    rows = spark.createDataFrame([(1, "Pay with card 4111 1111 1111 1111 today.", "Their card 4111 1111 1111 1111 works today."), (2, "No evidence for this.", ""), (3, "", "x y z")], "id long, response string, context string")
+    got = {r["id"]: r for r in T.evidence_table(rows, ["id"], "response", "context", lambda c: R.redact(c, R.findings(c))).collect()}
+    assert got[1]["claim"] == "Pay with card [REDACTED_CARD] today." and got[1]["evidence"] == "Their card [REDACTED_CARD] works today." and got[1]["similarity"] > 0
+    assert got[2]["evidence"] == "" and got[2]["similarity"] == 0.0 and 3 not in got

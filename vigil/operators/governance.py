@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil import config as C
-from vigil.functions.columns import many, mean, r4, rate
+from vigil.functions.columns import before, cut_key, many, mean, r4, rate
 
 STATUS = {"ACKNOWLEDGE": "ACKNOWLEDGED", "APPROVE_DECISION": "REVIEWED", "MODIFY_DECISION": "REVIEWED", "REJECT_DECISION": "REVIEWED", "ESCALATE": "ESCALATED", "CLOSE": "CLOSED"}
 #: Actions that each status allows.
@@ -144,3 +144,12 @@ def recommendations(d: DataFrame, log: DataFrame, volume: int = 10) -> DataFrame
     named = named.unionByName(whole.select(F.lit("REVIEW_THRESHOLD").alias("recommendation"), F.lit(None).cast("string").alias("application"), "value"))
     none = named.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit("NO_ACTION").alias("recommendation"), F.lit(None).cast("string").alias("application"), F.lit(None).cast("double").alias("value"))
     return named.unionByName(none)
+
+
+def overridden_by_half(d: DataFrame, actions: DataFrame) -> DataFrame:
+    """Different overridden decisions of either half of the traffic, in time order."""
+    over = actions.filter((F.col("action") == "MODIFY_DECISION") & F.col("reviewer_decision").isNotNull()).select("interaction_id").distinct()
+    first = before(cut_key(d, d.count() // 2))
+    halves = d.join(over, "interaction_id", "left_semi").select("interaction_id", F.when(first, "first").otherwise("second").alias("half")).distinct()
+    names = d.sparkSession.createDataFrame([("first",), ("second",)], "half string")
+    return names.join(halves.groupBy("half").agg(F.count(F.lit(1)).alias("overridden")), "half", "left").select("half", F.coalesce("overridden", F.lit(0)).cast("long").alias("overridden"))

@@ -264,3 +264,10 @@ def turns(conversations: DataFrame) -> DataFrame:
     earlier = F.collect_list("text").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = spread(conversations.select("conv_id", "turn", "role", "text"), "conv_id").withColumn("prompt", F.lag("text").over(order)).withColumn("context", F.array_join(earlier, "\n"))
     return rows.filter("role = 'assistant'").select("conv_id", "turn", F.coalesce("prompt", F.lit("")).alias("prompt"), "context", F.col("text").alias("response"))
+
+
+def evidence_table(rows: DataFrame, key: list[str], response: str, context: str, redacted: Callable[[Column], Column]) -> DataFrame:
+    """One row for each claim with its most similar evidence, both redacted; no evidence where there is no context."""
+    found = rows.select(*key, F.inline(evidence_udf(claims(F.col(response)), sentences(F.col(context)))))
+    first = lambda c: F.get(c, F.lit(0))
+    return found.select(*key, "claim_no", redacted(F.col("claim")).alias("claim"), redacted(F.coalesce(first("evidence"), F.lit(""))).alias("evidence"), F.coalesce(first("similarity"), F.lit(0.0)).alias("similarity"))

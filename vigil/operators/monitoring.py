@@ -193,3 +193,19 @@ def recent_shift(d: DataFrame, share: float = 0.25, flat: float = 0.03) -> DataF
     """The last quarter of traffic against the rest."""
     n = d.count()
     return compare(d, before(cut_key(d, n - max(1, round(share * n)))), _metrics(), flat)
+
+
+def verification_cost(d: DataFrame) -> DataFrame:
+    """By verification path (a missing one counts as deep): decisions, latency, and those whose semantic check was left out."""
+    path = F.upper(F.coalesce("verification_path", F.lit("DEEP")))
+    skipped = F.array_contains(codes("deep_trigger_reasons"), "DETERMINISTIC_HARD_BOUNDARY")
+    return d.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n"), mean("latency_ms").alias("mean_latency"), many(skipped).alias("bypassed"))
+
+
+def kpis(d: DataFrame) -> DataFrame:
+    """One row for a whole table and for each application: traffic, oversight, risk and cost."""
+    agg = lambda g: g.agg(
+        F.count(F.lit(1)).alias("total"), rate(F.col("decision") != "ALLOW").alias("intervention_rate"), rate(F.col("decision").isin("HUMAN_REVIEW", "BLOCK")).alias("oversight_rate"),
+        mean("overall_risk").alias("mean_risk"), many(F.col("overall_risk") >= C.ELEVATED_RISK).alias("elevated"), r4(F.sum("estimated_cost"), 2).alias("total_cost"),
+    )
+    return agg(d.rollup("application")).withColumn("application", F.coalesce("application", F.lit("all")))

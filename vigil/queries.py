@@ -573,3 +573,21 @@ _WHATIF = ("deep_rate", "recall", "precision", "fpr", "review_rate")
 on_signals("k12_whatif", lambda s: Y.whatif(E.sweep(s)), "SELECT *, CASE WHEN selected > current THEN 'up' WHEN selected < current THEN 'down' ELSE 'same' END AS direction FROM wi",
     _K3 + ", best AS (SELECT * FROM kv ORDER BY violations <> '', CASE WHEN violations <> '' THEN -recall END, deep_rate, recall DESC, precision DESC, candidate LIMIT 1), wi AS ("
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, k.{m} AS current, best.{m} AS selected FROM k, best WHERE k.candidate = 0" for m in _WHATIF) + ")")
+
+# --- further reports ------------------------------------------------------------------------------------------------
+
+on_decisions("a15_verification_cost", M.verification_cost, f"""SELECT upper(coalesce(verification_path, 'DEEP')) AS path, count(*) AS n, {r4('avg(latency_ms)')} AS mean_latency,
+    count(*) FILTER (WHERE deep_trigger_reasons LIKE '%DETERMINISTIC_HARD_BOUNDARY%') AS bypassed FROM decisions GROUP BY 1""")
+on_decisions("a30_kpis", M.kpis, f"""SELECT coalesce(application, 'all') AS application, count(*) AS total, {rate("decision <> 'ALLOW'")} AS intervention_rate, {rate("decision IN ('HUMAN_REVIEW', 'BLOCK')")} AS oversight_rate,
+    {r4('avg(overall_risk)')} AS mean_risk, count(*) FILTER (WHERE overall_risk >= {C.ELEVATED_RISK}) AS elevated, {r4('sum(estimated_cost)', 2)} AS total_cost FROM decisions GROUP BY ROLLUP (application)""")
+on_reviews("w16_overridden_by_half", lambda d, a, f: G.overridden_by_half(d, a), """SELECT h.half, count(DISTINCT o.interaction_id) AS overridden FROM (VALUES ('first'), ('second')) h(half)
+    LEFT JOIN (SELECT interaction_id, half FROM ranked SEMI JOIN x USING (interaction_id)) o ON h.half = o.half GROUP BY 1""", """x AS (SELECT DISTINCT interaction_id FROM actions WHERE action = 'MODIFY_DECISION' AND reviewer_decision IS NOT NULL),
+    ranked AS (SELECT interaction_id, CASE WHEN row_number() OVER (ORDER BY timestamp, interaction_id) - 1 < (SELECT count(*) FROM decisions) // 2 THEN 'first' ELSE 'second' END AS half FROM decisions)""")
+
+
+def _claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G2.evidence_table(_turns(spark, sf_dir), _KEY, "response", "context", lambda c: R.redact(c, R.findings(c)))
+
+
+add("l03_claim_evidence", _claim_evidence)
+add("a15_verification_cost_documents", lambda s, d: M.verification_cost(text_decided(s, d, "documents")))
