@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import embdup, html_mincut, langid, mixing, packing, pii, simhash, topk, toxicity, url_markov
+from vigil.llm import embdup, filter_audit, html_mincut, langid, mixing, packing, pii, simhash, topk, toxicity, url_markov
 from vigil.llm.common import table
 
 
@@ -63,7 +63,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(pages, table(spark, sf_dir, "documents").select("text", "lang")).select("page_id", "url", "host", "declared", "lang", "probability")
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(*filter_audit.documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op12_filter_interactions": op12_filter_interactions,
     "op5_language_id": op5_language_id,
     "op7_pii": op7_pii,
     "op4_mix_sources": op4_mix_sources,
@@ -77,6 +82,41 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op12_filter_interactions": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id AS id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), b AS (
+            SELECT id, part, [
+                len(w) < 100,
+                100 * len(list_distinct(w)) < 80 * len(w),
+                100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t),
+                regexp_matches(t, '[#$%&*|]'),
+                coalesce(id > min(id) OVER (PARTITION BY t), false)] AS f FROM d
+        ), l AS (SELECT doc_id AS id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+        ), x AS (SELECT part, f, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM b LEFT JOIN l USING (id)
+        ), o(filter_order) AS (
+            SELECT '' UNION ALL SELECT filter_order || n FROM o, unnest(['A', 'B', 'C', 'D', 'E']) u(n) WHERE NOT contains(filter_order, n)
+        ), s AS (
+            SELECT filter_order, k AS step, ascii(filter_order[k]) - 64 AS i,
+                   list_transform(string_split(filter_order[1:k - 1], ''), lambda c: CASE WHEN c = '' THEN 0 ELSE ascii(c) - 64 END) AS before
+            FROM o, unnest([1, 2, 3, 4, 5]) u(k) WHERE length(filter_order) = 5
+        ), c AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY ALL
+        ), r AS (
+            SELECT part, filter_order, step, i, n, good, toxic, f[i] AS fails,
+                   len(list_filter(before, lambda j: j > 0 AND f[j])) > 0 AS gone, len(list_filter(f, lambda v: v)) = 1 AND f[i] AS alone
+            FROM c, s
+        ), a AS (
+            SELECT part, filter_order, step, i,
+                   sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END) AS toxic_lost
+            FROM r GROUP BY ALL
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley
+        FROM a""",
     "op8_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
