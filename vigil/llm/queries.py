@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import embdup, filter_audit, html_mincut, langid, mixing, packing, pii, simhash, topk, toxicity, url_markov
+from vigil.llm import codes, embdup, filter_audit, html_mincut, langid, mixing, packing, pii, simhash, topk, toxicity, url_markov
 from vigil.llm.common import table
 
 
@@ -67,7 +67,12 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(*filter_audit.documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op11_vector_codes": op11_vector_codes,
     "op12_filter_interactions": op12_filter_interactions,
     "op5_language_id": op5_language_id,
     "op7_pii": op7_pii,
@@ -81,7 +86,28 @@ QUERIES = {
     "op6_simhash": op6_simhash,
 }
 
+#: Nearest entry of book ``c`` for every part ``p``: its distance and, of entries as near, the first.
+_NEAREST = """SELECT id, label, n, part, x, min(d * 64 + entry) AS m
+            FROM (SELECT p.*, c.entry, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) ** 2))::BIGINT AS d FROM p JOIN {c} c USING (part)) GROUP BY ALL"""
+_REPLACED = """SELECT c.part, c.entry, coalesce(r.x, c.x) AS x FROM {c} c LEFT JOIN (
+                SELECT part, entry, list(v ORDER BY pos) AS x FROM (
+                    SELECT part, m % 64 AS entry, pos, ((sum(x[pos]) - ((sum(x[pos]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS v
+                    FROM {a}, unnest(range(1, len(x) + 1)) u(pos) GROUP BY ALL) GROUP BY ALL) r USING (part, entry)"""
+
 SQL: dict[str, str] = {
+    "op11_vector_codes": f"""
+        WITH k AS MATERIALIZED (
+            SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q,
+                   row_number() OVER (ORDER BY vec_id) - 1 AS n
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS MATERIALIZED (SELECT id, label, n, part, q[part * (len(q) // 16) + 1:(part + 1) * (len(q) // 16)] AS x FROM k, unnest(range(16)) u(part)
+        ), c0 AS MATERIALIZED (SELECT part, n AS entry, x FROM p WHERE n < 64
+        ), a0 AS MATERIALIZED ({_NEAREST.format(c="c0")}), c1 AS MATERIALIZED ({_REPLACED.format(c="c0", a="a0")}
+        ), a1 AS MATERIALIZED ({_NEAREST.format(c="c1")}), c2 AS MATERIALIZED ({_REPLACED.format(c="c1", a="a1")}
+        ), a2 AS MATERIALIZED ({_NEAREST.format(c="c2")}
+        ), r AS (SELECT id, label, n, string_agg(format('{{:02x}}', m % 64), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY ALL
+        ), h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+        SELECT id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, h""",
     "op12_filter_interactions": """
         WITH RECURSIVE d AS (
             SELECT doc_id AS id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
