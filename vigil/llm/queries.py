@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import codes, embdup, filter_audit, html_mincut, langid, mixing, packing, pii, simhash, topk, toxicity, url_markov
+from vigil.llm import codes, embdup, filter_audit, html_mincut, kneser_ney, langid, mixing, packing, pii, simhash, topk, toxicity, url_markov
 from vigil.llm.common import table
 
 
@@ -71,7 +71,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_held_out(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op13_lm_scores": op13_lm_scores,
     "op11_vector_codes": op11_vector_codes,
     "op12_filter_interactions": op12_filter_interactions,
     "op5_language_id": op5_language_id,
