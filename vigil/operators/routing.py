@@ -46,7 +46,16 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
-def cascade_check(prompt: Column, response: Column, context: Column, profile: str) -> Column:
+#: Action types that only answer.
+ANSWERS = ("", "none", "information", "informational", "info", "answer", "chat")
+
+
+def is_action(action_type: Column, amount: Column) -> Column:
+    """Whether an interaction does something besides answering; whom an answer is about does not count."""
+    return ~F.lower(F.trim(F.coalesce(action_type, F.lit("")))).isin(*ANSWERS) | (F.coalesce(amount, F.lit(0.0)) > 0)
+
+
+def cascade_check(prompt: Column, response: Column, context: Column, profile: str, action: Column | None = None) -> Column:
     """Comma-joined signals of the fixed check: violations if there are any, else what blocks the fast path."""
     _, most, blocked, markers, _ = PROFILES[profile]
     low, asked = F.lower(response), F.lower(prompt)
@@ -54,7 +63,10 @@ def cascade_check(prompt: Column, response: Column, context: Column, profile: st
     numbers, evidence = F.regexp_count(response, F.lit(NUMBER)), F.length(F.trim(context)) > 0
     stakes = F.filter(F.array(*(F.when(asked.contains(m) | low.contains(m), m) for m in sorted(markers))), lambda m: m.isNotNull())
     blockers = [
-        F.when(words(response) > most, "RESPONSE_TOO_LONG"), F.when(response.rlike(LINK), "CONTAINS_URL_OR_HANDLE"), F.when(response.rlike(CAPITALS), "CONTAINS_NAMED_ENTITY"),
+        F.when(words(response) > most, "RESPONSE_TOO_LONG"),
+        *([] if action is None else [F.when(action, "SIDE_EFFECTING_ACTION")]),
+        F.when(response.rlike(LINK), "CONTAINS_URL_OR_HANDLE"),
+        F.when(response.rlike(CAPITALS), "CONTAINS_NAMED_ENTITY"),
         F.when((numbers > 0) & ~evidence, "UNGROUNDED_NUMERIC_CLAIM").when(numbers > 2, "MULTIPLE_NUMERIC_CLAIMS"), F.when(F.size(stakes) > 0, F.concat(F.lit("HIGH_STAKES_INTENT:"), F.array_join(stakes, "+"))),
     ]
     hit = F.concat_ws(",", *violations)
@@ -96,32 +108,55 @@ def effective_threshold(response: Column, profile: str, action: Column | None =
     return F.when(action, 0.0).otherwise(t) if forced and action is not None else t
 
 
-def cascade(turns: DataFrame, profile: str = "default") -> DataFrame:
-    """Signals, complexity, verdict and reason for every turn with prompt, context and response."""
-    p, r, c = F.col("prompt"), F.col("response"), F.col("context")
-    out = turns.withColumn("signals", cascade_check(p, r, c, profile)).withColumn("outcome", outcome(F.col("signals"))).withColumns({k: r4(v, 6) for k, v in features(p, r, c).items()})
-    out = out.withColumn("complexity", r4(complexity({k: F.col(k) for k in WEIGHTS}), 6)).withColumn("threshold", effective_threshold(r, profile))
+def _routed(out: DataFrame) -> DataFrame:
+    """Verdict and reason from outcome, complexity and threshold."""
     above = F.col("complexity") >= F.col("threshold")
-    reason = F.when(F.col("outcome") == "CLEARED", "DETERMINISTIC_CLEAR").when(F.col("outcome") == "VIOLATION", "DETERMINISTIC_HARD_BOUNDARY").when(above, "COMPLEXITY_ABOVE_THRESHOLD").otherwise("COMPLEXITY_BELOW_THRESHOLD")
-    verdict = F.when(F.col("outcome") == "CLEARED", "FAST_ALLOW").when((F.col("outcome") == "VIOLATION") | above, "ROUTE_TO_DEEP").otherwise("FAST_ALLOW")
+    clear, crossed = F.col("outcome") == "CLEARED", F.col("outcome") == "VIOLATION"
+    reason = (
+        F.when(clear, "DETERMINISTIC_CLEAR").when(crossed, "DETERMINISTIC_HARD_BOUNDARY")
+        .when(above, "COMPLEXITY_ABOVE_THRESHOLD").otherwise("COMPLEXITY_BELOW_THRESHOLD")
+    )
+    verdict = F.when(~clear & (crossed | above), "ROUTE_TO_DEEP").otherwise("FAST_ALLOW")
     return out.withColumn("verdict", verdict).withColumn("reason", reason)
 
 
-def cascade_by(turns: DataFrame, application: str = "application") -> DataFrame:
-    """The cascade under the profile of each row's application (``default`` for others): verdict, reason, complexity."""
+def cascade(turns: DataFrame, profile: str = "default", action: Column | None = None) -> DataFrame:
+    """Signals, complexity, verdict and reason for every turn with prompt, context and response.
+
+    ``action`` says which turns do something (see ``is_action``); without it none does.
+    """
     p, r, c = F.col("prompt"), F.col("response"), F.col("context")
+    if action is not None:
+        turns, action = turns.withColumn("_action", action), F.col("_action")
+    out = turns.withColumn("signals", cascade_check(p, r, c, profile, action)).withColumn("outcome", outcome(F.col("signals")))
+    out = out.withColumns({k: r4(v, 6) for k, v in features(p, r, c, action).items()})
+    out = out.withColumn("complexity", r4(complexity({k: F.col(k) for k in WEIGHTS}), 6)).withColumn("threshold", effective_threshold(r, profile, action))
+    return _routed(out).drop("_action")
+
+
+def cascade_by(turns: DataFrame, application: str = "application") -> DataFrame:
+    """The cascade under the profile of each row's application (``default`` for others): outcome, complexity, whether deep.
+
+    Rows have action_type and amount; under most profiles whatever acts is checked deeply.
+    """
+    p, r, c, act = F.col("prompt"), F.col("response"), F.col("context"), F.col("_action")
+    others = [n for n in PROFILES if n != "default"]
 
     def chosen(of: Callable[[str], Column]) -> Column:
-        own = [F.when(F.col(application) == name, of(name)) for name in PROFILES if name != "default"]
-        return F.when(F.col(application).isin(*(n for n in PROFILES if n != "default")), F.coalesce(*own)).otherwise(of("default"))
+        own = [F.when(F.col(application) == name, of(name)) for name in others]
+        return F.when(F.col(application).isin(*others), F.coalesce(*own)).otherwise(of("default"))
 
-    parts = features(p, r, c)
+    parts = features(p, r, c, act)
     # in steps, so that the texts are searched once
-    out = turns.withColumns({"_signals": chosen(lambda n: cascade_check(p, r, c, n)), "_threshold": chosen(lambda n: effective_threshold(r, n)), **{f"_{k}": v for k, v in parts.items()}})
+    out = turns.withColumn("_action", is_action(F.col("action_type"), F.col("amount")))
+    out = out.withColumns({
+        "_signals": chosen(lambda n: cascade_check(p, r, c, n, act)), "_threshold": chosen(lambda n: effective_threshold(r, n, act)),
+        **{f"_{k}": v for k, v in parts.items()},
+    })
     out = out.withColumn("cascade_outcome", outcome(F.col("_signals"))).withColumn("complexity", r4(complexity({k: F.col(f"_{k}") for k in parts}), 6))
     above = F.col("complexity") >= F.col("_threshold")
-    clear = F.col("cascade_outcome") == "CLEARED"
-    return out.withColumn("cascade_deep", ~clear & ((F.col("cascade_outcome") == "VIOLATION") | above)).drop("_signals", "_threshold", *(f"_{k}" for k in parts))
+    deep = (F.col("cascade_outcome") != "CLEARED") & ((F.col("cascade_outcome") == "VIOLATION") | above)
+    return out.withColumn("cascade_deep", deep).drop("_action", "_signals", "_threshold", *(f"_{k}" for k in parts))
 
 
 def _fnv(token: str) -> int:

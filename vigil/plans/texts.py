@@ -33,7 +33,13 @@ USAGE: list[D.Layer] = [
     [("latency_ms", "100e0 + 4e0 * tokens_out")],
 ]
 KEPT = "session_id timestamp application model action_type tokens_in tokens_out tool_calls retry_count affected_entities amount latency_ms".split()
-SIGNALS = "pii_risk critical_pii toxicity_risk toxic_critical bias_risk resp_raw resp_conf pii_keys pii_severity cascade_deep complexity".split()
+SIGNALS = "pii_risk critical_pii toxicity_risk toxic_critical bias_risk resp_raw resp_conf pii_keys pii_severity cascade_outcome cascade_deep complexity".split()
+
+
+def acting(turns: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn and texts) with usage and action of ``USAGE``."""
+    named = turns.withColumns({"session_id": F.col("conv_id"), KEY: F.col("conv_id") * 100_000 + F.col("turn"), "response": F.coalesce("response", F.lit(""))})
+    return D.add(named, USAGE)
 
 
 def from_conversations(conversations: DataFrame) -> DataFrame:
@@ -78,7 +84,8 @@ def scored(signals: DataFrame) -> DataFrame:
     base = D.add(priced.join(F.broadcast(D.baselines(priced)), list(D.SEGMENT), "left"), D.COST + D.STAKES)
     first = D.add(base.withColumns(_performance(G.SHALLOW)), D.FUSE)
     hard, gates = F.col("critical_pii"), F.col("deep_trigger_reasons")
-    cascade = F.when(F.col("cascade_deep"), "TIER1_CASCADE_COMPLEXITY")
+    # a boundary that the cascade itself finds is for the policy to judge: it asks for no deeper check
+    cascade = F.when(F.col("cascade_deep") & (F.col("cascade_outcome") != "VIOLATION"), "TIER1_CASCADE_COMPLEXITY")
     reasons = F.when(hard, "DETERMINISTIC_HARD_BOUNDARY").otherwise(F.concat_ws(",", F.when(gates != "", gates), cascade))
     routed = {"preliminary_risk": F.col("overall_risk"), "preliminary_confidence": F.col("confidence"), "routing_disagreement": F.col("disagreement"), "routing_reasons": reasons}
     first = first.withColumns(routed).withColumn("deep", F.col("routing_reasons") != "")

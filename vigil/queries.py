@@ -435,15 +435,59 @@ add("t18_grounding_shallow", lambda s, d: G2.responses(_turns(s, d), _KEY, "resp
 
 # --- routing --------------------------------------------------------------------------------------------------------
 
-add("v05_cascade", lambda s, d: V.cascade(_turns(s, d)).drop("prompt", "response", "context"))
-add("v07_complexity", lambda s, d: V.cascade(_turns(s, d), "customer_support").select(*_KEY, *V.WEIGHTS, "complexity"))
-add("v12_verdicts", lambda s, d: V.summary(V.cascade(_turns(s, d), "internal_knowledge_assistant")))
+_ROUTE = ("signals", "outcome", *V.WEIGHTS, "complexity", "threshold", "verdict", "reason")
+
+
+def _cascade(spark: SparkSession, sf_dir: str, profile: str = "default") -> DataFrame:
+    return V.cascade(TX.acting(_turns(spark, sf_dir)), profile, V.is_action(F.col("action_type"), F.col("amount")))
+
+
+def _cascade_sql(profile: str) -> str:
+    """CTEs up to ``routed``, by hand. RE2 has no look-around: where Spark looks, these patterns take a character more."""
+    at, most, blocked, markers, forced = V.PROFILES[profile]
+    found = {
+        "EMAIL": V.PATTERNS["EMAIL"], "PHONE": r"(^|[^0-9])(\+?[0-9][\s-]?){9,14}[0-9]([^0-9]|$)", "CREDIT_CARD": r"(^|[^0-9])([0-9][ -]?){13,16}([^0-9]|$)",
+        "GOV_ID": r"\b[A-Z]{2}[0-9]{6,10}\b", "ACCOUNT_ID": V.PATTERNS["ACCOUNT_ID"],
+    }
+    violations = [f"CASE WHEN regexp_matches(response, '{p}') THEN 'PII_PATTERN:{n}' END" for n, p in found.items()]
+    violations += [f"CASE WHEN contains(lower(response), '{k}') THEN 'BLOCKED_KEYWORD:{k}' END" for k in blocked]
+    words = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''))"
+    unit = "round(greatest(0e0, least(1e0, {0})) + 1e-9, 6)"
+    score = " + ".join(f"{w}e0 * {k}" for k, w in V.WEIGHTS.items())
+    return rf"""{_TURNS}, typed AS (SELECT *, {words.format('response')} AS n_words, greatest({words.format('context')}, 1) AS c_words, length(trim(context)) > 0 AS evidence,
+        ['information', 'refund', 'account_update', 'account_cancellation', 'external_communication', 'recommendation'][(conv_id * 100000 + turn) % 6 + 1] <> 'information'
+        OR len(list_filter(regexp_extract_all(response, '[0-9]+'), lambda x: len(x) <= 7 AND CAST(x AS BIGINT) > 0)) > 0 AS acts,
+        len(regexp_extract_all(response, '(^|[^A-Za-z0-9_])([₹$€£]\s?)?[0-9][0-9,]*(\.[0-9]+)?%?')) AS numbers, regexp_extract_all(response, '[A-Za-z'']+') AS said,
+        list_sort(list_filter({_SET(markers)}, lambda m: contains(lower(prompt), m) OR contains(lower(response), m))) AS stakes FROM turns),
+    checked AS (SELECT *, concat_ws(',', {', '.join(violations)}) AS crossed, concat_ws(',', CASE WHEN n_words > {most} THEN 'RESPONSE_TOO_LONG' END, CASE WHEN acts THEN 'SIDE_EFFECTING_ACTION' END,
+        CASE WHEN regexp_matches(response, 'https?://|www\.|(^|[^A-Za-z0-9_])@[A-Za-z0-9_]{{2,}}') THEN 'CONTAINS_URL_OR_HANDLE' END, CASE WHEN regexp_matches(response, '{V.CAPITALS}') THEN 'CONTAINS_NAMED_ENTITY' END,
+        CASE WHEN numbers > 0 AND NOT evidence THEN 'UNGROUNDED_NUMERIC_CLAIM' WHEN numbers > 2 THEN 'MULTIPLE_NUMERIC_CLAIMS' END,
+        CASE WHEN len(stakes) > 0 THEN 'HIGH_STAKES_INTENT:' || array_to_string(stakes, '+') END) AS blocked,
+        list_distinct(list_transform(said, lambda w: lower(w))) AS mine, list_distinct(list_transform(regexp_extract_all(context, '[A-Za-z'']+'), lambda w: lower(w))) AS theirs FROM typed),
+    measured AS (SELECT conv_id, turn, CASE WHEN crossed <> '' THEN crossed ELSE blocked END AS signals, CASE WHEN crossed <> '' THEN 'VIOLATION' WHEN blocked <> '' THEN 'AMBIGUOUS' ELSE 'CLEARED' END AS outcome,
+        {unit.format('greatest(n_words, 1) / (c_words + 8)')} AS response_length_ratio, {unit.format("len(regexp_extract_all(response, '[0-9]')) / greatest(length(response), 1) * 12")} AS digit_density,
+        {unit.format(f"len(regexp_extract_all(response, '{V.CAPITALS}')) / (greatest(n_words, 1) / 20 + 1)")} AS entity_density,
+        {unit.format(f"len(list_filter(said, lambda w: list_contains({_SET(V.HEDGES)}, lower(w)))) / (len(said) / 15 + 1)")} AS hedge_density,
+        CASE WHEN evidence THEN {unit.format("1 - CASE WHEN len(mine) > 0 AND len(theirs) > 0 THEN len(list_intersect(mine, theirs)) / len(list_distinct(list_concat(mine, theirs))) ELSE 0 END")} ELSE 1e0 END AS low_context_overlap,
+        {unit.format(r"len(regexp_split_to_array(trim(response), '[.!?;]\s+|\n+')) / 8")} AS claim_count,
+        CASE WHEN list_contains({_SET(V.QUESTIONS)}, lower(string_split(trim(prompt), ' ')[1])) OR rtrim(prompt) LIKE '%?' THEN 1e0 ELSE 0e0 END AS question_form,
+        CASE WHEN acts THEN 1e0 ELSE 0e0 END AS action_flag, CASE WHEN evidence THEN 0e0 ELSE 1e0 END AS no_evidence,
+        CASE WHEN acts AND {forced} THEN 0e0 WHEN n_words > {2 * most} THEN {max(0.0, at - 0.10)}e0 ELSE {at}e0 END AS threshold FROM checked),
+    scored_turns AS (SELECT *, round(1 / (1 + exp(-({V.BIAS}e0 + {score}))) + 1e-9, 6) AS complexity FROM measured),
+    routed AS (SELECT *, CASE WHEN outcome <> 'CLEARED' AND (outcome = 'VIOLATION' OR complexity >= threshold) THEN 'ROUTE_TO_DEEP' ELSE 'FAST_ALLOW' END AS verdict,
+        CASE outcome WHEN 'CLEARED' THEN 'DETERMINISTIC_CLEAR' WHEN 'VIOLATION' THEN 'DETERMINISTIC_HARD_BOUNDARY' ELSE 'COMPLEXITY_' || CASE WHEN complexity >= threshold THEN 'ABOVE' ELSE 'BELOW' END || '_THRESHOLD' END AS reason FROM scored_turns)"""
+
+
+add("v05_cascade", lambda s, d: _cascade(s, d).select(*_KEY, *_ROUTE), f"WITH {_cascade_sql('default')} SELECT conv_id, turn, {', '.join(_ROUTE)} FROM routed")
+add("v07_complexity", lambda s, d: _cascade(s, d, "customer_support").select(*_KEY, *V.WEIGHTS, "complexity"), f"WITH {_cascade_sql('customer_support')} SELECT conv_id, turn, {', '.join(V.WEIGHTS)}, complexity FROM routed")
+add("v12_verdicts", lambda s, d: V.summary(_cascade(s, d, "internal_knowledge_assistant")),
+    f"WITH {_cascade_sql('internal_knowledge_assistant')} SELECT verdict, reason, count(*) AS n, {many('no_evidence = 1')} AS no_evidence FROM routed GROUP BY 1, 2")
 add("v09_hash_embedding", lambda s, d: _turns(s, d).select(*_KEY, F.array_join(F.transform(V.embed(F.col("response")), lambda x: F.round(x, 6).cast("string")), ",").alias("embedding")))
-add("x07_routing_state", lambda s, d: X.routing_state(V.cascade(_turns(s, d))))
+add("x07_routing_state", lambda s, d: X.routing_state(_cascade(s, d)))
 
 
 def _router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = V.cascade(_turns(spark, sf_dir)).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    routed = _cascade(spark, sf_dir).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     _, scored = V.train_router(routed, F.col("response"), F.col("complexity") >= 0.5, key="id")
     return V.evaluate_router(scored)
 
