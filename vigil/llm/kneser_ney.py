@@ -1,6 +1,6 @@
 """Language-model scores: an interpolated modified Kneser-Ney n-gram model, counted on Spark and mapped by its workers.
 
-Counting goes from the longest n-grams down. Tasks count the n-grams of about two million tokens at a time and deal the
+Counting goes from the longest n-grams down. Tasks count the n-grams of about a million tokens at a time and deal the
 counts to shards by a hash; a shard sums what all tasks sent for its n-grams, writes them as arrays sorted by hash into
 the shared folder, and sends two kinds of counts to the next shorter length: how many different words stand before an
 n-gram's rest (which is what shorter n-grams are counted by), and how many words, and how often, follow its context.
@@ -31,7 +31,7 @@ from vigil.llm.common import saved, shared_dir
 #: Words of an n-gram.
 ORDER = 2
 #: Tokens counted, or scored, at a time; rows of a shard, about; characters of a text split at a time; words remembered by a task.
-CHUNK, SHARD, PIECE, WORDS = 1 << 21, 1 << 22, 1 << 20, 1 << 19
+CHUNK, SHARD, PIECE, WORDS = 1 << 20, 1 << 22, 1 << 20, 1 << 18
 #: Discounts of counts 1, 2 and 3 or more, where the counts of counts allow no estimate.
 DISCOUNTS = (0.5, 1.0, 1.5)
 #: Numbers of the start and the end of a text: hashes of what no word can be.
@@ -126,6 +126,7 @@ def _counts_of_texts(batches: Iterator[pa.RecordBatch], order: int, bits: int) -
     def flush() -> pa.RecordBatch:
         # n-grams across the seam of two texts would begin in one and end in the other
         grams = np.concatenate([_grams(np.concatenate([start, t]), order) for t in held])
+        held.clear()
         h, first, n = np.unique(gram_hash(grams), return_index=True, return_counts=True)
         return _record(list(_packed(h, grams[first], n[:, None], bits)))
 
@@ -135,7 +136,7 @@ def _counts_of_texts(batches: Iterator[pa.RecordBatch], order: int, bits: int) -
             size += len(held[-1])
             if size >= CHUNK:
                 yield flush()
-                held, size = [], 0
+                size = 0
     if held:
         yield flush()
 
@@ -177,13 +178,17 @@ def _sum_shard(shard: int, table: pa.Table, order: int, values: int, bits: int,
     if order > 1:
         real = adjusted > 0
         words, adjusted, plain = words[real], adjusted[real], plain[real]
-        child, context = np.zeros((len(words), 6), np.int64), np.zeros((len(words), 6), np.int64)
-        child[:, 0] = np.where((words[:, 1] == START), adjusted, 1)  # nothing but starts stand before a start
-        child[:, 1] = plain
-        context[:, 2] = adjusted
-        context[np.arange(len(words)), 2 + np.minimum(adjusted, 3)] = 1
-        shorter = np.concatenate([words[:, 1:], words[:, :-1]])
-        out += _packed(*_summed(gram_hash(shorter), shorter, np.concatenate([child, context])), bits)
+        before = np.where(words[:, 1] == START, adjusted, 1)  # nothing but starts stand before a start
+        after = np.minimum(adjusted, 3)[:, None] == np.arange(1, 4)
+        # each kind is summed first, so that the two together are few rows
+        kinds = ((words[:, 1:], (before, plain), 0), (words[:, :-1], (adjusted, *after.T), 2))
+        held = []
+        for shorter, values_, at in kinds:
+            h, w, c = _summed(gram_hash(shorter), shorter, np.stack(values_, axis=1).astype(np.int64))
+            full = np.zeros((len(h), len(VALUES)), np.int64)
+            full[:, at : at + c.shape[1]] = c
+            held.append((h, w, full))
+        out += _packed(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))), bits)
     return pa.Table.from_batches([_record(out)])
 
 
