@@ -1,6 +1,6 @@
 """Language-model scores: an interpolated modified Kneser-Ney n-gram model, counted on Spark and mapped by its workers.
 
-Counting goes from the longest n-grams down. Tasks count the n-grams of about a million tokens at a time and deal the
+Counting goes from the longest n-grams down. Tasks count the n-grams of about two million tokens at a time and deal the
 counts to shards by a hash; a shard sums what all tasks sent for its n-grams, writes them as arrays sorted by hash into
 the shared folder, and sends two kinds of counts to the next shorter length: how many different words stand before an
 n-gram's rest (which is what shorter n-grams are counted by), and how many words, and how often, follow its context.
@@ -16,7 +16,7 @@ from __future__ import annotations
 import functools
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import saved, shared_dir
+from vigil.llm.common import shared_dir
 
 #: Words of an n-gram.
 ORDER = 2
-#: Tokens counted, or scored, at a time; rows of a shard, about; characters of a text split at a time; words remembered by a task.
-CHUNK, SHARD, PIECE, WORDS = 1 << 20, 1 << 22, 1 << 20, 1 << 18
+#: Tokens counted, and tokens scored, at a time; rows of a shard, about; characters of a text split at a time; words remembered by a task.
+CHUNK, SCORED, SHARD, PIECE, WORDS = 1 << 21, 1 << 20, 1 << 22, 1 << 20, 1 << 18
 #: Discounts of counts 1, 2 and 3 or more, where the counts of counts allow no estimate.
 DISCOUNTS = (0.5, 1.0, 1.5)
 #: Numbers of the start and the end of a text: hashes of what no word can be.
@@ -73,11 +73,12 @@ def tokens(text: bytes | None, hashes: dict[bytes, int]) -> np.ndarray:
     return np.concatenate([*found, np.array([END])])
 
 
-def gram_hash(words: np.ndarray) -> np.ndarray:
-    """One hash for each row of word hashes; that of a single word is the word's own."""
-    h = words[:, 0].copy()
-    for j in range(1, words.shape[1]):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[:, j]
+def gram_hash(words: Sequence[np.ndarray]) -> np.ndarray:
+    """One hash for each n-gram, from the hashes of its first words, second words and so on; that of a single word is its own."""
+    h = words[0].copy()
+    for w in words[1:]:
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += w
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
@@ -124,11 +125,14 @@ def _counts_of_texts(batches: Iterator[pa.RecordBatch], order: int, bits: int) -
     start, held, size = np.full(order - 1, START), [], 0
 
     def flush() -> pa.RecordBatch:
-        # n-grams across the seam of two texts would begin in one and end in the other
-        grams = np.concatenate([_grams(np.concatenate([start, t]), order) for t in held])
+        stream = np.concatenate([x for t in held for x in (start, t)])
         held.clear()
-        h, first, n = np.unique(gram_hash(grams), return_index=True, return_counts=True)
-        return _record(list(_packed(h, grams[first], n[:, None], bits)))
+        h = gram_hash([stream[j : len(stream) - order + 1 + j] for j in range(order)])
+        real = np.flatnonzero(stream[order - 1 :] != START)  # an n-gram ends with a token
+        h, first, n = np.unique(h[real], return_index=True, return_counts=True)
+        first = real[first]
+        grams = np.stack([stream[first + j] for j in range(order)], axis=1)
+        return _record(list(_packed(h, grams, n[:, None], bits)))
 
     for batch in batches:
         for text in batch.column(0):
@@ -154,27 +158,27 @@ def _summing(*of: object) -> Callable[[tuple, pa.Table], pa.Table]:
     return lambda key, table: _sum_shard(key[0].as_py(), table, *of)
 
 
-def _sum_shard(shard: int, table: pa.Table, order: int, values: int, bits: int, folder: str, discounts: np.ndarray) -> pa.Table:
+def _sum_shard(shard: int, table: pa.Table, order: int, values: int, bits: int, folder: str) -> pa.Table:
     """Sum a shard's packed counts, write its arrays, and pack what goes to the next shorter length.
 
-    ``discounts`` are those of the next longer n-grams, which this shard's contexts stand before. The first record (of
-    shard -1) has numbers for the driver: rows, counts of counts 1 to 4 and of 3 or more, sums of adjusted and plain counts.
+    One more array has numbers for the driver: rows, counts of counts 1 to 4 and of 3 or more, sums of adjusted and plain
+    counts. Single words send nothing on but an empty record.
     """
     parts = [_unpacked(*(table.column(c)[i].as_py() for c in ("n", "words", "places", "counts")), order, values) for i in range(table.num_rows)]
     words, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    hashes, words, counts = _summed(gram_hash(words), words, counts)
+    hashes, words, counts = _summed(gram_hash(words.T), words, counts)
     if values == 1:  # the longest: counted as they are, and no context of any
         adjusted, plain = counts[:, 0], counts[:, 0]
         arrays = {"hash": hashes, "adjusted": _least(adjusted)}
     else:
-        adjusted, plain, total = counts[:, 0], counts[:, 1], counts[:, 2]
-        weight = (counts[:, 3:] @ discounts) / np.maximum(total, 1)
-        arrays = {"hash": hashes, "adjusted": _least(adjusted), "total": _least(total), "weight": weight}
+        adjusted, plain = counts[:, 0], counts[:, 1]
+        arrays = {"hash": hashes} | {n: _least(counts[:, k]) for k, n in enumerate(VALUES) if n != "plain"}
     if order == 1:
         arrays["plain"] = _least(plain)
-    _write(folder, order, shard, arrays)
     seen = np.bincount(np.minimum(adjusted, 5), minlength=6)
-    out = [{"shard": -1, "n": 0, "words": b"", "places": b"", "counts": np.array([(adjusted > 0).sum(), *seen[1:5], seen[3:].sum(), adjusted.sum(), plain.sum()], np.int64).tobytes()}]
+    arrays["told"] = np.array([(adjusted > 0).sum(), *seen[1:5], seen[3:].sum(), adjusted.sum(), plain.sum()], np.int64)
+    _write(folder, order, shard, arrays)
+    out = [] if order > 1 else [{"shard": shard, "n": len(hashes), "words": b"", "places": b"", "counts": b""}]
     if order > 1:
         real = adjusted > 0
         words, adjusted, plain = words[real], adjusted[real], plain[real]
@@ -184,7 +188,7 @@ def _sum_shard(shard: int, table: pa.Table, order: int, values: int, bits: int,
         kinds = ((words[:, 1:], (before, plain), 0), (words[:, :-1], (adjusted, *after.T), 2))
         held = []
         for shorter, values_, at in kinds:
-            h, w, c = _summed(gram_hash(shorter), shorter, np.stack(values_, axis=1).astype(np.int64))
+            h, w, c = _summed(gram_hash(shorter.T), shorter, np.stack(values_, axis=1).astype(np.int64))
             full = np.zeros((len(h), len(VALUES)), np.int64)
             full[:, at : at + c.shape[1]] = c
             held.append((h, w, full))
@@ -235,17 +239,22 @@ def count(texts: DataFrame, order: int = ORDER) -> Model:
     texts = texts.select(F.col(texts.columns[0]).cast("binary"))
     size = texts.agg(F.sum(F.octet_length(F.col(texts.columns[0])))).first()[0] or 0
     bits = max(0, (size // 5 // SHARD).bit_length())  # a token is of five or six bytes in most texts
-    rows, values = texts.mapInArrow(lambda b: _counts_of_texts(b, order, bits), PACKED), 1
-    longer: list[tuple[float, float, float]] = []
+    rows = texts.mapInArrow(lambda b: _counts_of_texts(b, order, bits), PACKED)
     for k in range(order, 0, -1):
-        summing = _summing(k, values, bits, folder, np.array(longer[-1] if longer else DISCOUNTS))
-        done = saved(rows.repartition(1 << bits, "shard").groupBy("shard").applyInArrow(summing, PACKED), f"counts-{k}")
-        told = [np.frombuffer(r[0], np.int64) for r in done.filter("shard < 0").select("counts").collect()]  # eight numbers a shard
-        kept, n1, n2, n3, n4, more, adjusted, plain = (int(x) for x in np.sum([np.zeros(8, np.int64), *told], axis=0))
-        longer.append(_discounts(n1, n2, n3, n4))
-        rows, values = done.filter("shard >= 0"), len(VALUES)
-    held_back = float(np.dot(longer[-1], (n1, n2, more)))
-    return Model(folder, order, bits, tuple(reversed(longer)), plain, kept, adjusted, held_back / adjusted if adjusted else 1.0)
+        summing = _summing(k, 1 if k == order else len(VALUES), bits, folder)
+        rows = rows.repartition(1 << bits, "shard").groupBy("shard").applyInArrow(summing, PACKED)
+    rows.agg(F.sum("n")).first()  # one job for all lengths; what it leaves are the arrays
+    told = [_told(folder, k, bits) for k in range(1, order + 1)]
+    discounts = tuple(_discounts(*(int(n) for n in t[1:5])) for t in told)
+    kept, n1, n2, _, _, more, adjusted, plain = (int(x) for x in told[0])
+    held_back = float(np.dot(discounts[0], (n1, n2, more)))
+    return Model(folder, order, bits, discounts, plain, kept, adjusted, held_back / adjusted if adjusted else 1.0)
+
+
+def _told(folder: str, order: int, bits: int) -> np.ndarray:
+    """Sums of the eight numbers that each shard has told; a shard without rows has told nothing."""
+    paths = (f"{folder}/{order}-{shard}-told.npy" for shard in range(1 << bits))
+    return np.sum([np.zeros(8, np.int64), *(np.load(p) for p in paths if os.path.exists(p))], axis=0)
 
 
 @functools.lru_cache(maxsize=1 << 14)
@@ -262,8 +271,8 @@ class Lookup:
     def find(self, grams: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         """Of each row of word hashes the named values; zero where the model lacks it."""
         m, order = self.model, grams.shape[1]
-        asked, back = np.unique(gram_hash(grams), return_inverse=True)
-        out = [np.zeros(len(asked), np.float64 if n == "weight" else np.int64) for n in names]
+        asked, back = np.unique(gram_hash(grams.T), return_inverse=True)
+        out = [np.zeros(len(asked), np.int64) for _ in names]
         bounds = np.searchsorted(asked, np.arange(1 << m.bits, dtype=np.uint64) << np.uint64(64 - m.bits)) if m.bits else np.zeros(1, np.int64)
         for shard, (a, b) in enumerate(zip(bounds, [*bounds[1:], len(asked)], strict=True)):
             hashes = _mapped(f"{m.folder}/{order}-{shard}-hash.npy") if b > a else None
@@ -284,8 +293,9 @@ class Lookup:
         for k in range(2, m.order + 1):
             grams = _grams(stream[m.order - k :], k)
             (adjusted,) = self.find(grams, ("adjusted",))
-            total, weight = self.find(grams[:, :-1], ("total", "weight"))
-            p = np.where(total > 0, self._discounted(adjusted, k) / np.maximum(total, 1) + weight * p, p)
+            total, *after = self.find(grams[:, :-1], ("total", "ones", "twos", "more"))
+            held_back = sum(d * n for d, n in zip(m.discounts[k - 1], after, strict=True))
+            p = np.where(total > 0, (self._discounted(adjusted, k) + held_back * p) / np.maximum(total, 1), p)
         return p, plain
 
     def _discounted(self, adjusted: np.ndarray, k: int) -> np.ndarray:
@@ -319,7 +329,7 @@ def score(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 held.append(tokens(text.as_py(), hashes))
                 lengths.append(len(held[-1]))
                 size += lengths[-1]
-                if size >= CHUNK:
+                if size >= SCORED:
                     found.append(sums(held))
                     held, size = [], 0
             if held:
