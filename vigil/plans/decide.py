@@ -35,6 +35,16 @@ EVENTS: list[Layer] = [
     [("evidence_available", "perf_status <> 'UNVERIFIED'")],
 ]
 
+#: What a deeper check of the same events would say instead, and what either check takes.
+EVENTS_DEEP: list[Layer] = [
+    [
+        ("perf_raw", "((61 * interaction_id) % 100) / 100e0"), ("perf_conf", "5e-1 + ((23 * interaction_id) % 45) / 100e0"),
+        ("evidence_quality", "((29 * interaction_id) % 100) / 100e0"), ("neutral_rate", "((13 * interaction_id) % 10) / 10e0"),
+    ],
+    [("perf_status", "CASE WHEN perf_raw >= 74e-2 THEN 'CONTRADICTED' WHEN perf_raw >= 35e-2 THEN 'UNVERIFIED' ELSE 'SUPPORTED' END")],
+]
+EVENTS_TIMES: Layer = [("fast_ms", "1e0 + tokens_out / 100e0"), ("extra_ms", "2e0 + tokens_in / 100e0")]
+
 PRICE: list[Layer] = [
     [
         ("input_cost", f"round(tokens_in / 1000e0 * ({lookup('model', C.RATE_IN, C.RATE_DEFAULT[0])}) + 1e-11, 6)"),
@@ -206,6 +216,12 @@ def signals(rows: DataFrame) -> DataFrame:
     return add(priced.join(F.broadcast(baselines(priced)), list(SEGMENT), "left"), COST + STAKES + FUSE)
 
 
+def priced(rows: DataFrame) -> DataFrame:
+    """Cost and stakes of every interaction: all that neither a check nor the policy changes."""
+    own = add(rows, PRICE)
+    return add(own.join(F.broadcast(baselines(own)), list(SEGMENT), "left"), COST + STAKES)
+
+
 def decide(scored: DataFrame, confidence_aware: bool = True, profile: str = "application") -> DataFrame:
     """Apply the policy; ``profile`` is an expression for the name of the profile of a row."""
     profiles = scored.sparkSession.createDataFrame(profile_rows(), ", ".join(f"{n} {t}" for n, t in PROFILE))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vigil import config as C
 from vigil.functions import lexicons as L
+from vigil.operators import calibration as K
 from vigil.operators import evaluation as E
 from vigil.operators import governance as G
 from vigil.operators import grounding as G2
@@ -339,6 +340,58 @@ on_signals("k10_policy_simulation", E.simulate_policies, f"SELECT interaction_id
     f"""t AS ({' UNION ALL '.join(f"SELECT interaction_id, '{p}' AS as_profile, t10 FROM ({D.decide_sql(profile=repr(p))})" for p in C.PROFILES)}),
     w AS (SELECT interaction_id, {', '.join(f"max(t10) FILTER (WHERE as_profile = '{p}') AS {q}" for p, q in _QUOTED.items())} FROM t GROUP BY 1)""")
 
+# --- calibration that routes and decides again ----------------------------------------------------------------------
+
+
+def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events checked at both depths, with the truth that ``labels`` holds of their ids: toxic, or of low quality."""
+    base = D.add(D.priced(D.interactions(table(spark, sf_dir, "events"))), [D.EVENTS_TIMES])
+    both = K.both_depths(base, lambda rows: D.add(rows, D.EVENTS_DEEP), ("interaction_id", "fast_ms", "extra_ms"))
+    truth = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("interaction_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("risky"))
+    return staged(both.join(truth, "interaction_id"), "calibrated", sf_dir)
+
+
+_GRID7 = {
+    "risk": (0.25, 0.35, 0.45), "confidence": (0.60, 0.70, 0.80), "disagreement": (0.35, 0.45, 0.60), "floor": (0.10, 0.15),
+    "consequence": (0.50, 0.60), "criticality": (0.55, 0.60), "extreme": (0.80, 0.85, 0.95),
+}
+
+
+def _calibrated_sql() -> str:
+    """CTEs up to ``sw``: every row under every candidate, routed and judged one by one."""
+    columns = ["candidate", *(f"at_{a}" for a in K.AXES)]
+    values = ", ".join("(" + ", ".join(str(v) if i == 0 else f"{v}e0" for i, v in enumerate(c)) + ")" for c in K.grid(_GRID7))
+    deep = D.decide_sql(f"({D.layered_sql('SELECT * FROM first_check', D.EVENTS_DEEP + D.FUSE)})")
+    n = "count(*)"
+    return f"""{D.signals_sql()}, first_check AS MATERIALIZED (SELECT * EXCLUDE ({', '.join(name for layer in D.FUSE for name, _ in layer)}, {', '.join(f'at_{k}' for k in C.PROFILES['default'])}, profile, {', '.join(name for layer in D.policy_layers() for name, _ in layer)}),
+        overall_risk AS g_risk, confidence AS g_conf, disagreement AS g_dis, NOT evidence_available AS g_missing, t10 AS fast_tier FROM ({D.decide_sql()})),
+    both_checks AS MATERIALIZED (SELECT b.*, 1e0 + tokens_out / 100e0 AS fast_ms, 2e0 + tokens_in / 100e0 AS extra_ms, toxic = 1 OR quality = 0 AS risky FROM ({deep}) b JOIN labels ON doc_id = interaction_id),
+    cand({', '.join(columns)}) AS (VALUES {values}),
+    routed AS (SELECT c.*, risky, g_missing OR g_risk >= at_risk OR (g_conf < at_confidence AND g_risk >= at_floor) OR consequence_score >= at_consequence OR action_criticality >= at_criticality
+        OR greatest(financial_impact, reversibility) >= at_extreme OR g_dis >= at_disagreement AS deep, fast_ms, extra_ms, fast_tier, t10 AS deep_tier FROM both_checks, cand c WHERE risky IS NOT NULL),
+    judged AS (SELECT *, CASE WHEN deep THEN deep_tier ELSE fast_tier END AS tier FROM routed),
+    counted AS (SELECT {', '.join(columns)}, {n} AS evaluation_count, {many('risky')} AS risky_count, {', '.join(f"{many(f'tier = {t}')} AS {name.lower()}" for t, name in enumerate(C.TIERS))},
+        {many('risky AND tier > 0')} AS tp, {many('NOT risky AND tier > 0')} AS fp, {many('NOT deep')} AS fast, avg(fast_ms + CASE WHEN deep THEN extra_ms ELSE 0 END) AS ms FROM judged GROUP BY ALL),
+    sw AS (SELECT {', '.join(columns)}, evaluation_count, risky_count, {', '.join(name.lower() for name in C.TIERS)}, {r4('(tp + evaluation_count - risky_count - fp) / evaluation_count')} AS accuracy,
+        {r4('coalesce(tp / nullif(tp + fp, 0), 0)')} AS precision, {r4('tp / risky_count')} AS recall, {r4('2 * tp / (tp + fp + risky_count)')} AS f1, {r4('fp / (evaluation_count - risky_count)')} AS false_positive_rate,
+        {r4('(risky_count - tp) / risky_count')} AS missed_risk_rate, {r4('human_review / evaluation_count')} AS human_review_rate, {r4('fast / evaluation_count')} AS fast_path_rate,
+        {r4('(evaluation_count - fast) / evaluation_count')} AS deep_path_rate, {r4('ms')} AS average_latency_ms FROM counted),
+    sv AS (SELECT *, concat_ws(',', {', '.join(f"CASE WHEN {m} {'<' if op == '>=' else '>'} {v} THEN '{m}' END" for m, op, v in K.LIMITS)}) AS violations FROM sw)"""
+
+
+def on_candidates(name: str, report: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    add(name, lambda s, d: report(K.sweep(calibrated(s, d), _GRID7)), f"WITH {_calibrated_sql()} {sql}")
+
+
+on_candidates("k03_routing_sweep", lambda c: c, "SELECT * FROM sw")
+on_candidates("k05_limits", K.violations, "SELECT * FROM sv")
+on_candidates("k08_against_today", K.comparison, "SELECT s.candidate, " + ", ".join(f"{r4(f's.{m} - t.{m}')} AS delta_{m}" for m in ("recall", "precision", "missed_risk_rate", "human_review_rate", "fast_path_rate", "average_latency_ms"))
+    + " FROM sw s, sw t WHERE t.candidate = 0 AND s.candidate > 0")
+_TIES = "recall DESC, precision DESC, human_review_rate, average_latency_ms, candidate"
+for _goal, _first in (("MAX_FAST_PATH", "fast_path_rate DESC"), ("MIN_HUMAN_REVIEW", "human_review_rate"), ("MIN_LATENCY", "average_latency_ms")):
+    on_candidates(f"k06_{_goal.lower()}", lambda c, g=_goal: K.select(c, g), f"SELECT * FROM sv WHERE candidate > 0 AND violations = '' ORDER BY {_first}, {_TIES} LIMIT 1")
+on_candidates("k09_safe_candidates", lambda c: K.select(c, most=5), f"SELECT * FROM sv WHERE candidate > 0 AND violations = '' ORDER BY fast_path_rate DESC, {_TIES} LIMIT 5")
+
 # --- text detectors -------------------------------------------------------------------------------------------------
 
 
