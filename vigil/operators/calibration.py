@@ -33,7 +33,7 @@ SINGLE = ("risk", "disagreement", "consequence", "criticality", "extreme")
 #: Candidates that ``sweep`` takes at most.
 MOST = 100_000
 #: Limits on a candidate: measure, direction, value.
-LIMITS = (("recall", ">=", 0.80), ("precision", ">=", 0.30), ("false_positive_rate", "<=", 0.90), ("missed_risk_rate", "<=", 0.20), ("human_review_rate", "<=", 0.70))
+LIMITS = (("recall", ">=", 0.90), ("precision", ">=", 0.25), ("false_positive_rate", "<=", 0.94), ("missed_risk_rate", "<=", 0.10), ("human_review_rate", "<=", 0.40))
 OBJECTIVES = {"MIN_HUMAN_REVIEW": "human_review_rate", "MAX_FAST_PATH": "fast_path_rate", "MIN_LATENCY": "average_latency_ms"}
 _TIER = [f"{d}_{t}" for d in ("fast", "deep") for t in range(len(C.TIERS))]
 MEASURES = ("n", "risky", *_TIER, "fast_caught", "deep_caught", "extra_ms")
@@ -68,7 +68,8 @@ def grid(axes: Mapping[str, Sequence[float]]) -> list[tuple]:
 
 def _cells(rows: DataFrame, values: Mapping[str, Sequence[float]]) -> DataFrame:
     """Rows counted by the number of values they reach on each axis. ``rows`` has risky and extra_ms besides the gates."""
-    at = {a: F.size(F.filter(F.array(*map(F.lit, values[a])), lambda v, a=a: v <= F.col(AXES[a][0]))) for a in AXES}
+    reached = lambda x, vs: F.size(F.filter(F.array(*map(F.lit, vs)), lambda v: v <= x))
+    at = {a: reached(F.col(column), values[a]) for a, (column, _) in AXES.items()}
     place = rows.select(*(c.alias(a) for a, c in at.items()), "gate_missing", "fast_tier", "deep_tier", "risky", "extra_ms")
     one = lambda c: F.count_if(c)
     tiers = [one(F.col(f"{d}_tier") == t).alias(f"{d}_{t}") for d in ("fast", "deep") for t in range(len(C.TIERS))]

@@ -363,9 +363,9 @@ def _calibrated_sql() -> str:
     values = ", ".join("(" + ", ".join(str(v) if i == 0 else f"{v}e0" for i, v in enumerate(c)) + ")" for c in K.grid(_GRID7))
     deep = D.decide_sql(f"({D.layered_sql('SELECT * FROM first_check', D.EVENTS_DEEP + D.FUSE)})")
     n = "count(*)"
-    return f"""{D.signals_sql()}, first_check AS MATERIALIZED (SELECT * EXCLUDE ({', '.join(name for layer in D.FUSE for name, _ in layer)}, {', '.join(f'at_{k}' for k in C.PROFILES['default'])}, profile, {', '.join(name for layer in D.policy_layers() for name, _ in layer)}),
+    return f"""{D.signals_sql()}, first_check AS MATERIALIZED (SELECT * EXCLUDE ({', '.join(name for layer in D.FUSE for name, _ in layer)}, {', '.join(f'at_{k}' for k in C.PROFILES['default'])}, profile, {', '.join(name for layer in (*D.policy_layers(), *D.EVENTS_DEEP) for name, _ in layer)}),
         overall_risk AS g_risk, confidence AS g_conf, disagreement AS g_dis, NOT evidence_available AS g_missing, t10 AS fast_tier FROM ({D.decide_sql()})),
-    both_checks AS MATERIALIZED (SELECT b.*, 1e0 + tokens_out / 100e0 AS fast_ms, 2e0 + tokens_in / 100e0 AS extra_ms, toxic = 1 OR quality = 0 AS risky FROM ({deep}) b JOIN labels ON doc_id = interaction_id),
+    both_checks AS MATERIALIZED (SELECT b.*, 1e0 + tokens_out / 100e0 AS fast_ms, 2e0 + tokens_in / 100e0 AS extra_ms, l.toxic = 1 OR l.quality = 0 AS risky FROM ({deep}) b JOIN labels l ON l.doc_id = b.interaction_id),
     cand({', '.join(columns)}) AS (VALUES {values}),
     routed AS (SELECT c.*, risky, g_missing OR g_risk >= at_risk OR (g_conf < at_confidence AND g_risk >= at_floor) OR consequence_score >= at_consequence OR action_criticality >= at_criticality
         OR greatest(financial_impact, reversibility) >= at_extreme OR g_dis >= at_disagreement AS deep, fast_ms, extra_ms, fast_tier, t10 AS deep_tier FROM both_checks, cand c WHERE risky IS NOT NULL),
