@@ -24,6 +24,8 @@ from vigil.plans import decide as D
 from vigil.plans import texts as TX
 from vigil.sources import tables as W
 from vigil.sources.tables import shared_dir, staged
+from vigil.streaming import expiry as XE
+from vigil.streaming import late as XL
 from vigil.streaming import session as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -562,11 +564,11 @@ add("x01_session_risk", lambda s, d: X.batch(_tiers(s, d)))
 add("s06_session_states", lambda s, d: X.final_states(X.batch(_tiers(s, d))))
 
 
-def _streamed(spark: SparkSession, source: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _streamed(spark: SparkSession, source: DataFrame, run: Callable[[DataFrame], DataFrame], start: Callable[[DataFrame, str], None] = X.run_to_table) -> DataFrame:
     """Feed a table to a streaming job as files in the shared folder and read what it has written."""
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source.write.parquet(f"{place}/in")
-    X.run_to_table(run(spark.readStream.schema(source.schema).parquet(f"{place}/in")), f"{place}/out")
+    start(run(spark.readStream.schema(source.schema).parquet(f"{place}/in")), f"{place}/out")
     return spark.read.parquet(f"{place}/out")
 
 
@@ -584,6 +586,49 @@ add("x10_stream_monitor", _stream_monitor)
 on_decisions("x10_window_monitor", lambda d: X.monitor(d).select(F.col("window.start").alias("start"), "application", "n", "blocked", "reviewed"),
     f"SELECT date_trunc('hour', timestamp) AS start, application, count(*) AS n, {many('''decision = 'BLOCK' ''')} AS blocked, {many('''decision = 'HUMAN_REVIEW' ''')} AS reviewed FROM decisions GROUP BY ALL")
 
+# --- sessions that end, and rows that come late ---------------------------------------------------------------------
+
+#: An event of the kind signup starts its user's session afresh; a session ends after two days without an event.
+_RESET, _TIMEOUT = "interaction_id % 50 = 7", 2 * 24 * 3600
+
+
+def _resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(XE.with_resets(_tiers(spark, sf_dir), _RESET), "resets", sf_dir)
+
+
+def _expiring_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    XE.use_store(spark)
+    return _streamed(spark, _resets(spark, sf_dir), lambda rows: XE.stream(rows, _TIMEOUT), XE.run_once)
+
+
+add("x06_sessions_with_resets", lambda s, d: XE.batch(_resets(s, d), _TIMEOUT))
+add("x08_expiring_stream", _expiring_stream)
+_NOW = "(SELECT max(ts) FROM events)"
+add("x06_active_sessions", lambda s, d: XE.active(_resets(s, d), str(table(s, d, "events").agg(F.max("ts")).first()[0]), _TIMEOUT),
+    f"SELECT user_id AS session_id FROM events GROUP BY 1 HAVING NOT arg_max({_RESET.replace('interaction_id', 'event_id')}, (ts, event_id)) AND max(ts) >= {_NOW} - INTERVAL '{_TIMEOUT} seconds'")
+
+
+def _late(spark: SparkSession, sf_dir: str) -> str:
+    """The decisions as a stream in three slices of time, every hundredth one coming after all others; where its tables are."""
+    d = decided(spark, sf_dir).select("interaction_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "application", "decision")
+    low, high = d.agg(F.unix_seconds(F.min("timestamp")), F.unix_seconds(F.max("timestamp"))).first()
+    part = F.when(F.col("interaction_id") % 100 == 0, 3).otherwise(F.floor(3 * (F.unix_seconds("timestamp") - low) / (high - low + 1)))
+    sliced, place = d.withColumn("part", part.cast("int")), f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    for k in range(4):
+        sliced.filter(F.col("part") == k).drop("part").coalesce(4).write.parquet(f"{place}/in/slice-{k}")
+        stream = spark.readStream.schema(d.schema).parquet(f"{place}/in/*")
+        XL.run(stream, f"{place}/out")
+    return f"{place}/out"
+
+
+add("x09_monitor_with_late_rows", lambda s, d: XL.complete(s, _late(s, d)).select(F.col("window.start").alias("start"), "application", "n", "blocked", "reviewed"), SQL["x10_window_monitor"])
+add("x09_late_rows", lambda s, d: XL.late_rows(s, _late(s, d)).select("interaction_id", "application", "decision"), f"""WITH {D.decisions_sql()}
+    SELECT interaction_id, application, decision FROM decisions WHERE interaction_id % 100 = 0
+    AND date_trunc('hour', timestamp) + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM decisions WHERE interaction_id % 100 <> 0) - INTERVAL 10 MINUTE""")
+on_decisions("x09_session_windows", XL.session_windows, """SELECT session_id, min(timestamp) AS start, max(timestamp) AS last, count(*) AS n, max(overall_risk) AS max_risk, count(*) FILTER (decision = 'BLOCK') AS blocked
+    FROM (SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY timestamp) AS part FROM (SELECT *, coalesce(timestamp - lag(timestamp) OVER (PARTITION BY session_id ORDER BY timestamp) >= INTERVAL 6 HOUR, true)::INT AS opens FROM decisions))
+    GROUP BY session_id, part""")
+
 # --- decisions from texts ------------------------------------------------------------------------------------------
 
 

@@ -80,7 +80,7 @@ def in_order(rows: DataFrame, key: str, order: list[str], start: tuple, step, sc
     """``step`` (state, row) -> (state, out) over the rows of each ``key`` in ``order``, from ``start``.
 
     One shuffle on the key; a task reads its rows in order and carries one key's state from batch to batch, so a key of
-    any length takes no memory. Null keys are one key.
+    any length takes no memory. Null keys are one key. A step may give no output.
     """
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
@@ -94,7 +94,8 @@ def in_order(rows: DataFrame, key: str, order: list[str], start: tuple, step, sc
                 if now != last:
                     last, state = now, start
                 state, row = step(state, r)
-                out.append(row)
+                if row is not None:
+                    out.append(row)
             yield pd.DataFrame(out, columns=names)
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
