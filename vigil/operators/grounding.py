@@ -266,8 +266,12 @@ def turns(conversations: DataFrame) -> DataFrame:
     return rows.filter("role = 'assistant'").select("conv_id", "turn", F.coalesce("prompt", F.lit("")).alias("prompt"), "context", F.col("text").alias("response"))
 
 
-def evidence_table(rows: DataFrame, key: list[str], response: str, context: str, redacted: Callable[[Column], Column]) -> DataFrame:
-    """One row for each claim with its most similar evidence, both redacted; no evidence where there is no context."""
-    found = rows.select(*key, F.inline(evidence_udf(claims(F.col(response)), sentences(F.col(context)))))
+def evidence_table(rows: DataFrame, key: list[str], response: str, context: str, findings: str, redacted: Callable[[Column, Column], Column]) -> DataFrame:
+    """One row for each claim with its most similar evidence; no evidence where there is no context.
+
+    ``redacted`` hides in a text what the row's ``findings`` tell to hide: a row's findings serve all its texts.
+    """
+    found = rows.select(*key, findings, F.inline(evidence_udf(claims(F.col(response)), sentences(F.col(context)))))
     first = lambda c: F.get(c, F.lit(0))
-    return found.select(*key, "claim_no", redacted(F.col("claim")).alias("claim"), redacted(F.coalesce(first("evidence"), F.lit(""))).alias("evidence"), F.coalesce(first("similarity"), F.lit(0.0)).alias("similarity"))
+    hidden = lambda c: redacted(c, F.col(findings))
+    return found.select(*key, "claim_no", hidden(F.col("claim")).alias("claim"), hidden(F.coalesce(first("evidence"), F.lit(""))).alias("evidence"), F.coalesce(first("similarity"), F.lit(0.0)).alias("similarity"))

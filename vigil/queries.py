@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil import config as C
@@ -15,10 +15,12 @@ from vigil.operators import evaluation as E
 from vigil.operators import governance as G
 from vigil.operators import grounding as G2
 from vigil.operators import incidents as I
+from vigil.operators import memory as MEM
 from vigil.operators import monitoring as M
 from vigil.operators import replay as P
 from vigil.operators import responsibility as R
 from vigil.operators import routing as V
+from vigil.operators import trace as TR
 from vigil.operators import views as Y
 from vigil.plans import decide as D
 from vigil.plans import texts as TX
@@ -727,9 +729,41 @@ on_reviews("w16_overridden_by_half", lambda d, a, f: G.overridden_by_half(d, a),
     ranked AS (SELECT interaction_id, CASE WHEN row_number() OVER (ORDER BY timestamp, interaction_id) - 1 < (SELECT count(*) FROM decisions) // 2 THEN 'first' ELSE 'second' END AS half FROM decisions)""")
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as answers, each with the next document of its source as context: texts with personal data, findings and evidence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("response"))
+    other = F.lead("response").over(Window.partitionBy("source", F.floor(F.col("doc_id") / 100)).orderBy("doc_id", "response"))
+    rows = docs.withColumn("context", F.coalesce(other, F.lit(""))).withColumn("found", R.findings(F.col("response")))
+    return staged(rows.withColumn("prompt", F.lit("")), "answers", sf_dir)
+
+
 def _claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G2.evidence_table(_turns(spark, sf_dir), _KEY, "response", "context", lambda c: R.redact(c, R.findings(c)))
+    """Claims and their best evidence, redacted by all that the scan of the whole response found."""
+    rows = _turns(spark, sf_dir).withColumn("found", R.findings(F.coalesce("response", F.lit(""))))
+    return G2.evidence_table(rows, _KEY, "response", "context", "found", lambda text, found: TR.redact(text, TR.redactions(found, "matched", "redacted")))
+
+
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested records of documents: decisions of the events of their ids, findings, and claims with evidence."""
+    answers = _answers(spark, sf_dir).withColumn("interaction_id", F.col("doc_id"))
+    worst = F.transform("found", lambda f: F.array_position(F.array(*map(F.lit, TR.SEVERITIES)), R.severity(f["subtype"], F.lit("recommendation"))).cast("int"))
+    texts = answers.select("interaction_id", "prompt", "response", TR.finding_structs(F.col("found"), worst).alias("findings"))
+    claims = G2.evidence_table(answers, ["interaction_id"], "response", "context", "found", lambda text, found: text)
+    ids = answers.select("interaction_id")
+    return staged(TR.traces(D.decide(D.signals(D.interactions(table(spark, sf_dir, "events")))).join(ids, "interaction_id", "left_semi"), texts, claims), "traces", sf_dir)
+
+
+def _inlined(decided: DataFrame) -> DataFrame:
+    return decided.select("interaction_id", F.inline(TR.rule_trace(decided)))
 
 
 add("l03_claim_evidence", _claim_evidence)
+add("s07_stored_traces", lambda s, d: TR.stored(_traces(s, d)))
+add("l01_leaks", lambda s, d: TR.leaks(TR.stored(_traces(s, d)), _traces(s, d)).groupBy(F.lit("leaks").alias("what")).agg(F.count(F.lit(1)).alias("n")).unionByName(
+    s.createDataFrame([("records", 0)], "what string, n long").join(TR.stored(_traces(s, d)).agg(F.count(F.lit(1)).alias("m")), F.lit(True)).select("what", F.col("m").alias("n"))))
+SQL["l01_leaks"] = "SELECT 'records' AS what, count(*) AS n FROM documents JOIN events ON event_id = doc_id"
+on_signals("d08_rule_trace", lambda f: _inlined(D.decide(f)), "SELECT interaction_id, step, rule, fired, from_tier, tier_after FROM rt", f"""f AS ({D.decide_sql()}),
+    tn AS (SELECT ['ALLOW', 'ANNOTATE', 'VERIFY', 'HUMAN_REVIEW', 'BLOCK'] AS names), rt AS ({' UNION ALL '.join(f"SELECT interaction_id, {i} AS step, '{rule}' AS rule, {a or 0} <> {b} AS fired, names[{a or 0} + 1] AS from_tier, names[{b} + 1] AS tier_after FROM f, tn" for i, (rule, a, b) in enumerate(P.STEPS))})""")
+for _name in ("conversations", "documents"):
+    add(f"l06_session_memory_{_name}", lambda s, d, n=_name: MEM.before_each_turn(text_decided(s, d, n)).withColumn("pii_entity_keys", F.array_join("pii_entity_keys", ",")).withColumn("tier_changing_rules", F.array_join("tier_changing_rules", ",")))
 add("a15_verification_cost_documents", lambda s, d: M.verification_cost(text_decided(s, d, "documents")))
