@@ -119,11 +119,11 @@ def _stars(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def dealt_to_buckets(dealt: DataFrame, full: DataFrame) -> DataFrame:
     """Rows of cells (label, b, cell, node, home, ...) with ``i`` and ``j``: groups by these hold two buckets at most.
 
-    ``full`` has the number of ``parts`` of cells that are split. A row is in the bucket of its node's hash. In group
+    ``full`` has the number of ``parts`` of cells that are split; rows of a cell of no parts are dropped. A row is in the bucket of its node's hash. In group
     (i, j) the home rows of bucket i meet all rows of bucket j, home or not; the latter are not at home there unless
     i = j. So every home row meets every other row of its cell once.
     """
-    split = dealt.join(full, ["label", "b", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    split = dealt.join(full, ["label", "b", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).filter("parts > 0")
     split = split.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     others = F.filter(every, lambda x: x != F.col("own"))
@@ -170,7 +170,8 @@ def linked(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec
     dealt = kinds.mapInArrow(lambda it: deal(it, False), f"label {label}, v array<double>, node long, copies long, b int, cell long, home boolean")
     homes = kinds.select("label", "v").mapInArrow(lambda it: deal(it, True), f"label {label}, b int, cell long, home boolean")
     sizes = homes.groupBy("label", "b", "cell").agg(F.count(F.lit(1)).alias("count"), F.count_if("home").alias("at_home"))
-    full = sizes.filter((F.col("count") > HOME) & (F.col("at_home") > 0)).select("label", "b", "cell", F.ceil(F.col("count") / HOME).cast("int").alias("parts"))
+    parts = F.when(F.col("at_home") > 0, F.ceil(F.col("count") / HOME)).otherwise(0).cast("int")  # visitors alone never meet
+    full = sizes.filter(F.col("count") > HOME).select("label", "b", "cell", parts.alias("parts"))
     split = dealt_to_buckets(dealt, full)
 
     def links(cell: pd.DataFrame) -> pd.DataFrame:

@@ -28,6 +28,21 @@ SMOOTH = 4.0
 MARKUP = r"(?is)<(?:script|style|noscript|template)\b.*?(?:</(?:script|style|noscript|template)\s*>|\z)|<!--.*?(?:-->|\z)|<[^>]*>|&#?\w+;"
 
 
+#: An angle bracket that opens no tag, where none is closed any more: elements whose text is dropped, and comments, are kept.
+OPENS_NOTHING = r"(?i)<(?!(?:script|style|noscript|template)\b|!--)"
+
+
+def without_markup(page: Column) -> Column:
+    """The page with a space for every tag, reference, comment and unseen element.
+
+    After the last closing bracket no tag ends, and looking for its end from every opening one would take time in the
+    square of the page; there they become spaces first, which for the text model they are in any case.
+    """
+    tail = F.substring_index(page, ">", -1)
+    head = F.left(page, F.char_length(page) - F.char_length(tail))
+    return F.regexp_replace(F.concat(head, F.regexp_replace(tail, OPENS_NOTHING, " ")), MARKUP, " ")
+
+
 def trigrams(text: str) -> np.ndarray:
     """Hash buckets of the character trigrams of the lower-cased text, digits and signs being spaces."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
@@ -107,7 +122,7 @@ def identify(pages: DataFrame, labelled: DataFrame, url_col: str = "url", html_c
     domain = F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1)
     # other columns go along in one struct, so none of theirs can clash with those below
     kept = F.struct(*(F.col(c) for c in own if c != html_col))
-    like = _likelihoods(model)(F.regexp_replace(page, MARKUP, " "))
+    like = _likelihoods(model)(without_markup(page))
     scored = pages.select(kept.alias("row"), host.alias("host"), declared.alias("declared"), domain.alias("domain"), address.alias("address"), like.alias("l"))
     likely = F.transform("l", F.exp)
     soft = F.transform(likely, lambda x: x / F.aggregate(likely, F.lit(0.0), lambda a, b: a + b))

@@ -10,6 +10,7 @@ are not base spans.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -58,22 +59,42 @@ MARKS = "\u0001\u0002"
 SPAN = "array<struct<start:int,end:int,text:string,before:string>>"
 
 
+#: Pieces of a text that are folded together; an even number, so that every block begins outside a match.
+BLOCK = 128
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def found_spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their positions in code points.
 
     Matches are put between two marks, the text is split at the marks, and lengths are summed up. Marks in the text
-    itself are first replaced by another character that no pattern matches.
+    itself are first replaced by another character that no pattern matches. Pieces are folded in blocks: lists grow by
+    copying, so one fold over all pieces would take time in the square of the matches.
     """
     plain = F.translate(text, MARKS, "\u0003\u0003")
     parts = F.split(F.regexp_replace(plain, pattern, f"{MARKS[0]}$0{MARKS[1]}"), f"[{MARKS}]", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.lit("").alias("last"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.char_length(part)
         one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("text"), F.right(acc["last"], F.lit(BEFORE)).alias("before")))
         return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), part.alias("last"), F.when(acc["odd"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    def spans(block: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.lit(False).alias("odd"), F.lit("").alias("last"), none.alias("out"))
+        return F.aggregate(block, start, step, lambda acc: acc["out"])
+
+    def in_blocks(p: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, F.lit(BLOCK)))
+        length = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.char_length(x))
+        starts = lambda bs: F.aggregate(bs, F.array(F.lit(0)), lambda s, b: F.concat(s, F.array(F.element_at(s, -1) + length(b))))
+        return _bound(blocks, lambda bs: _bound(starts(bs), lambda s: F.flatten(F.transform(bs, lambda b, i: spans(b, F.get(s, i))))))
+
+    return _bound(parts, in_blocks)
 
 
 def digits(text: Column) -> Column:
