@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vigil import config as C
 from vigil.functions import lexicons as L
+from vigil.operators import adaptive as AD
 from vigil.operators import calibration as K
 from vigil.operators import evaluation as E
 from vigil.operators import governance as G
@@ -17,6 +18,7 @@ from vigil.operators import grounding as G2
 from vigil.operators import incidents as I
 from vigil.operators import memory as MEM
 from vigil.operators import monitoring as M
+from vigil.operators import patterns as PT
 from vigil.operators import replay as P
 from vigil.operators import responsibility as R
 from vigil.operators import routing as V
@@ -54,6 +56,10 @@ def on_decisions(name: str, report: Callable[[DataFrame], DataFrame], sql: str,
     add(name, lambda spark, sf_dir: report(decided(spark, sf_dir)), f"WITH {D.decisions_sql()}{', ' + more if more else ''} {sql}")
 
 
+def _set(xs) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
 def r4(x: str, places: int = 4) -> str:
     return f"round(({x}) + 1e-9, {places})"
 
@@ -344,6 +350,87 @@ on_signals("k10_policy_simulation", E.simulate_policies, f"SELECT interaction_id
     f"""t AS ({' UNION ALL '.join(f"SELECT interaction_id, '{p}' AS as_profile, t10 FROM ({D.decide_sql(profile=repr(p))})" for p in C.PROFILES)}),
     w AS (SELECT interaction_id, {', '.join(f"max(t10) FILTER (WHERE as_profile = '{p}') AS {q}" for p, q in _QUOTED.items())} FROM t GROUP BY 1)""")
 
+# --- patterns with their applications, and what follows from them ------------------------------------------------------
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(decisions, incidents with reviewer signals, their patterns, reviewer actions with the tier they were about)."""
+    d, n = decided(spark, sf_dir), table(spark, sf_dir, "events").count()
+    log = G.actions(table(spark, sf_dir, "orders"), n).join(d.select("interaction_id", F.col("decision").alias("original_decision")), "interaction_id", "left")
+    found = staged(I.with_reviews(I.incidents(d), log, G.feedback(table(spark, sf_dir, "lineitem"), n)), "reviewed-incidents", sf_dir)
+    return d, found, staged(PT.patterns(found, d), "patterns", sf_dir), log
+
+
+def _approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adapter: urgent orders as the log in which people approve or reject recommendations."""
+    o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P'")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % n + 1).cast("int"))
+    key = AD.recommendation_id(pick(AD.TYPES[:5], 5), pick(C.APPLICATIONS, 3))
+    said = F.when(F.col("o_orderstatus") == "F", "APPROVED_FOR_EVALUATION").otherwise("REJECTED")
+    return o.select(key.alias("recommendation_id"), said.alias("decision"), F.concat(F.lit("R-"), F.col("o_custkey")).alias("reviewer"), F.col("o_orderkey").alias("seq"))
+
+
+def _advice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    d, found, patterns, log = _reviewed(spark, sf_dir)
+    over = PT.override_patterns(found, log)
+    safe = K.select(K.sweep(calibrated(spark, sf_dir), _GRID7))
+    return d, patterns, over, AD.approvals_overlay(AD.recommendations(patterns, over, safe), _approvals(spark, sf_dir))
+
+
+def _advice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, patterns, over, recs = _advice(spark, sf_dir)
+    return AD.report(recs, patterns, I.drift(d), over)
+
+
+_SEV = lambda r: f"CASE WHEN {r} >= 1.6 THEN 'HIGH' WHEN {r} >= 1.25 THEN 'MEDIUM' ELSE 'LOW' END"
+_PATTERNS = f"""dom AS (SELECT *, {r4('n / total')} AS share FROM (SELECT *, sum(n) OVER (PARTITION BY type) AS total FROM (
+        SELECT 'POLICY_RULE_DOMINANCE' AS type, rule AS subject, count(*) AS n FROM {exploded('tier_changing_rules', 'rule', 'incidents')} GROUP BY ALL
+        UNION ALL SELECT 'DETECTOR_DOMINANCE', dominant_dimension, count(*) FROM incidents GROUP BY ALL UNION ALL SELECT 'RISK_CONCENTRATION', application, count(*) FROM incidents GROUP BY ALL)) WHERE n / total >= 0.5 AND total >= 5),
+    pat0 AS (SELECT 'REPEATED_' || decision AS type, signature AS subject, {_SEV('n / 3')} AS severity, n AS incident_count, [application] AS applications FROM clusters WHERE recurring AND decision IN ('BLOCK', 'VERIFY')
+        UNION ALL SELECT 'LOW_CONFIDENCE_CLUSTER', signature, {_SEV('n / 3')}, n, [application] FROM clusters WHERE recurring AND mean_confidence < {C.LOW_CONFIDENCE}
+        UNION ALL SELECT type, subject, {_SEV('share / 0.5')}, n, CASE WHEN type = 'RISK_CONCENTRATION' THEN [subject] ELSE [] END FROM dom
+        UNION ALL SELECT 'DEEP_ROUTING_CONCENTRATION', application, {_SEV(f"{rate(DEEP)} / 0.85")}, count(*), [application] FROM decisions GROUP BY application HAVING avg(({DEEP})::INT) >= 0.85
+        UNION ALL SELECT 'CROSS_APPLICATION_PATTERN', subject, {_SEV('count(*) / 3')}, count(*), list_sort(list(DISTINCT application)) FROM (SELECT *, regexp_replace(signature, '^app:[^|]*\\|', '') AS subject FROM incidents) GROUP BY subject HAVING count(DISTINCT application) >= 2),
+    pat AS MATERIALIZED (SELECT 'PAT-' || upper(substr(sha1(type || '|' || subject), 1, 10)) AS pattern_id, * FROM pat0),
+    signalled AS MATERIALIZED (SELECT * FROM incidents LEFT JOIN (SELECT interaction_id, arg_max(s, action_id) AS reviewer_signal FROM (SELECT *, CASE action WHEN 'MODIFY_DECISION' THEN reviewer_decision ELSE action END AS s FROM actions) WHERE s IS NOT NULL GROUP BY 1) USING (interaction_id)),
+    member AS (SELECT pattern_id, unnest(applications) AS application FROM pat UNION ALL SELECT pattern_id, application FROM pat, (SELECT DISTINCT application FROM incidents) WHERE len(applications) = 0),
+    acted AS (SELECT a.*, coalesce(i.application, 'unknown') AS application, d.decision AS original_decision, i.reason_codes, i.tier_changing_rules,
+        CASE WHEN action = 'REJECT_DECISION' THEN 'REJECTED' WHEN reviewer_decision <> d.decision THEN reviewer_decision END AS reviewer
+        FROM actions a LEFT JOIN decisions d USING (interaction_id) LEFT JOIN incidents i USING (interaction_id) WHERE action IN ('MODIFY_DECISION', 'REJECT_DECISION')),
+    over AS MATERIALIZED (SELECT application, original_decision, reviewer, n, {r4('least(1e0, n / reviewed)')} AS override_rate FROM (SELECT application, original_decision, reviewer, count(*) AS n FROM acted WHERE reviewer IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)
+        JOIN (SELECT application, original_decision, count(*) AS reviewed FROM acted GROUP BY ALL) USING (application, original_decision))"""
+
+
+def on_patterns(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str, more: str = "") -> None:
+    add(name, run, f"WITH {D.decisions_sql()}, {_ACTIONS}, {_INCIDENTS}, {_CLUSTERS}, {_PATTERNS}{', ' + more if more else ''} {sql}")
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.withColumn("applications", F.array_join("applications", ","))
+
+
+on_patterns("j09_patterns", lambda s, d: _flat(_reviewed(s, d)[2]), "SELECT * REPLACE (array_to_string(applications, ',') AS applications) FROM pat")
+on_patterns("j09_memberships", lambda s, d: PT.memberships(*_reviewed(s, d)[1:3]), "SELECT * FROM member")
+on_patterns("i17_pattern_attribution", lambda s, d: PT.attribution(*_reviewed(s, d)[1:3]), f"""SELECT pattern_id, kind, name, n, {r4('n / total')} AS share, row_number() OVER (PARTITION BY pattern_id, kind ORDER BY n DESC, name) = 1 AS dominant
+    FROM (SELECT pattern_id, kind, name, count(*) AS n FROM member JOIN parts USING (application) GROUP BY ALL) JOIN (SELECT pattern_id, count(*) AS total FROM member JOIN incidents USING (application) GROUP BY 1) USING (pattern_id)""",
+    f"""parts AS (SELECT application, 'dimension' AS kind, dominant_dimension AS name FROM incidents UNION ALL SELECT application, 'decision', decision FROM incidents UNION ALL SELECT application, 'override', 'any' FROM signalled WHERE reviewer_signal IS NOT NULL
+    UNION ALL SELECT application, 'code', x FROM {exploded('reason_codes', 'x', 'incidents')} UNION ALL SELECT application, 'rule', x FROM {exploded('tier_changing_rules', 'x', 'incidents')})""")
+_TOP4 = lambda c: f"SELECT application, original_decision, reviewer, string_agg(x, ',' ORDER BY r) AS top_{c} FROM (SELECT *, row_number() OVER (PARTITION BY application, original_decision, reviewer ORDER BY n DESC, x) AS r FROM (SELECT application, original_decision, reviewer, x, count(*) AS n FROM {exploded(c, 'x', 'acted')} WHERE reviewer IS NOT NULL GROUP BY ALL)) WHERE r <= 4 GROUP BY ALL"
+on_patterns("i18_reviewer_patterns", lambda s, d: PT.override_patterns(_reviewed(s, d)[1], _reviewed(s, d)[3]), f"""SELECT over.*, coalesce(top_reason_codes, '') AS top_reason_codes, coalesce(top_tier_changing_rules, '') AS top_tier_changing_rules
+    FROM over LEFT JOIN ({_TOP4('reason_codes')}) USING (application, original_decision, reviewer) LEFT JOIN ({_TOP4('tier_changing_rules')}) USING (application, original_decision, reviewer)""")
+on_patterns("i06_cluster_details", lambda s, d: PT.cluster_details(_reviewed(s, d)[1]), f"""SELECT signature, min(concat_ws(' / ', application, decision, nullif(dominant_dimension, ''), nullif(array_to_string(list_filter(string_split(reason_codes, ','), lambda x: x <> '')[1:2], ' / '), ''), CASE WHEN verification_path = 'DEEP' THEN 'DEEP' END)) AS label,
+    count(*) AS n, count(*) FILTER (verification_path = 'DEEP') AS deep, count(*) FILTER (verification_path <> 'DEEP') AS fast, count(reviewer_signal) AS reviewed, {r4('avg(overall_risk)')} AS mean_risk FROM signalled GROUP BY 1""")
+_TYPED = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AD.TYPE_OF.items()) + " END"
+_ADVICE = f"""asked AS (SELECT recommendation, application, coalesce(min(rank), 2) AS rank, coalesce(string_agg(DISTINCT pattern_id, ',' ORDER BY pattern_id), '') AS patterns, CAST(sum(incident_count) AS BIGINT) AS incident_count, coalesce(string_agg(DISTINCT transition, ',' ORDER BY transition), '') AS transitions FROM (
+        SELECT {_TYPED} AS recommendation, application, pattern_id, list_position(['HIGH', 'MEDIUM', 'LOW', 'INFO'], severity) AS rank, incident_count, NULL AS transition FROM (SELECT *, unnest(CASE WHEN len(applications) = 0 THEN [NULL] ELSE applications END) AS application FROM pat)
+        UNION ALL SELECT 'REVIEW_POLICY', application, NULL, NULL, n, concat_ws(' -> ', original_decision, reviewer) FROM over) GROUP BY ALL),
+    votes AS (SELECT recommendation_id, arg_max(decision, seq) AS decision, arg_max(reviewer, seq) AS reviewer FROM (SELECT o_orderkey AS seq, 'R-' || o_custkey AS reviewer, CASE o_orderstatus WHEN 'F' THEN 'APPROVED' ELSE 'REJECTED' END AS decision,
+        'REC-' || upper(substr(sha1({_set(AD.TYPES[:5])}[o_orderkey % 5 + 1] || '|' || {_set(C.APPLICATIONS)}[o_orderkey % 3 + 1]), 1, 10)) AS recommendation_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P') GROUP BY 1),
+    advice AS MATERIALIZED (SELECT recommendation_id, recommendation, application, ['HIGH', 'MEDIUM', 'LOW', 'INFO'][rank] AS severity, patterns, incident_count, transitions,
+        coalesce(decision, CASE WHEN recommendation = 'REVIEW_VERIFICATION_THRESHOLD' AND (SELECT count(*) FROM sv WHERE candidate > 0 AND violations = '') > 0 THEN 'SIMULATED' ELSE 'RECOMMENDED_FOR_REVIEW' END) AS status, reviewer
+        FROM (SELECT *, 'REC-' || upper(substr(sha1(recommendation || '|' || coalesce(application, 'GLOBAL')), 1, 10)) AS recommendation_id FROM asked) LEFT JOIN votes USING (recommendation_id))"""
+
+
 # --- calibration that routes and decides again ----------------------------------------------------------------------
 
 
@@ -396,6 +483,9 @@ for _goal, _first in (("MAX_FAST_PATH", "fast_path_rate DESC"), ("MIN_HUMAN_REVI
     on_candidates(f"k06_{_goal.lower()}", lambda c, g=_goal: K.select(c, g), f"SELECT * FROM sv WHERE candidate > 0 AND violations = '' ORDER BY {_first}, {_TIES} LIMIT 1")
 on_candidates("k09_safe_candidates", lambda c: K.select(c, most=5), f"SELECT * FROM sv WHERE candidate > 0 AND violations = '' ORDER BY fast_path_rate DESC, {_TIES} LIMIT 5")
 
+_CALIBRATED_ONLY = _calibrated_sql().removeprefix(f"{D.signals_sql()}, ")
+on_patterns("g08_recommendations", lambda s, d: _advice(s, d)[3], "SELECT * FROM advice", f"{_CALIBRATED_ONLY}, {_ADVICE}")
+
 # --- text detectors -------------------------------------------------------------------------------------------------
 
 
@@ -459,10 +549,9 @@ _TURNS = """turns AS MATERIALIZED (SELECT conv_id, turn, coalesce(prompt, '') AS
     array_to_string(list(text) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), chr(10)) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant')"""
 add("p07_turn_pairs", lambda s, d: _turns(s, d).select("conv_id", "turn", F.length("prompt").cast("long").alias("prompt_chars"), F.length("response").cast("long").alias("response_chars")),
     f"WITH {_TURNS} SELECT conv_id, turn, length(prompt) AS prompt_chars, length(response) AS response_chars FROM turns")
-_SET = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 _TOK = "regexp_extract_all(lower({0}), '([a-z0-9]+(?:''[a-z]+)?)', 1)"
-_CONTENT = f"list_distinct(list_filter({{0}}, lambda x: NOT list_contains({_SET([*L.STOPWORDS, *L.MODALS, *L.NEGATIONS])}, x) AND NOT regexp_full_match(x, '[0-9]+')))"
-_NLI = f"""n AS (SELECT *, {_TOK.format('prompt')} AS p, {_TOK.format('response')} AS h FROM turns), c AS (SELECT *, {_CONTENT.format('h')} AS asked, {_CONTENT.format('p')} AS had, list_has_any(p, {_SET(L.NEGATIONS)}) <> list_has_any(h, {_SET(L.NEGATIONS)}) AS negation,
+_CONTENT = f"list_distinct(list_filter({{0}}, lambda x: NOT list_contains({_set([*L.STOPWORDS, *L.MODALS, *L.NEGATIONS])}, x) AND NOT regexp_full_match(x, '[0-9]+')))"
+_NLI = f"""n AS (SELECT *, {_TOK.format('prompt')} AS p, {_TOK.format('response')} AS h FROM turns), c AS (SELECT *, {_CONTENT.format('h')} AS asked, {_CONTENT.format('p')} AS had, list_has_any(p, {_set(L.NEGATIONS)}) <> list_has_any(h, {_set(L.NEGATIONS)}) AS negation,
     list_filter(p, lambda x: regexp_full_match(x, '[0-9]{{1,3}}')) AS pn, list_filter(h, lambda x: regexp_full_match(x, '[0-9]{{1,3}}')) AS hn FROM n),
     v AS (SELECT *, CASE WHEN len(asked) = 0 THEN 0e0 ELSE len(list_intersect(had, asked)) / len(asked) END AS cover, len(pn) > 0 AND len(hn) > 0 AND NOT list_has_any(pn, hn) AS numeric FROM c)"""
 
@@ -515,7 +604,7 @@ def _cascade_sql(profile: str) -> str:
         ['information', 'refund', 'account_update', 'account_cancellation', 'external_communication', 'recommendation'][(conv_id * 100000 + turn) % 6 + 1] <> 'information'
         OR len(list_filter(regexp_extract_all(response, '[0-9]+'), lambda x: len(x) <= 7 AND CAST(x AS BIGINT) > 0)) > 0 AS acts,
         len(regexp_extract_all(response, '(^|[^A-Za-z0-9_])([₹$€£]\s?)?[0-9][0-9,]*(\.[0-9]+)?%?')) AS numbers, regexp_extract_all(response, '[A-Za-z'']+') AS said,
-        list_sort(list_filter({_SET(markers)}, lambda m: contains(lower(prompt), m) OR contains(lower(response), m))) AS stakes FROM turns),
+        list_sort(list_filter({_set(markers)}, lambda m: contains(lower(prompt), m) OR contains(lower(response), m))) AS stakes FROM turns),
     checked AS (SELECT *, concat_ws(',', {', '.join(violations)}) AS crossed, concat_ws(',', CASE WHEN n_words > {most} THEN 'RESPONSE_TOO_LONG' END, CASE WHEN acts THEN 'SIDE_EFFECTING_ACTION' END,
         CASE WHEN regexp_matches(response, 'https?://|www\.|(^|[^A-Za-z0-9_])@[A-Za-z0-9_]{{2,}}') THEN 'CONTAINS_URL_OR_HANDLE' END, CASE WHEN regexp_matches(response, '{V.CAPITALS}') THEN 'CONTAINS_NAMED_ENTITY' END,
         CASE WHEN numbers > 0 AND NOT evidence THEN 'UNGROUNDED_NUMERIC_CLAIM' WHEN numbers > 2 THEN 'MULTIPLE_NUMERIC_CLAIMS' END,
@@ -524,10 +613,10 @@ def _cascade_sql(profile: str) -> str:
     measured AS (SELECT conv_id, turn, CASE WHEN crossed <> '' THEN crossed ELSE blocked END AS signals, CASE WHEN crossed <> '' THEN 'VIOLATION' WHEN blocked <> '' THEN 'AMBIGUOUS' ELSE 'CLEARED' END AS outcome,
         {unit.format('greatest(n_words, 1) / (c_words + 8)')} AS response_length_ratio, {unit.format("len(regexp_extract_all(response, '[0-9]')) / greatest(length(response), 1) * 12")} AS digit_density,
         {unit.format(f"len(regexp_extract_all(response, '{V.CAPITALS}')) / (greatest(n_words, 1) / 20 + 1)")} AS entity_density,
-        {unit.format(f"len(list_filter(said, lambda w: list_contains({_SET(V.HEDGES)}, lower(w)))) / (len(said) / 15 + 1)")} AS hedge_density,
+        {unit.format(f"len(list_filter(said, lambda w: list_contains({_set(V.HEDGES)}, lower(w)))) / (len(said) / 15 + 1)")} AS hedge_density,
         CASE WHEN evidence THEN {unit.format("1 - CASE WHEN len(mine) > 0 AND len(theirs) > 0 THEN len(list_intersect(mine, theirs)) / len(list_distinct(list_concat(mine, theirs))) ELSE 0 END")} ELSE 1e0 END AS low_context_overlap,
         {unit.format(r"len(regexp_split_to_array(trim(response), '[.!?;]\s+|\n+')) / 8")} AS claim_count,
-        CASE WHEN list_contains({_SET(V.QUESTIONS)}, lower(string_split(trim(prompt), ' ')[1])) OR rtrim(prompt) LIKE '%?' THEN 1e0 ELSE 0e0 END AS question_form,
+        CASE WHEN list_contains({_set(V.QUESTIONS)}, lower(string_split(trim(prompt), ' ')[1])) OR rtrim(prompt) LIKE '%?' THEN 1e0 ELSE 0e0 END AS question_form,
         CASE WHEN acts THEN 1e0 ELSE 0e0 END AS action_flag, CASE WHEN evidence THEN 0e0 ELSE 1e0 END AS no_evidence,
         CASE WHEN acts AND {forced} THEN 0e0 WHEN n_words > {2 * most} THEN {max(0.0, at - 0.10)}e0 ELSE {at}e0 END AS threshold FROM checked),
     scored_turns AS (SELECT *, round(1 / (1 + exp(-({V.BIAS}e0 + {score}))) + 1e-9, 6) AS complexity FROM measured),
