@@ -108,7 +108,7 @@ def effective_threshold(response: Column, profile: str, action: Column | None =
     return F.when(action, 0.0).otherwise(t) if forced and action is not None else t
 
 
-def _routed(out: DataFrame) -> DataFrame:
+def rerouted(out: DataFrame) -> DataFrame:
     """Verdict and reason from outcome, complexity and threshold."""
     above = F.col("complexity") >= F.col("threshold")
     clear, crossed = F.col("outcome") == "CLEARED", F.col("outcome") == "VIOLATION"
@@ -131,7 +131,7 @@ def cascade(turns: DataFrame, profile: str = "default", action: Column | None =
     out = turns.withColumn("signals", cascade_check(p, r, c, profile, action)).withColumn("outcome", outcome(F.col("signals")))
     out = out.withColumns({k: r4(v, 6) for k, v in features(p, r, c, action).items()})
     out = out.withColumn("complexity", r4(complexity({k: F.col(k) for k in WEIGHTS}), 6)).withColumn("threshold", effective_threshold(r, profile, action))
-    return _routed(out).drop("_action")
+    return rerouted(out).drop("_action")
 
 
 def cascade_by(turns: DataFrame, application: str = "application") -> DataFrame:

@@ -13,6 +13,7 @@ from vigil.functions import lexicons as L
 from vigil.operators import adaptive as AD
 from vigil.operators import calibration as K
 from vigil.operators import evaluation as E
+from vigil.operators import factors as FM
 from vigil.operators import governance as G
 from vigil.operators import grounding as G2
 from vigil.operators import incidents as I
@@ -486,6 +487,12 @@ on_candidates("k09_safe_candidates", lambda c: K.select(c, most=5), f"SELECT * F
 _CALIBRATED_ONLY = _calibrated_sql().removeprefix(f"{D.signals_sql()}, ")
 on_patterns("g08_recommendations", lambda s, d: _advice(s, d)[3], "SELECT * FROM advice", f"{_CALIBRATED_ONLY}, {_ADVICE}")
 
+on_patterns("g09_adaptive_report", _advice_report, f"""SELECT (SELECT count(*) FROM pat) AS patterns, (SELECT count(*) FROM drifts WHERE signal <> 'STABLE') AS drift_signals, (SELECT count(*) FROM drifts WHERE signal = 'POTENTIAL_DRIFT') AS potential_drift,
+    (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM over) AS reviewer_overrides, (SELECT count(*) FROM advice) AS recommendations, (SELECT count(*) FROM advice WHERE status = 'APPROVED') AS approved_for_evaluation,
+    (SELECT count(*) FROM advice WHERE status = 'REJECTED') AS rejected, coalesce((SELECT scope || ' ' || metric FROM drifts WHERE signal <> 'STABLE' ORDER BY signal <> 'POTENTIAL_DRIFT', abs(delta) DESC, scope, metric LIMIT 1),
+        (SELECT type || ' ' || subject FROM pat ORDER BY list_position(['HIGH', 'MEDIUM', 'LOW', 'INFO'], severity), incident_count DESC, type, subject LIMIT 1), 'NONE') AS observation, 'UNCHANGED' AS production_configuration""",
+    f"{_CALIBRATED_ONLY}, {_ADVICE}, drifts AS ({SQL['i19_drift']})")
+
 # --- text detectors -------------------------------------------------------------------------------------------------
 
 
@@ -639,6 +646,32 @@ def _router(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("v14_trained_router", _router)
+
+
+def _documents_to_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = TX.acting(_turns(spark, sf_dir))
+    return rows.withColumns({"document": FM.routing_document(rows), "acts": V.is_action(F.col("action_type"), F.col("amount"))})
+
+
+add("v13_routing_documents", lambda s, d: _documents_to_route(s, d).select(*_KEY, F.char_length("document").cast("long").alias("chars"), F.sha2("document", 256).alias("digest")), f"""WITH {_TURNS},
+    named AS (SELECT *, ['information', 'refund', 'account_update', 'account_cancellation', 'external_communication', 'recommendation'][(conv_id * 100000 + turn) % 6 + 1] AS action,
+        coalesce(list_max(list_transform(list_filter(regexp_extract_all(coalesce(response, ''), '[0-9]+'), lambda x: len(x) <= 7), lambda x: CAST(x AS BIGINT))), 0) AS amount FROM turns),
+    written AS (SELECT conv_id, turn, '[prompt] ' || prompt || ' [response] ' || coalesce(response, '') || ' [meta] action=' || action || ' amount=' || amount || ' tools=0 retries=0 [flags] '
+        || coalesce(nullif(concat_ws(' ', CASE WHEN amount >= 50000 THEN 'high_value_action' END, CASE WHEN action <> 'information' THEN 'side_effecting_action' END), ''), 'none') AS document FROM named)
+    SELECT conv_id, turn, length(document) AS chars, sha256(document) AS digest FROM written""")
+
+
+def _factor_scores(spark: SparkSession, sf_dir: str, vector: Callable[[DataFrame], Column], latent: int) -> DataFrame:
+    """Fit on the fixed cascade's verdicts, store the folded weights, score every turn and route by the score."""
+    rows = _documents_to_route(spark, sf_dir)
+    rows = staged(rows.withColumn("vector", vector(rows)), f"vectors-{latent}", sf_dir)
+    labelled = V.cascade(rows, action=F.col("acts")).withColumn("label", F.when(F.col("verdict") == "ROUTE_TO_DEEP", 1).otherwise(0))
+    weights, bias = FM.weights_of(FM.fit(labelled, F.col("vector"), F.col("label"), latent).table(spark))
+    return FM.cascade(rows, FM.linear_score(F.col("vector"), weights, bias), action=F.col("acts")).select(*_KEY, F.col("complexity").alias("score"), "threshold", "verdict", "reason")
+
+
+add("v10_factor_scores", lambda s, d: _factor_scores(s, d, lambda r: V.embed(F.col("document")), 16))
+add("v11_feature_scores", lambda s, d: _factor_scores(s, d, lambda r: FM.features_vector(r, F.col("acts")), 4))
 _FLIPS = "decision IN ('HUMAN_REVIEW', 'BLOCK')"
 on_decisions("v17_cost_optimal_threshold", lambda d: V.cost_optimal_threshold(d, "overall_risk", F.col("decision").isin("HUMAN_REVIEW", "BLOCK")), f"""SELECT threshold, {r4('cost')} AS cost, {r4('e')} AS escalation_rate, {r4('m')} AS missed_rate, m <= 0.02 AS satisfied FROM t
     ORDER BY NOT m <= 0.02, CASE WHEN m <= 0.02 THEN cost ELSE m END, threshold LIMIT 1""", f"""g AS (SELECT round(range / 100e0, 2) AS threshold FROM range(0, 101, 2)), t AS (SELECT threshold, avg(CASE WHEN overall_risk >= threshold THEN 1e0 WHEN {_FLIPS} THEN 20e0 ELSE 0e0 END) AS cost,
