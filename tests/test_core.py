@@ -18,6 +18,7 @@ from vigil.operators import incidents as I
 from vigil.operators import monitoring as M
 from vigil.operators import responsibility as R
 from vigil.operators import routing as V
+from vigil.operators import trace as TR
 from vigil.plans import decide as D
 from vigil.plans import texts as TX
 from vigil.sources import tables as W
@@ -301,7 +302,8 @@ def test_severity_by_action(spark):
 
 def test_evidence_table_is_redacted(spark):
     rows = spark.createDataFrame([(1, "Pay with card 4111 1111 1111 1111 today.", "Their card 4111 1111 1111 1111 works today."), (2, "No evidence for this.", ""), (3, "", "x y z")], "id long, response string, context string")
-    got = {r["id"]: r for r in T.evidence_table(rows, ["id"], "response", "context", lambda c: R.redact(c, R.findings(c))).collect()}
-    # the fixed card pattern takes the separator after the last digit too
-    assert got[1]["claim"] == "Pay with card [REDACTED_CARD]today." and got[1]["evidence"] == "Their card [REDACTED_CARD]works today." and got[1]["similarity"] > 0
+    rows = rows.withColumn("found", R.findings(F.col("response")))
+    hidden = lambda text, found: TR.redact(text, TR.redactions(found, "matched", "redacted"))
+    got = {r["id"]: r for r in T.evidence_table(rows, ["id"], "response", "context", "found", hidden).collect()}
+    assert got[1]["claim"] == "Pay with card [REDACTED_CARD] today." and got[1]["evidence"] == "Their card [REDACTED_CARD] works today." and got[1]["similarity"] > 0
     assert got[2]["evidence"] == "" and got[2]["similarity"] == 0.0 and 3 not in got
