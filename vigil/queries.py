@@ -23,6 +23,7 @@ from vigil.operators import patterns as PT
 from vigil.operators import replay as P
 from vigil.operators import responsibility as R
 from vigil.operators import routing as V
+from vigil.operators import summaries as SU
 from vigil.operators import trace as TR
 from vigil.operators import views as Y
 from vigil.plans import decide as D
@@ -493,6 +494,61 @@ on_patterns("g09_adaptive_report", _advice_report, f"""SELECT (SELECT count(*) F
         (SELECT type || ' ' || subject FROM pat ORDER BY list_position(['HIGH', 'MEDIUM', 'LOW', 'INFO'], severity), incident_count DESC, type, subject LIMIT 1), 'NONE') AS observation, 'UNCHANGED' AS production_configuration""",
     f"{_CALIBRATED_ONLY}, {_ADVICE}, drifts AS ({SQL['i19_drift']})")
 
+# --- summaries ------------------------------------------------------------------------------------------------------
+
+_HARD = "list_contains(string_split(coalesce(deep_trigger_reasons, ''), ','), 'DETERMINISTIC_HARD_BOUNDARY')"
+on_decisions("a15_verification_summary", SU.verification, f"""SELECT fast, deep, fast_rate, deep_rate, mean_fast_ms, mean_deep_ms, bypassed, {r4('coalesce(bypassed / nullif(deep, 0), 0)')} AS bypassed_of_deep,
+    CASE WHEN bypassed > 0 THEN {r4('bypassed * round(f, 6)', 3)} END AS saved_ms FROM (SELECT {many(FAST)} AS fast, {many(DEEP)} AS deep, {rate(FAST)} AS fast_rate, {rate(DEEP)} AS deep_rate, {r4(f'avg(latency_ms) FILTER ({FAST})')} AS mean_fast_ms,
+    {r4(f'avg(latency_ms) FILTER ({DEEP})')} AS mean_deep_ms, {many(f'{DEEP} AND {_HARD}')} AS bypassed, avg(latency_ms) FILTER ({DEEP} AND NOT {_HARD} AND latency_ms > 0) AS f FROM decisions)""")
+on_decisions("a16_sessions", SU.sessions, f"""SELECT count(*) AS sessions, {many('turns >= 2')} AS multi_turn, {many('turns >= 2 AND events > 0')} AS hit_floor, CAST(sum(events) AS BIGINT) AS critical_events, {r4(f"{many('turns >= 2 AND events > 0')} / nullif({many('turns >= 2')}, 0)")} AS hit_rate
+    FROM (SELECT session_id, count(*) AS turns, count(*) FILTER (decision = 'BLOCK' OR list_contains(string_split(reason_codes, ','), 'CRITICAL_PII')) AS events FROM decisions GROUP BY 1)""")
+on_decisions("a24_picks", SU.picks, f"""SELECT arg_min(application, (-risk, application)) AS highest_risk, arg_min(application, (-volume, application)) AS highest_volume, arg_min(application, (oversight, application)) AS lowest_intervention
+    FROM (SELECT application, {r4('avg(overall_risk)')} AS risk, count(*) AS volume, {rate("decision IN ('HUMAN_REVIEW', 'BLOCK')")} AS oversight FROM decisions GROUP BY 1)""")
+_DIMS = ("performance", "responsibility", "cost", "overall")
+on_decisions("a27_posture_summary", SU.posture, f"""SELECT m.*, CASE WHEN greatest(performance_average, responsibility_average, cost_average) > 0 THEN CASE WHEN performance_average >= responsibility_average AND performance_average >= cost_average THEN 'performance'
+    WHEN responsibility_average >= cost_average THEN 'responsibility' ELSE 'cost' END END AS dominant_dimension, (SELECT direction FROM halves WHERE metric = 'average_risk') AS risk_trend
+    FROM (SELECT {', '.join(f"{r4(f'avg({n}_risk)', 6)} AS {n}_average, {many(f'{n}_risk >= {C.ELEVATED_RISK}')} AS {n}_high" for n in _DIMS)} FROM decisions) m""", f"halves AS ({SQL['g01_half_trend']})")
+add("a26_escalated_sessions", lambda s, d: SU.escalated(X.batch(_tiers(s, d))))
+on_patterns("a23_reviewer_summary", lambda s, d: SU.reviewers(_reviewed(s, d)[3]), f"""SELECT kind, name, count(*) AS n, {r4('count(*) / (SELECT count(*) FROM reviews)')} AS share FROM (
+    SELECT 'override' AS kind, 'any' AS name FROM reviews WHERE action = 'REJECT_DECISION' OR chosen <> original UNION ALL SELECT 'reviewer_decision', chosen FROM reviews WHERE chosen IS NOT NULL
+    UNION ALL SELECT 'transition', original || ' -> ' || chosen FROM reviews WHERE chosen <> original) GROUP BY ALL""",
+    "reviews AS MATERIALIZED (SELECT action, d.decision AS original, CASE WHEN action <> 'REJECT_DECISION' THEN reviewer_decision END AS chosen FROM actions LEFT JOIN decisions d USING (interaction_id))")
+_TREND6 = {"average_risk": "overall_risk", "average_confidence": "decision_confidence", "human_oversight_rate": "(decision IN ('HUMAN_REVIEW', 'BLOCK'))::INT", "deep_rate": f"({DEEP})::INT",
+           "incident_rate": "(interaction_id IN (SELECT interaction_id FROM incidents))::INT", "reviewer_override_rate": "(interaction_id IN (SELECT interaction_id FROM overridden))::INT"}
+on_patterns("g01_governance_trends", lambda s, d: SU.trends(_reviewed(s, d)[0], _reviewed(s, d)[3]), f"""SELECT metric, baseline, current, delta, CASE WHEN abs(delta) <= 0.05 THEN 'STABLE' WHEN delta > 0 THEN 'INCREASING' ELSE 'DECREASING' END AS direction,
+    CASE WHEN abs(delta) >= 0.15 AND least(a, b) >= 15 THEN 'POTENTIAL_DRIFT' WHEN abs(delta) >= 0.1 THEN 'SIGNAL' ELSE 'TREND' END AS label, CASE WHEN abs(delta) >= 0.15 AND least(a, b) >= 15 THEN 'HIGH'
+    WHEN abs(delta) >= 0.1 AND (delta > 0) <> (metric = 'average_confidence') THEN 'MEDIUM' WHEN abs(delta) > 0.05 THEN 'LOW' ELSE 'INFO' END AS severity
+    FROM (SELECT metric, {r4('avg(v) FILTER (i < n // 2)')} AS baseline, {r4('avg(v) FILTER (i >= n // 2)')} AS current, {r4('avg(v) FILTER (i >= n // 2) - avg(v) FILTER (i < n // 2)')} AS delta, count(*) FILTER (i < n // 2) AS a, count(*) FILTER (i >= n // 2) AS b FROM six GROUP BY 1)""",
+    f"""overridden AS (SELECT interaction_id FROM acted WHERE reviewer IS NOT NULL), ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY timestamp, interaction_id) - 1 AS i, count(*) OVER () AS n FROM decisions),
+    six AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, i, n, {e} AS v FROM ordered" for m, e in _TREND6.items())})""")
+on_signals("g05_concentration", lambda f: SU.concentration(D.decide(f)), f"""SELECT insight, subject, n, CAST(total AS BIGINT) AS total, {r4('n / total')} AS share, {_SEV('n / total / 0.5')} AS severity FROM (SELECT *, sum(n) OVER (PARTITION BY insight) AS total, count(*) OVER (PARTITION BY insight) AS kinds FROM (
+    SELECT 'RULE_DOMINANCE' AS insight, rule AS subject, count(*) AS n FROM moves WHERE b = 4 AND a < 4 GROUP BY ALL UNION ALL SELECT 'RISK_CONCENTRATION', application, count(*) FROM f WHERE overall_risk >= {C.ELEVATED_RISK} GROUP BY ALL))
+    WHERE total >= 5 AND n / total > 0.5 AND (insight = 'RULE_DOMINANCE' OR kinds >= 2)""", f"""f AS MATERIALIZED ({D.decide_sql()}), moves AS ({' UNION ALL '.join(f"SELECT '{rule}' AS rule, {a or 0} AS a, {b} AS b FROM f" for rule, a, b in P.STEPS)})""")
+on_patterns("w15_event_timeline", lambda s, d: SU.timeline(_reviewed(s, d)[0], G.actions(table(s, d, "orders"), table(s, d, "events").count()), _reviewed(s, d)[1]), """SELECT interaction_id, row_number() OVER (PARTITION BY interaction_id ORDER BY o, seq, detail) AS position, stage, at, detail FROM (
+    SELECT interaction_id, 1 AS o, 0 AS seq, 'RECEIVED' AS stage, timestamp AS at, application AS detail FROM decisions UNION ALL SELECT interaction_id, 2, 0, 'VERIFIED', timestamp, verification_path FROM decisions
+    UNION ALL SELECT interaction_id, 3, 0, 'DECIDED', timestamp, decision FROM decisions UNION ALL SELECT interaction_id, 4, 0, 'INCIDENT', timestamp, severity FROM incidents
+    UNION ALL SELECT a.interaction_id, 5, a.action_id, 'REVIEWED', CAST(o_orderdate AS TIMESTAMP), a.action FROM actions a JOIN orders ON o_orderkey = a.action_id SEMI JOIN decisions USING (interaction_id))""")
+
+# --- evaluation against labels that come from elsewhere ----------------------------------------------------------------
+
+
+def _true(d: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of the ids that ``labels`` knows, with its truth: toxic, or of low quality."""
+    truth = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("interaction_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("truly_risky"))
+    return d.join(truth.filter("truly_risky is not null"), "interaction_id")
+
+
+def on_truth(name: str, report: Callable[[DataFrame], DataFrame], sql: str, more: str = "") -> None:
+    add(name, lambda s, d: report(_true(decided(s, d), s, d)), f"WITH {D.decisions_sql()}, l AS MATERIALIZED (SELECT d.*, toxic = 1 OR quality = 0 AS truly_risky FROM decisions d JOIN labels ON doc_id = interaction_id WHERE (toxic = 1 OR quality = 0) IS NOT NULL){', ' + more if more else ''} {sql}")
+
+
+_TRUE_SWEEP = _SWEEP.split("), s AS (", 1)[1]
+on_truth("e01_metrics_by_labels", lambda d: E.binary(d, F.col("truly_risky"), F.col("decision") != "ALLOW", "application"), _binary_sql("l", "truly_risky", "(decision <> 'ALLOW')", "application"))
+on_truth("e03_sweep_by_labels", lambda d: E.threshold_sweep(d, F.col("truly_risky"), "overall_risk"), "SELECT * FROM e", f"s AS ({_TRUE_SWEEP}")
+on_truth("e04_best_by_labels", lambda d: E.best_threshold(E.threshold_sweep(d, F.col("truly_risky"), "overall_risk")), "SELECT * FROM e ORDER BY f1 DESC, threshold LIMIT 1", f"s AS ({_TRUE_SWEEP}")
+on_truth("e06_quadrants_by_labels", E.quadrants, f"""SELECT CASE WHEN overall_risk >= {C.EVALUATION['risk']} THEN 'high' ELSE 'low' END AS risk, CASE WHEN decision_confidence >= {C.EVALUATION['confidence']} THEN 'high' ELSE 'low' END AS confidence,
+    count(*) AS n, {many('truly_risky')} AS truly_risky FROM l GROUP BY 1, 2""")
+
 # --- text detectors -------------------------------------------------------------------------------------------------
 
 
