@@ -227,3 +227,24 @@ def test_override_patterns_count_rejections_and_rates(spark):
     one = got["a", "BLOCK", "ALLOW"]
     assert (one["n"], one["override_rate"], one["top_reason_codes"], one["top_tier_changing_rules"]) == (4, 0.5, "X,Y", "R")
     assert list(itertools.islice(sorted(r["n"] for r in got.values()), 2)) == [3, 4]
+
+
+# --- incremental routing
+
+
+def test_incremental_routing_of_a_conversation(spark):
+    from vigil.streaming import session as X
+
+    turns = [("CLEARED", "", 0.2, 0.5), ("CLEARED", "", 0.3, 0.5), ("AMBIGUOUS", "RESPONSE_TOO_LONG", 0.4, 0.5), ("AMBIGUOUS", "HIGH_STAKES_INTENT:refund,RESPONSE_TOO_LONG", 0.45, 0.5), ("CLEARED", "", 0.1, 0.5), ("VIOLATION", "PII_PATTERN:EMAIL", 0.1, 0.5)]
+    rows = spark.createDataFrame([(1, t, *x) for t, x in enumerate(turns)] + [(2, 0, "AMBIGUOUS", "SIDE_EFFECTING_ACTION", 0.1, 0.0)], "conv_id long, turn long, outcome string, signals string, complexity double, threshold double")
+    got = [r for r in X.incremental(rows).orderBy("conv_id", "turn").collect()]
+    assert [r["reason"] for r in got] == ["INCREMENTAL_STABLE"] * 2 + ["INCREMENTAL_BELOW_THRESHOLD", "INCREMENTAL_BELOW_THRESHOLD", "INCREMENTAL_BELOW_THRESHOLD", "DETERMINISTIC_HARD_BOUNDARY", "INCREMENTAL_ABOVE_THRESHOLD"]
+    # 0.7 * 0.4; 0.55 * 0.28 + 0.7 * 0.45 + 0.08 after two doubts; 0.55 * 0.549 + 0.07; all of 1 for a boundary
+    assert [r["session_complexity"] for r in got][:6] == pytest.approx([0.0, 0.0, 0.28, 0.549, 0.37195, 0.904573], abs=2e-6)
+    assert [r["merged"] for r in got] == [None, None, 0.4, 0.469, 0.37195, None, 0.1] and got[3]["high_stakes_seen"] and not got[2]["high_stakes_seen"]
+    assert got[4]["carried_signals"] == "RESPONSE_TOO_LONG,HIGH_STAKES_INTENT:refund,DETERMINISTIC_CLEAR" and not got[4]["every_turn_cleared"]
+    state = (0, True, 0.0, 0.0, 0, False, tuple(f"s{i}" for i in range(12)))
+    after, _ = X.route_turn(state, rows.filter("conv_id = 2").toPandas().itertuples().__next__())
+    assert len(after[6]) == 12 and after[6][-1] == "SIDE_EFFECTING_ACTION"
+    lowered, row = X.route_turn((3, False, 0.9, 0.7, 1, False, ()), spark.createDataFrame([(1, 9, "AMBIGUOUS", "", 0.1, 0.5)], rows.schema).toPandas().itertuples().__next__())
+    assert row[6] == 0.4 and row[3] == "ROUTE_TO_DEEP"

@@ -209,3 +209,21 @@ def kpis(d: DataFrame) -> DataFrame:
         mean("overall_risk").alias("mean_risk"), many(F.col("overall_risk") >= C.ELEVATED_RISK).alias("elevated"), r4(F.sum("estimated_cost"), 2).alias("total_cost"),
     )
     return agg(d.rollup("application")).withColumn("application", F.coalesce("application", F.lit("all")))
+
+
+def detector_latency(d: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(detector, invocations, mean_ms, p95_ms, max_ms) of stored latency columns, given as detector -> column; nulls are no calls."""
+    long = d.select(F.inline(F.array(*(F.struct(F.lit(n).alias("detector"), F.col(c).cast("double").alias("ms")) for n, c in columns.items())))).filter("ms is not null")
+    base = long.groupBy("detector").agg(F.count(F.lit(1)).alias("invocations"), mean("ms").alias("mean_ms"), r4(F.max("ms")).alias("max_ms"))
+    tail = nearest_rank(long, ["detector"], "ms", 0.95, "p95_ms")
+    return base.join(tail, "detector").withColumn("p95_ms", r4(F.col("p95_ms")))
+
+
+def of_application(d: DataFrame, application: str | None) -> DataFrame:
+    """The rows of one application, or all of them if none is named."""
+    return d if application is None else d.filter(F.col("application") == application)
+
+
+def to_json(report: DataFrame, path: str) -> None:
+    """A report as lines of JSON, nulls written out."""
+    report.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

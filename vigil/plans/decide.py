@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil import config as C
-from vigil.functions.columns import percentiles
+from vigil.functions.columns import percentiles, r4
 from vigil.functions.scalar import clamp, listed, lookup, num, rounded
 
 Layer = list[tuple[str, str]]
@@ -70,7 +70,7 @@ COST: list[Layer] = [
             ("TOKEN_SPIKE", "hit_tokens_in OR hit_tokens_out"), ("RETRY_SPIKE", "hit_retries"), ("TOOL_LOOP", "hit_tools AND tool_calls >= 5 AND tokens_out < 60 * tool_calls"),
             ("TOOL_SPIKE", "hit_tools AND NOT (tool_calls >= 5 AND tokens_out < 60 * tool_calls)"), ("LATENCY_SPIKE", "hit_latency_ms"), ("COST_PER_SUCCESS_SPIKE", "hit_estimated_cost"))),
     ],
-    [("cost_confidence", "82e-2"), ("efficiency", rounded(clamp(f"({clamp('55e-2 * ' + clamp('1e0 / greatest(ratio_estimated_cost, 1e0)') + ' + 25e-2 * (1e0 - retry_share) + 2e-1 * (1e0 - least(1e0, tool_share * 15e-1))')}) * power(1e0 / (1 + retry_count), 4e-1)")))],
+    [("cost_confidence", "CASE WHEN fit_estimated_cost IS NULL THEN 7e-1 ELSE 82e-2 END"), ("efficiency", rounded(clamp(f"({clamp('55e-2 * ' + clamp('1e0 / greatest(ratio_estimated_cost, 1e0)') + ' + 25e-2 * (1e0 - retry_share) + 2e-1 * (1e0 - least(1e0, tool_share * 15e-1))')}) * power(1e0 / (1 + retry_count), 4e-1)")))],
 ]
 
 STAKES: list[Layer] = [
@@ -216,12 +216,24 @@ def signals(rows: DataFrame) -> DataFrame:
     return add(priced.join(F.broadcast(baselines(priced)), list(SEGMENT), "left"), COST + STAKES + FUSE)
 
 
-def priced(rows: DataFrame) -> DataFrame:
-    """Cost and stakes of every interaction: all that neither a check nor the policy changes."""
+def priced(rows: DataFrame, fitted: bool = True) -> DataFrame:
+    """Cost and stakes of every interaction: all that neither a check nor the policy changes.
+
+    Without ``fitted`` the fixed baselines alone hold, and cost is judged with less confidence.
+    """
     own = add(rows, PRICE)
+    if not fitted:
+        return add(own.withColumns({f"fit_{x}": F.lit(None).cast("double") for x in FITTED}), COST + STAKES)
     return add(own.join(F.broadcast(baselines(own)), list(SEGMENT), "left"), COST + STAKES)
 
 
+def efficiency(costed: DataFrame) -> DataFrame:
+    """Efficiency, cost per success, wasted retries, and how sure the cost detector is, from which baseline."""
+    source = F.when(F.col("fit_estimated_cost").isNull(), "static").otherwise("empirical")
+    per_success = F.greatest("estimated_cost", F.lit(1e-9))  # one answer, whatever the attempts before it cost
+    return costed.select("interaction_id", "efficiency", r4(per_success, 6).alias("cost_per_success"), r4(F.col("retry_share")).alias("retry_inefficiency"), "cost_confidence", source.alias("baseline_source"))
+
+
 def decide(scored: DataFrame, confidence_aware: bool = True, profile: str = "application") -> DataFrame:
     """Apply the policy; ``profile`` is an expression for the name of the profile of a row."""
     profiles = scored.sparkSession.createDataFrame(profile_rows(), ", ".join(f"{n} {t}" for n, t in PROFILE))

@@ -494,6 +494,37 @@ on_patterns("g09_adaptive_report", _advice_report, f"""SELECT (SELECT count(*) F
         (SELECT type || ' ' || subject FROM pat ORDER BY list_position(['HIGH', 'MEDIUM', 'LOW', 'INFO'], severity), incident_count DESC, type, subject LIMIT 1), 'NONE') AS observation, 'UNCHANGED' AS production_configuration""",
     f"{_CALIBRATED_ONLY}, {_ADVICE}, drifts AS ({SQL['i19_drift']})")
 
+# --- small parts of cost and monitoring ------------------------------------------------------------------------------
+
+
+def _efficiency_sql(fitted: bool) -> str:
+    """By hand, from price and baseline."""
+    base = f"greatest({C.STATIC['estimated_cost']}e0, {'coalesce(fit_estimated_cost, 0e0)' if fitted else '0e0'})"
+    waste, tools = "least(1e0, retry_cost / greatest(estimated_cost, 1e-9))", "least(1e0, tool_cost / greatest(estimated_cost, 1e-9))"
+    score = f"least(1e0, 0.55e0 * least(1e0, 1e0 / greatest(estimated_cost / {base}, 1e0)) + 0.25e0 * (1e0 - {waste}) + 0.2e0 * (1e0 - least(1e0, {tools} * 1.5e0))) * power(1e0 / (1 + retry_count), 0.4e0)"
+    return f"""WITH {D.signals_sql()} SELECT interaction_id, {r4(score)} AS efficiency, {r4('greatest(estimated_cost, 1e-9)', 6)} AS cost_per_success, {r4(waste)} AS retry_inefficiency,
+        CAST({0.82 if fitted else 0.7} AS DOUBLE) AS cost_confidence, '{'empirical' if fitted else 'static'}' AS baseline_source FROM scored"""
+
+
+add("c07_efficiency", lambda s, d: D.efficiency(D.priced(D.interactions(table(s, d, "events")))), _efficiency_sql(True))
+add("c09_static_baseline", lambda s, d: D.efficiency(D.priced(D.interactions(table(s, d, "events")), fitted=False)), _efficiency_sql(False))
+#: What each detector took: stand-ins from usage, as the tables store no times.
+_TOOK = {"performance": "1e0 + tokens_out / 100e0", "responsibility": "5e-1 + tokens_out / 400e0", "cost": "1e-1 + tool_calls / 50e0"}
+on_decisions("a11_detector_latency", lambda d: M.detector_latency(d.withColumns({f"{k}_ms": F.expr(e) for k, e in _TOOK.items()}), {k: f"{k}_ms" for k in _TOOK}),
+    " UNION ALL ".join(f"SELECT '{k}' AS detector, count(*) AS invocations, {r4(f'avg({e})')} AS mean_ms, {r4(nearest(e, .95))} AS p95_ms, {r4(f'max({e})')} AS max_ms FROM decisions" for k, e in _TOOK.items()))
+on_decisions("p06_one_application", lambda d: M.kpis(M.of_application(d, "decision_support")).filter("application <> 'all'"), f"""SELECT application, count(*) AS total, {rate("decision <> 'ALLOW'")} AS intervention_rate, {rate("decision IN ('HUMAN_REVIEW', 'BLOCK')")} AS oversight_rate,
+    {r4('avg(overall_risk)')} AS mean_risk, count(*) FILTER (WHERE overall_risk >= {C.ELEVATED_RISK}) AS elevated, {r4('sum(estimated_cost)', 2)} AS total_cost FROM decisions WHERE application = 'decision_support' GROUP BY 1""")
+
+
+def _report_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key figures written as JSON and read again."""
+    path, report = f"{shared_dir(spark)}/kpis-{uuid.uuid4().hex}", M.kpis(decided(spark, sf_dir))
+    M.to_json(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+add("s09_report_as_json", _report_as_json)
+
 # --- summaries ------------------------------------------------------------------------------------------------------
 
 _HARD = "list_contains(string_split(coalesce(deep_trigger_reasons, ''), ','), 'DETERMINISTIC_HARD_BOUNDARY')"
@@ -692,6 +723,7 @@ add("v07_complexity", lambda s, d: _cascade(s, d, "customer_support").select(*_K
 add("v12_verdicts", lambda s, d: V.summary(_cascade(s, d, "internal_knowledge_assistant")),
     f"WITH {_cascade_sql('internal_knowledge_assistant')} SELECT verdict, reason, count(*) AS n, {many('no_evidence = 1')} AS no_evidence FROM routed GROUP BY 1, 2")
 add("v09_hash_embedding", lambda s, d: _turns(s, d).select(*_KEY, F.array_join(F.transform(V.embed(F.col("response")), lambda x: F.round(x, 6).cast("string")), ",").alias("embedding")))
+add("x07_incremental_routing", lambda s, d: X.incremental(_cascade(s, d)))
 add("x07_routing_state", lambda s, d: X.routing_state(_cascade(s, d)))
 
 
@@ -945,3 +977,4 @@ on_signals("d08_rule_trace", lambda f: _inlined(D.decide(f)), "SELECT interactio
 for _name in ("conversations", "documents"):
     add(f"l06_session_memory_{_name}", lambda s, d, n=_name: MEM.before_each_turn(text_decided(s, d, n)).withColumn("pii_entity_keys", F.array_join("pii_entity_keys", ",")).withColumn("tier_changing_rules", F.array_join("tier_changing_rules", ",")))
 add("a15_verification_cost_documents", lambda s, d: M.verification_cost(text_decided(s, d, "documents")))
+SQL["s09_report_as_json"] = SQL["a30_kpis"]

@@ -143,6 +143,45 @@ def routing_state(turns: DataFrame) -> DataFrame:
     return in_order(turns.select("conv_id", "turn", "complexity", "outcome"), "conv_id", ["turn"], (0.0, 0, 0.0), step, schema)
 
 
+ROUTED = (
+    "conv_id long, turn long, outcome string, verdict string, reason string, merged double, applied_threshold double, session_complexity double, peak_complexity double, consecutive_ambiguous int,"
+    " every_turn_cleared boolean, high_stakes_seen boolean, carried_signals string"
+)
+#: Signals that a conversation carries, at most; session complexity from which thresholds are lowered, and by how much.
+CARRIED, ELEVATED, LOWERED = 12, 0.60, 0.10
+
+
+def route_turn(state: tuple, r) -> tuple[tuple, tuple]:
+    """Route one turn on what it adds and on the conversation's bounded state, never on its history."""
+    turns, all_clear, peak, session, doubts, stakes, carried = state
+    threshold = max(0.0, r.threshold - LOWERED) if session >= ELEVATED else r.threshold
+    clear, doubtful = r.outcome == "CLEARED", r.outcome == "AMBIGUOUS"
+    said = ["DETERMINISTIC_CLEAR"] if clear else [x for x in r.signals.split(",") if x]
+    merged = max(r.complexity, min(1.0, 0.55 * session + 0.70 * r.complexity))
+    if r.outcome == "VIOLATION":
+        verdict, reason, merged, score, high = "ROUTE_TO_DEEP", "DETERMINISTIC_HARD_BOUNDARY", None, 1.0, True
+    elif clear and all_clear and session < threshold:
+        verdict, reason, merged, score, high, said = "FAST_ALLOW", "INCREMENTAL_STABLE", None, 0.0, False, []
+    else:
+        up = merged >= threshold
+        verdict, reason = ("ROUTE_TO_DEEP", "INCREMENTAL_ABOVE_THRESHOLD") if up else ("FAST_ALLOW", "INCREMENTAL_BELOW_THRESHOLD")
+        score, high = r.complexity, any(x.startswith("HIGH_STAKES") for x in said)
+    session = min(1.0, 0.55 * session + 0.70 * score)
+    doubts = doubts + 1 if doubtful else 0
+    if doubts >= 2:
+        session = min(1.0, session + 0.08)
+    state = (turns + 1, all_clear and clear, max(peak, score), session, doubts, stakes or high, tuple(dict.fromkeys((*carried, *said)))[-CARRIED:])
+    merged = None if merged is None else round(merged, 6)
+    row = (r.conv_id, r.turn, r.outcome, verdict, reason, merged, round(threshold, 6), round(session, 6), state[2], doubts, state[1], state[5], ",".join(state[6]))
+    return state, row
+
+
+def incremental(turns: DataFrame) -> DataFrame:
+    """Incremental routing of all turns of conversations, from the cascade's outcome, signals, complexity and threshold."""
+    rows = turns.select("conv_id", "turn", "outcome", "signals", "complexity", "threshold")
+    return in_order(rows, "conv_id", ["turn"], (0, True, 0.0, 0.0, 0, False, ()), route_turn, ROUTED)
+
+
 def monitor(decisions: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tier counts by time window and application; rows later than ``late`` are left out in a stream."""
     d = decisions.withWatermark("timestamp", late) if decisions.isStreaming else decisions
