@@ -248,3 +248,22 @@ def test_incremental_routing_of_a_conversation(spark):
     assert len(after[6]) == 12 and after[6][-1] == "SIDE_EFFECTING_ACTION"
     lowered, row = X.route_turn((3, False, 0.9, 0.7, 1, False, ()), spark.createDataFrame([(1, 9, "AMBIGUOUS", "", 0.1, 0.5)], rows.schema).toPandas().itertuples().__next__())
     assert row[6] == 0.4 and row[3] == "ROUTE_TO_DEEP"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_documents_in_context_meet_every_kind_of_evidence(spark):
+    from vigil import queries as Q
+
+    found = Q.QUERIES["d14_decisions_in_context"](spark, "/root/testdata/sf0.001").cache()
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id is not null").count()
+    seen = lambda c: {r[0] for r in found.select(c).distinct().collect()}
+    assert seen("verification_path") == {"FAST", "DEEP"}
+    assert {"SUPPORTED", "PARTIALLY_SUPPORTED", "UNVERIFIED"} <= seen("perf_status")
+    assert seen("critical_pii") == {True, False} and seen(F.col("toxicity_risk") > 0) == {True, False} and len(seen("decision")) >= 4
+    hard = found.filter("critical_pii")
+    assert hard.filter("deep_trigger_reasons <> 'DETERMINISTIC_HARD_BOUNDARY' OR claims > 0").count() == 0
+    boundary = found.filter("cascade_outcome = 'VIOLATION' AND NOT critical_pii")
+    assert boundary.filter("deep_trigger_reasons LIKE '%TIER1_CASCADE%'").count() == 0
+    assert found.filter("cascade_outcome = 'AMBIGUOUS' AND cascade_deep AND NOT critical_pii AND deep_trigger_reasons NOT LIKE '%TIER1_CASCADE%'").count() == 0
+    # whatever acts is checked deeply under the profiles that force it; only the internal assistant may answer fast
+    assert found.filter("action_type <> 'information' AND application <> 'internal_knowledge_assistant' AND verification_path = 'FAST'").count() == 0

@@ -6,7 +6,7 @@ the session's carried risk, policy. Critical personal data decides by itself, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil import config as C
@@ -57,6 +57,23 @@ def from_documents(documents: DataFrame, per_session: int = 10) -> DataFrame:
     return D.add(rows.select(F.floor(F.col("doc_id") / per_session).alias("session_id"), F.col("doc_id").alias(KEY), at.alias("timestamp"), F.lit("").alias("prompt"), F.lit("").alias("context"), text), USAGE)
 
 
+def from_documents_in_context(documents: DataFrame, per_session: int = 10) -> DataFrame:
+    """Documents as responses with evidence: their own text, the next document of their source, or none, by turns of ids.
+
+    So personal data, toxicity, claims that hold, claims that do not, and claims without evidence meet in one table.
+    Null ids are left out, as in ``from_documents``.
+    """
+    named = documents.filter("doc_id IS NOT NULL").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    # a hundred ids of a source at a time: neighbours are near, and no source is one task
+    near = Window.partitionBy("source", F.floor(F.col("doc_id") / 100)).orderBy("doc_id", "text")
+    own, other = F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 == 1
+    rows = named.withColumn("context", F.when(own, F.col("text")).when(other, F.coalesce(F.lead("text").over(near), F.lit(""))).otherwise(""))
+    rows = spread(rows.select("doc_id", "text", "context"), "doc_id")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id"))
+    key = [F.floor(F.col("doc_id") / per_session).alias("session_id"), F.col("doc_id").alias(KEY), at.alias("timestamp")]
+    return D.add(rows.select(*key, F.lit("").alias("prompt"), "context", F.col("text").alias("response")), USAGE)
+
+
 def detected(rows: DataFrame) -> DataFrame:
     """Signals of every interaction at both depths, without its texts; ids name rows. One shuffle."""
     found = R.assess(rows, "response", "action_type")

@@ -846,7 +846,8 @@ on_decisions("x09_session_windows", XL.session_windows, """SELECT session_id, mi
 
 def text_decided(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The decisions over a table of texts (``conversations`` or ``documents``), which several queries share."""
-    rows = {"conversations": TX.from_conversations, "documents": TX.from_documents}[name](table(spark, sf_dir, name))
+    made = {"conversations": TX.from_conversations, "documents": TX.from_documents, "in_context": TX.from_documents_in_context}
+    rows = made[name](table(spark, sf_dir, "documents" if name == "in_context" else name))
     scored = staged(TX.scored(staged(TX.detected(rows), f"signals-of-{name}", sf_dir)), f"scored-{name}", sf_dir)
     return staged(TX.decisions(scored), f"decided-{name}", sf_dir)
 
@@ -856,17 +857,44 @@ for _name in ("conversations", "documents"):
     add(f"x03_session_snapshots_{_name}", lambda s, d, n=_name: TX.snapshots(text_decided(s, d, n)))
 add("x04_critical_turns", lambda s, d: TX.critical_turns(text_decided(s, d, "documents")))
 
+add("d14_decisions_in_context", lambda s, d: text_decided(s, d, "in_context").withColumn("pii_keys", F.array_join("pii_keys", ",")))
+add("d14_kinds_in_context", lambda s, d: text_decided(s, d, "in_context").groupBy("verification_path", "perf_status", F.col("critical_pii"), (F.col("toxicity_risk") > 0).alias("toxic"), "decision").agg(F.count(F.lit(1)).alias("n")))
 _TOX_RISK = f"CASE WHEN {_TOX_N} > 0 THEN least(1e0, {_TOX_TOP} + least(15e-2, 5e-2 * ({_TOX_N} - 1))) ELSE 0e0 END"
-add("d05_severe_toxicity", lambda s, d: text_decided(s, d, "documents").select("interaction_id", "application", "action_type", "tokens_out", "toxicity_risk", F.col("triggered_rules").contains("SEVERE_TOXICITY").alias("severe"),
-    F.when(F.col("triggered_rules").contains("SEVERE_TOXICITY"), F.col("decision")).alias("decision")), f"""SELECT *, CASE WHEN severe THEN 'BLOCK' END AS decision FROM (
+
+
+def _severe(d: DataFrame) -> DataFrame:
+    severe = F.col("triggered_rules").contains("SEVERE_TOXICITY")
+    return d.select("interaction_id", "application", "action_type", "tokens_out", "toxicity_risk", severe.alias("severe"), F.when(severe, F.col("decision")).alias("decision"))
+
+
+add("d05_severe_toxicity", lambda s, d: _severe(text_decided(s, d, "documents")), f"""SELECT *, CASE WHEN severe THEN 'BLOCK' END AS decision FROM (
     SELECT *, toxicity_risk >= CASE application WHEN 'internal_knowledge_assistant' THEN 0.88 ELSE 0.80 END AS severe FROM (SELECT doc_id AS interaction_id,
     ['customer_support', 'decision_support', 'internal_knowledge_assistant'][(doc_id // 10) % 3 + 1] AS application,
     ['information', 'refund', 'account_update', 'account_cancellation', 'external_communication', 'recommendation'][doc_id % 6 + 1] AS action_type,
     CAST(ceil(length(coalesce(text, '')) / 4e0) AS BIGINT) AS tokens_out, {r4(_TOX_RISK)} AS toxicity_risk FROM (SELECT doc_id, text, {_TOX_SQL} FROM documents)))""")
+add("d05_toxicity_in_context", lambda s, d: _severe(text_decided(s, d, "in_context")), SQL["d05_severe_toxicity"])
 add("e05_toxicity_against_labels", lambda s, d: E.against_labels(_toxicity(s, d).select("doc_id", (F.col("toxicity_risk") > 0).alias("said")), table(s, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("truth")), "doc_id"),
     f"""SELECT *, {r4('tp / nullif(tp + fp, 0)')} AS precision, {r4('tp / nullif(tp + fn, 0)')} AS recall, {r4('2 * tp / nullif(2 * tp + fp + fn, 0)')} AS f1 FROM (SELECT count(*) FILTER (said AND truth) AS tp,
     count(*) FILTER (said AND NOT truth) AS fp, count(*) FILTER (NOT said AND truth) AS fn, count(*) FILTER (NOT said AND NOT truth) AS tn
     FROM (SELECT toxic = 1 AS truth, {_TOX_N} > 0 AS said FROM labels JOIN (SELECT doc_id, {_TOX_SQL} FROM documents) USING (doc_id) WHERE toxic IS NOT NULL))""")
+
+
+def _detectors_by_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity and bias against the label toxic, either of them against toxic or of low quality."""
+    said = _toxicity(spark, sf_dir).select("doc_id", (F.col("toxicity_risk") > 0).alias("t")).join(_bias(spark, sf_dir).select("doc_id", (F.col("bias_risk") > 0).alias("b")), "doc_id")
+    labels = table(spark, sf_dir, "labels")
+    toxic, risky = F.col("toxic") == 1, (F.col("toxic") == 1) | (F.col("quality") == 0)
+    kinds = {"toxicity": (F.col("t"), toxic), "bias": (F.col("b"), toxic), "either": (F.col("t") | F.col("b"), risky)}
+    rows = [E.against_labels(said.select("doc_id", c.alias("said")), labels.select("doc_id", truth.alias("truth")), "doc_id").withColumn("detector", F.lit(name)) for name, (c, truth) in kinds.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+_BIAS_COUNTS = ", ".join(f"CAST({v} AS INT) AS b_{k}" for k, v in _BIAS_N.items())
+_BOTH_SAID = f"SELECT doc_id, {_TOX_N} > 0 AS t, {_BK} > 0 AS b FROM (SELECT doc_id, {_TOX_SQL}, {_BIAS_COUNTS} FROM (SELECT *, coalesce(regexp_matches(text, {_pattern(_GROUP)}), false) AS grouped FROM documents))"
+add("e05_detectors_by_labels", _detectors_by_labels, f"""WITH said AS ({_BOTH_SAID}), r AS (SELECT 'toxicity' AS detector, t AS said, toxic = 1 AS truth FROM labels JOIN said USING (doc_id) UNION ALL SELECT 'bias', b, toxic = 1 FROM labels JOIN said USING (doc_id)
+    UNION ALL SELECT 'either', t OR b, toxic = 1 OR quality = 0 FROM labels JOIN said USING (doc_id)),
+    n AS (SELECT detector, count(*) FILTER (said AND truth) AS tp, count(*) FILTER (said AND NOT truth) AS fp, count(*) FILTER (NOT said AND truth) AS fn, count(*) FILTER (NOT said AND NOT truth) AS tn FROM r WHERE truth IS NOT NULL GROUP BY 1)
+    SELECT *, {r4('tp / nullif(tp + fp, 0)')} AS precision, {r4('tp / nullif(tp + fn, 0)')} AS recall, {r4('2 * tp / nullif(2 * tp + fp + fn, 0)')} AS f1 FROM n""")
 _FACTOR_SQL = " UNION ALL ".join(f"SELECT interaction_id, {i} AS i, '{f}' AS factor, {f} * {w}e0 AS part FROM scored" for i, (f, w) in enumerate(C.CONSEQUENCE.items()))
 add("f02_top_contributors", lambda s, d: D.top_contributors(D.signals(D.interactions(table(s, d, "events")))), f"""WITH {D.signals_sql()}, parts AS ({_FACTOR_SQL}),
     best AS (SELECT *, row_number() OVER (PARTITION BY interaction_id ORDER BY round(part + 1e-9, 6) DESC, i) AS r FROM parts)
