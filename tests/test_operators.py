@@ -267,3 +267,26 @@ def test_documents_in_context_meet_every_kind_of_evidence(spark):
     assert found.filter("cascade_outcome = 'AMBIGUOUS' AND cascade_deep AND NOT critical_pii AND deep_trigger_reasons NOT LIKE '%TIER1_CASCADE%'").count() == 0
     # whatever acts is checked deeply under the profiles that force it; only the internal assistant may answer fast
     assert found.filter("action_type <> 'information' AND application <> 'internal_knowledge_assistant' AND verification_path = 'FAST'").count() == 0
+
+
+# --- evidence carried along a conversation
+
+
+def talk(n, conv, seed):
+    r = random.Random(seed)
+    words = "warehouse opens nine morning refund card order arrives monday not closed seven price ten euros stays open".split()
+    say = lambda: ". ".join(" ".join(r.choice(words) for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 3)))
+    return [(conv, t, "assistant" if t % 2 else "user", None if r.random() < 0.05 else say()) for t in range(n)]
+
+
+def test_evidence_in_order_equals_evidence_from_whole_contexts(spark):
+    rows = spark.createDataFrame([*talk(60, 1, 1), *talk(7, 2, 2), (3, 1, "assistant", "The first says this. And that is all."), (None, 0, "assistant", "No conversation at all.")], "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, G.claim_results_in_order(rows).collect()))
+    want = sorted(map(tuple, G.claim_results(G.turns(rows.filter("conv_id is not null")), ["conv_id", "turn"], "response", "context").collect()))
+    assert got == want and len(got) > 40
+
+
+def test_a_long_conversation_is_read_once(spark):
+    rows = spark.createDataFrame([(1, t, "assistant" if t % 50 == 49 else "user", f"Item {t} costs {t % 97} euros at shop number {t % 31}.") for t in range(10_000)], "conv_id long, turn long, role string, text string")
+    found = G.turn_evidence(rows)
+    assert found.count() == 200 and found.filter("has_context").count() == 200

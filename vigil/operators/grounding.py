@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,32 +111,65 @@ def repack(sentence: str, most: int = MAX_CHARS) -> list[str]:
     return out + [now] if now else out
 
 
-def weighed(documents: list[str]) -> Callable[[str], list[float]]:
-    """Cosine of a query with each document, smoothed idf over query and documents, words of two characters or more.
+class Index:
+    """Documents by the words they hold, added one by one; a query is weighed against all that are there so far.
 
-    Documents are counted once for all queries; a query touches only the documents that share a word with it.
+    Cosine of a query with each document, smoothed idf over query and documents, words of two characters or more. A query
+    touches only the documents that share a word with it, and no document is read twice.
     """
-    counts = [Counter(WORD.findall(t.lower())) for t in documents]
-    df = Counter(w for c in counts for w in c)
-    n = 2 + len(documents)
-    idf = {w: math.log(n / (1 + k)) + 1 for w, k in df.items()}
-    squares = [sum((k * idf[w]) ** 2 for w, k in c.items()) for c in counts]
-    holders: dict[str, list[tuple[int, int]]] = {}
-    for j, c in enumerate(counts):
+
+    def __init__(self) -> None:
+        self.counts: list[Counter] = []
+        self.df: Counter = Counter()
+        self.holders: dict[str, list[tuple[int, int]]] = {}
+
+    def add(self, document: str) -> None:
+        c, j = Counter(WORD.findall(document.lower())), len(self.counts)
+        self.counts.append(c)
         for w, k in c.items():
-            holders.setdefault(w, []).append((j, k))
+            self.df[w] += 1
+            self.holders.setdefault(w, []).append((j, k))
+
+    def scores(self, query: str) -> dict[int, float]:
+        """Similarity of every document that shares a word with the query, by its place."""
+        n, df = 2 + len(self.counts), self.df
+        idf: dict[str, float] = {}
+
+        def weight(w: str) -> float:
+            if w not in idf:
+                idf[w] = math.log(n / (1 + df[w])) + 1
+            return idf[w]
 
-    def scores(query: str) -> list[float]:
         asked = Counter(WORD.findall(query.lower()))
-        size, dots, norms, touched = 0.0, [0.0] * len(documents), list(squares), set()
+        size, dots, norms = 0.0, {}, {}
         for w, k in asked.items():
-            own = math.log(n / (2 + df[w])) + 1  # the query is a document too
+            own = math.log(n / (2 + df.get(w, 0))) + 1  # the query is a document too
             size += (k * own) ** 2
-            for j, m in holders.get(w, ()):
+            for j, m in self.holders.get(w, ()):
+                if j not in dots:
+                    dots[j], norms[j] = 0.0, sum((x * weight(v)) ** 2 for v, x in self.counts[j].items())
                 dots[j] += k * m * own * own
-                norms[j] += m * m * (own * own - idf[w] * idf[w])
-                touched.add(j)
-        return [round(dots[j] / math.sqrt(size * norms[j]), 12) if j in touched else 0.0 for j in range(len(documents))]
+                norms[j] += m * m * (own * own - weight(w) * weight(w))
+        return {j: round(d / math.sqrt(size * norms[j]), 12) for j, d in dots.items()}
+
+    def best(self, query: str, most: int) -> list[tuple[int, float]]:
+        """The most similar documents, ties to the earlier one; those that share no word follow in order."""
+        got = self.scores(query)
+        first = heapq.nsmallest(most, ((-s, j) for j, s in got.items() if s > 0))
+        out = [(j, -s) for s, j in first]
+        rest = (j for j in range(len(self.counts)) if got.get(j, 0.0) <= 0)
+        return [*out, *((j, 0.0) for j in itertools.islice(rest, most - len(out)))]
+
+
+def weighed(documents: list[str]) -> Callable[[str], list[float]]:
+    """Similarities of a query with all of some documents."""
+    index = Index()
+    for d in documents:
+        index.add(d)
+
+    def scores(query: str) -> list[float]:
+        found = index.scores(query)
+        return [found.get(j, 0.0) for j in range(len(documents))]
 
     return scores
 
@@ -143,22 +177,64 @@ def weighed(documents: list[str]) -> Callable[[str], list[float]]:
 EVIDENCE = T.ArrayType(struct("claim_no int, claim string, evidence array<string>, similarity array<double>"))
 
 
+def _evidence(claim_list: Sequence[str], index: Index, chunks: list[str]) -> list[dict]:
+    """The ``DEEP`` most similar chunks of every claim."""
+    rows = []
+    for i, claim in enumerate(claim_list):
+        best = index.best(claim, DEEP)
+        rows.append({"claim_no": i, "claim": claim, "evidence": [chunks[j] for j, _ in best], "similarity": [round(min(1.0, s), 6) for _, s in best]})
+    return rows
+
+
+def _indexed(sentence_list: Sequence[str], index: Index, chunks: list[str]) -> None:
+    for sentence in sentence_list:
+        for chunk in repack(sentence):
+            chunks.append(chunk)
+            index.add(chunk)
+
+
 @F.pandas_udf(EVIDENCE)
 def evidence_udf(claim_lists: pd.Series, chunk_lists: pd.Series) -> pd.Series:
-    """The ``DEEP`` most similar chunks of every claim, ties to the earlier chunk; work stays inside a row."""
+    """Evidence of a row's claims in the row's own context."""
     out = []
     for claim_list, chunk_list in zip(claim_lists, chunk_lists, strict=True):
         claim_list = claim_list if claim_list is not None else ()
-        chunks = [c for s in (chunk_list if chunk_list is not None and len(claim_list) else ()) for c in repack(s)]
-        scores, rows = weighed(chunks), []
-        for i, claim in enumerate(claim_list):
-            got = scores(claim)
-            best = heapq.nsmallest(DEEP, range(len(chunks)), key=lambda j: (-got[j], j))
-            rows.append({"claim_no": i, "claim": claim, "evidence": [chunks[j] for j in best], "similarity": [round(min(1.0, got[j]), 6) for j in best]})
-        out.append(rows)
+        index, chunks = Index(), []
+        _indexed(chunk_list if chunk_list is not None and len(claim_list) else (), index, chunks)
+        out.append(_evidence(claim_list, index, chunks))
     return pd.Series(out)
 
 
+#: What ``turn_evidence`` gives for each assistant turn.
+TURN = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("found", EVIDENCE), T.StructField("has_context", T.BooleanType())])
+
+
+def turn_evidence(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, found, has_context): evidence of every assistant turn's claims in the turns before it.
+
+    A conversation is read once, in order, and its chunks are kept as an index that grows by each turn, so a turn carries
+    no earlier text and nothing is counted twice. A conversation's index is in one task's memory; one conversation at a time.
+    Null texts say nothing. Turns of one number are taken in order of role and text.
+    """
+    asks = F.col("role") == "assistant"
+    rows = conversations.select("conv_id", "turn", "role", "text", F.when(asks, claims(F.col("text"))).alias("asked"), sentences(F.col("text")).alias("said"))
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", asks.alias("asks"), "asked", "said")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, index, chunks = object(), Index(), []
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                if r.conv_id != last:
+                    last, index, chunks = r.conv_id, Index(), []
+                if r.asks:
+                    out.append((r.conv_id, r.turn, _evidence(r.asked, index, chunks), bool(chunks)))
+                _indexed(r.said, index, chunks)
+            yield pd.DataFrame(out, columns=TURN.names)
+
+    return ordered.filter("conv_id IS NOT NULL").mapInPandas(run, TURN)
+
+
 def text_criticality(text: Column) -> Column:
     money = F.when(text.rlike(L.MONEY) | text.rlike(L.BIG_NUMBER), 0.55).otherwise(0.0)
     verb = F.when(F.lower(text).rlike(r"\b(?:" + "|".join(L.ACTION_VERBS) + ")"), 0.35).otherwise(0.0)
@@ -168,8 +244,12 @@ def text_criticality(text: Column) -> Column:
 def _judged(rows: DataFrame, keep: list[str], response: str, context: str, depths: Sequence[int]) -> DataFrame:
     """One row for each claim, and one with a null claim for a response without any; ``similarity1``, ``status1`` and so on
     for each depth. No shuffle: a claim carries its evidence, and all depths share one pass."""
+    return _verdicts(rows.select(*keep, F.inline_outer(evidence_udf(claims(F.col(response)), sentences(F.col(context))))), keep, depths)
+
+
+def _verdicts(found: DataFrame, keep: list[str], depths: Sequence[int]) -> DataFrame:
+    """``_judged`` from claims that have their evidence."""
     most = max(depths)
-    found = rows.select(*keep, F.inline_outer(evidence_udf(claims(F.col(response)), sentences(F.col(context)))))
     piece = lambda i: F.get("evidence", F.lit(i))
     found = found.withColumns({"ht": tokens(F.coalesce("claim", F.lit(""))), **{f"pt{i}": tokens(F.coalesce(piece(i), F.lit(""))) for i in range(most)}})
     # in steps, so that nothing is worked out twice: content words and numbers of each text, then how they meet, then the rules
@@ -216,6 +296,14 @@ def claim_results(rows: DataFrame, key: list[str], response: str, context: str,
     return _judged(rows, key, response, context, [depth]).filter("claim IS NOT NULL").select(*key, "claim_no", "claim", "similarity", *own, "text_criticality")
 
 
+def claim_results_in_order(conversations: DataFrame, depth: int = DEEP) -> DataFrame:
+    """``claim_results`` of all assistant turns of conversations, by ``turn_evidence``."""
+    key = ["conv_id", "turn"]
+    own = [F.col(f"{n}{depth}").alias(n) for n in ("status", "nli_confidence", "evidence_strength", "claim_risk")]
+    found = turn_evidence(conversations).select(*key, F.inline("found"))
+    return _verdicts(found, key, [depth]).select(*key, "claim_no", "claim", "similarity", *own, "text_criticality")
+
+
 def graded(rows: DataFrame, key: list[str], response: str, context: str, depths: Sequence[int] = (DEEP,), keep: Sequence[str] = ()) -> DataFrame:
     """One row for each response (``key`` names one): number of claims, highest text criticality (null without claims), and for
     every depth counts, status, grounding score, risk, confidence, quality of evidence and share of neutral claims.

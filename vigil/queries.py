@@ -670,6 +670,7 @@ add("t08_jaccard_nli", _jaccard)
 add("t13_text_criticality", lambda s, d: table(s, d, "documents").select("doc_id", F.round(G2.text_criticality(F.coalesce("text", F.lit(""))), 4).alias("criticality")))
 _KEY = ["conv_id", "turn"]
 add("t18_claims_deep", lambda s, d: G2.claim_results(_turns(s, d), _KEY, "response", "context").drop("claim"))
+add("t18_claims_in_order", lambda s, d: G2.claim_results_in_order(table(s, d, "conversations")).drop("claim"))
 add("t18_grounding_deep", lambda s, d: G2.responses(_turns(s, d), _KEY, "response", "context"))
 add("t18_grounding_shallow", lambda s, d: G2.responses(_turns(s, d), _KEY, "response", "context", G2.SHALLOW))
 
