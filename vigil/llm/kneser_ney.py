@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import os
 import uuid
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import urlsplit
@@ -106,13 +107,20 @@ def _packed(hashes: np.ndarray, words: np.ndarray, counts: np.ndarray, bits: int
     shard = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        vocabulary, place = np.unique(words[a:b], return_inverse=True)
-        yield {"shard": int(shard[a]), "n": int(b - a), "words": vocabulary.tobytes(), "places": _least(place.reshape(-1)).tobytes(), "counts": _least(counts[a:b]).tobytes()}
+        if words.shape[1] == 1:  # different already
+            held, places = words[a:b, 0], b""
+        else:
+            held, place = np.unique(words[a:b], return_inverse=True)
+            places = _least(place.reshape(-1)).tobytes()
+        # most counts are 1 or 0; the hashes do not compress
+        yield {"shard": int(shard[a]), "n": int(b - a), "words": held.tobytes(), "places": places, "counts": zlib.compress(_least(counts[a:b].T).tobytes(), 1)}
 
 
 def _unpacked(n: int, words: bytes, places: bytes, counts: bytes, order: int, values: int) -> tuple[np.ndarray, np.ndarray]:
-    read = lambda b, m: np.frombuffer(b, f"u{len(b) // (n * m)}").reshape(n, m)
-    return np.frombuffer(words, np.uint64)[read(places, order).astype(np.int64)], read(counts, values).astype(np.int64)
+    read = lambda b, m: np.frombuffer(b, f"u{len(b) // (n * m)}")
+    held, column_by_column = np.frombuffer(words, np.uint64), zlib.decompress(counts)
+    grams = held[:, None] if order == 1 else held[read(places, order).reshape(n, order).astype(np.int64)]
+    return grams, read(column_by_column, values).reshape(values, n).T.astype(np.int64)
 
 
 def _record(rows: list[dict]) -> pa.RecordBatch:
