@@ -33,23 +33,30 @@ def recommendations(patterns: DataFrame, overrides: DataFrame, safe: DataFrame |
     spark = patterns.sparkSession
     kinds = F.broadcast(spark.createDataFrame(list(TYPE_OF.items()), "type string, recommendation string"))
     rank = lambda s: F.array_position(F.array(*map(F.lit, SEVERITY_RANK)), s).cast("int")
-    said = patterns.join(kinds, "type").select("recommendation", F.explode_outer("applications").alias("application"), "pattern_id", rank(F.col("severity")).alias("rank"), "incident_count", F.lit(None).cast("string").alias("transition"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    said = patterns.join(kinds, "type").select(
+        "recommendation", F.explode_outer("applications").alias("application"), "pattern_id", rank(F.col("severity")).alias("rank"), "incident_count", null("string", "transition")
+    )
     # an override by itself is MEDIUM; beside a pattern it adds no severity
-    over = overrides.select(F.lit("REVIEW_POLICY").alias("recommendation"), "application", F.lit(None).cast("string").alias("pattern_id"), F.lit(None).cast("int").alias("rank"), F.col("n").alias("incident_count"),
-                            F.concat_ws(" -> ", "original_decision", "reviewer").alias("transition"))
+    over = overrides.select(
+        F.lit("REVIEW_POLICY").alias("recommendation"), "application", null("string", "pattern_id"), null("int", "rank"), F.col("n").alias("incident_count"),
+        F.concat_ws(" -> ", "original_decision", "reviewer").alias("transition"),
+    )
     merged = said.unionByName(over).groupBy("recommendation", "application").agg(
         F.coalesce(F.min("rank"), F.lit(2)).alias("rank"), F.array_join(F.array_sort(F.collect_set("pattern_id")), ",").alias("patterns"), F.sum("incident_count").alias("incident_count"),
         F.array_join(F.array_sort(F.collect_set("transition")), ",").alias("transitions"),
     )
     nothing = merged.agg(F.count(F.lit(1)).alias("c")).filter("c = 0").select(
-        F.lit("NO_ACTION").alias("recommendation"), F.lit(None).cast("string").alias("application"), F.lit(4).alias("rank"), F.lit("").alias("patterns"), F.lit(0).cast("long").alias("incident_count"), F.lit("").alias("transitions")
+        F.lit("NO_ACTION").alias("recommendation"), null("string", "application"), F.lit(4).alias("rank"), F.lit("").alias("patterns"), F.lit(0).cast("long").alias("incident_count"),
+        F.lit("").alias("transitions"),
     )
     out = merged.unionByName(nothing).withColumn("severity", F.element_at(F.array(*map(F.lit, SEVERITY_RANK)), F.col("rank"))).withColumn("status", F.lit(OPEN))
     if safe is not None:
         any_safe = safe.agg((F.count(F.lit(1)) > 0).alias("_safe"))
         simulated = (F.col("recommendation") == "REVIEW_VERIFICATION_THRESHOLD") & F.col("_safe")
         out = out.join(F.broadcast(any_safe), F.lit(True)).withColumn("status", F.when(simulated, SIMULATED).otherwise(OPEN))  # one row
-    return out.select(recommendation_id(F.col("recommendation"), F.col("application")).alias("recommendation_id"), "recommendation", "application", "severity", "patterns", "incident_count", "transitions", "status")
+    key = recommendation_id(F.col("recommendation"), F.col("application")).alias("recommendation_id")
+    return out.select(key, "recommendation", "application", "severity", "patterns", "incident_count", "transitions", "status")
 
 
 def approvals_overlay(recs: DataFrame, log: DataFrame) -> DataFrame:

@@ -98,8 +98,10 @@ def sweep(rows: DataFrame, axes: Mapping[str, Sequence[float]]) -> DataFrame:
     rows = rows.filter("risky is not null")
     candidates = grid(axes)
     values = {a: sorted({c[k + 1] for c in candidates}) for k, a in enumerate(AXES)}
-    total = rows.agg(F.count(F.lit(1)).alias("all_n"), F.count_if("risky").alias("all_risky"), F.count_if(F.col("risky") & (F.col("deep_tier") > 0)).alias("all_caught"), F.sum(F.col("fast_ms") + F.col("extra_ms")).alias("all_ms"),
-                     *(F.count_if(F.col("deep_tier") == t).alias(f"all_{t}") for t in range(len(C.TIERS))))
+    total = rows.agg(
+        F.count(F.lit(1)).alias("all_n"), F.count_if("risky").alias("all_risky"), F.count_if(F.col("risky") & (F.col("deep_tier") > 0)).alias("all_caught"),
+        F.sum(F.col("fast_ms") + F.col("extra_ms")).alias("all_ms"), *(F.count_if(F.col("deep_tier") == t).alias(f"all_{t}") for t in range(len(C.TIERS))),
+    )
     shut = _shut(_cells(rows, values), values)
     named = [(i, *v, *(values[a].index(x) for a, x in zip(AXES, v, strict=True))) for i, *v in candidates]
     schema = "candidate int, " + ", ".join(f"at_{a} double" for a in AXES) + ", " + ", ".join(f"{a} int" for a in AXES)

@@ -41,7 +41,10 @@ def patterns(found: DataFrame, d: DataFrame) -> DataFrame:
         F.when(F.col("pattern") == "RULE_DOMINANCE", "POLICY_RULE_DOMINANCE").otherwise(F.col("pattern")).alias("type"), "subject", ratio.alias("severity"), F.col("n").alias("incident_count"),
         F.when(F.col("pattern") == "RISK_CONCENTRATION", one("subject")).otherwise(none).alias("applications"),
     )
-    deep = I.deep_concentration(d).select(F.lit("DEEP_ROUTING_CONCENTRATION").alias("type"), F.col("application").alias("subject"), I.pattern_severity(F.col("share"), I.DEEP_SHARE).alias("severity"), F.col("n").alias("incident_count"), one("application").alias("applications"))
+    deep = I.deep_concentration(d).select(
+        F.lit("DEEP_ROUTING_CONCENTRATION").alias("type"), F.col("application").alias("subject"), I.pattern_severity(F.col("share"), I.DEEP_SHARE).alias("severity"),
+        F.col("n").alias("incident_count"), one("application").alias("applications"),
+    )
     bare = found.withColumn("subject", F.regexp_replace("signature", r"^app:[^|]*\|", ""))
     cross = bare.groupBy("subject").agg(F.count(F.lit(1)).alias("incident_count"), F.array_sort(F.collect_set("application")).alias("applications")).filter(F.size("applications") >= 2)
     cross = cross.select(F.lit("CROSS_APPLICATION_PATTERN").alias("type"), "subject", I.pattern_severity(F.col("incident_count"), I.REPEATED).alias("severity"), "incident_count", "applications")
@@ -66,7 +69,8 @@ def attribution(found: DataFrame, table: DataFrame) -> DataFrame:
     pair = lambda k, c: F.struct(F.lit(k).alias("kind"), c.alias("name"))
     parts = F.concat(
         F.array(pair("dimension", F.col("dominant_dimension")), pair("decision", F.col("decision"))), F.transform(codes("reason_codes"), lambda x: pair("code", x)),
-        F.transform(codes("tier_changing_rules"), lambda x: pair("rule", x)), F.when(F.col("reviewer_signal").isNotNull(), F.array(pair("override", F.lit("any")))).otherwise(F.array().cast("array<struct<kind:string,name:string>>")),
+        F.transform(codes("tier_changing_rules"), lambda x: pair("rule", x)),
+        F.when(F.col("reviewer_signal").isNotNull(), F.array(pair("override", F.lit("any")))).otherwise(F.array().cast("array<struct<kind:string,name:string>>")),
     )
     counted = found.select("application", F.inline(parts)).groupBy("application", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
     totals = found.groupBy("application").agg(F.count(F.lit(1)).alias("total"))

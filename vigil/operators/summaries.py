@@ -31,7 +31,8 @@ def verification(d: DataFrame, took: Column | None = None) -> DataFrame:
     fast = F.upper(F.coalesce("verification_path", F.lit("DEEP"))) == "FAST"
     full = ~fast & ~bypassed() & (took > 0)
     part = d.agg(
-        many(fast).alias("fast"), many(~fast).alias("deep"), rate(fast).alias("fast_rate"), rate(~fast).alias("deep_rate"), r4(F.avg(F.when(fast, took))).alias("mean_fast_ms"), r4(F.avg(F.when(~fast, took))).alias("mean_deep_ms"),
+        many(fast).alias("fast"), many(~fast).alias("deep"), rate(fast).alias("fast_rate"), rate(~fast).alias("deep_rate"),
+        r4(F.avg(F.when(fast, took))).alias("mean_fast_ms"), r4(F.avg(F.when(~fast, took))).alias("mean_deep_ms"),
         many(~fast & bypassed()).alias("bypassed"), F.avg(F.when(full, took)).alias("_full"),
     )
     share = r4(F.coalesce(F.try_divide("bypassed", "deep"), F.lit(0.0)))
@@ -103,7 +104,8 @@ def concentration(d: DataFrame) -> DataFrame:
         share = F.col("n") / F.col("total")
         kept = rows.join(F.broadcast(whole), F.lit(True)).filter((F.col("total") >= LEAST) & (share > limit) & (F.col("kinds") >= (2 if several else 1)))  # one row
         times = share / limit
-        return kept.select(F.lit(insight).alias("insight"), "subject", "n", "total", r4(share).alias("share"), F.when(times >= 1.6, "HIGH").when(times >= 1.25, "MEDIUM").otherwise("LOW").alias("severity"))
+        severity = F.when(times >= 1.6, "HIGH").when(times >= 1.25, "MEDIUM").otherwise("LOW")
+        return kept.select(F.lit(insight).alias("insight"), "subject", "n", "total", r4(share).alias("share"), severity.alias("severity"))
 
     return named(moves, "RULE_DOMINANCE", RULE_SHARE, False).unionByName(named(risky, "RISK_CONCENTRATION", APPLICATION_SHARE, True))
 
@@ -115,11 +117,13 @@ def trends(d: DataFrame, log: DataFrame) -> DataFrame:
     things worse, else LOW), a smaller one a trend (LOW), none at all INFO. Fewer than four rows tell nothing.
     """
     n = d.count()
-    over = log.filter((F.col("action") == "REJECT_DECISION") | F.coalesce(F.col("action").isin("APPROVE_DECISION", "MODIFY_DECISION") & (F.col("reviewer_decision") != F.col("original_decision")), F.lit(False)))
+    changed = F.col("action").isin("APPROVE_DECISION", "MODIFY_DECISION") & (F.col("reviewer_decision") != F.col("original_decision"))
+    over = log.filter((F.col("action") == "REJECT_DECISION") | F.coalesce(changed, F.lit(False)))
     marked = d.join(over.select("interaction_id").distinct().withColumn("_over", F.lit(1.0)), "interaction_id", "left")
     metrics = {
         "average_risk": F.col("overall_risk"), "average_confidence": F.col("decision_confidence"), "human_oversight_rate": F.col("decision").isin("HUMAN_REVIEW", "BLOCK").cast("double"),
-        "deep_rate": (F.upper(F.coalesce("verification_path", F.lit("DEEP"))) == "DEEP").cast("double"), "incident_rate": (I.triggers() != "").cast("double"), "reviewer_override_rate": F.coalesce("_over", F.lit(0.0)),
+        "deep_rate": (F.upper(F.coalesce("verification_path", F.lit("DEEP"))) == "DEEP").cast("double"),
+        "incident_rate": (I.triggers() != "").cast("double"), "reviewer_override_rate": F.coalesce("_over", F.lit(0.0)),
     }
     found = M.compare(marked.filter(F.lit(n >= 4)), before(cut_key(d, n // 2)) if n >= 4 else F.lit(False), metrics, I.DRIFT_BAND)
     size, moved = F.abs("delta"), F.abs("delta") > I.DRIFT_BAND

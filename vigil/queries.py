@@ -801,7 +801,7 @@ on_decisions("x10_window_monitor", lambda d: X.monitor(d).select(F.col("window.s
 
 # --- sessions that end, and rows that come late ---------------------------------------------------------------------
 
-#: An event of the kind signup starts its user's session afresh; a session ends after two days without an event.
+#: Every fiftieth event resets its session; a session ends after two days without an event.
 _RESET, _TIMEOUT = "interaction_id % 50 = 7", 2 * 24 * 3600
 
 
