@@ -110,12 +110,8 @@ def concentration(d: DataFrame) -> DataFrame:
     return named(moves, "RULE_DOMINANCE", RULE_SHARE, False).unionByName(named(risky, "RISK_CONCENTRATION", APPLICATION_SHARE, True))
 
 
-def trends(d: DataFrame, log: DataFrame) -> DataFrame:
-    """(metric, baseline, current, delta, direction, label, severity): the first half of the traffic against the second.
-
-    A large move over enough rows is potential drift (HIGH), one of twice the flat band a signal (MEDIUM if it makes
-    things worse, else LOW), a smaller one a trend (LOW), none at all INFO. Fewer than four rows tell nothing.
-    """
+def _halves(d: DataFrame, log: DataFrame) -> DataFrame:
+    """Six metrics of the first half of the traffic and of the second; none of fewer than four rows."""
     n = d.count()
     changed = F.col("action").isin("APPROVE_DECISION", "MODIFY_DECISION") & (F.col("reviewer_decision") != F.col("original_decision"))
     over = log.filter((F.col("action") == "REJECT_DECISION") | F.coalesce(changed, F.lit(False)))
@@ -125,15 +121,35 @@ def trends(d: DataFrame, log: DataFrame) -> DataFrame:
         "deep_rate": (F.upper(F.coalesce("verification_path", F.lit("DEEP"))) == "DEEP").cast("double"),
         "incident_rate": (I.triggers() != "").cast("double"), "reviewer_override_rate": F.coalesce("_over", F.lit(0.0)),
     }
-    found = M.compare(marked.filter(F.lit(n >= 4)), before(cut_key(d, n // 2)) if n >= 4 else F.lit(False), metrics, I.DRIFT_BAND)
+    return M.compare(marked.filter(F.lit(n >= 4)), before(cut_key(d, n // 2)) if n >= 4 else F.lit(False), metrics, I.DRIFT_BAND)
+
+
+def _moves() -> dict[str, Column]:
     size, moved = F.abs("delta"), F.abs("delta") > I.DRIFT_BAND
     enough = (F.col("n_first") >= I.DRIFT_SAMPLES) & (F.col("n_second") >= I.DRIFT_SAMPLES)
-    drifts, strong = moved & (size >= I.DRIFT_AT) & enough, moved & (size >= 2 * I.DRIFT_BAND)
-    worse = F.when(F.col("metric").isin(*BETTER_HIGH), F.col("delta") < 0).otherwise(F.col("delta") > 0)
-    label = F.when(drifts, "POTENTIAL_DRIFT").when(strong, "SIGNAL").otherwise("TREND")
-    severity = F.when(drifts, "HIGH").when(strong & worse, "MEDIUM").when(moved, "LOW").otherwise("INFO")
     direction = F.when(~moved, "STABLE").when(F.col("delta") > 0, "INCREASING").otherwise("DECREASING")
-    return found.select("metric", "baseline", F.col("recent").alias("current"), "delta", direction.alias("direction"), label.alias("label"), severity.alias("severity"))
+    return {"moved": moved, "enough": enough, "drifts": moved & (size >= I.DRIFT_AT) & enough, "strong": moved & (size >= 2 * I.DRIFT_BAND), "direction": direction}
+
+
+def trends(d: DataFrame, log: DataFrame) -> DataFrame:
+    """(metric, baseline, current, delta, direction, label, severity): the first half of the traffic against the second.
+
+    A large move over enough rows is potential drift (HIGH), one of twice the flat band a signal (MEDIUM if it makes
+    things worse, else LOW), a smaller one a trend (LOW), none at all INFO. Fewer than four rows tell nothing.
+    """
+    m = _moves()
+    worse = F.when(F.col("metric").isin(*BETTER_HIGH), F.col("delta") < 0).otherwise(F.col("delta") > 0)
+    label = F.when(m["drifts"], "POTENTIAL_DRIFT").when(m["strong"], "SIGNAL").otherwise("TREND")
+    severity = F.when(m["drifts"], "HIGH").when(m["strong"] & worse, "MEDIUM").when(m["moved"], "LOW").otherwise("INFO")
+    return _halves(d, log).select("metric", "baseline", F.col("recent").alias("current"), "delta", m["direction"].alias("direction"), label.alias("label"), severity.alias("severity"))
+
+
+def drift_report(d: DataFrame, log: DataFrame) -> DataFrame:
+    """Drift of the six metrics over all traffic, and of detectors, applications and the commonest rules by themselves."""
+    m = _moves()
+    signal = F.when(~m["moved"], "STABLE").when(m["drifts"], "POTENTIAL_DRIFT").otherwise("TREND")
+    whole = _halves(d, log).select(F.lit("global").alias("scope"), "metric", "baseline", "recent", "delta", m["direction"].alias("direction"), signal.alias("signal"), m["enough"].alias("sufficient"))
+    return whole.unionByName(I.drift(d).filter("scope <> 'global'"))
 
 
 def timeline(d: DataFrame, log: DataFrame, found: DataFrame) -> DataFrame:

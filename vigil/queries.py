@@ -546,12 +546,17 @@ on_patterns("a23_reviewer_summary", lambda s, d: SU.reviewers(_reviewed(s, d)[3]
     "reviews AS MATERIALIZED (SELECT action, d.decision AS original, CASE WHEN action <> 'REJECT_DECISION' THEN reviewer_decision END AS chosen FROM actions LEFT JOIN decisions d USING (interaction_id))")
 _TREND6 = {"average_risk": "overall_risk", "average_confidence": "decision_confidence", "human_oversight_rate": "(decision IN ('HUMAN_REVIEW', 'BLOCK'))::INT", "deep_rate": f"({DEEP})::INT",
            "incident_rate": "(interaction_id IN (SELECT interaction_id FROM incidents))::INT", "reviewer_override_rate": "(interaction_id IN (SELECT interaction_id FROM overridden))::INT"}
+_SIX = f"""overridden AS (SELECT interaction_id FROM acted WHERE reviewer IS NOT NULL), ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY timestamp, interaction_id) - 1 AS i, count(*) OVER () AS n FROM decisions),
+    six AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, i, n, {e} AS v FROM ordered" for m, e in _TREND6.items())})"""
 on_patterns("g01_governance_trends", lambda s, d: SU.trends(_reviewed(s, d)[0], _reviewed(s, d)[3]), f"""SELECT metric, baseline, current, delta, CASE WHEN abs(delta) <= 0.05 THEN 'STABLE' WHEN delta > 0 THEN 'INCREASING' ELSE 'DECREASING' END AS direction,
     CASE WHEN abs(delta) >= 0.15 AND least(a, b) >= 15 THEN 'POTENTIAL_DRIFT' WHEN abs(delta) >= 0.1 THEN 'SIGNAL' ELSE 'TREND' END AS label, CASE WHEN abs(delta) >= 0.15 AND least(a, b) >= 15 THEN 'HIGH'
     WHEN abs(delta) >= 0.1 AND (delta > 0) <> (metric = 'average_confidence') THEN 'MEDIUM' WHEN abs(delta) > 0.05 THEN 'LOW' ELSE 'INFO' END AS severity
     FROM (SELECT metric, {r4('avg(v) FILTER (i < n // 2)')} AS baseline, {r4('avg(v) FILTER (i >= n // 2)')} AS current, {r4('avg(v) FILTER (i >= n // 2) - avg(v) FILTER (i < n // 2)')} AS delta, count(*) FILTER (i < n // 2) AS a, count(*) FILTER (i >= n // 2) AS b FROM six GROUP BY 1)""",
-    f"""overridden AS (SELECT interaction_id FROM acted WHERE reviewer IS NOT NULL), ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY timestamp, interaction_id) - 1 AS i, count(*) OVER () AS n FROM decisions),
-    six AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, i, n, {e} AS v FROM ordered" for m, e in _TREND6.items())})""")
+    _SIX)
+on_patterns("i19_drift_report", lambda s, d: SU.drift_report(_reviewed(s, d)[0], _reviewed(s, d)[3]), f"""SELECT 'global' AS scope, metric, baseline, recent, delta, CASE WHEN abs(delta) <= 0.05 THEN 'STABLE' WHEN delta > 0 THEN 'INCREASING' ELSE 'DECREASING' END AS direction,
+    CASE WHEN abs(delta) <= 0.05 THEN 'STABLE' WHEN abs(delta) >= 0.15 AND least(a, b) >= 15 THEN 'POTENTIAL_DRIFT' ELSE 'TREND' END AS signal, least(a, b) >= 15 AS sufficient
+    FROM (SELECT metric, {r4('avg(v) FILTER (i < n // 2)')} AS baseline, {r4('avg(v) FILTER (i >= n // 2)')} AS recent, {r4('avg(v) FILTER (i >= n // 2) - avg(v) FILTER (i < n // 2)')} AS delta, count(*) FILTER (i < n // 2) AS a, count(*) FILTER (i >= n // 2) AS b FROM six GROUP BY 1)
+    UNION ALL BY NAME SELECT * FROM parts WHERE scope <> 'global'""", f"{_SIX}, parts AS ({SQL['i19_drift']})")
 on_signals("g05_concentration", lambda f: SU.concentration(D.decide(f)), f"""SELECT insight, subject, n, CAST(total AS BIGINT) AS total, {r4('n / total')} AS share, {_SEV('n / total / 0.5')} AS severity FROM (SELECT *, sum(n) OVER (PARTITION BY insight) AS total, count(*) OVER (PARTITION BY insight) AS kinds FROM (
     SELECT 'RULE_DOMINANCE' AS insight, rule AS subject, count(*) AS n FROM moves WHERE b = 4 AND a < 4 GROUP BY ALL UNION ALL SELECT 'RISK_CONCENTRATION', application, count(*) FROM f WHERE overall_risk >= {C.ELEVATED_RISK} GROUP BY ALL))
     WHERE total >= 5 AND n / total > 0.5 AND (insight = 'RULE_DOMINANCE' OR kinds >= 2)""", f"""f AS MATERIALIZED ({D.decide_sql()}), moves AS ({' UNION ALL '.join(f"SELECT '{rule}' AS rule, {a or 0} AS a, {b} AS b FROM f" for rule, a, b in P.STEPS)})""")
