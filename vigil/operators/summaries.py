@@ -157,7 +157,7 @@ def timeline(d: DataFrame, log: DataFrame, found: DataFrame) -> DataFrame:
 
     A decision is made, perhaps becomes an incident, and is then acted on: each action is an event, in order of its id.
     """
-    event = lambda order, stage, at, detail: (F.lit(order).alias("stage_order"), F.lit(stage).alias("stage"), at.cast("timestamp").alias("at"), detail.alias("detail"))
+    event = lambda order, stage, at, detail: (F.lit(order).alias("stage_order"), F.lit(stage).alias("stage"), at.cast("timestamp").alias("happened_at"), detail.alias("detail"))
     none = F.lit(0).cast("long").alias("seq")
     ts = F.col("timestamp")
     parts = [
@@ -169,4 +169,4 @@ def timeline(d: DataFrame, log: DataFrame, found: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     order = Window.partitionBy("interaction_id").orderBy("stage_order", "seq", "detail")
-    return out.select("interaction_id", F.row_number().over(order).alias("position"), "stage", "at", "detail")
+    return out.select("interaction_id", F.row_number().over(order).alias("position"), "stage", "happened_at", "detail")

@@ -560,8 +560,8 @@ on_patterns("i19_drift_report", lambda s, d: SU.drift_report(_reviewed(s, d)[0],
 on_signals("g05_concentration", lambda f: SU.concentration(D.decide(f)), f"""SELECT insight, subject, n, CAST(total AS BIGINT) AS total, {r4('n / total')} AS share, {_SEV('n / total / 0.5')} AS severity FROM (SELECT *, sum(n) OVER (PARTITION BY insight) AS total, count(*) OVER (PARTITION BY insight) AS kinds FROM (
     SELECT 'RULE_DOMINANCE' AS insight, rule AS subject, count(*) AS n FROM moves WHERE b = 4 AND a < 4 GROUP BY ALL UNION ALL SELECT 'RISK_CONCENTRATION', application, count(*) FROM f WHERE overall_risk >= {C.ELEVATED_RISK} GROUP BY ALL))
     WHERE total >= 5 AND n / total > 0.5 AND (insight = 'RULE_DOMINANCE' OR kinds >= 2)""", f"""f AS MATERIALIZED ({D.decide_sql()}), moves AS ({' UNION ALL '.join(f"SELECT '{rule}' AS rule, {a or 0} AS a, {b} AS b FROM f" for rule, a, b in P.STEPS)})""")
-on_patterns("w15_event_timeline", lambda s, d: SU.timeline(_reviewed(s, d)[0], G.actions(table(s, d, "orders"), table(s, d, "events").count()), _reviewed(s, d)[1]), """SELECT interaction_id, row_number() OVER (PARTITION BY interaction_id ORDER BY o, seq, detail) AS position, stage, at, detail FROM (
-    SELECT interaction_id, 1 AS o, 0 AS seq, 'RECEIVED' AS stage, timestamp AS at, application AS detail FROM decisions UNION ALL SELECT interaction_id, 2, 0, 'VERIFIED', timestamp, verification_path FROM decisions
+on_patterns("w15_event_timeline", lambda s, d: SU.timeline(_reviewed(s, d)[0], G.actions(table(s, d, "orders"), table(s, d, "events").count()), _reviewed(s, d)[1]), """SELECT interaction_id, row_number() OVER (PARTITION BY interaction_id ORDER BY o, seq, detail) AS position, stage, happened_at, detail FROM (
+    SELECT interaction_id, 1 AS o, 0 AS seq, 'RECEIVED' AS stage, timestamp AS happened_at, application AS detail FROM decisions UNION ALL SELECT interaction_id, 2, 0, 'VERIFIED', timestamp, verification_path FROM decisions
     UNION ALL SELECT interaction_id, 3, 0, 'DECIDED', timestamp, decision FROM decisions UNION ALL SELECT interaction_id, 4, 0, 'INCIDENT', timestamp, severity FROM incidents
     UNION ALL SELECT a.interaction_id, 5, a.action_id, 'REVIEWED', CAST(o_orderdate AS TIMESTAMP), a.action FROM actions a JOIN orders ON o_orderkey = a.action_id SEMI JOIN decisions USING (interaction_id))""")
 
