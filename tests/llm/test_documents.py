@@ -13,9 +13,11 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 from tokenizers import Tokenizer
 
 from vigil.llm import mixing, packing, pii, simhash, toxicity
+from vigil.llm.common import small_batches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -199,6 +201,35 @@ def test_a_common_head_excludes_pairs_but_no_links(spark, monkeypatch, hot):
     assert asked[0][1].count() < plain(free, simhash.segments(300), asked[0][2], hot).count() / 10
 
 
+def test_keep_one_holds_little_text_at_once(spark, monkeypatch):
+    """Texts and sets reach the workers in batches of few bytes, whatever the session allows, whose bound stays."""
+    r = random.Random(31)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(2500)) for _ in range(450)]
+    assert sum(map(len, texts)) > 8 << 20
+    wide, sets = simhash.wide_udf.func, simhash.shingle_set_udf.func
+
+    def little(found):
+        def held(texts):
+            if texts.str.len().sum() > 5 << 20:
+                raise ValueError("a batch of too many bytes")
+            return found(texts)
+
+        return held
+
+    fields = "struct<node: bigint, n: bigint, wide: binary>"
+    monkeypatch.setattr(simhash, "wide_udf", F.pandas_udf(little(wide), fields, PandasUDFType.SCALAR))
+    monkeypatch.setattr(simhash, "shingle_set_udf", F.pandas_udf(little(sets), "array<bigint>", PandasUDFType.SCALAR))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = documents(spark, [*texts, texts[0] + " more", texts[1]]).coalesce(1)
+    assert sorted(x["doc_id"] for x in simhash.keep_one(docs).collect()) == list(range(450))
+    assert spark.conf.get(name) == before
+    with pytest.raises(KeyError), small_batches(spark):
+        assert spark.conf.get(name) == str(4 << 20)
+        raise KeyError
+    assert spark.conf.get(name) == before
+
+
 def test_keep_one_keeps_different_texts_of_one_id(spark):
     rows = [(1, "a b c d e f g", "en", "s", 0), (1, "quite another text of words here", "en", "s", 0), (1, "a b c d e f g", "en", "s", 0), (None, "x y", "en", "s", 0), (None, "x y", "en", "s", 0), (None, "z", "en", "s", 0)]
     kept = simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()
