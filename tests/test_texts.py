@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+from collections import defaultdict
+
 import duckdb
 import pytest
 
 from vigil import queries as Q
+from vigil.operators import grounding as G
+from vigil.operators import verdicts as VE
+from vigil.plans import texts as TX
 
 ODD = [
     "0 rooms. 1 bed. 2 chairs for 22. 33 lamps 3. 4111 1111 1111 1111", " 10. Leading.  Two  spaces . \t Tab\tled.\n\n  indented 5 \r\n", "a.\x0bB.\x0cC? \xa0D!\u3000E \u2003F.\u2003 ", None, "", " \n \xa0", "\tone", "x\x0by z\xa0w",
@@ -19,3 +26,61 @@ def test_sentences_equal_sql_on_odd_texts(spark, tmp_path, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, Q.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(db.execute(Q.SQL[name]).fetchall())
+
+
+def _told(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    words = "warehouse opens nine morning refund card order arrives monday not closed seven price 7 12 99999 ten euros never without customer Zoë straße o'clock can't the is".split()
+    return "".join(" ".join(r.choice(words) for _ in range(r.randint(1, 9))) + r.choice([". ", "! ", "\n", ".\t"]) for _ in range(n))
+
+
+def test_folded_verdicts_equal_a_row_for_each_claim(spark):
+    texts = [(i, _told(i, i % 23), None if i % 5 == 4 else _told(i if i % 2 else i + 100, i % 17) + ("x" * 900 + " the price. " + "y z " * 500 if i % 7 == 0 else "")) for i in range(60)]
+    texts += [(60, "One. Two", "!!! ???"), (61, None, "Some text here."), (62, "Same same. Same same. Same same.", "Same same. Same same. Same same."), (63, "No words shared at all.", "Nothing else matches")]
+    rows = spark.createDataFrame(texts, "id long, response string, context string").cache()
+    got = {r["id"]: r for r in G.graded(rows, ["id"], "response", "context", (G.SHALLOW, G.DEEP)).collect()}
+    assert len(got) == len(texts)
+    claims = {d: defaultdict(list) for d in (G.SHALLOW, G.DEEP)}
+    for d, by in claims.items():
+        for c in G.claim_results(rows, ["id"], "response", "context", d).collect():
+            by[c["id"]].append(c)
+    kinds = set()
+    for (d, by), i in itertools.product(claims.items(), got):
+        row, own = got[i], by[i]
+        status = [c["status"] for c in own]
+        kinds |= set(status)
+        assert (row["claims"], row[f"supported{d}"], row[f"contradicted{d}"]) == (len(own), status.count("SUPPORTED"), status.count("CONTRADICTED"))
+        assert row["max_text_criticality"] == max((c["text_criticality"] for c in own), default=None)
+        if not own:
+            assert (row[f"status{d}"], row[f"performance_risk{d}"], row[f"evidence_quality{d}"], row[f"neutral_rate{d}"]) == ("UNVERIFIED", 0.10, 0.0, 0.0)
+            continue
+        assert row[f"neutral_rate{d}"] == status.count("NEUTRAL") / len(own)
+        assert row[f"evidence_quality{d}"] == pytest.approx(sum(c["evidence_strength"] for c in own) / len(own), abs=6e-5)
+        weights = [1 + 0.5 * c["text_criticality"] for c in own]
+        mean = sum(w * c["claim_risk"] for w, c in zip(weights, own, strict=True)) / sum(weights)
+        hit = status.count("CONTRADICTED")
+        assert row[f"performance_risk{d}"] == pytest.approx(max(mean, min(0.97, 0.62 + 0.12 * hit)) if hit else mean if set(status) == {"SUPPORTED"} else max(mean, 0.05), abs=6e-5)
+    assert kinds == {"SUPPORTED", "CONTRADICTED", "NEUTRAL", "NO_EVIDENCE"}
+
+
+@pytest.mark.parametrize("held", [None, 7])
+def test_nearest_chunks_equal_the_index(monkeypatch, held):
+    if held:  # so small that every claim is a block of its own
+        monkeypatch.setattr(VE, "MEETINGS", held)
+        monkeypatch.setattr(VE, "CELLS", held)
+    for seed in range(20):
+        asked, chunks = (_told(seed + k, 25).split(". ") for k in (0, seed % 2))
+        index = G.Index()
+        for c in chunks:
+            index.add(c)
+        score, place = VE.nearest(asked, chunks, 3)
+        for a, text in enumerate(asked):
+            best = [(j, round(min(1.0, s), 6)) for j, s in index.best(text, 3) if s > 0]
+            assert [(int(j), float(s)) for j, s in zip(place[a], score[a], strict=True) if s > 0] == best
+
+
+def test_no_claim_is_a_row_of_its_own(spark):
+    documents = spark.createDataFrame([(i, f"s{i % 2}", _told(i, 5)) for i in range(9)], "doc_id long, source string, text string")
+    for rows in (TX.from_documents(documents), TX.from_documents_in_context(documents)):
+        plan = TX.detected(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "outer" not in plan
