@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
+import time
 from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from vigil import queries as Q
+from vigil.functions import lexicons as L
 from vigil.operators import grounding as G
+from vigil.operators import responsibility as R
+from vigil.operators import routing as V
 from vigil.operators import verdicts as VE
 from vigil.plans import texts as TX
 
@@ -84,3 +90,39 @@ def test_no_claim_is_a_row_of_its_own(spark):
     for rows in (TX.from_documents(documents), TX.from_documents_in_context(documents)):
         plan = TX.detected(rows)._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "outer" not in plan
+
+
+def test_cascade_by_equals_the_cascade_of_each_profile(spark):
+    said = ["", "Short answer", "Mail a.b@c.de now", "x@", "a@b.c", "Card 4111 1111 1111 1111", "AB123456 ACC-1234", "Call +1 (504) 555-0292", "We never share data", "A Guaranteed Refund", "See www.a.b", "To Big Name", "No 1 2 3", "Room 7", "wire it", "Say insider"]
+    said += ["word " * n for n in (69, 71, 111, 141, 161, 221, 321)] + [_told(i, i) for i in range(6)]
+    apps = [*V.PROFILES, "unknown", None]
+    rows = [(i, a, ("refund", "information", None)[i % 3], (0.0, 5.0)[i % 5 == 0], ("", "Can I cancel?")[i % 2], t, ("", "Room 7 is short", " ")[i % 3]) for i, (t, a) in enumerate(itertools.product(said, apps))]
+    rows = spark.createDataFrame(rows, "interaction_id long, application string, action_type string, amount double, prompt string, response string, context string").cache()
+    got = {r["interaction_id"]: (r["cascade_outcome"], r["complexity"], r["cascade_deep"]) for r in V.cascade_by(rows).collect()}
+    assert {x[0] for x in got.values()} == {"CLEARED", "VIOLATION", "AMBIGUOUS"} and len(got) == len(said) * len(apps)
+    for app in apps:
+        own = rows.filter(F.col("application").eqNullSafe(app))
+        for r in V.cascade(own, app if app in V.PROFILES else "default", V.is_action(F.col("action_type"), F.col("amount"))).collect():
+            assert got[r["interaction_id"]] == (r["outcome"], r["complexity"], r["verdict"] == "ROUTE_TO_DEEP"), r
+
+
+#: The forms of the entity patterns that look back first; those in use begin with a character.
+LOOK_BACK = [
+    r"(?<!\d)(?:\d[ -]?){13,16}(?!\d)", r"(?<!\d)\d{4}\s\d{4}\s\d{4}(?!\d)", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", r"(?<![A-Z0-9])[A-Z]{5}\d{4}[A-Z](?![A-Z0-9])", r"(?<![A-Za-z0-9])ACC-\d{5,}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])EMP-\d{4,}(?![A-Za-z0-9])", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", r"(?<!\w)(?:\+?\d[\d\-\s]{7,}\d)(?!\w)", L.PII[-1][1],
+]
+
+
+def test_entity_patterns_find_what_their_plain_forms_find():
+    r, parts = random.Random(3), ["4111 1111 1111 1111", "123-45-6789", "1234 5678 9012", "ABCDE1234F", "+1 (504) 555-0292", "+44 20 7946 0958", "a.b@c.de", "x@y.com.z@w.org", "ACC-12345", "EMP-1234", "12 Main Street", " ", "x", "1", "+", "-", "A", "@", "_"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(3000)] + ["".join(r.choice("01+- a\n.") for _ in range(40)) for _ in range(3000)]
+    for (kind, new), old in zip(L.PII, LOOK_BACK, strict=True):
+        found = [[m.span() for m in re.finditer(new, t)] for t in texts]
+        assert found == [[m.span() for m in re.finditer(old, t)] for t in texts], kind
+        assert any(found)
+
+
+def test_a_long_run_of_letters_is_scanned_once():
+    began = time.perf_counter()
+    assert [f["matched"] for f in R.scan("a" * 60_000 + " 123-45-6789")] == ["123-45-6789"]
+    assert time.perf_counter() - began < 2
