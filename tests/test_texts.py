@@ -126,3 +126,18 @@ def test_a_long_run_of_letters_is_scanned_once():
     began = time.perf_counter()
     assert [f["matched"] for f in R.scan("a" * 60_000 + " 123-45-6789")] == ["123-45-6789"]
     assert time.perf_counter() - began < 2
+
+
+def test_words_asked_for_first_leave_nothing_out(spark):
+    odd = ["MEN generally", "Women are", "people in the town usually", "She tend to be far less", "older he is the BEST fit for", "he more capable", "it adapts more slowly", "Preferentially", "prioritize the male", "PRIORITIZING THE URBAN", "not a good cultural fit", "wouldnt fit in", "wouldn't fit in", "nothing", None, ""]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id long, text string")
+    plain = [re.compile(p, re.I | re.A) for p, _ in L.BIAS]
+    for r in rows.withColumns(R.bias(F.col("text"))).collect():
+        grouped, want = re.search(r"\b(?:" + "|".join(L.GROUPS) + r")\b", r["text"] or "", re.I), dict.fromkeys(L.BIAS_WEIGHT, 0)
+        for p, (_, kind) in zip(plain, L.BIAS, strict=True):
+            want[kind] += len(p.findall(r["text"] or "")) if grouped or kind not in L.NEED_GROUP else 0
+        assert {k: r[f"b_{k}"] for k in want} == want, r
+    cards = ["+4 1-1+1 1-1+1 1+1 1 1", "1234567890", "123456789", "4111-1111-1111-1111", "411111111111", "AB123456", "ab123456", "xAB123456", "acct_1234", "EMP1234", "Cust-12345", "acc-123", "C1234", "٤" * 12, None]
+    rows = spark.createDataFrame(list(enumerate(cards)), "id long, text string")
+    for n, sign in V.SIGNS.items():
+        assert rows.filter(F.col("text").rlike(V.PATTERNS[n]) & ~F.col("text").rlike(sign)).count() == 0 < rows.filter(F.col("text").rlike(V.PATTERNS[n])).count()
