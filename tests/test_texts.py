@@ -141,3 +141,14 @@ def test_words_asked_for_first_leave_nothing_out(spark):
     rows = spark.createDataFrame(list(enumerate(cards)), "id long, text string")
     for n, sign in V.SIGNS.items():
         assert rows.filter(F.col("text").rlike(V.PATTERNS[n]) & ~F.col("text").rlike(sign)).count() == 0 < rows.filter(F.col("text").rlike(V.PATTERNS[n])).count()
+
+
+def test_stored_decisions_are_not_planned_again(spark, tmp_path, monkeypatch):
+    rows = [(i, f"s{i % 2}", _told(i, 4) + ("I will hurt you." if i == 3 else "")) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["x04_critical_turns", "x03_session_snapshots_documents", "d14_decisions_documents"]
+    first = {n: sorted(map(str, Q.QUERIES[n](spark, str(tmp_path)).collect())) for n in names}
+    assert all(first.values())
+    for name in ("detected", "scored", "decisions", "from_documents"):
+        monkeypatch.setattr(TX, name, None)
+    assert first == {n: sorted(map(str, Q.QUERIES[n](spark, str(tmp_path)).collect())) for n in names}
