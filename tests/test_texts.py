@@ -152,3 +152,18 @@ def test_stored_decisions_are_not_planned_again(spark, tmp_path, monkeypatch):
     for name in ("detected", "scored", "decisions", "from_documents"):
         monkeypatch.setattr(TX, name, None)
     assert first == {n: sorted(map(str, Q.QUERIES[n](spark, str(tmp_path)).collect())) for n in names}
+
+
+def test_severe_toxicity_needs_no_evidence_and_decides_as_all_rules_do(spark, tmp_path):
+    bad = ["", "I will hurt you.", "Your kind.", "What the hell, shut up, you people, not my problem.", "damn it", "I WILL FIND YOU 4111 1111 1111 1111 a.b@c.de"]
+    rows = [(i, f"s{i % 3}", None if i == 7 else _told(i, i % 9) + bad[i % 6] + (" See €50000 refund." if i % 4 == 0 else "")) for i in range(180)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    query = Q.QUERIES["d05_toxicity_in_context"](spark, str(tmp_path))
+    got = sorted(map(str, query.collect()))
+    assert got == sorted(map(str, Q._severe(Q.text_decided(spark, str(tmp_path), "in_context")).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(Q.SQL["d05_toxicity_in_context"]).fetchall()
+    assert sorted(map(tuple, query.collect()), key=str) == sorted(want, key=str) and 30 < sum(r[5] for r in want) < 180
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Python" not in plan
